@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a worker keeps at most; at the bound the cache starts anew.
-CACHE_PIECES = 300_000
+#: Pieces and words that a worker keeps at most; at the bound a cache starts anew.
+CACHE_PIECES = 150_000
+CACHE_WORDS = 600_000
 
 #: The split patterns that the two vocabulary files state.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,6 +33,11 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: White space of ``str.split`` that the vocabularies' patterns don't count as such.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
+#: Up to this character (Latin letters) the patterns are applied here.
+LATIN = "\u024f"
+#: Signs that are a word of their own after letters.
+SIGNS = frozenset(".,;:!?)\"")
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in vocabulary files."""
@@ -40,23 +46,55 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Vocabulary:
-    """A BPE vocabulary file with its merges as arrays: rank, left and right half of each token."""
+class Splitter:
+    """Cuts a text into a vocabulary file's words, written in the vocabulary's letters for bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.path, self.splitter = path, None
-        self.ids: dict[str, int] = model["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.lowers = bool(spec.get("normalizer"))
+            self.spec = json.load(f)
+        self.path, self.library = path, None
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.suffix: str = self.spec["model"].get("end_of_word_suffix") or ""
+        self.lowers = bool(self.spec.get("normalizer"))
         self.pattern = regex.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.letters = byte_alphabet()
+        self.table = {i: "".join(map(self.letters.__getitem__, chr(i).encode())) for i in range(ord(LATIN) + 1)}
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a text; special tokens' strings are not looked for here."""
+        if not piece.isascii():
+            plain = unicodedata.normalize("NFC", piece).lower() if self.lowers else piece
+            if max(piece) > LATIN or max(plain) > LATIN:  # two libraries' Unicode tables may differ there: take the file's own splitter
+                if self.library is None:
+                    from tokenizers import Tokenizer
+
+                    self.library = Tokenizer.from_file(self.path)
+                if self.lowers:
+                    piece = self.library.normalizer.normalize_str(piece)
+                return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+            piece = plain
+        elif self.lowers:
+            piece = piece.lower()
+        # most pieces are a word, or a word and a sign
+        core = piece[1:] if piece[:1] == " " else piece
+        if core.isalpha():
+            return [piece.translate(self.table)]
+        if core[-1:] in SIGNS and core[:-1].isalpha():
+            return [piece[:-1].translate(self.table), core[-1]]
+        return [w.translate(self.table) for w in self.pattern.findall(piece)]
+
+
+class Vocabulary(Splitter):
+    """A BPE vocabulary file with its merges as arrays: rank, left and right half of each token."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec, model = self.spec, self.spec["model"]
+        del self.spec
+        self.ids: dict[str, int] = model["vocab"]
         self.bytes_decoder = bool(spec.get("decoder"))
-        alphabet = byte_alphabet()
-        self.letters = alphabet
-        self.byte_of = {c: b for b, c in alphabet.items()}
+        self.byte_of = {c: b for b, c in self.letters.items()}
         size = 1 + max(chain(self.ids.values(), self.special.values()))
         self.tokens = [""] * size
         for text, i in chain(self.ids.items(), self.special.items()):
@@ -76,7 +114,8 @@ class Vocabulary:
         keys.sort()
         self.pair_keys = np.array([k for k, _, _ in keys], np.int64)
         self.pair_ranks = np.array([r for _, r, _ in keys], np.int64)
-        self.merge_of = {k: (r, t) for k, r, t in keys}
+        self.merge_rank = {k: r for k, r, _ in keys}
+        self.made = {r: t for _, r, t in keys}
         proper = self._proper()
         # inner tokens can't end a word where the vocabulary has a suffix, and final ones must
         self.inner: dict[str, int] = {}
@@ -89,7 +128,11 @@ class Vocabulary:
                     self.inner[text] = i
         if not self.suffix:
             self.final = self.inner
-        self.longest = max(map(len, self.inner))
+        #: the longest token that begins with each two letters (or the letter alone)
+        self.longest: dict[str, int] = {}
+        for text in chain(self.inner, self.final):
+            for head in (text[:1], text[:2]):
+                self.longest[head] = max(len(text), self.longest.get(head, 1))
 
     def _proper(self) -> np.ndarray:
         """Whether each token's own text encodes to the token: halves that are proper and meet nowhere earlier."""
@@ -136,27 +179,32 @@ class Vocabulary:
     def propose(self, word: str) -> list[int]:
         """Greedy longest match of a word in vocabulary letters."""
         out, at, n = [], 0, len(word)
-        inner, final, longest = self.inner, self.final, self.longest
+        inner, final, longest = self.inner.get, self.final.get, self.longest.get
         while True:
-            rest = word[at:]
-            if (t := final.get(rest)) is not None:
+            most = longest(word[at : at + 2], 1)
+            if n - at <= most and (t := final(word[at:])) is not None:
                 out.append(t)
                 return out
-            for k in range(min(longest, n - at - 1), 0, -1):
-                if (t := inner.get(rest[:k])) is not None:
+            for end in range(min(at + most, n - 1), at, -1):
+                if (t := inner(word[at:end])) is not None:
                     out.append(t)
-                    at += k
+                    at = end
                     break
 
     def merge(self, word: str) -> list[int]:
         """The exact encoding of a word: the lowest merge first, the leftmost of equal ones."""
-        parts = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.suffix]]
-        while len(parts) > 1:
-            found = [(m[0], i, m[1]) for i in range(len(parts) - 1) if (m := self.merge_of.get(parts[i] * self.size + parts[i + 1]))]
-            if not found:
-                break
-            _, i, t = min(found)
-            parts[i : i + 2] = [t]
+        ids, size, get, none = self.ids, self.size, self.merge_rank.get, len(self.merge_rank)
+        parts = [ids[c] for c in word[:-1]]
+        parts.append(ids[word[-1] + self.suffix])
+        ranks = [get(a * size + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            parts[i : i + 2] = [self.made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] * size + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] * size + parts[i + 1], none)
         return parts
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -174,31 +222,14 @@ class Vocabulary:
                 cuts[k] = self.merge(words[k])
         return cuts
 
-    def words(self, piece: str) -> list[str]:
-        """The words of a text, in vocabulary letters; special tokens' strings are not looked for here."""
-        if max(piece) > "\u024f":  # beyond Latin letters two libraries' Unicode tables may differ: take the file's own splitter
-            if self.splitter is None:
-                from tokenizers import Tokenizer
-
-                self.splitter = Tokenizer.from_file(self.path)
-            if self.lowers:
-                piece = self.splitter.normalizer.normalize_str(piece)
-            return [w for w, _ in self.splitter.pre_tokenizer.pre_tokenize_str(piece)]
-        if self.lowers:
-            piece = unicodedata.normalize("NFC", piece).lower()
-        if piece.isascii() and piece.isalpha():
-            return [piece]
-        return [w if w.isascii() and w.isprintable() and " " not in w else "".join(map(self.letters.__getitem__, w.encode())) for w in self.pattern.findall(piece)]
-
 
 class Encoder:
-    """Encodes texts with a ``Vocabulary``; keeps the ids of pieces already met."""
+    """Encodes texts with a ``Vocabulary``; keeps the ids of pieces and words already met."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.kept: dict[str, tuple[int, ...]] = {}
-        v = self.vocabulary
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")")
+        self.kept: dict[str, list[int] | tuple[int, ...]] = {}
+        self.kept_words: dict[str, list[int]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that encode on their own."""
@@ -206,21 +237,23 @@ class Encoder:
             return [text]
         return text.split()
 
-    def _learn(self, new: list[str]) -> None:
+    def _words(self, piece: str) -> list:
+        """A piece's words, and special tokens as tuples of their id."""
         v = self.vocabulary
-        found: list[list] = []
-        words: dict[str, int] = {}
-        for piece in new:
-            row: list = []
-            for k, part in enumerate(self.special.split(piece)):
-                if k % 2:
-                    row.append((v.special[part],))
-                elif part:
-                    row += [words.setdefault(w, len(words)) for w in v.words(part)]
-            found.append(row)
-        cuts = v.encode_words(list(words))
-        for piece, row in zip(new, found):
-            self.kept[piece] = tuple(chain.from_iterable(x if isinstance(x, tuple) else cuts[x] for x in row))
+        if "<|" not in piece:
+            return v.words(piece)
+        parts = v.marks.split(piece)
+        return list(chain.from_iterable([(v.special[x],)] if k % 2 else v.words(x) for k, x in enumerate(parts)))
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.kept_words) > CACHE_WORDS:
+            self.kept_words = {}
+        known = self.kept_words
+        rows = list(map(self._words, new))
+        fresh = list({w for w in set(chain.from_iterable(rows)).difference(known) if w.__class__ is str})
+        known.update(zip(fresh, self.vocabulary.encode_words(fresh)))
+        for piece, row in zip(new, rows):
+            self.kept[piece] = known[row[0]] if len(row) == 1 and row[0].__class__ is str else tuple(chain.from_iterable(known[x] if x.__class__ is str else x for x in row))
 
     def encode(self, texts: Iterable[str]) -> Iterable[list[int]]:
         """The ids of each text."""

@@ -8,25 +8,24 @@ always ends a word. Texts for which that isn't certain go to the library whole.
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import struct
 from collections.abc import Iterable
 from itertools import chain
 
-import numpy as np
+from lintlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, SEPARATORS, Splitter
 
-#: Pieces that a worker keeps at most; at the bound the cache starts anew.
-CACHE_PIECES = 300_000
-
-#: Separators that str.split takes for white space and the vocabularies don't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A space amid white space, or at the end after white space: runs that the split pattern may divide elsewhere.
 _RUNS = re.compile(r"\s (?:\s|\Z)")
 
 
 class LibraryEncoder:
-    """``tokenizers.Tokenizer`` of a file; gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``tokenizers.Tokenizer`` of a file; gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    The library's model encodes each word that a worker meets for the first time.
+    Pieces with special tokens' strings go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
@@ -35,21 +34,35 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.drops_space = bool(spec["model"].get("end_of_word_suffix"))
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.splitter = Splitter(path)
+        del self.splitter.spec
+        self.special = list(self.splitter.special)
         self.kept: dict[str, bytes] = {}
+        self.kept_words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text that encode on their own."""
-        if self.drops_space:
-            return [text] if _SEPARATORS.search(text) else text.split()
+        if self.splitter.suffix:
+            return [text] if SEPARATORS.search(text) else text.split()
         if _RUNS.search(text) or any(s in text for s in self.special):
             return [text]
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.kept_words.get(word)
+        if ids is None:
+            found = [t.id for t in self.tokenizer.model.tokenize(word)]
+            ids = self.kept_words[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if "<|" in piece:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
+        words = self.splitter.words(piece)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+
     def encode(self, texts: Iterable[str]) -> Iterable[bytes]:
         """The ids of each text."""
         rows = [self.pieces(t) for t in texts]
@@ -57,11 +70,9 @@ class LibraryEncoder:
         if len(self.kept) + len(new) > CACHE_PIECES:
             self.kept = {}
             new = set(chain.from_iterable(rows))
-        pieces = list(new)
-        for k in range(0, len(pieces), 5_000):
-            part = pieces[k : k + 5_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[piece] = np.array(e.ids, "<u4").tobytes()
+        if len(self.kept_words) > CACHE_WORDS:
+            self.kept_words = {}
+        self.kept.update(zip(new, map(self._piece, new)))
         get = self.kept.__getitem__
         for row in rows:
             yield b"".join(map(get, row))

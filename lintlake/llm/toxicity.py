@@ -25,29 +25,40 @@ from lintlake.llm.shared import crc32_text
 #: Labelled documents and characters per class that the fit takes at most (those of the lowest hash).
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 12_000_000
-#: Characters in a gram; words in a window; bytes in each dictionary at most.
-GRAM = 5
+#: Letters of a word's beginning at least and at most; words in a window; bytes in each dictionary at most.
+STEM, STEM_MOST = 4, 7
 WINDOW = 8
 DICTIONARY = 4_096
-#: Begins every window and both dictionaries, so that a frame always has one match to describe.
-HEAD = bytes(range(1, 9)) + bytes(range(14, 22))
+#: Begins every window and ends both dictionaries, so that a frame always has one match to describe.
+HEAD = bytes(range(224, 256))
+#: Coded words that a worker keeps at most.
+CACHE_WORDS = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Codes(dict):
+    """Words as a zero and one byte a letter that also holds the letter's place (0 to 7 and beyond): matches keep to the same places of words."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        code = self[word] = b"\0" + bytes(min(i, 7) << 5 | (ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5) for i, c in enumerate(word))
+        return code
+
+
+_CODES = _Codes()
+
+
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
     """Consecutive windows of ``size`` words over the whole text, one at least."""
-    words = _WORD.findall(text.lower())
-    return [HEAD + f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)] or [HEAD]
+    codes = [_CODES[w] for w in _WORD.findall(text.lower())]
+    return [HEAD + b"".join(codes[i : i + size]) for i in range(0, len(codes), size)] or [HEAD]
 
 
 def _stems(text: str) -> set[str]:
-    """The beginnings of a text's words from ``GRAM`` letters on, and the whole words, after a space."""
-    out = set()
-    for w in set(_WORD.findall(text.lower())):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(GRAM, min(len(w), 2 * GRAM) + 1))
-    return out
+    """The beginnings of a text's words, from ``STEM`` to ``STEM_MOST`` letters."""
+    return {w[:k] for w in set(_WORD.findall(text.lower())) for k in range(STEM, min(len(w), STEM_MOST) + 1)}
 
 
 def distinct(texts: list[str]) -> list[str]:
@@ -66,8 +77,8 @@ def distinct(texts: list[str]) -> list[str]:
 def passages(texts: list[str], others: list[str], ratio: float = 16.0, least_z: float = 5.0, share: float = 0.004) -> Counter:
     """Word beginnings many times as frequent in the documents of ``texts`` as of ``others``.
 
-    Of beginnings of each other only the shortest is kept: longer ones add endings
-    that occur elsewhere.
+    Of beginnings of each other the shortest that is marked is kept, with the
+    letters that nearly all its words go on with.
     """
     here, there = Counter(), Counter()
     for t in texts:
@@ -75,26 +86,29 @@ def passages(texts: list[str], others: list[str], ratio: float = 16.0, least_z:
     for t in others:
         there.update(_stems(t))
     n, m = max(1, len(texts)), max(1, len(others))
-    marked: Counter = Counter()
+    marked: dict[str, str] = {}
     for stem in sorted(here, key=lambda x: (len(x), x)):
         a, b = here[stem], there[stem]
         p = (a + b) / (n + m)
         if a < max(3, share * n) or a / n <= ratio * (b + 0.5) / m or (a / n - b / m) <= least_z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5:
             continue
-        if not any(stem[:k] in marked for k in range(GRAM, len(stem))):
-            marked[stem] = a
-    return marked
+        short = next((stem[:k] for k in range(STEM, len(stem)) if stem[:k] in marked), None)
+        if short is None:
+            marked[stem] = stem
+        elif a >= 0.9 * here[short]:
+            marked[short] = stem
+    return Counter({long: here[long] for long in marked.values()})
 
 
 def _dictionary(found: Counter, size: int = DICTIONARY) -> bytes:
     """A dictionary of passages, the most frequent last (nearest); trained by zstandard where they exceed ``size``."""
     import zstandard
 
-    whole = b"\n".join(p.encode() for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
+    whole = b"".join(_CODES[p] for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
     if len(whole) <= size:
         return whole
     try:
-        return zstandard.train_dictionary(size, [p.encode() for p, n in found.items() for _ in range(min(n, 50))]).as_bytes()
+        return zstandard.train_dictionary(size, [_CODES[p] for p, n in found.items() for _ in range(min(n, 50))]).as_bytes()
     except zstandard.ZstdError:
         return whole[-size:]
 
@@ -112,9 +126,9 @@ class ToxicityModel:
         import zstandard
 
         def make(content: bytes):
-            kept = zstandard.ZstdCompressionDict(HEAD + b"\n" + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            # a greedy search for matches of a gram at least; frames without sizes or sums
-            params = zstandard.ZstdCompressionParameters(window_log=14, chain_log=12, hash_log=13, search_log=4, min_match=GRAM, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            kept = zstandard.ZstdCompressionDict(content + b"\0" + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # a greedy search for matches of a stem at least; frames without sizes or sums
+            params = zstandard.ZstdCompressionParameters(window_log=14, chain_log=12, hash_log=13, search_log=4, min_match=STEM + 1, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
             return zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress
 
         return make(self.toxic), make(self.ordinary)
@@ -136,13 +150,12 @@ class ToxicityModel:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a logistic regression by Newton's steps, both classes weighing the same."""
+    """Weights of a logistic regression by Newton's steps."""
     w = np.zeros(x.shape[1])
-    even = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     for _ in range(25):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        hessian = (x * (even * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(hessian, x.T @ (even * (y - p)) - ridge * w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -171,8 +184,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         x = np.array([(1.0, *m.features(s)) for s in saved])
         m.weights = _logistic(x, y).tolist()
         p = (1 / (1 + np.exp(-(x @ np.array(m.weights)).clip(-30, 30)))).clip(1e-9, 1 - 1e-9)
-        even = np.where(y == 1, 1 / y.sum(), 1 / (1 - y).sum())
-        fitness = float((even * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+        fitness = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
         if fitness > best[0]:
             best = (fitness, m)
     return best[1]

@@ -140,12 +140,13 @@ class LanguageModel:
 
 def training_samples(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fold: int = 3, held_out: int = 1) -> dict[str, str]:
     """A bounded sample of whole documents per language, by hash of the id, outside the held-out fold."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where(f"lang is not null and text is not null and length(text) > 0")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang is not null and text is not null and length(text) > 0")
     rows = rows.where(crc32_text("id") % fold != held_out)
     order = Window.partitionBy("lang").orderBy("long", "hash", "id")
     ids = rows.select("lang", "id", (F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash"))
     ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-    got = rows.join(F.broadcast(ids.select("lang", "id", "place")), (rows["id"].eqNullSafe(ids["id"])) & (rows["lang"] == ids["lang"])).select(rows["lang"], "place", "text")
+    chosen = F.broadcast(ids.select(F.col("lang").alias("in_lang"), F.col("id").alias("chosen"), "place"))
+    got = rows.join(chosen, F.col("id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("in_lang"))).select("lang", "place", "text")
     samples: dict[str, str] = {}
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         if len(samples.get(r["lang"], "")) < SAMPLE_CHARS:

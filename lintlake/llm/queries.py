@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bpe, html_text, language, media, near_vectors, packing, secrets, token_files, toxicity
+from lintlake.llm import bpe, html_text, jaccard, language, media, near_vectors, packing, secrets, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("redacted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_near_vectors": op10_near_vectors,
 }
 

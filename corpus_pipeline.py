@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintlake.llm import stages
 from lintlake.llm.shared import written
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("language", stages.keep_languages),
+    ("near_duplicates", stages.one_of_each_group),
+    ("secrets", stages.redact_secrets),
+    ("packing", stages.pack),
+]
 
-#: SQL can't express the stages' models and tokenizers; tests compare them with plain versions.
+#: SQL can't express the stages' models and tokenizers; tests compare each with a plain version.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,393 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lintlake.operators import code, code_rules, findings as ops, scoring, text_rules
+from lintlake.plans import proxy
+from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
+from lintlake.sources import corpus
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+KEY = 'rule_id, file_path, line, end_line, "column", symbol, message, metadata_json'
+RANK = "CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END"
+BASE = "CASE severity WHEN 'error' THEN 12.0 WHEN 'warning' THEN 4.0 ELSE 1.0 END::DOUBLE * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END::DOUBLE"
+GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
+BY_SEVERITY = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in ("advisory", "warning", "error"))
+PENALTIES_SQL = f"""{FINDINGS_SQL}, priced AS (SELECT *, {BASE} AS base, rule_id IN ('size.function-length', 'complexity.cyclomatic', 'complexity.cognitive', 'complexity.nesting-depth', 'size.parameter-count') AND line IS NOT NULL AND symbol IS NOT NULL AS stacked FROM findings),
+  stacks AS (SELECT project, file_path, symbol, max(base) AS most, count(*) AS n FROM priced WHERE stacked GROUP BY ALL HAVING count(*) >= 2),
+  penalties AS (SELECT p.*, CASE WHEN p.stacked AND s.n IS NOT NULL THEN s.most / s.n ELSE p.base END AS penalty FROM priced p LEFT JOIN stacks s ON p.project = s.project AND p.file_path = s.file_path AND p.symbol = s.symbol)"""
+PILLARS_SQL = f"""{PENALTIES_SQL}, fixed AS (SELECT unnest(['size', 'complexity', 'maintainability', 'dead-code', 'naming', 'documentation', 'security', 'sensitive-data', 'test-quality', 'design']) AS pillar),
+  sums AS (SELECT project, pillar, sum(penalty) AS penalty, count(*) AS findings, {BY_SEVERITY} FROM penalties GROUP BY 1, 2),
+  wanted AS (SELECT DISTINCT project, f.pillar FROM penalties, fixed f UNION SELECT project, pillar FROM sums),
+  pillars AS (SELECT w.project, w.pillar, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round(100.0::DOUBLE - 4 * coalesce(penalty, 0), 2))) AS score, coalesce(findings, 0) AS findings, coalesce(advisory, 0) AS advisory, coalesce(warning, 0) AS warning, coalesce(error, 0) AS error
+    FROM wanted w LEFT JOIN sums s ON w.project = s.project AND w.pillar = s.pillar)"""
+FILES_SQL = f"""{PENALTIES_SQL}, files AS (SELECT project, file_path, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round(100.0::DOUBLE - 5 * sum(penalty), 2))) AS score, count(*) AS findings,
+    max(measured) FILTER (WHERE rule_id = 'complexity.cyclomatic') AS max_cyclomatic, max(measured) FILTER (WHERE rule_id IN ('size.function-length', 'size.file-length')) AS max_lines FROM penalties GROUP BY 1, 2)"""
+
+
+# --- findings ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT DISTINCT {KEY} FROM findings")
+def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.distinct_findings(proxy.findings(spark, sf_dir)).select(*ops.DISTINCT_KEY)
+
+
+_JSON = """'{"ruleId":"' || replace(rule_id, '/', '\\/') || '","file":"' || replace(file_path, '/', '\\/') || '",' """
+_NULLABLE = lambda k, c: f"""'"{k}":' || coalesce({c}, 'null')"""
+
+
+@query(
+    f"""WITH {FINDINGS_SQL} SELECT finding_id, substr(sha256({_JSON} || {_NULLABLE("line", "CAST(line AS VARCHAR)")} || ',' || {_NULLABLE("endLine", "CAST(end_line AS VARCHAR)")} || ',' || {_NULLABLE("column", 'CAST("column" AS VARCHAR)')} || ',' || {_NULLABLE("symbol", "'\"' || symbol || '\"'")} || '}}'), 1, 16) AS fingerprint,
+    substr(sha256({_JSON} || CASE WHEN symbol IS NOT NULL THEN '"symbol":"' || symbol ELSE '"message":"' || message END || '"}}'), 1, 16) AS stable_identity FROM findings"""
+)
+def finding_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.with_identities(proxy.findings(spark, sf_dir)).select("finding_id", "fingerprint", "stable_identity")
+
+
+@query(f"WITH {RULES_SQL} SELECT rule_id FROM rules WHERE enabled AND (rule_id IN ('pillar1', 'v02') OR pillar IN ('pillar1', 'v02') OR tier IN ('pillar1', 'v02')) AND NOT (rule_id = 'rule.3' OR pillar = 'pillar4')")
+def selected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.select_rules(proxy.rules(spark, sf_dir), ("pillar1", "v02"), ("rule.3", "pillar4")).select("rule_id")
+
+
+@query(f"""WITH {RULES_SQL}, measures AS (SELECT l_orderkey, l_linenumber, 'rule.' || CAST(l_partkey AS VARCHAR) AS rule_id, l_quantity AS value FROM lineitem)
+  SELECT l_orderkey, l_linenumber, m.rule_id, value, severity FROM measures m JOIN rules r ON m.rule_id = r.rule_id WHERE CASE WHEN below THEN value < threshold ELSE value > threshold END""")
+def over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("rule."), F.col("l_partkey").cast("string")).alias("rule_id"), F.col("l_quantity").alias("value"))
+    return ops.over_threshold(measures, proxy.rules(spark, sf_dir)).select("l_orderkey", "l_linenumber", "rule_id", "value", "severity")
+
+
+@query(f"WITH {FINDINGS_SQL}, {SUPPRESSIONS_SQL} SELECT finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM suppressions s WHERE s.file_path = f.file_path AND s.rule_id = f.rule_id AND (s.line IS NULL OR s.line = f.line))")
+def unsuppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.unsuppressed(proxy.findings(spark, sf_dir), proxy.suppressions(spark, sf_dir)).select("finding_id")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id FROM findings WHERE NOT (pillar = 'sensitive-data' AND metadata_json IN (SELECT '{{\"preview\":\"p' || CAST(n_nationkey AS VARCHAR) || '\"}}' FROM nation WHERE n_nationkey < 3))")
+def allowed_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    previews = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("preview"))
+    return ops.without_allowed(proxy.findings(spark, sf_dir), previews).select("finding_id")
+
+
+def _baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings with identities, and a baseline of those of odd orders plus an entry for each supplier that matches none."""
+    all_ = ops.with_identities(proxy.findings(spark, sf_dir))
+    stale = table(spark, sf_dir, "supplier").select(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("fingerprint"), F.lit("size.class-length").alias("rule_id"), F.lit("src/gone.py").alias("file_path"))
+    return all_, ops.as_baseline(all_.where(F.floor(F.col("finding_id") / 100_000_000) % 2 == 1)).select("fingerprint", "rule_id", "file_path").unionByName(stale)
+
+
+@query(f"WITH {FINDINGS_SQL}, b AS (SELECT DISTINCT rule_id, file_path, line, end_line, \"column\", symbol FROM findings WHERE finding_id // 100000000 % 2 = 1) SELECT finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rule_id = f.rule_id AND b.file_path = f.file_path AND b.line IS NOT DISTINCT FROM f.line AND b.end_line IS NOT DISTINCT FROM f.end_line AND b.\"column\" = f.\"column\" AND b.symbol IS NOT DISTINCT FROM f.symbol)")
+def baseline_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.apply_baseline(*_baseline(spark, sf_dir))[0].select("finding_id")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id FROM findings WHERE finding_id // 100000000 % 2 = 1")
+def baseline_known_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.apply_baseline(*_baseline(spark, sf_dir))[1].select("finding_id")
+
+
+@query("SELECT 'gone' || CAST(s_suppkey AS VARCHAR) AS fingerprint, 'size.class-length' AS rule_id, 'src/gone.py' AS file_path FROM supplier")
+def baseline_stale_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.apply_baseline(*_baseline(spark, sf_dir))[2].select("fingerprint", "rule_id", "file_path")
+
+
+@query(
+    f"""WITH {REGIONS_SQL}, o AS (SELECT *, max("end") OVER (PARTITION BY file_path ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM regions),
+  i AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o)
+  SELECT file_path, min("start") AS "start", max("end") AS "end" FROM i GROUP BY file_path, island"""
+)
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.merged_ranges(proxy.regions(spark, sf_dir), "file_path")
+
+
+@query(f"""WITH {FINDINGS_SQL}, {REGIONS_SQL} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM regions r WHERE r.file_path = f.file_path AND (f.line IS NULL OR
+  (r."start" <= CASE WHEN rule_id = 'docs.todo-density' THEN f.line ELSE coalesce(f.end_line, f.line) END AND f.line <= r."end")))""")
+def changed_line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.in_changed_lines(proxy.findings(spark, sf_dir), proxy.regions(spark, sf_dir), ("docs.todo-density",)).select("finding_id")
+
+
+ENCLOSING_SQL = f"""{FINDINGS_SQL}, {DECLARATIONS_SQL}, inside AS (SELECT finding_id, f.file_path, f.line, d.symbol AS declared, d."start" AS d_start, d."end" AS d_end,
+    row_number() OVER (PARTITION BY finding_id, f.line ORDER BY CASE WHEN d.symbol IS NOT DISTINCT FROM f.symbol THEN 0 ELSE 1 END, d."end" - d."start", d."start", d.symbol) AS place
+    FROM findings f JOIN declarations d ON d.file_path = f.file_path AND f.line BETWEEN d."start" AND d."end")"""
+
+
+@query(f"WITH {ENCLOSING_SQL} SELECT finding_id, file_path, line, declared, d_start, d_end FROM inside WHERE place = 1")
+def enclosing_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.enclosing_declaration(proxy.findings(spark, sf_dir), proxy.declarations(spark, sf_dir))
+
+
+@query(f"""WITH {ENCLOSING_SQL}, {REGIONS_SQL} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM regions r WHERE r.file_path = f.file_path AND (f.line IS NULL OR (r."start" <= coalesce(f.end_line, f.line) AND f.line <= r."end")))
+  OR EXISTS (SELECT 1 FROM inside i JOIN regions r ON r.file_path = i.file_path WHERE i.finding_id = f.finding_id AND i.place = 1 AND r."start" <= i.d_end AND i.d_start <= r."end")""")
+def changed_symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.in_changed_symbols(proxy.findings(spark, sf_dir), proxy.declarations(spark, sf_dir), proxy.regions(spark, sf_dir)).select("finding_id")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT finding_id FROM findings WHERE {RANK} >= 2 AND NOT pillar = 'naming'")
+def displayed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.displayed(proxy.findings(spark, sf_dir), "warning", exclude=("naming",)).select("finding_id")
+
+
+_IDENTITY = "rule_id || '|' || file_path || '|' || CASE WHEN symbol IS NOT NULL THEN symbol WHEN line IS NULL THEN 'file' ELSE message END"
+
+
+@query(f"""WITH {FINDINGS_SQL}, i AS (SELECT *, {_IDENTITY} AS identity FROM findings) SELECT finding_id, identity, CASE WHEN line IS NULL THEN 'file' WHEN symbol IS NOT NULL THEN 'symbol' ELSE 'line' END AS scope FROM i
+  WHERE finding_id % 2 = 0 AND identity NOT IN (SELECT identity FROM i WHERE finding_id % 2 = 1)""")
+def hook_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even findings are the head snapshot, odd ones the base."""
+    both = proxy.findings(spark, sf_dir)
+    return ops.new_only(both.where("finding_id % 2 = 0"), both.where("finding_id % 2 = 1")).select("finding_id", "identity", "scope")
+
+
+@query(f"WITH {SUPPRESSIONS_SQL} SELECT file_path, rule_id FROM suppressions WHERE rule_id IN ('naming.abbreviation', 'waste.unused-import')")
+def unknown_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([(r,) for r, _ in proxy.RULES if r not in ("naming.abbreviation", "waste.unused-import")], "rule_id string")
+    return ops.unknown_suppressions(proxy.suppressions(spark, sf_dir), known).select("file_path", "rule_id")
+
+
+# --- scores -----------------------------------------------------------------------------------
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.penalties(proxy.findings(spark, sf_dir), "project")
+
+
+@query(f"WITH {PENALTIES_SQL} SELECT finding_id, round(penalty, 6) AS penalty FROM penalties")
+def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _priced(spark, sf_dir).select("finding_id", F.round("penalty", 6).alias("penalty"))
+
+
+@query(f"WITH {PILLARS_SQL} SELECT *, {GRADE} AS grade FROM pillars")
+def pillar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pillar_scores(_priced(spark, sf_dir), "project")
+
+
+@query(f"WITH {PILLARS_SQL}, c AS (SELECT project, round(avg(score), 2) AS score FROM pillars GROUP BY 1) SELECT *, {GRADE} AS grade FROM c")
+def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.composite(scoring.pillar_scores(_priced(spark, sf_dir), "project"), "project")
+
+
+@query(f"WITH {FILES_SQL} SELECT *, {GRADE} AS grade FROM files")
+def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.file_scores(_priced(spark, sf_dir), "project")
+
+
+@query(f"WITH {FILES_SQL} SELECT *, {GRADE} AS grade FROM files ORDER BY score, findings DESC, file_path LIMIT 10")
+def file_scores_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.top_offenders(scoring.file_scores(_priced(spark, sf_dir), "project"))
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, b AS (SELECT unnest([0, 1, 2, 3, 4]) AS ord, unnest(['1-5', '6-10', '11-15', '16-20', '21+']) AS bucket), c AS (SELECT CASE WHEN measured <= 5 THEN '1-5' WHEN measured <= 10 THEN '6-10' WHEN measured <= 15 THEN '11-15' WHEN measured <= 20 THEN '16-20' ELSE '21+' END AS bucket, count(*) AS functions FROM findings WHERE rule_id = 'complexity.cyclomatic' GROUP BY 1)
+  SELECT ord, b.bucket, coalesce(functions, 0) AS functions FROM b LEFT JOIN c ON b.bucket = c.bucket"""
+)
+def complexity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.cc_histogram(proxy.findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT count(*) AS total, {BY_SEVERITY} FROM findings")
+def counts_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.counts_by_severity(proxy.findings(spark, sf_dir))
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY file_path, coalesce(line, 0), message, confidence) AS place FROM findings)
+  SELECT rule_id, count(*) AS findings, list_extract(['advisory', 'warning', 'error'], max({RANK})) AS worst, max(confidence) FILTER (WHERE place = 1) AS confidence FROM r GROUP BY 1"""
+)
+def counts_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.counts_by_rule(proxy.findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL}, r AS (SELECT rule_id, count(*) AS findings, min((file_path, coalesce(line, 0))) AS place FROM findings GROUP BY 1) SELECT rule_id, findings FROM r ORDER BY findings DESC, place, rule_id LIMIT 5")
+def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.top_rules(proxy.findings(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT pillar, count(*) AS findings, {BY_SEVERITY} FROM findings GROUP BY 1")
+def pillar_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pillar_summary(proxy.findings(spark, sf_dir))
+
+
+_MEASURES = "measures AS (SELECT 'quantity' AS metric, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.py' AS file_path, l_linenumber AS line, CAST(l_partkey AS VARCHAR) AS symbol, l_quantity AS value FROM lineitem UNION ALL SELECT 'discount', 'src/f' || CAST(l_orderkey AS VARCHAR) || '.py', l_linenumber, CAST(l_partkey AS VARCHAR), l_discount FROM lineitem), limits AS (SELECT * FROM (VALUES ('quantity', 40.0::DOUBLE, false), ('discount', 0.02::DOUBLE, true)) t(metric, threshold, below))"
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    values = F.array(F.struct(F.lit("quantity").alias("metric"), F.col("l_quantity").alias("value")), F.struct(F.lit("discount").alias("metric"), F.col("l_discount").alias("value")))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("src/f"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("file_path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("symbol"), F.explode(values).alias("m"))
+    limits = spark.createDataFrame([("quantity", 40.0, False), ("discount", 0.02, True)], "metric string, threshold double, below boolean")
+    return rows.select("m.metric", "file_path", "line", "symbol", "m.value"), limits
+
+
+@query(f"WITH {_MEASURES} SELECT m.metric, count(*) AS n, min(value) AS least, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS most, count(*) FILTER (WHERE CASE WHEN below THEN value < threshold ELSE value > threshold END) AS crossings FROM measures m JOIN limits l ON m.metric = l.metric GROUP BY 1")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.metric_summary(*_measures(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURES}, r AS (SELECT m.*, row_number() OVER (PARTITION BY m.metric ORDER BY CASE WHEN below THEN value ELSE -value END, file_path, line, symbol) AS place FROM measures m JOIN limits l ON m.metric = l.metric) SELECT metric, place::INTEGER AS place, file_path, line, symbol, value FROM r WHERE place <= 10")
+def metric_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.metric_top(*_measures(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS_SQL}, {SUPPRESSIONS_SQL} SELECT CASE WHEN (SELECT count(*) FROM suppressions WHERE rule_id = 'none') > 0 THEN 2 WHEN (SELECT max({RANK}) FROM findings) >= 3 THEN 1 ELSE 0 END AS exit_code")
+def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.exit_code(proxy.findings(spark, sf_dir), proxy.suppressions(spark, sf_dir).where("rule_id = 'none'"))
+
+
+# --- text rules -------------------------------------------------------------------------------
+
+PATHS_SQL = "units AS (SELECT source AS project, 'tests/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS source FROM documents)"
+LINES_SQL = f"{PATHS_SQL}, pieces AS (SELECT project, path, string_split(source, chr(10)) AS parts FROM units), lines AS (SELECT project, path, unnest(range(1, len(parts) + 1))::INTEGER AS line, unnest(parts) AS text FROM pieces)"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.from_documents(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {PATHS_SQL} SELECT project, path, CASE WHEN length(source) = 0 THEN 0 ELSE length(source) - length(replace(source, chr(10), '')) + 1 END::INTEGER AS value FROM units")
+def file_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.file_lengths(_units(spark, sf_dir)).withColumn("value", F.col("value").cast("int"))
+
+
+@query(f"WITH {PATHS_SQL}, m AS (SELECT *, len(regexp_extract_all(source, '\\b(?:THE|UND|DE|TODO)\\b'))::INTEGER AS markers, CASE WHEN length(source) = 0 THEN 0 ELSE length(source) - length(replace(source, chr(10), '')) + 1 END AS n FROM units) SELECT project, path, markers, round(markers * 1000.0::DOUBLE / greatest(1, n), 6) AS value FROM m")
+def marker_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities of markers; the documents have no TODO, so shouted articles count as well."""
+    units = _units(spark, sf_dir)
+    marked = units.withColumn("source", F.regexp_replace("source", r"\b(?:THE|UND|DE)\b", "TODO"))
+    return text_rules.todo_densities(marked).select("project", "path", "markers", F.round("value", 6).alias("value"))
+
+
+_PREVIEW = "CASE WHEN length(raw) >= 8 THEN substr(raw, 1, 4) || '...' || right(raw, 4) ELSE '...' END || ' (redacted, ' || CAST(length(raw) AS VARCHAR) || ' chars)'"
+
+
+def _text_rule(pattern: str, rule: str, severity: str, confidence: str, where: str = "true", detail: str = "NULL::VARCHAR") -> str:
+    return f"WITH {LINES_SQL}, m AS (SELECT project, path, line, unnest(regexp_extract_all(text, '{pattern}')) AS raw FROM lines) SELECT project, '{rule}' AS rule_id, path AS file_path, line, '{severity}' AS severity, 'sensitive-data' AS pillar, '{confidence}' AS confidence, {_PREVIEW} AS preview, {detail} AS detail FROM m WHERE {where}"
+
+
+@query(_text_rule(text_rules.AWS_KEY, "sensitive-data.aws-access-key", "error", "high", "raw NOT LIKE '%EXAMPLE'"))
+def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.aws_keys(_units(spark, sf_dir))
+
+
+@query(_text_rule(text_rules.EMAIL, "sensitive-data.pii-test-fixture", "warning", "medium", f"lower(split_part(raw, '@', 2)) NOT IN {text_rules.EMAIL_DOMAINS} AND list_extract(string_split(lower(split_part(raw, '@', 2)), '.'), -1) NOT IN {text_rules.EMAIL_TLDS}", "lower(split_part(raw, '@', 2))"))
+def email_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.emails(_units(spark, sf_dir))
+
+
+@query(_text_rule(text_rules.JWT, "sensitive-data.jwt-token", "warning", "high"))
+def jwt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.jwt_tokens(_units(spark, sf_dir))
+
+
+@query(_text_rule(text_rules.PRIVATE_KEY, "sensitive-data.private-key", "error", "high"))
+def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.private_keys(_units(spark, sf_dir))
+
+
+@query(_text_rule(text_rules.DATABASE_URL, "sensitive-data.database-url-password", "error", "high", f"lower(regexp_extract(raw, '{text_rules.DATABASE_URL}', 1)) NOT IN {text_rules.PASSWORD_PLACEHOLDERS}"))
+def database_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.database_passwords(_units(spark, sf_dir))
+
+
+@query()
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.api_keys(_units(spark, sf_dir))
+
+
+@query()
+def health_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.health_numbers(_units(spark, sf_dir))
+
+
+@query()
+def high_entropy_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three bits a character or more: the table has none of the default 4.5."""
+    return text_rules.entropies(_units(spark, sf_dir), 3.0)
+
+
+# --- parsed code ------------------------------------------------------------------------------
+
+PART = "'p' || CAST(p_partkey % 5 AS VARCHAR) AS project, 'pkg/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CAST(p_partkey AS VARCHAR) AS k"
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.nodes(corpus.planted(table(spark, sf_dir, "part")))
+
+
+@query(f"WITH p AS (SELECT {PART}, p_size::INTEGER AS size FROM part) SELECT project, path, 'work_' || k AS symbol, size AS parameters, size + 1 AS cyclomatic, 1 AS nesting FROM p")
+def function_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the planted functions that take a part's size of parameters."""
+    rows = code.functions(_tree(spark, sf_dir)).where("name like 'work\\\\_%'")
+    return rows.select("project", "path", "symbol", F.col("parameters").cast("int").alias("parameters"), "cyclomatic", "nesting")
+
+
+def _planted(select: str, rule: str, severity: str, pillar: str, confidence: str, where: str) -> str:
+    return f"WITH p AS (SELECT {PART}, p_partkey, p_size::INTEGER AS size FROM part) SELECT project, '{rule}' AS rule_id, path AS file_path, {select} AS symbol, '{severity}' AS severity, '{pillar}' AS pillar, '{confidence}' AS confidence FROM p WHERE {where}"
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("project", "rule_id", "file_path", "symbol", "severity", "pillar", "confidence", *more)
+
+
+@query(
+    f"""WITH p AS (SELECT {PART}, p_partkey, p_size::INTEGER AS size FROM part), m AS (SELECT project, path, 'work_' || k AS symbol, 'size.parameter-count' AS rule_id, size AS measured, 10 AS threshold FROM p UNION ALL SELECT project, path, 'work_' || k, 'complexity.cyclomatic', size + 1, 20 FROM p
+    UNION ALL SELECT project, path, '_deep_' || k, 'complexity.nesting-depth', (size % 9 + 1)::INTEGER, 6 FROM p UNION ALL SELECT project, path, 'work_' || k, 'size.function-length', (3 + 2 * size + (p_partkey % 5 = 0)::INTEGER + (p_partkey % 8 = 0)::INTEGER + (p_partkey % 10 = 0)::INTEGER + (p_partkey % 11 = 0)::INTEGER + (p_partkey % 12 = 0)::INTEGER)::INTEGER, 100 FROM p)
+  SELECT project, rule_id, path AS file_path, symbol, 'error' AS severity, split_part(rule_id, '.', 1) AS pillar, 'high' AS confidence, measured FROM m WHERE measured > threshold"""
+)
+def measured_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.measured_rules(code.functions(_tree(spark, sf_dir))), "measured")
+
+
+@query(_planted("'Item' || k", "size.public-method-count", "error", "size", "high", "size % 14 + 1 > 10"))
+def public_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _tree(spark, sf_dir)
+    return _shown(code_rules.public_methods(code.functions(tree), code_rules.classes(tree)))
+
+
+@query(_planted("'<module>'", "docs.missing-module-docstring", "advisory", "documentation", "medium", "p_partkey % 4 <> 0").replace("SELECT project, 'docs", "SELECT * FROM (SELECT project, 'docs", 1) + f") UNION ALL ({_planted("'Item' || k", "docs.missing-class-docstring", "warning", "documentation", "high", "p_partkey % 3 <> 0")}) UNION ALL ({_planted("'work_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "p_partkey % 5 <> 0")}) UNION ALL ({_planted("'caller_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "true")}) UNION ALL (WITH q AS (SELECT {PART}, unnest(range(0, p_size % 14 + 1)) AS i FROM part) SELECT project, 'docs.missing-function-docstring' AS rule_id, path AS file_path, 'Item' || k || '.method_' || CAST(i AS VARCHAR) AS symbol, 'warning' AS severity, 'documentation' AS pillar, 'high' AS confidence FROM q)")
+def missing_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.missing_docstrings(_tree(spark, sf_dir)))
+
+
+@query(_planted("'work_' || k", "naming.short-variable", "advisory", "naming", "low", "p_partkey % 8 = 0"))
+def short_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.short_variables(_tree(spark, sf_dir)))
+
+
+@query(_planted("'work_' || k", "naming.abbreviation", "advisory", "naming", "medium", "p_partkey % 10 = 0"))
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.abbreviations(_tree(spark, sf_dir)))
+
+
+@query(_planted("'<module>'", "waste.unused-import", "warning", "dead-code", "high", "true") + f" UNION ALL ({_planted("'<module>'", "waste.unused-import", "warning", "dead-code", "high", "p_partkey % 6 = 0")})")
+def unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.unused_imports(_tree(spark, sf_dir)))
+
+
+@query(_planted("'work_' || k", "waste.unreachable-code", "warning", "dead-code", "high", "p_partkey % 12 = 0"))
+def unreachable_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.unreachable(_tree(spark, sf_dir)))
+
+
+@query(_planted("'work_' || k", "security.dangerous-function-call", "error", "security", "high", "p_partkey % 11 = 0"))
+def dangerous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(code_rules.dangerous_calls(_tree(spark, sf_dir)))
+
+
+@query(_planted("'Item' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true") + f" UNION ALL ({_planted("'caller_' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true")}) UNION ALL ({_planted("'work_' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true")})")
+def unreferenced_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers name the next part's function, which stands in another project; within a project nothing names it."""
+    return _shown(code_rules.unreferenced(_tree(spark, sf_dir)))

@@ -49,7 +49,7 @@ def lines(units: DataFrame) -> DataFrame:
 
 def matches(units: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     """``project, path, line, raw`` of each match inside a line; units without a match are skipped before they are cut."""
-    found = lines(units.where(F.col("source").rlike(pattern))).where(F.col("text").rlike(pattern))
+    found = lines(units.where(F.col("source").rlike(f"(?m){pattern}"))).where(F.col("text").rlike(pattern))
     return found.select("project", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("raw"))
 
 

@@ -157,9 +157,9 @@ def hook_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.new_only(both.where("finding_id % 2 = 0"), both.where("finding_id % 2 = 1")).select("finding_id", "identity", "scope")
 
 
-@query(f"WITH {SUPPRESSIONS_SQL} SELECT file_path, rule_id FROM suppressions WHERE rule_id IN ('naming.abbreviation', 'waste.unused-import')")
+@query(f"WITH {SUPPRESSIONS_SQL} SELECT file_path, rule_id FROM suppressions WHERE rule_id IN ('docs.todo-density', 'complexity.cognitive')")
 def unknown_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(r,) for r, _ in proxy.RULES if r not in ("naming.abbreviation", "waste.unused-import")], "rule_id string")
+    known = spark.createDataFrame([(r,) for r, _ in proxy.RULES if r not in ("docs.todo-density", "complexity.cognitive")], "rule_id string")
     return ops.unknown_suppressions(proxy.suppressions(spark, sf_dir), known).select("file_path", "rule_id")
 
 
@@ -281,39 +281,51 @@ def _text_rule(pattern: str, rule: str, severity: str, confidence: str, where: s
     return f"WITH {LINES_SQL}, m AS (SELECT project, path, line, unnest(regexp_extract_all(text, '{pattern}')) AS raw FROM lines) SELECT project, '{rule}' AS rule_id, path AS file_path, line, '{severity}' AS severity, 'sensitive-data' AS pillar, '{confidence}' AS confidence, {_PREVIEW} AS preview, {detail} AS detail FROM m WHERE {where}"
 
 
-@query(_text_rule(text_rules.AWS_KEY, "sensitive-data.aws-access-key", "error", "high", "raw NOT LIKE '%EXAMPLE'"))
-def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.aws_keys(_units(spark, sf_dir))
-
-
 @query(_text_rule(text_rules.EMAIL, "sensitive-data.pii-test-fixture", "warning", "medium", f"lower(split_part(raw, '@', 2)) NOT IN {text_rules.EMAIL_DOMAINS} AND list_extract(string_split(lower(split_part(raw, '@', 2)), '.'), -1) NOT IN {text_rules.EMAIL_TLDS}", "lower(split_part(raw, '@', 2))"))
 def email_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rules.emails(_units(spark, sf_dir))
 
 
-@query(_text_rule(text_rules.JWT, "sensitive-data.jwt-token", "warning", "high"))
-def jwt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.jwt_tokens(_units(spark, sf_dir))
+PART = "'p' || CAST(p_partkey % 5 AS VARCHAR) AS project, 'pkg/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CAST(p_partkey AS VARCHAR) AS k"
 
 
-@query(_text_rule(text_rules.PRIVATE_KEY, "sensitive-data.private-key", "error", "high"))
-def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.private_keys(_units(spark, sf_dir))
+def _planted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # few part files hold many modules: spread them over the cores before they are made
+    return corpus.planted(table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey"))
 
 
-@query(_text_rule(text_rules.DATABASE_URL, "sensitive-data.database-url-password", "error", "high", f"lower(regexp_extract(raw, '{text_rules.DATABASE_URL}', 1)) NOT IN {text_rules.PASSWORD_PLACEHOLDERS}"))
+def _secret(raw: str, rule: str, severity: str, confidence: str, every: int, detail: str = "NULL::VARCHAR") -> str:
+    return f"WITH p AS (SELECT {PART}, p_partkey FROM part), m AS (SELECT *, {raw} AS raw FROM p WHERE p_partkey % {every} = 0) SELECT project, '{rule}' AS rule_id, path AS file_path, '{severity}' AS severity, 'sensitive-data' AS pillar, '{confidence}' AS confidence, {_PREVIEW} AS preview, {detail} AS detail FROM m"
+
+
+@query(_secret("'AKIA' || lpad(k, 16, '0')", "sensitive-data.aws-access-key", "error", "high", 7))
+def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.aws_keys(_planted_units(spark, sf_dir)).drop("line")
+
+
+@query(_secret("'postgres://app:pw' || k || '@db.example.org'", "sensitive-data.database-url-password", "error", "high", 13))
 def database_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.database_passwords(_units(spark, sf_dir))
+    return text_rules.database_passwords(_planted_units(spark, sf_dir)).drop("line")
 
 
-@query()
-def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.api_keys(_units(spark, sf_dir))
+@query(_secret("'eyJ' || lpad(k, 10, 'a') || '.' || lpad(k, 12, 'b') || '.' || lpad(k, 12, 'c')", "sensitive-data.jwt-token", "warning", "high", 14))
+def jwt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.jwt_tokens(_planted_units(spark, sf_dir)).drop("line")
 
 
-@query()
+@query(_secret("'-----BEGIN RSA PRIVATE KEY-----'", "sensitive-data.private-key", "error", "high", 16))
+def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.private_keys(_planted_units(spark, sf_dir)).drop("line")
+
+
+@query(_secret("'321-54-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0')", "sensitive-data.phi-pattern", "error", "medium", 17))
 def health_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.health_numbers(_units(spark, sf_dir))
+    return text_rules.health_numbers(_planted_units(spark, sf_dir)).drop("line")
+
+
+@query(_secret("'ghp_' || lpad(k, 36, 'd')", "sensitive-data.api-key-pattern", "warning", "high", 18, "'github'"))
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_rules.api_keys(_planted_units(spark, sf_dir)).drop("line")
 
 
 @query()
@@ -324,11 +336,8 @@ def high_entropy_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- parsed code ------------------------------------------------------------------------------
 
-PART = "'p' || CAST(p_partkey % 5 AS VARCHAR) AS project, 'pkg/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CAST(p_partkey AS VARCHAR) AS k"
-
-
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.nodes(corpus.planted(table(spark, sf_dir, "part")))
+    return code.nodes(_planted_units(spark, sf_dir))
 
 
 @query(f"WITH p AS (SELECT {PART}, p_size::INTEGER AS size FROM part) SELECT project, path, 'work_' || k AS symbol, size AS parameters, size + 1 AS cyclomatic, 1 AS nesting FROM p")

@@ -46,9 +46,12 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$" if any(c in pattern for c in "*?") else f"^{out}(/.*)?$"
 
 
-def read_tree(spark: SparkSession, root: str, project: str, patterns: tuple[str, ...] = (), include_ignored: bool = False) -> DataFrame:
-    """The units of a folder that Spark can read, line ends as line feeds; paths are relative to it."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("full"))
+def read_tree(spark: SparkSession, root: str, project: str, patterns: tuple[str, ...] = (), include_ignored: bool = False, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """The units of a folder, line ends as line feeds; paths are relative to it.
+
+    Spark lists no folders whose name begins with a dot: ``hidden`` names those to read.
+    """
+    files = spark.read.text([root, *(f"{root}/{h}" for h in hidden)], wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("full"))
     path = F.regexp_replace(F.col("full"), rf"^.*?{root.rstrip('/')}/", "")
     units = files.select(F.lit(project).alias("project"), path.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("source"))
     kept = units.where(ignored_by(F.col("path"), patterns, include_ignored).isNull()).withColumn("file_type", file_type(F.col("path")))
@@ -78,6 +81,11 @@ def planted(parts: DataFrame) -> DataFrame:
         F.lit("import os\nimport sys as system"),
         every(6, "import pickle"),
         every(7, F.concat(F.lit('ACCESS = "AKIA'), F.lpad(key, 16, "0"), F.lit('"'))),
+        every(13, F.concat(F.lit('URL = "postgres://app:pw'), key, F.lit('@db.example.org/x"'))),
+        every(14, F.concat(F.lit('TOKEN = "eyJ'), F.lpad(key, 10, "a"), F.lit("."), F.lpad(key, 12, "b"), F.lit("."), F.lpad(key, 12, "c"), F.lit('"'))),
+        every(16, "# -----BEGIN RSA PRIVATE KEY-----"),
+        every(17, F.concat(F.lit("# patient 321-54-"), F.lpad((k % 10_000).cast("string"), 4, "0"))),
+        every(18, F.concat(F.lit('HOOK = "ghp_'), F.lpad(key, 36, "d"), F.lit('"'))),
         every(9, F.lit("# TODO one\n# FIXME two")),
         F.lit("\n"),
         F.concat(F.lit("class Item"), key, F.lit(":")),

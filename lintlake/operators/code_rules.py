@@ -13,6 +13,7 @@ PLACEHOLDERS = ("temp", "foo", "bar", "baz", "qux", "thing", "stuff")
 NUMBERED = ("result", "data", "value", "item", "var", "x")
 SHORT_NAMES = ("i", "j", "k", "n", "m", "x", "y", "z", "e", "_", "f")
 GENERIC_FUNCTIONS = ("process", "handle", "do", "run", "execute", "perform", "apply", "manage", "operate")
+CONFUSING_CLASSES = ("Handler", "Processor", "Manager", "Util", "Utils", "Helper", "Helpers", "Data", "Info", "Service", "Stuff", "Thing", "Object", "Item")
 DANGEROUS_CALLS = ("eval", "exec", "compile")
 WORD = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 KEY = ("project", "path")
@@ -131,3 +132,123 @@ def first_per(rows: DataFrame, *key: str) -> DataFrame:
     """The first node of each key, in node order."""
     order = Window.partitionBy(*KEY, *key).orderBy("node_id")
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
+# --- rules on habits: self-joins of nodes with their children -------------------------------------
+
+#: Names that the rules look for.
+OLD_TLS = ("PROTOCOL_TLSv1", "PROTOCOL_TLSv1_1", "PROTOCOL_SSLv2", "PROTOCOL_SSLv3", "PROTOCOL_SSLv23")
+WIDE_EXCEPTIONS = ("Exception", "BaseException")
+
+
+def children(tree: DataFrame, where: str) -> DataFrame:
+    """Nodes as children: the parent's key, and kind, name, text under the prefix ``child_``."""
+    return tree.where(where).select(*KEY, F.col("parent_id").alias("node_id"), *[F.col(c).alias(f"child_{c}") for c in ("node_id", "kind", "name", "text", "ord")])
+
+
+def tests(tree: DataFrame) -> DataFrame:
+    """Test functions of test files."""
+    return tree.where("kind in ('FunctionDef', 'AsyncFunctionDef') and name like 'test%'").where(F.col("path").rlike(r"(^|/)test_[^/]*\.py$|_test\.py$"))
+
+
+def in_tests(tree: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that a test function owns."""
+    return rows.join(tests(tree).select(*KEY, F.col("node_id").alias("fn_id")), [*KEY, "fn_id"], "left_semi")
+
+
+def sleeps_in_tests(tree: DataFrame) -> DataFrame:
+    return finding(in_tests(tree, tree.where("kind = 'Call' and text like '%sleep'")), "test-quality.sleep-in-test", "warning", "test-quality")
+
+
+def global_state_in_tests(tree: DataFrame) -> DataFrame:
+    return finding(first_per(in_tests(tree, tree.where("kind = 'Global'")), "fn_id"), "test-quality.global-state-mutation", "warning", "test-quality", "medium")
+
+
+def trivial_assertions(tree: DataFrame) -> DataFrame:
+    """Assertions of a number or truth value, or of its negation; strings are left alone."""
+    constant = "kind = 'Constant' and name in ('bool', 'int', 'float', 'complex')"
+    asserts = in_tests(tree, tree.where("kind = 'Assert'"))
+    direct = asserts.join(children(tree, f"{constant} and field = 'test'"), [*KEY, "node_id"], "left_semi")
+    negated = tree.where("kind = 'UnaryOp' and field = 'test'").join(children(tree, f"{constant} and field = 'operand'"), [*KEY, "node_id"], "left_semi")
+    inverse = asserts.join(negated.select(*KEY, F.col("parent_id").alias("node_id")), [*KEY, "node_id"], "left_semi")
+    return finding(direct.unionByName(inverse), "test-quality.trivial-assertion", "warning", "test-quality")
+
+
+def no_assertions(tree: DataFrame) -> DataFrame:
+    """Tests that own no assertion and call nothing that asserts, by anti-join."""
+    held = tree.where("kind = 'Assert' or (kind = 'Call' and (text like '%assert%' or text rlike '(^|[.])(raises|warns|fail)$'))").where("fn_id is not null")
+    return finding(tests(tree).join(held.select(*KEY, F.col("fn_id").alias("node_id")), [*KEY, "node_id"], "left_anti"), "test-quality.no-assertions", "warning", "test-quality")
+
+
+def format_calls(tree: DataFrame) -> DataFrame:
+    """Literal texts that are formatted with arguments."""
+    literal = tree.where("kind = 'Attribute' and name = 'format' and field = 'func'").join(children(tree, "kind = 'Constant' and name = 'str' and field = 'value'"), [*KEY, "node_id"], "left_semi")
+    given = children(tree, "field in ('args', 'keywords')").select(*KEY, "node_id").distinct()
+    calls = tree.where("kind = 'Call'").join(literal.select(*KEY, F.col("parent_id").alias("node_id")), [*KEY, "node_id"], "left_semi").join(given, [*KEY, "node_id"], "left_semi")
+    return finding(calls, "modernisation.f-string-candidate", "advisory", "modernisation", "medium")
+
+
+def silent_excepts(tree: DataFrame) -> DataFrame:
+    """Handlers of everything whose only statement is ``pass`` or a constant."""
+    typed = children(tree, "field = 'type'").select(*KEY, "node_id")
+    handlers = tree.where("kind = 'ExceptHandler' and n = 1")
+    wide = handlers.where(F.col("text").isin(*WIDE_EXCEPTIONS)).unionByName(handlers.join(typed, [*KEY, "node_id"], "left_anti"))
+    constants = tree.where("kind = 'Expr' and field = 'body'").join(children(tree, "kind = 'Constant' and field = 'value'"), [*KEY, "node_id"], "left_semi")
+    quiet = tree.where("kind = 'Pass' and field = 'body'").unionByName(constants).select(*KEY, F.col("parent_id").alias("node_id"))
+    return finding(wide.join(quiet, [*KEY, "node_id"], "left_semi"), "security.silent-except", "advisory", "security")
+
+
+def shell_calls(tree: DataFrame) -> DataFrame:
+    """Subprocesses through a shell, and system calls with a first argument that is no literal."""
+    calls = tree.where("kind = 'Call'")
+    shell = calls.where("text like 'subprocess.%'").join(children(tree, "kind = 'keyword' and name = 'shell' and text = 'True'"), [*KEY, "node_id"], "left_semi")
+    dynamic = children(tree, "field = 'args' and ord = 0 and kind != 'Constant'")
+    system = calls.where("text in ('os.system', 'os.popen')").join(dynamic, [*KEY, "node_id"], "left_semi")
+    return finding(shell.unionByName(system), "security.shell-injection", "error", "security")
+
+
+def old_tls(tree: DataFrame) -> DataFrame:
+    return finding(tree.where((F.col("kind") == "Attribute") & F.col("text").startswith("ssl.") & F.col("name").isin(*OLD_TLS)), "security.insecure-tls-protocol", "error", "security")
+
+
+def unsafe_pickles(tree: DataFrame) -> DataFrame:
+    """Loads of serialised objects from anything but a literal."""
+    loads = tree.where("kind = 'Call'").where(F.col("text").rlike(r"^(c?[pP]ickle|dill|marshal|jsonpickle)\.(loads?|decode)$|^shelve\.open$|\.Unpickler\.load$"))
+    literal = children(tree, "field = 'args' and ord = 0 and kind = 'Constant'")
+    return finding(loads.join(literal, [*KEY, "node_id"], "left_anti"), "security.unsafe-pickle", "error", "security")
+
+
+def unused_parameters(tree: DataFrame) -> DataFrame:
+    """Parameters of functions with a body that names never read; ``self``, ``cls``, underscored and starred ones aside."""
+    params = tree.where("kind = 'arg' and field in ('args', 'posonlyargs', 'kwonlyargs') and name not in ('self', 'cls') and name not like '\\_%'")
+    names = tree.where("kind = 'Name'").select(*KEY, "fn_id", "name").distinct()
+    defs = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef')").select(*KEY, F.col("node_id").alias("fn_id"))
+    plain = defs.join(empty_bodies(tree).select(*KEY, F.col("node_id").alias("fn_id")), [*KEY, "fn_id"], "left_anti")
+    return finding(params.join(plain, [*KEY, "fn_id"], "left_semi").join(names, [*KEY, "fn_id", "name"], "left_anti"), "waste.unused-parameter", "advisory", "dead-code", "medium")
+
+
+def empty_bodies(tree: DataFrame) -> DataFrame:
+    """Functions whose body is nothing but ``pass`` and constants, by anti-join with any other statement."""
+    constants = tree.where("kind = 'Expr'").join(children(tree, "kind = 'Constant' and field = 'value'"), [*KEY, "node_id"], "left_semi").select(*KEY, "node_id")
+    statements = tree.where("field = 'body' and kind != 'Pass'").join(constants, [*KEY, "node_id"], "left_anti")
+    defs = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef')")
+    return defs.join(statements.select(*KEY, F.col("parent_id").alias("node_id")), [*KEY, "node_id"], "left_anti")
+
+
+def empty_functions(tree: DataFrame) -> DataFrame:
+    decorated = children(tree, "field = 'decorator_list'").select(*KEY, "node_id")
+    return finding(empty_bodies(tree).join(decorated, [*KEY, "node_id"], "left_anti"), "waste.empty-function", "warning", "dead-code")
+
+
+def confusing_classes(tree: DataFrame, names: tuple[str, ...] = CONFUSING_CLASSES) -> DataFrame:
+    return finding(tree.where((F.col("kind") == "ClassDef") & F.col("name").isin(*names)), "naming.confusing-name", "advisory", "naming", "medium")
+
+
+def attribute_counts(tree: DataFrame, threshold: int = 15) -> DataFrame:
+    """Classes with more attributes than the threshold: names of the class body and of ``self`` in ``__init__``, each once."""
+    body = tree.where("kind = 'Name' and text = 'Store' and fn_id is null and class_id is not null").select(*KEY, F.col("class_id").alias("node_id"), "name")
+    inits = tree.where("name = '__init__' and class_id = parent_id and kind = 'FunctionDef'").select(*KEY, F.col("node_id").alias("fn_id"), F.col("class_id").alias("of"))
+    stored = tree.where("kind = 'Attribute' and text rlike '^self[.][^.]+$' and field in ('targets', 'target')")
+    own = stored.join(inits, [*KEY, "fn_id"]).select(*KEY, F.col("of").alias("node_id"), "name")
+    counts = body.unionByName(own).distinct().groupBy(*KEY, "node_id").agg(F.count(F.lit(1)).alias("attributes")).where(F.col("attributes") > threshold)
+    return finding(tree.where("kind = 'ClassDef'").join(counts, [*KEY, "node_id"]), "size.attribute-count", "error", "size", measured=F.col("attributes"))

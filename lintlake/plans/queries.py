@@ -404,3 +404,34 @@ def dangerous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unreferenced_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers name the next part's function, which stands in another project; within a project nothing names it."""
     return _shown(code_rules.unreferenced(_tree(spark, sf_dir)))
+
+
+# --- habits of planted tests ------------------------------------------------------------------
+
+
+def _test_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.nodes(corpus.planted_tests(table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")))
+
+
+def _habit(symbol: str, rule: str, severity: str, pillar: str, confidence: str, where: str) -> str:
+    part = "'p' || CAST(c_custkey % 5 AS VARCHAR) AS project, 'tests/test_' || CAST(c_custkey AS VARCHAR) || '.py' AS file_path"
+    return f"SELECT {part}, '{rule}' AS rule_id, {symbol} AS symbol, '{severity}' AS severity, '{pillar}' AS pillar, '{confidence}' AS confidence FROM customer WHERE {where}"
+
+
+_CASE = "'test_case_' || CAST(c_custkey AS VARCHAR)"
+for _name, _rule, _sql in (
+    ("sleeps_in_tests", code_rules.sleeps_in_tests, _habit(_CASE, "test-quality.sleep-in-test", "warning", "test-quality", "high", "c_custkey % 2 = 0")),
+    ("trivial_assertions", code_rules.trivial_assertions, _habit(_CASE, "test-quality.trivial-assertion", "warning", "test-quality", "high", "c_custkey % 3 = 0") + " UNION ALL " + _habit(_CASE, "test-quality.trivial-assertion", "warning", "test-quality", "high", "c_custkey % 4 = 0")),
+    ("no_assertions", code_rules.no_assertions, _habit(_CASE, "test-quality.no-assertions", "warning", "test-quality", "high", "c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 13 <> 0")),
+    ("global_state_in_tests", code_rules.global_state_in_tests, _habit(_CASE, "test-quality.global-state-mutation", "warning", "test-quality", "medium", "c_custkey % 11 = 0")),
+    ("format_calls", code_rules.format_calls, _habit(_CASE, "modernisation.f-string-candidate", "advisory", "modernisation", "medium", "c_custkey % 6 = 0")),
+    ("silent_excepts", code_rules.silent_excepts, _habit(_CASE, "security.silent-except", "advisory", "security", "high", "c_custkey % 7 = 0")),
+    ("shell_calls", code_rules.shell_calls, _habit(_CASE, "security.shell-injection", "error", "security", "high", "c_custkey % 8 = 0") + " UNION ALL " + _habit(_CASE, "security.shell-injection", "error", "security", "high", "c_custkey % 9 = 0")),
+    ("old_tls", code_rules.old_tls, _habit(_CASE, "security.insecure-tls-protocol", "error", "security", "high", "c_custkey % 10 = 0")),
+    ("unsafe_pickles", code_rules.unsafe_pickles, _habit(_CASE, "security.unsafe-pickle", "error", "security", "high", "c_custkey % 12 = 0")),
+    ("unused_parameters", code_rules.unused_parameters, _habit("'helper_' || CAST(c_custkey AS VARCHAR)", "waste.unused-parameter", "advisory", "dead-code", "medium", "true")),
+    ("empty_functions", code_rules.empty_functions, _habit("'empty_' || CAST(c_custkey AS VARCHAR)", "waste.empty-function", "warning", "dead-code", "high", "true")),
+    ("confusing_classes", code_rules.confusing_classes, _habit("'Manager'", "naming.confusing-name", "advisory", "naming", "medium", "c_custkey % 5 = 0")),
+    ("attribute_counts", lambda tree: code_rules.attribute_counts(tree, 2), _habit("CASE WHEN c_custkey % 5 = 0 THEN 'Manager' ELSE 'Holder' || CAST(c_custkey AS VARCHAR) END", "size.attribute-count", "error", "size", "high", "true")),
+):
+    query(_sql, _name)(lambda spark, sf_dir, rule=_rule: _shown(rule(_test_tree(spark, sf_dir))))

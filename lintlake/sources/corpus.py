@@ -110,3 +110,32 @@ def planted(parts: DataFrame) -> DataFrame:
         F.lit(""),
     )
     return parts.select(F.concat(F.lit("p"), (k % 5).cast("string")).alias("project"), F.concat(F.lit("pkg/part_"), key, F.lit(".py")).alias("path"), F.lit("python").alias("file_type"), source.alias("source"))
+
+
+def planted_tests(customers: DataFrame) -> DataFrame:
+    """A Python test module for each customer: its key sets which habits it shows."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    every = lambda n, text: F.when(k % n == 0, F.lit(text))
+    source = _lines(
+        F.lit("import os\nimport pickle\nimport ssl\nimport subprocess\nimport time\n"),
+        F.concat(F.lit("def test_case_"), key, F.lit("(fixture):")),
+        F.lit("    total = fixture"),
+        every(2, "    time.sleep(1)"),
+        every(3, "    assert True"),
+        every(4, "    assert not 1"),
+        every(5, "    assert 'text'"),
+        every(6, '    total = "{}".format(total)'),
+        every(7, "    try:\n        total = 1\n    except Exception:\n        pass"),
+        every(8, "    subprocess.run(total, shell=True)"),
+        every(9, "    os.system(total)"),
+        every(10, "    total = ssl.PROTOCOL_TLSv1"),
+        every(11, "    global state\n    state = 1"),
+        every(12, "    total = pickle.loads(total)"),
+        every(13, "    assert total == 1"),
+        F.lit("    return total\n\n"),
+        F.concat(F.lit("def helper_"), key, F.lit("(used, spare, _kept):\n    return used\n\n")),
+        F.concat(F.lit("def empty_"), key, F.lit("():\n"), F.when(k % 2 == 0, '    """Nothing."""').otherwise("    pass"), F.lit("\n\n")),
+        F.concat(F.lit("class "), F.when(k % 5 == 0, F.lit("Manager")).otherwise(F.concat(F.lit("Holder"), key)), F.lit(":\n    value = 1\n\n    def __init__(self):\n        self.left = 1\n        self.right = 2\n        self.left = 3\n")),
+    )
+    return customers.select(F.concat(F.lit("p"), (k % 5).cast("string")).alias("project"), F.concat(F.lit("tests/test_"), key, F.lit(".py")).alias("path"), F.lit("python").alias("file_type"), source.alias("source"))

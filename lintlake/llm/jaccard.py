@@ -5,8 +5,8 @@ needs an overlap that follows from the two sizes, so two linked sets share one o
 the n-grams that come first in each set (its prefix) under any common order; rare
 n-grams first keeps the shared columns short. The order comes from a sketch of
 n-gram counts over all documents. Columns of the prefix matrix give candidates: the
-first document of a column against the others, compared exactly. What such stars
-leave open (columns of three or more that aren't in one component yet) is multiplied
+two documents of a short column, and for longer ones each document with the leading
+one that it shares most columns with, compared exactly. What these leave open (columns of three or more that aren't in one component yet) is multiplied
 in blocks of bounded size, overlap counts below the sizes' bound are discarded, and
 each block gives only edges that connect its components.
 """
@@ -30,7 +30,9 @@ from lintlake.llm.shared import written
 #: Cells of the count sketch and of its parts: a fixed size, whatever the input. Collisions only change the order.
 CELLS, PART = 1 << 22, 1 << 16
 #: Documents of a block; n-grams multiplied at once; copies' keys that a task remembers.
-BLOCK, COLUMNS, SEEN = 256, 8_192, 500_000
+BLOCK, COLUMNS, SEEN = 1_024, 2_048, 500_000
+#: Candidates that are broadcast to the scan of texts at most.
+BROADCAST_ROWS = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,16 +264,22 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     entries = docs.select("text").mapInArrow(_prefixes(order, n, percent), "gram long, key long, size int")
     columns = entries.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(_columns, "gram long, key long, size long, first long, first_size long")
     columns = written(columns, "columns")
-    pairs = columns.where(f"key != first and 100 * least(size, first_size) >= {percent} * greatest(size, first_size)").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    large = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 2").select("gram")
+    fits = columns.where(f"key != first and 100 * least(size, first_size) >= {percent} * greatest(size, first_size)")
+    sets_of = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("sets"))
+    large = sets_of.where("sets > 2").select("gram")
+    # a column of two is settled by its pair; of larger ones each set tries the first set that it shares most columns with
+    twos = fits.join(sets_of.where("sets = 2"), "gram", "left_semi").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    shared = fits.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("key").agg(F.max_by("first", F.struct("n", "first")).alias("a")).select("a", F.col("key").alias("b"))
+    pairs = written(twos.unionByName(best).distinct(), "pairs")
     open_ = columns.join(large, "gram", "left_semi")
     # the sets of candidates, from one document of each
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(open_.select("key")).distinct()
-    one = described.groupBy("key").agg(F.min("id").alias("one")).join(wanted, "key", "left_semi")
-    texts = docs.join(one, docs["id"].eqNullSafe(one["one"])).select("key", "text")
-    sets = written(texts.mapInArrow(_sets(n), "key long, shingles binary"), "sets").dropDuplicates(["key"])
-    sets = written(sets, "sets")
+    one = written(described.groupBy("key").agg(F.min("id").alias("one")).join(wanted, "key", "left_semi"), "wanted")
+    if one.count() <= BROADCAST_ROWS:  # a small table by count; else both sides are shuffled
+        one = F.broadcast(one)
+    texts = docs.join(one, F.col("id").eqNullSafe(F.col("one"))).select("key", "text")
+    sets = written(texts.mapInArrow(_sets(n), "key long, shingles binary"), "sets")
     ab = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
     stars = written(ab.mapInArrow(_overlap(percent), "a long, b long"), "stars")
     known = connected_components(stars).withColumnRenamed("id", "key").withColumnRenamed("component", "known")

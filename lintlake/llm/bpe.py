@@ -23,9 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces and words that a worker keeps at most; at the bound a cache starts anew.
-CACHE_PIECES = 150_000
-CACHE_WORDS = 600_000
+from lintlake.llm.shared import worker_state
+
+#: Pieces and words that a worker keeps at most; at the bound pieces not in use go, and words all go.
+CACHE_PIECES = 250_000
+CACHE_WORDS = 450_000
 
 #: The split patterns that the two vocabulary files state.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -58,6 +60,7 @@ class Splitter:
         self.lowers = bool(self.spec.get("normalizer"))
         self.pattern = regex.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.letters = byte_alphabet()
+        self.gap = self.letters[32]
         self.table = {i: "".join(map(self.letters.__getitem__, chr(i).encode())) for i in range(ord(LATIN) + 1)}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
@@ -79,7 +82,7 @@ class Splitter:
         # most pieces are a word, or a word and a sign
         core = piece[1:] if piece[:1] == " " else piece
         if core.isalpha():
-            return [piece.translate(self.table)]
+            return [self.gap + core if piece is not core and piece.isascii() else piece.translate(self.table)]
         if core[-1:] in SIGNS and core[:-1].isalpha():
             return [piece[:-1].translate(self.table), core[-1]]
         return [w.translate(self.table) for w in self.pattern.findall(piece)]
@@ -258,10 +261,10 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> Iterable[list[int]]:
         """The ids of each text."""
         rows = [self.pieces(t) for t in texts]
-        new = set(chain.from_iterable(rows)).difference(self.kept)
-        if len(self.kept) + len(new) > CACHE_PIECES:
-            self.kept = {}
-            new = set(chain.from_iterable(rows))
+        met = set(chain.from_iterable(rows))
+        new = met.difference(self.kept)
+        if len(self.kept) + len(new) > CACHE_PIECES:  # what these texts need stays
+            self.kept = {p: self.kept[p] for p in met.difference(new)}
         self._learn(list(new))
         for row in rows:
             yield list(chain.from_iterable(map(self.kept.__getitem__, row)))
@@ -274,14 +277,9 @@ class Encoder:
         return b"".join(t.encode() if t in v.special else bytes(map(v.byte_of.__getitem__, t)) for t in map(v.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_state(("bpe", path), lambda: Encoder(path))
 
 
 def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[list[str]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.bpe import slices
-from lintlake.llm.shared import crc32_text
+from lintlake.llm.shared import crc32_text, worker_state
 
 #: Sampled documents and characters per language at most; documents up to LONG characters are taken first.
 SAMPLE_DOCS, SAMPLE_CHARS, LONG = 96, 48_000, 4_000
@@ -154,15 +154,9 @@ def training_samples(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return samples
 
 
-_MODELS: dict[int, LanguageModel] = {}
-
-
 def _model(samples: dict[str, str]) -> LanguageModel:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = LanguageModel(samples)
-    return _MODELS[key]
+    """The worker's model of the samples."""
+    return worker_state(("languages", tuple(sorted(samples.items()))), lambda: LanguageModel(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from itertools import chain
 
 from lintlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, SEPARATORS, Splitter
+from lintlake.llm.shared import worker_state
 
 #: A space amid white space, or at the end after white space: runs that the split pattern may divide elsewhere.
 _RUNS = re.compile(r"\s (?:\s|\Z)")
@@ -66,10 +67,10 @@ class LibraryEncoder:
     def encode(self, texts: Iterable[str]) -> Iterable[bytes]:
         """The ids of each text."""
         rows = [self.pieces(t) for t in texts]
-        new = set(chain.from_iterable(rows)).difference(self.kept)
-        if len(self.kept) + len(new) > CACHE_PIECES:
-            self.kept = {}
-            new = set(chain.from_iterable(rows))
+        met = set(chain.from_iterable(rows))
+        new = met.difference(self.kept)
+        if len(self.kept) + len(new) > CACHE_PIECES:  # what these texts need stays
+            self.kept = {p: self.kept[p] for p in met.difference(new)}
         if len(self.kept_words) > CACHE_WORDS:
             self.kept_words = {}
         self.kept.update(zip(new, map(self._piece, new)))
@@ -78,11 +79,6 @@ class LibraryEncoder:
             yield b"".join(map(get, row))
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    return worker_state(("library", path), lambda: LibraryEncoder(path))

@@ -16,6 +16,8 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lintlake.llm.shared import worker_state
+
 #: Shapes with the length that a match (assign: its value) must have. Kinds in the order of reports.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the same as AKIA[A-Z0-9]+ of at least 20 characters
@@ -29,18 +31,17 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:1|256|384|512)-.*")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*|(?:[A-Z][a-z]+)+[0-9]*")
 
-_ENCODINGS: dict[str, object] = {}
+def _encoding(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoding(path: str, pattern: str):
     """The worker's tiktoken encoding of a rank file."""
-    if path not in _ENCODINGS:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+    return worker_state(("ranks", path, pattern), lambda: _encoding(path, pattern))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one operator's caches or model; another operator's replace it.
+
+    Workers serve one stage after another, so their memory is the largest of the
+    stages' needs and not the sum.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

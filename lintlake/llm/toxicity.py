@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import crc32_text
+from lintlake.llm.shared import crc32_text, worker_state
 
 #: Labelled documents and characters per class that the fit takes at most (those of the lowest hash).
 SAMPLE_DOCS = 6_000
@@ -32,7 +32,7 @@ DICTIONARY = 4_096
 #: Begins every window and ends both dictionaries, so that a frame always has one match to describe.
 HEAD = bytes(range(224, 256))
 #: Coded words that a worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,12 +47,14 @@ class _Codes(dict):
         return code
 
 
-_CODES = _Codes()
+def _codes() -> _Codes:
+    return worker_state(("codes",), _Codes)
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
     """Consecutive windows of ``size`` words over the whole text, one at least."""
-    codes = [_CODES[w] for w in _WORD.findall(text.lower())]
+    known = _codes()
+    codes = [known[w] for w in _WORD.findall(text.lower())]
     return [HEAD + b"".join(codes[i : i + size]) for i in range(0, len(codes), size)] or [HEAD]
 
 
@@ -104,11 +106,12 @@ def _dictionary(found: Counter, size: int = DICTIONARY) -> bytes:
     """A dictionary of passages, the most frequent last (nearest); trained by zstandard where they exceed ``size``."""
     import zstandard
 
-    whole = b"".join(_CODES[p] for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
+    codes = _codes()
+    whole = b"".join(codes[p] for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
     if len(whole) <= size:
         return whole
     try:
-        return zstandard.train_dictionary(size, [_CODES[p] for p, n in found.items() for _ in range(min(n, 50))]).as_bytes()
+        return zstandard.train_dictionary(size, [codes[p] for p, n in found.items() for _ in range(min(n, 50))]).as_bytes()
     except zstandard.ZstdError:
         return whole[-size:]
 

@@ -4,11 +4,13 @@ The incidence matrix of documents by n-grams is never multiplied whole. A link
 needs an overlap that follows from the two sizes, so two linked sets share one of
 the n-grams that come first in each set (its prefix) under any common order; rare
 n-grams first keeps the shared columns short. The order comes from a sketch of
-n-gram counts over all documents. Columns of the prefix matrix give candidates: the
-two documents of a short column, and for longer ones each document with the leading
-one that it shares most columns with, compared exactly. What these leave open (columns of three or more that aren't in one component yet) is multiplied
-in blocks of bounded size, overlap counts below the sizes' bound are discarded, and
-each block gives only edges that connect its components.
+n-gram counts over all documents.
+
+Short columns of the prefix matrix are multiplied as they are: overlap counts of
+pairs, discarded below the bound of their sizes. In longer columns each document is
+paired with the leading one. What remains is compared whole, best partners first;
+longer columns that aren't in one component then are multiplied in blocks of bounded
+size, and each block gives only edges that connect its components.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from lintlake.llm.shared import written
 CELLS, PART = 1 << 22, 1 << 16
 #: Documents of a block; n-grams multiplied at once; copies' keys that a task remembers.
 BLOCK, COLUMNS, SEEN = 1_024, 2_048, 500_000
+#: Sets in a column whose pairs are counted at most; longer columns are stars and blocks.
+SHORT = 24
 #: Candidates that are broadcast to the scan of texts at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -196,14 +200,14 @@ def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], names=["gram", "key", "size", "first", "first_size"])
 
 
-def _overlap(percent: int):
-    """Pairs of sets that link, compared whole."""
+def _overlap(n: int, percent: int):
+    """Pairs of texts whose sets link, compared whole."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = shingle_sets([x.as_py(), y.as_py()], n)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -232,10 +236,11 @@ def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return overlap >= least_overlap(sizes[:, None], sizes[None, :], percent)
 
 
-def _tile(percent: int):
+def _tile(n: int, percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["key"].to_numpy()
-        links = block_links([np.frombuffer(x, np.uint64) for x in rows["shingles"]], percent)
+        sets = [s for texts in slices(rows["text"].tolist(), 1_000_000) for s in shingle_sets(texts, n)]
+        links = block_links(sets, percent)
         a, b = np.nonzero(np.triu(links, 1))
         edges = _forest(ids[a], ids[b]) if len(a) else []
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
@@ -243,18 +248,13 @@ def _tile(percent: int):
     return run
 
 
-def _sets(n: int):
+def _own_texts(n: int):
+    """Texts whose set has the key that is wanted: ids may repeat with other texts."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(0).to_pylist()
-            keys, sets, at = [], [], 0
-            for texts in slices([t or "" for t in b.column(1).to_pylist()], 1_000_000):
-                for s in shingle_sets(texts, n):
-                    if _key(s) == wanted[at]:  # ids may repeat with other texts
-                        keys.append(wanted[at])
-                        sets.append(s.tobytes())
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            keys = [_key(s) for texts in slices([t or "" for t in b.column(1).to_pylist()], 1_000_000) for s in shingle_sets(texts, n)]
+            yield b.filter(pa.array([k == w for k, w in zip(keys, b.column(0).to_pylist())], pa.bool_()))
 
     return run
 
@@ -264,37 +264,59 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     entries = docs.select("text").mapInArrow(_prefixes(order, n, percent), "gram long, key long, size int")
     columns = entries.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(_columns, "gram long, key long, size long, first long, first_size long")
     columns = written(columns, "columns")
-    fits = columns.where(f"key != first and 100 * least(size, first_size) >= {percent} * greatest(size, first_size)")
     sets_of = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("sets"))
-    large = sets_of.where("sets > 2").select("gram")
-    # a column of two is settled by its pair; of larger ones each set tries the first set that it shares most columns with
-    twos = fits.join(sets_of.where("sets = 2"), "gram", "left_semi").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    shared = fits.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("key").agg(F.max_by("first", F.struct("n", "first")).alias("a")).select("a", F.col("key").alias("b"))
-    pairs = written(twos.unionByName(best).distinct(), "pairs")
-    open_ = columns.join(large, "gram", "left_semi")
-    # the sets of candidates, from one document of each
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(open_.select("key")).distinct()
+    short = columns.join(sets_of.where(f"sets <= {SHORT}").select("gram"), "gram", "left_semi").select("gram", "key", "size")
+    long = columns.join(sets_of.where(f"sets > {SHORT}").select("gram"), "gram", "left_semi")
+    # the product of the short columns: overlap counts of pairs, which their sizes' bound discards
+    # where even all long columns of the smaller number couldn't add what is missing
+    other = short.select("gram", F.col("key").alias("b"), F.col("size").alias("size_b"))
+    near = f"100 * least(size, size_b) >= {percent} * greatest(size, size_b)"
+    counted = short.join(other, "gram").where(f"key < b and {near}").groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size_a"), F.first("size_b").alias("size_b"))
+    in_long = long.groupBy("key").agg(F.count(F.lit(1)).alias("more"))
+    counted = counted.join(in_long.select(F.col("key").alias("a"), F.col("more").alias("more_a")), "a", "left").join(in_long.select(F.col("key").alias("b"), F.col("more").alias("more_b")), "b", "left")
+    needed = f"ceil({percent} * (size_a + size_b) / {100 + percent})"
+    hidden = f"greatest(ceil({percent} * size_a / 100), ceil({percent} * size_b / 100)) - 1"
+    pairs = written(counted.where(f"n + least(coalesce(more_a, 0), coalesce(more_b, 0)) >= {needed} - ({hidden})").select("a", "b", "n"), "pairs")
+    # stars of the long columns: each set with the leading one that it shares most of them with
+    fits = long.where(f"key != first and 100 * least(size, first_size) >= {percent} * greatest(size, first_size)")
+    stars = fits.groupBy("first", "key").agg(F.count(F.lit(1)).alias("n")).select(F.col("first").alias("a"), F.col("key").alias("b"), "n")
+    # first each set with its best partner; the pairs that these leave apart come second
+    ends = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).unionByName(stars)
+    best = ends.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = written(best, "best")
+    wanted = ends.select(F.col("a").alias("key")).unionByName(ends.select(F.col("b").alias("key"))).unionByName(long.select("key")).distinct()
     one = written(described.groupBy("key").agg(F.min("id").alias("one")).join(wanted, "key", "left_semi"), "wanted")
     if one.count() <= BROADCAST_ROWS:  # a small table by count; else both sides are shuffled
         one = F.broadcast(one)
     texts = docs.join(one, F.col("id").eqNullSafe(F.col("one"))).select("key", "text")
-    sets = written(texts.mapInArrow(_sets(n), "key long, shingles binary"), "sets")
-    ab = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
-    stars = written(ab.mapInArrow(_overlap(percent), "a long, b long"), "stars")
-    known = connected_components(stars).withColumnRenamed("id", "key").withColumnRenamed("component", "known")
-    # columns of three or more sets that stars didn't join into one component
-    labelled = written(open_.select("gram", "key", "first").join(known, "key", "left").select("gram", "key", "first", F.coalesce("known", "key").alias("known")), "labelled")
-    split = labelled.groupBy("gram").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low != high").select("gram")
-    rest = labelled.join(split, "gram", "left_semi")
+    texts = written(texts.mapInArrow(_own_texts(n), "key long, text string"), "texts")
+
+    def linked(some: DataFrame) -> DataFrame:
+        with_b = some.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        return written(both.mapInArrow(_overlap(n, percent), "a long, b long"), "links")
+
+    def labelled(rows: DataFrame, links: DataFrame, *names: str) -> DataFrame:
+        known = connected_components(links)
+        for name in names:
+            rows = rows.join(known.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}")), name, "left").withColumn(f"of_{name}", F.coalesce(f"of_{name}", name))
+        return rows
+
+    links = linked(best)
+    apart = labelled(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), links, "a", "b").where("of_a != of_b").select("a", "b")
+    links = links.unionByName(linked(apart))
+    # long columns whose sets aren't in one component yet
+    rest = written(labelled(long.select("gram", "key", "first"), links, "key"), "long")
+    split = rest.groupBy("gram").agg(F.min("of_key").alias("low"), F.max("of_key").alias("high")).where("low != high").select("gram")
+    rest = rest.join(split, "gram", "left_semi")
     groups = connected_components(rest.where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("id").alias("key"), F.col("component").alias("group_id"))
     counts = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = groups.join(counts, "group_id").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     # every pair of blocks of a group is one tile
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("group_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key").join(sets, "key")
-    found = written(tiles.groupBy("group_id", "i", "j").applyInPandas(_tile(percent), "a long, b long"), "tiles")
-    return connected_components(stars.unionByName(found))
+    tiles = tiles.select("group_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key").join(texts, "key")
+    found = written(tiles.groupBy("group_id", "i", "j").applyInPandas(_tile(n, percent), "a long, b long"), "tiles")
+    return connected_components(links.unionByName(found))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

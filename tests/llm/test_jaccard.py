@@ -69,6 +69,7 @@ def near_copies(seed, copies, edits):
 
 def test_groups_of_near_copies_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SHORT", 5)
     rows = list(enumerate(near_copies(4, 22, 8)))
     assert run(spark, rows) == brute(rows)
 

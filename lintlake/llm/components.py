@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lintlake.llm.shared import written
 
 
+#: Edges that one task takes when a round is written: small graphs need few tasks, whatever the shuffle's partitions.
+TASK_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``id``, ``component`` (the least id reachable) of every node in ``edges`` (``a``, ``b`` long).
 
@@ -19,18 +23,24 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     that adaptive execution splits.
     """
     edges = written(edges.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a < b").distinct(), name)
+    tasks = 1 + edges.count() // TASK_EDGES
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return written(rows.coalesce(tasks), name)
+
+    edges = edges.coalesce(tasks)
     both = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     labels = both.select("id", F.col("id").alias("component"))
     while not edges.isEmpty():
         ends = edges.select(F.col("b").alias("node"), F.col("a").alias("least")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("least")))
-        to = written(ends.groupBy("node").agg(F.min("least").alias("least")), name)
+        to = kept(ends.groupBy("node").agg(F.min("least").alias("least")))
         while True:  # chains of least labels are followed to their ends, each step doubling: 9 -> 5, 5 -> 2 gives 9 -> 2
             hop = to.select(F.col("node").alias("least"), F.col("least").alias("next"))
-            step = written(to.join(hop, "least", "left").select("node", F.coalesce("next", "least").alias("least"), (F.col("next") < F.col("least")).alias("moved")), name)
+            step = kept(to.join(hop, "least", "left").select("node", F.coalesce("next", "least").alias("least"), (F.col("next") < F.col("least")).alias("moved")))
             to = step.select("node", "least")
             if step.where("moved").isEmpty():
                 break
-        labels = written(labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("least", "component").alias("component")), name)
+        labels = kept(labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("id", F.coalesce("least", "component").alias("component")))
         renamed = edges.join(to.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
-        edges = written(renamed.selectExpr("least(x, y) as a", "greatest(x, y) as b").where("a < b").distinct(), name)
+        edges = kept(renamed.selectExpr("least(x, y) as a", "greatest(x, y) as b").where("a < b").distinct())
     return labels

@@ -29,6 +29,8 @@ GROUPS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: A search for an open element to end stops here.
 FENCES = frozenset("table ul ol dl div article section body html td th li dd select".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Elements that never hold article text.
 NOT_TEXT = frozenset("script style noscript template iframe textarea title head nav footer aside form button select option input label fieldset svg canvas object embed audio video map menu dialog datalist math".split())
 #: Words in a class, id or role that say the same.
@@ -176,12 +178,47 @@ class Page:
             at = self.parents[at]
         threshold = min([density[i] for i in [*path, at] if density[i] > 0], default=0.0)
         chosen = {self._whole(best)}
-        # further parts beside the path: as dense as the path's thinnest node
-        top = at
+        # further parts, at any depth: as dense as the path's thinnest node
+        around, under = self._around(chosen, set()), [False] * len(self.tags)
         for i in live:
-            if self.parents[i] == top and i not in path and self.tags[i] in ("article", "main", "section", "div", "p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table") and density[i] >= threshold > 0:
-                chosen.add(self._whole(i))
-        return chosen
+            under[i] = i in chosen or i > 0 and under[self.parents[i]]
+            if not under[i] and i not in around and density[i] >= threshold > 0:
+                part = self._whole(i)
+                part = i if part in around else part
+                chosen.add(part)
+                self._around({part}, around)
+                under[part] = under[i] = True
+        return chosen | self._titles(chosen, around, density)
+
+    def _around(self, nodes: set[int], out: set[int]) -> set[int]:
+        """Adds all nodes that hold one of these."""
+        for i in nodes:
+            at = self.parents[i]
+            while at >= 0 and at not in out:
+                out.add(at)
+                at = self.parents[at]
+        return out
+
+    def _titles(self, chosen: set[int], around: set[int], density: list[float]) -> set[int]:
+        """Headings of the chosen parts: too short for the threshold, but the next part that begins is theirs."""
+        out: set[int] = set()
+        under, open_ones, titled = [False] * len(self.tags), [], False
+        for i in range(len(self.tags)):
+            if self.drop[i]:
+                continue
+            under[i] = i in chosen or i > 0 and under[self.parents[i]]
+            heading = self.tags[i] in HEADINGS
+            titled = titled or under[i] and self.tags[i] == "h1"
+            if i in chosen:
+                out.update(h for h in open_ones if h not in chosen)
+                open_ones = []
+            elif heading and not under[i] and density[i] > 0:
+                at = self.parents[i]
+                while at not in around and self.tags[i] == "h1":
+                    at = self.parents[at]
+                if at in around:  # beside a part, or the page's title in a box of its own
+                    open_ones = [h for h in open_ones if self.tags[h] < self.tags[i]] + [i]
+        return {h for h in out if not titled or self.tags[h] != "h1"}
 
     def _whole(self, node: int) -> int:
         """The nearest article or main around a node, else the node itself."""

@@ -2,7 +2,7 @@
 
 A page becomes a tree of nodes in arrays. Parts that name themselves as something
 other than the article (navigation, adverts, forms, comments and the like) are
-left out. Each node's density is its characters per tag, lowered by the share of
+left out, but no headings, and no boxes that hold the article. Each node's density is its characters per tag, lowered by the share of
 characters that stand in links; a node's density sum adds up its children's. The
 node with the largest sum holds the article; the smallest density on its path to
 the body is the threshold for further parts.
@@ -32,14 +32,22 @@ FENCES = frozenset("table ul ol dl div article section body html td th li dd sel
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that never hold article text.
-NOT_TEXT = frozenset("script style noscript template iframe textarea title head nav footer aside form button select option input label fieldset svg canvas object embed audio video map menu dialog datalist math".split())
-#: Words in a class, id or role that say the same.
-NOT_TEXT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|notices?|alerts?|modal|popup|overlay|newsletter|subscribe|subscription|signup|"
-    r"nav\w*|menus?|breadcrumbs?|sidebar\w*|side|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respon(?:d|ses?)|replies|reply|discussion|feedback|"
-    r"foot\w*|header|masthead|topbar|toolbar|pagination|pager|tags?|byline|copyright|legal|disclaimer|skip\w*|search\w*|login|form|complementary|contentinfo|search|hidden|sr-only)(?:$|[\s_-])",
-    re.I,
+NOT_TEXT = frozenset("script style noscript template iframe textarea title button select option input label svg canvas object embed audio video map datalist math".split())
+#: Elements that seldom hold the article, and those that do so only around a main element or most of the text.
+WRAPPERS, BESIDE = frozenset("head form fieldset dialog menu header".split()), frozenset("nav footer aside".split())
+#: Elements whose class, id or role says nothing: text and its parts, not boxes.
+TEXT_PARTS = HEADINGS | frozenset("html body article main hgroup p li dt dd pre blockquote figcaption caption th a b i em strong span small sub sup code mark u s q cite abbr time font kbd samp var ins del br".split())
+#: Classes, ids and roles that say the same: every word of the name, or all but words of place.
+_BOX = "(?:(?:site|page|main|top|bottom|left|right|primary|secondary|area|wrap|wrapper|container|box|block|section|list|links?|items?|inner|outer|global|post|entry|blog|widget|buttons?|bar|col|column|[0-9]+)[_-]+)*"
+_END = "(?:[_-]+(?:site|page|main|top|bottom|left|right|primary|secondary|area|wrap|wrapper|container|box|block|section|list|links?|items?|inner|outer|global|post|entry|blog|widget|buttons?|bar|col|column|[0-9]+))*"
+_SURE = (
+    r"ads?|advert[^\W_]*|adsense|adbox|sponsor(?:s|ed)?|promos?|cookies?[^\W_]*|consent|gdpr|popup|overlay|newsletter|subscribe|subscription|signup|"
+    r"nav|navbar|navigation|navs|menus?|breadcrumbs?|sidebar[^\W_]*|related|recommend[^\W_]*|share|sharing|comments?|commentlist|disqus|respond|pagination|pager|login|complementary|contentinfo"
 )
+_LIKELY = r"nav[^\W_]*|promo[^\W_]*|sponsor[^\W_]*|banner[^\W_]*|notices?|alerts?|modal|side|widgets?|social|responses?|replies|reply|discussion|feedback|foot[^\W_]*|header|masthead|topbar|toolbar|tags?|byline|copyright|legal|disclaimer|skip[^\W_]*|search[^\W_]*|form"
+SURE_NAME = re.compile(rf"{_BOX}(?:{_SURE})(?:[_-]+(?:{_SURE}|{_LIKELY}))*{_END}", re.I)
+LIKELY_NAME = re.compile(rf"{_BOX}(?:{_SURE}|{_LIKELY})(?:[_-]+(?:{_SURE}|{_LIKELY}))*{_END}", re.I)
+HIDDEN_NAME = re.compile(r"(?:hidden|sr-only|visually-hidden|screen-reader-text|skip-?link|skip-to-(?:main|content|nav\w*))", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none)", re.I)
@@ -50,6 +58,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.drop, self.named = ["#root"], [-1], [False], [False]
+        self.likely, self.article = [False], [0]  # article: the nearest article or main at or around the node, 0 if none
         self.runs: list[tuple[int, str]] = []  # (node, text); an empty text marks a line break
         at, node, n = 0, 0, len(html)
         while at < n:
@@ -83,28 +92,59 @@ class Page:
             node = self._end(node, {"p"}, FENCES)
         self.tags.append(tag)
         self.parents.append(node)
-        self.drop.append(tag in NOT_TEXT or tag == "header" and not self._inside_article(node) or bool(attributes and _HIDDEN.search(attributes)))
-        names = " ".join(x[1] or x[2] or x[3] for x in _NAMES.findall(attributes)) if attributes else ""
-        self.named.append(bool(names) and tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_NAME.search(names)))
-        return len(self.tags) - 1
+        me = len(self.tags) - 1
+        inside = self.article[node]
+        self.article.append(me if tag in ("article", "main") else inside)
+        self.drop.append(tag in NOT_TEXT or bool(attributes and _HIDDEN.search(attributes)))
+        # a header inside the article is its own
+        likely, named = tag in BESIDE or tag in WRAPPERS and not (tag == "header" and inside), False
+        if attributes and tag not in HEADINGS:
+            for kind, *values in _NAMES.findall(attributes):
+                for name in "".join(values).split():
+                    if len(name) > 64 or kind.lower() == "id" and (inside or tag == "section"):
+                        continue
+                    self.drop[me] = self.drop[me] or kind.lower() != "id" and tag not in ("html", "body") and bool(HIDDEN_NAME.fullmatch(name))
+                    if tag not in TEXT_PARTS:
+                        named = named or bool(SURE_NAME.fullmatch(name))
+                        likely = likely or not inside and tag != "section" and bool(LIKELY_NAME.fullmatch(name))
+        self.named.append(named)
+        self.likely.append(likely)
+        return me
 
     def _settle(self) -> None:
-        """Drop what its name rules out, unless an article is in it, and all below dropped nodes."""
-        for i in range(len(self.tags) - 1, 0, -1):
-            if self.tags[i] in ("article", "main"):
-                at = self.parents[i]
-                while at > 0:
-                    self.named[at] = False
-                    at = self.parents[at]
-        for i in range(1, len(self.tags)):
+        """Drop what its name or tag rules out, unless the article is in it, and all below dropped nodes."""
+        n = len(self.tags)
+        holds, main, title = ([False] * n for _ in range(3))
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            holds[p] = holds[p] or holds[i] or self.tags[i] in ("article", "main")
+            main[p] = main[p] or main[i] or self.tags[i] == "main"
+        first = next((i for i in range(n) if self.tags[i] == "h1"), 0)
+        while first > 0:
+            first = self.parents[first]
+            title[first] = True
+        for i in range(1, n):
+            self.named[i] = self.named[i] and not holds[i] and not title[i]
             self.drop[i] = self.drop[i] or self.named[i] or self.drop[self.parents[i]]
-
-    def _inside_article(self, node: int) -> bool:
-        while node > 0:
-            if self.tags[node] in ("article", "main"):
-                return True
-            node = self.parents[node]
-        return False
+        # the text in each node, outside links and what is dropped already
+        chars, linked = [0] * n, [False] * n
+        if any(self.likely):
+            for i in range(1, n):
+                linked[i] = self.tags[i] == "a" or linked[self.parents[i]]
+            for i, text in self.runs:
+                if not self.drop[i] and not linked[i]:
+                    chars[i] += len("".join(text.split()))
+            for i in range(n - 1, 0, -1):
+                chars[self.parents[i]] += chars[i]
+        for i in range(1, n):
+            if self.likely[i]:
+                beside, inside = self.tags[i] in BESIDE, self.article[i]
+                # without an article element, or within one, most of the text is the article
+                most = (inside > 0 or not holds[0]) and 2 * chars[i] > chars[inside]
+                titled = title[i] and (self.tags[i] != "header" or not holds[0])
+                body = self.tags[i] == "head" and any(self.tags[j] == "body" and self.parents[j] == i for j in range(i + 1, n))
+                self.drop[i] = self.drop[i] or not (main[i] if beside else holds[i] or titled or body) and not most
+            self.drop[i] = self.drop[i] or self.drop[self.parents[i]]
 
     def _end(self, node: int, tags: set[str], fences: frozenset[str]) -> int:
         """The parent of the nearest open element of these tags, if no fence is nearer; else the node."""

@@ -22,3 +22,21 @@ def lines(k, n=1):
 )
 def test_parts_at_any_depth(html, want):
     assert html_text.main_text(html).split("\n") == want
+
+
+ASP = f"<form id=aspnetForm><article><h1>A title</h1>{words(1, 2)}</article></form>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (ASP, ["A title", *lines(1, 2)]),
+        (f"<form><div class=content><h1>A title</h1>{words(1, 3)}</div></form>", ["A title", *lines(1, 3)]),
+        (f"<article><div class=post-header><h1>A title</h1></div>{words(1)}<section id=discussion><h2 id=Legal_status>Status</h2>{words(2)}</section><div id=social-history><h2 id=form-and-function>Form</h2>{words(3)}</div><div class=share>x</div></article>", ["A title", *lines(1), "Status", *lines(2), "Form", *lines(3)]),
+        (f"<body><div class=wrap><div class=post-header><h1>A title</h1></div>{words(1, 2)}<section id=discussion><h2 id=Legal_status>Status</h2>{words(2)}</section><div id=social-history>{words(3)}</div></div>", ["A title", *lines(1, 2), "Status", *lines(2), *lines(3)]),
+        (f"<body><div id=sidebar>{words(2)}</div><div class='site-footer'>{words(3)}</div><form>{words(4)}</form><article>{words(1)}<pre>x <span class=comment># note</span></pre></article><div class='post-comments'>{words(3, 5)}</div>", [*lines(1), "x # note"]),
+        (f"<html><head><title>t</title><body><div>{words(1, 3)}</div>", lines(1, 3)),
+    ],
+)
+def test_names_and_wrappers_cost_no_article_text(html, want):
+    assert html_text.main_text(html).split("\n") == want

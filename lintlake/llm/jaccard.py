@@ -319,6 +319,19 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     return connected_components(links.unionByName(found))
 
 
+def _linked(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Per row its id, set size and set key; per key that has a link its component."""
+    mine = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    both = written(mine.mapInArrow(_described(n), "id long, size long, key long, part int, counts binary"), "described")
+    described = both.where("part is null").select("id", "size", "key")
+    sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum_parts, "part int, counts binary")
+    common = np.zeros(CELLS, np.uint16)
+    for r in sums.collect():  # the sketch has a fixed size
+        common[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<u2")
+    parts = _all_links(mine, described.where("size > 0"), docs.sparkSession.sparkContext.broadcast(common), n, percent)
+    return described, parts
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, ``n_shingles``, ``component_id`` for every document.
 
@@ -329,16 +342,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_column
     no component (alone, theirs is null). Repeated rows stay. An empty table gives none.
     """
     kind = dict(docs.dtypes)[id_column]
-    mine = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    both = written(mine.mapInArrow(_described(n), "id long, size long, key long, part int, counts binary"), "described")
-    described = both.where("part is null").select("id", "size", "key")
-    sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum_parts, "part int, counts binary")
-    common = np.zeros(CELLS, np.uint16)
-    for r in sums.collect():  # the sketch has a fixed size
-        common[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<u2")
-    parts = _all_links(mine, described.where("size > 0"), docs.sparkSession.sparkContext.broadcast(common), n, percent)
+    described, parts = _linked(docs, n, percent, id_column, text_column)
     full = described.where("size > 0").join(parts.withColumnRenamed("id", "key"), "key", "left").select("id", "size", F.coalesce("component", "key").alias("component"))
     full = written(full, "linked")
     least = full.groupBy("component").agg(F.min("id").alias("component_id"))
     out = full.join(least, "component").select("id", "size", "component_id").unionByName(described.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(kind).alias(id_column), F.col("size").alias("n_shingles"), "component_id")
+
+
+def _keyed(n: int):
+    """Rows with the key of their set, which has a word at least; the text comes last."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_key(s) for texts in slices(b.column(b.num_columns - 1).to_pylist(), 1_000_000) for s in shingle_sets(texts, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *b.columns], names=["set_key", *b.schema.names])
+
+    return run
+
+
+def one_of_each_component(docs: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component of ``jaccard_components``: the first by id (null last) and text. Texts without words all stay.
+
+    It goes by rows: each has its own set's component, whatever its id.
+    """
+    _, parts = _linked(docs, n, percent, id_column, text_column)
+    order = [id_column, text_column, *(c for c in docs.columns if c not in (id_column, text_column))]
+    first = F.min(F.struct(F.col(id_column).isNull().alias("last"), *order)).alias("row")
+    has_words = F.coalesce(F.col(text_column).rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    kinds = dict(docs.dtypes)
+    names = [c for c in docs.columns if c != text_column] + [text_column]
+    keyed = docs.where(has_words).select(*names).mapInArrow(_keyed(n), "set_key long, " + ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    # first copies of one set, wherever they are; then the sets that link
+    sets = written(keyed.groupBy("set_key").agg(first).join(parts.withColumnRenamed("id", "set_key"), "set_key", "left").select("row", "component"), "sets")
+    single = sets.where("component is null").select("row")
+    linked = sets.where("component is not null").groupBy("component").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(linked).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)).unionByName(docs.where(~has_words))

@@ -31,16 +31,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays (of repeated rows one).
+    """Of each group of near duplicates the document of the least id stays (of repeated ids the least text, of repeated rows one).
 
     Documents without words have no group and stay. Rows without an id stay only if
-    their text has no document with an id near it.
+    no document with an id is near, and then one of each group. Rows of one id with
+    other texts are documents of their own.
     """
-    groups = jaccard.jaccard_components(docs).where("component_id is not null and n_shingles > 0").select(F.col("doc_id").alias("member"), "component_id").where("member is not null")
-    gone = groups.where("member != component_id").select("member").distinct()
-    numbered = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("member"), "left_anti")
-    # repeated rows are copies of each other; ids with other texts stay
-    return numbered.dropDuplicates(["doc_id", "text"])
+    return jaccard.one_of_each_component(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

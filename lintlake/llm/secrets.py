@@ -3,7 +3,8 @@
 Text that people write compresses into few tokens of a vocabulary trained on such
 text; a random string needs a token for one or two characters. So a run of key
 characters with few characters per token is reported, unless it is a digest of
-a known length, a UUID or an identifier made of words and counters.
+a known length, a UUID or an identifier made of words and counters. Words are
+what the vocabulary codes in few tokens; letters alone don't make one.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A run of key characters that may be a secret.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Known digests and identifiers: hexadecimal digests, UUIDs, words and numbers joined by separators.
+#: Known digests and UUIDs; names that look like words and numbers joined by separators.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:1|256|384|512)-.*")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*|(?:[A-Z][a-z]+)+[0-9]*")
+#: The letters of a name, by words; real ones have so many characters a token (random ones seldom, names of code rarely less).
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+WORD_CHARS_PER_TOKEN = 2.5
+
 
 def _encoding(path: str, pattern: str):
     import tiktoken
@@ -53,16 +58,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def is_named(run: str, coder) -> bool:
+    """Whether a run is made of numbers and real words: their letters are coded in few tokens, in some letter case."""
+    if not (run.isalpha() or WORDS.fullmatch(run)):
+        return False
+    words = WORD.findall(run)
+    tokens = sum(min(len(coder.encode_ordinary(x)) for x in (w, w.lower(), f" {w.lower()}")) for w in words)
+    return sum(map(len, words)) >= WORD_CHARS_PER_TOKEN * tokens
+
+
 def random_spans(text: str, coder, taken: list[tuple[int, int, str]], chars_per_token: float) -> list[tuple[int, int, str]]:
     """Runs of low token efficiency that no fixed shape overlaps."""
     out = []
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if run.isalpha() or run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run) or WORDS.fullmatch(run):
+        if run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run):
             continue
         if any(start < e and s < end for s, e, _ in taken):
             continue
-        if len(run) / len(coder.encode_ordinary(run)) < chars_per_token:
+        if len(run) / len(coder.encode_ordinary(run)) < chars_per_token and not is_named(run, coder):
             out.append((start, end, "random"))
     return out
 

@@ -1,0 +1,28 @@
+import random
+import string
+
+import public_tokenizers
+import pytest
+
+from lintlake.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters])
+def test_random_letters_are_scored(coder, letters):
+    rng = random.Random(7)
+    keys = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+    low = [k for k in keys if len(k) / len(coder.encode_ordinary(k)) < 2]
+    found = [secrets.spans_of(f"see {k} here", coder)[1] == [(4, 36, "random")] for k in low]
+    assert len(low) > 180 and sum(found) >= 0.99 * len(low)
+
+
+def test_dashed_keys_are_redacted_and_names_are_not(coder):
+    text = "the key XKCDQ-ZPWMR-TTLQV-BHNWS is new"
+    assert secrets.redact(text, secrets.spans_of(text, coder)[1]) == "the key [random] is new"
+    for name in ("some_long_identifier_name_2024", "AnotherLongIdentifierName", "MAXIMUM_NUMBER_OF_CONNECTIONS", "internationalization", "2024-01-02_03-04-05-6789", "read-the-manual/before-asking"):
+        assert secrets.spans_of(name, coder)[1] == []

@@ -347,6 +347,16 @@ def function_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("project", "path", "symbol", F.col("parameters").cast("int").alias("parameters"), "cyclomatic", "nesting")
 
 
+@query(
+    f"""WITH p AS (SELECT {PART}, p_size::INTEGER AS size FROM part) SELECT project, path, 'work_' || k AS symbol, size AS parameters, size + 1 AS cyclomatic, 1 AS nesting FROM p
+    UNION ALL SELECT project, path, '_deep_' || k, 1, (size % 9 + 2)::INTEGER, (size % 9 + 1)::INTEGER FROM p UNION ALL SELECT project, path, 'caller_' || k, 0, 1, 0 FROM p
+    UNION ALL SELECT project, path, 'Item' || k || '.method_' || CAST(i AS VARCHAR), 0, 1, 0 FROM (SELECT *, unnest(range(0, size % 14 + 1)) AS i FROM p)"""
+)
+def all_function_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every planted function: also the nested ones, the callers and the methods."""
+    return code.functions(_tree(spark, sf_dir)).select("project", "path", "symbol", F.col("parameters").cast("int").alias("parameters"), "cyclomatic", "nesting")
+
+
 def _planted(select: str, rule: str, severity: str, pillar: str, confidence: str, where: str) -> str:
     return f"WITH p AS (SELECT {PART}, p_partkey, p_size::INTEGER AS size FROM part) SELECT project, '{rule}' AS rule_id, path AS file_path, {select} AS symbol, '{severity}' AS severity, '{pillar}' AS pillar, '{confidence}' AS confidence FROM p WHERE {where}"
 

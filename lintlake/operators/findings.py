@@ -38,9 +38,9 @@ def select_rules(rules: DataFrame, include: tuple[str, ...] = (), exclude: tuple
 
 
 def over_threshold(measures: DataFrame, rules: DataFrame) -> DataFrame:
-    """Measures beyond their rule's threshold: over it, or under it where the rule says ``below``. Rules are a small dimension."""
+    """Measures beyond their rule's threshold: over it, or under it where the rule says ``below``. Spark broadcasts the rules only if they are small."""
     beyond = F.when(F.col("below"), F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
-    return measures.join(F.broadcast(rules.select("rule_id", "threshold", "below", "severity")), "rule_id").where(beyond)
+    return measures.join(rules.select("rule_id", "threshold", "below", "severity"), "rule_id").where(beyond)
 
 
 def unsuppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:

@@ -7,3 +7,14 @@ def test_all_functions_are_measured(spark, sf_dir):
     assert len(rows) == sum(3 + r["p_size"] % 14 + 1 for r in parts)
     deep = [r for r in rows if r["symbol"].startswith("_deep_")]
     assert max(r["nesting"] for r in deep) == 9 and all(r["cyclomatic"] == r["nesting"] + 1 for r in deep)
+
+
+def test_large_rule_tables_are_shuffled(spark, sf_dir):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES["over_threshold"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan

@@ -39,7 +39,7 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
         case ast.Call():
             return None, _dotted(node.func), len(node.args)
         case ast.keyword():
-            return node.arg, ast.unparse(node.value)[:200], None
+            return node.arg, ast.unparse(node.value), None
         case ast.alias():
             return node.asname or node.name.split(".")[0], node.name, None
         case ast.BoolOp():
@@ -49,7 +49,7 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
         case ast.match_case():
             return None, None, int(not (isinstance(node.pattern, ast.MatchAs) and node.pattern.pattern is None and node.guard is None))
         case ast.Constant():
-            return type(node.value).__name__, str(node.value)[:200], None
+            return type(node.value).__name__, str(node.value), None
         case ast.ExceptHandler():
             return node.name, _dotted(node.type) if node.type else None, len(node.body)
     return None, None, None

@@ -1,3 +1,4 @@
+from lintlake.operators import code
 from lintlake.plans.queries import QUERIES
 
 
@@ -18,3 +19,9 @@ def test_large_rule_tables_are_shuffled(spark, sf_dir):
     finally:
         spark.conf.set(key, before)
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_texts_of_constants_and_keywords_are_whole():
+    long = "x" * 500
+    rows = code.flatten(f"f(key='{long}')")
+    assert sum(long in str(v) for r in rows for v in r) == 2

@@ -6,86 +6,26 @@ text is the two tokens themselves. So all adjacent pairs of all proposed words o
 a batch are checked together with numpy, and only words with a pair that fails
 are merged exactly, step by step.
 
-Texts are cut at white space first; equal pieces are encoded once per worker and
-kept in a bounded cache, since pieces repeat far more often than texts.
+Texts are cut into words with array operations; equal words are encoded once per
+worker and kept in a bounded cache, since words repeat far more often than texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from lintlake.llm.shared import worker_state
+from lintlake.llm.words import Splitter, WordCutter, WordIds, per_text
 
-#: Pieces and words that a worker keeps at most; at the bound pieces not in use go, and words all go.
-CACHE_PIECES = 250_000
-CACHE_WORDS = 450_000
-
-#: The split patterns that the two vocabulary files state.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space of ``str.split`` that the vocabularies' patterns don't count as such.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-
-#: Up to this character (Latin letters) the patterns are applied here.
-LATIN = "\u024f"
-#: Signs that are a word of their own after letters.
-SIGNS = frozenset(".,;:!?)\"")
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte in vocabulary files."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class Splitter:
-    """Cuts a text into a vocabulary file's words, written in the vocabulary's letters for bytes."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.path, self.library = path, None
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
-        self.suffix: str = self.spec["model"].get("end_of_word_suffix") or ""
-        self.lowers = bool(self.spec.get("normalizer"))
-        self.pattern = regex.compile((WORD_PATTERN if self.suffix else BYTE_PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.letters = byte_alphabet()
-        self.gap = self.letters[32]
-        self.table = {i: "".join(map(self.letters.__getitem__, chr(i).encode())) for i in range(ord(LATIN) + 1)}
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-
-    def words(self, piece: str) -> list[str]:
-        """The words of a text; special tokens' strings are not looked for here."""
-        if not piece.isascii():
-            plain = unicodedata.normalize("NFC", piece).lower() if self.lowers else piece
-            if max(piece) > LATIN or max(plain) > LATIN:  # two libraries' Unicode tables may differ there: take the file's own splitter
-                if self.library is None:
-                    from tokenizers import Tokenizer
-
-                    self.library = Tokenizer.from_file(self.path)
-                if self.lowers:
-                    piece = self.library.normalizer.normalize_str(piece)
-                return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
-            piece = plain
-        elif self.lowers:
-            piece = piece.lower()
-        # most pieces are a word, or a word and a sign
-        core = piece[1:] if piece[:1] == " " else piece
-        if core.isalpha():
-            return [self.gap + core if piece is not core and piece.isascii() else piece.translate(self.table)]
-        if core[-1:] in SIGNS and core[:-1].isalpha():
-            return [piece[:-1].translate(self.table), core[-1]]
-        return [w.translate(self.table) for w in self.pattern.findall(piece)]
+#: Words that a worker keeps at most.
+CACHE_WORDS = 400_000
 
 
 class Vocabulary(Splitter):
@@ -195,20 +135,29 @@ class Vocabulary(Splitter):
                     break
 
     def merge(self, word: str) -> list[int]:
-        """The exact encoding of a word: the lowest merge first, the leftmost of equal ones."""
-        ids, size, get, none = self.ids, self.size, self.merge_rank.get, len(self.merge_rank)
+        """The exact encoding of a word: the lowest merge first, the leftmost of equal ones; n log n in its length."""
+        ids, size, get, made = self.ids, self.size, self.merge_rank.get, self.made
         parts = [ids[c] for c in word[:-1]]
         parts.append(ids[word[-1] + self.suffix])
-        ranks = [get(a * size + b, none) for a, b in zip(parts, parts[1:])]
-        while ranks and (r := min(ranks)) < none:
-            i = ranks.index(r)
-            parts[i : i + 2] = [self.made[r]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(parts[i - 1] * size + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = get(parts[i] * size + parts[i + 1], none)
-        return parts
+        n = len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = right[i]
+            if j >= n or parts[i] < 0 or get(parts[i] * size + parts[j]) != r:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = made[r], -1
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                if (r := get(parts[i] * size + parts[k])) is not None:
+                    heappush(heap, (r, i))
+            k = left[i]
+            if k >= 0 and (r := get(parts[k] * size + parts[i])) is not None:
+                heappush(heap, (r, k))
+        return [p for p in parts if p >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word (in vocabulary letters): proposed, checked together, merged where a check fails."""
@@ -227,47 +176,39 @@ class Vocabulary(Splitter):
 
 
 class Encoder:
-    """Encodes texts with a ``Vocabulary``; keeps the ids of pieces and words already met."""
+    """Encodes texts with a ``Vocabulary``; keeps the ids of words already met."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.kept: dict[str, list[int] | tuple[int, ...]] = {}
-        self.kept_words: dict[str, list[int]] = {}
+        self.cutter = WordCutter(path)
+        self.met = WordIds(CACHE_WORDS)
 
-    def pieces(self, text: str) -> list[str]:
-        """Parts of a text that encode on their own."""
-        if not self.vocabulary.suffix or SEPARATORS.search(text):
-            return [text]
-        return text.split()
+    def _plain(self, texts: list[str]) -> Iterable[list[int]]:
+        """The ids of texts without special tokens' strings."""
+        keys, whole, which, words = self.cutter.cut(texts)
 
-    def _words(self, piece: str) -> list:
-        """A piece's words, and special tokens as tuples of their id."""
-        v = self.vocabulary
-        if "<|" not in piece:
-            return v.words(piece)
-        parts = v.marks.split(piece)
-        return list(chain.from_iterable([(v.special[x],)] if k % 2 else v.words(x) for k, x in enumerate(parts)))
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.kept_words) > CACHE_WORDS:
-            self.kept_words = {}
-        known = self.kept_words
-        rows = list(map(self._words, new))
-        fresh = list({w for w in set(chain.from_iterable(rows)).difference(known) if w.__class__ is str})
-        known.update(zip(fresh, self.vocabulary.encode_words(fresh)))
-        for piece, row in zip(new, rows):
-            self.kept[piece] = known[row[0]] if len(row) == 1 and row[0].__class__ is str else tuple(chain.from_iterable(known[x] if x.__class__ is str else x for x in row))
+        def encode(new: list[int]) -> list[list[int]]:
+            cut = self.cutter.words([keys[i] for i in new], whole[new].tolist())
+            fresh = list(set(chain.from_iterable(cut)))
+            ids = dict(zip(fresh, self.vocabulary.encode_words(fresh)))
+            return [ids[ws[0]] if len(ws) == 1 else list(chain.from_iterable(map(ids.__getitem__, ws))) for ws in cut]
+
+        flat, many = self.met.ids(self.met.places(keys, encode)[which])
+        at = 0
+        for end in np.cumsum(per_text(many, words)).tolist():
+            yield flat[at:end].tolist()
+            at = end
 
     def encode(self, texts: Iterable[str]) -> Iterable[list[int]]:
-        """The ids of each text."""
-        rows = [self.pieces(t) for t in texts]
-        met = set(chain.from_iterable(rows))
-        new = met.difference(self.kept)
-        if len(self.kept) + len(new) > CACHE_PIECES:  # what these texts need stays
-            self.kept = {p: self.kept[p] for p in met.difference(new)}
-        self._learn(list(new))
-        for row in rows:
-            yield list(chain.from_iterable(map(self.kept.__getitem__, row)))
+        """The ids of each text; special tokens' strings are those tokens."""
+        v = self.vocabulary
+        parts = [[t] if self.cutter.plain(t) else v.marks.split(t) for t in texts]  # every second part is a special token
+        found = iter(self._plain([p for row in parts for p in row[::2]]))
+        for row in parts:
+            ids = next(found)
+            for mark in row[1::2]:
+                ids = [*ids, v.special[mark], *next(found)]
+            yield ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens included: joined bytes, or tokens set apart by spaces where the file has no decoder."""

@@ -1,32 +1,27 @@
-"""Token ids by the tokenizers library, with pieces between spaces encoded once per worker.
+"""Token ids by the tokenizers library, each distinct word encoded once per worker.
 
-A vocabulary with word ends drops white space, so its texts are cut at any white
-space. A byte vocabulary keeps a space with the word after it: its texts are cut
-before single spaces that follow a visible character, where its split pattern
-always ends a word. Texts for which that isn't certain go to the library whole.
+Texts are cut into words with array operations (``words``); the library's model
+encodes the words that a worker has not met lately, and the ids of all words are
+gathered as arrays. Texts with special tokens' strings go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterable
-from itertools import chain
 
-from lintlake.llm.bpe import CACHE_PIECES, CACHE_WORDS, SEPARATORS, Splitter
+import numpy as np
+
 from lintlake.llm.shared import worker_state
+from lintlake.llm.words import WordCutter, WordIds, per_text
 
-#: A space amid white space, or at the end after white space: runs that the split pattern may divide elsewhere.
-_RUNS = re.compile(r"\s (?:\s|\Z)")
+#: Words that a worker keeps at most.
+CACHE_WORDS = 400_000
 
 
 class LibraryEncoder:
-    """``tokenizers.Tokenizer`` of a file; gives each text's ids as little-endian unsigned 32-bit bytes.
-
-    The library's model encodes each word that a worker meets for the first time.
-    Pieces with special tokens' strings go through the whole tokenizer.
-    """
+    """``tokenizers.Tokenizer`` of a file; gives each text's ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
@@ -35,48 +30,36 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.splitter = Splitter(path)
-        del self.splitter.spec
-        self.special = list(self.splitter.special)
-        self.kept: dict[str, bytes] = {}
-        self.kept_words: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts of a text that encode on their own."""
-        if self.splitter.suffix:
-            return [text] if SEPARATORS.search(text) else text.split()
-        if _RUNS.search(text) or any(s in text for s in self.special):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def _word(self, word: str) -> bytes:
-        ids = self.kept_words.get(word)
-        if ids is None:
-            found = [t.id for t in self.tokenizer.model.tokenize(word)]
-            ids = self.kept_words[word] = struct.pack(f"<{len(found)}I", *found)
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        if "<|" in piece:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
-        words = self.splitter.words(piece)
-        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+        self.cutter = WordCutter(path)
+        self.met = WordIds(CACHE_WORDS)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after the other, and how many each text has."""
+        keys, whole, which, words = self.cutter.cut(texts)
+        tokens = self.tokenizer.model.tokenize
+
+        def encode(new: list[int]) -> list[list[int]]:
+            cut = self.cutter.words([keys[i] for i in new], whole[new].tolist())
+            return [[t.id for t in tokens(ws[0])] if len(ws) == 1 else [t.id for w in ws for t in tokens(w)] for ws in cut]
+
+        flat, many = self.met.ids(self.met.places(keys, encode)[which])
+        return flat, per_text(many, words)
 
     def encode(self, texts: Iterable[str]) -> Iterable[bytes]:
         """The ids of each text."""
-        rows = [self.pieces(t) for t in texts]
-        met = set(chain.from_iterable(rows))
-        new = met.difference(self.kept)
-        if len(self.kept) + len(new) > CACHE_PIECES:  # what these texts need stays
-            self.kept = {p: self.kept[p] for p in met.difference(new)}
-        if len(self.kept_words) > CACHE_WORDS:
-            self.kept_words = {}
-        self.kept.update(zip(new, map(self._piece, new)))
-        get = self.kept.__getitem__
-        for row in rows:
-            yield b"".join(map(get, row))
+        texts = list(texts)
+        plain = [self.cutter.plain(t) for t in texts]
+        flat, sizes = self.encode_flat([t for t, p in zip(texts, plain) if p])
+        view, ends = memoryview(flat).cast("B") if len(flat) else b"", iter(np.cumsum(sizes).tolist())
+        at = 0
+        for text, p in zip(texts, plain):
+            if p:
+                end = 4 * next(ends)
+                yield bytes(view[at:end])
+                at = end
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(found)}I", *found)
 
 
 def library_encoder(path: str) -> LibraryEncoder:

@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
 
     ranged = docs.select(id_column, text_column).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), id_column).sortWithinPartitions(id_column, text_column)
     writer = ranged.mapInArrow(run, schema).write.option("compression", "zstd")
-    options = {"orc.bloom.filter.columns": id_column, "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes)}
+    options = {"orc.bloom.filter.columns": id_column, "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes), "orc.rows.between.memory.checks": str(index_rows)}
     for key, value in options.items():
         writer = writer.option(key, value)
     writer.orc(path)

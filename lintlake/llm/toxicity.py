@@ -1,119 +1,134 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what marks toxic text and one on
-ordinary text. A document is cut into windows of a few words; a window that comes
-out shorter with the toxic dictionary than with the ordinary one holds toxic
-passages. The saved bytes of all windows are compared with thresholds calibrated on
-labelled documents that the dictionaries have not seen.
+Two dictionaries are trained by zstandard, one on windows of toxic text and one on
+windows of ordinary text. A document is cut into windows of a few words; each is
+compressed with the ordinary dictionary alone and with the toxic one beside it, so
+a window that comes out shorter the second time holds toxic passages. The saved
+bytes of all windows are compared with thresholds calibrated on labelled documents
+that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
+import random
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import crc32_text, worker_state
+from lintlake.llm.shared import crc32_text
 
 #: Labelled documents and characters per class that the fit takes at most (those of the lowest hash).
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 12_000_000
-#: Letters of a word's beginning at least and at most; words in a window; bytes in each dictionary at most.
-STEM, STEM_MOST = 4, 7
-WINDOW = 8
-DICTIONARY = 4_096
-#: Begins every window and ends both dictionaries, so that a frame always has one match to describe.
+#: Words of a window; its bytes at most.
+WINDOW, WINDOW_BYTES = 4, 1_024
+#: Bytes of the ordinary dictionary and of the windows that the trainer reads at most.
+ORDINARY, TRAINED_ON = 4_096, 1_500_000
+#: Sizes of the toxic dictionary and segment lengths of the trainer, of which calibration takes the best.
+TOXIC_SIZES, SEGMENTS, STEP = (1_024, 3_072), (16, 24), 6
+#: Cells of the table of byte runs, their length, and what makes a run telling: times as frequent, and by so many deviations.
+CELLS, RUN, RATIO, DEVIATIONS = 1 << 22, 6, 8.0, 5.0
+#: Of ordinary documents so many at most may score as toxic in calibration.
+FALSE_SHARE = 0.003
+#: Begins every window and ends both dictionaries, so that a frame always has one match to describe; no text holds these bytes.
 HEAD = bytes(range(224, 256))
-#: Coded words that a worker keeps at most.
-CACHE_WORDS = 200_000
+MULTIPLIERS = (1, 2654435761, 2246822519, 3266489917)
 
-_WORD = re.compile(r"[^\W\d_]+")
 
+def windows(text: str, words: int = WINDOW) -> list[bytes]:
+    """Consecutive windows of so many words over the whole text, lower-cased, in UTF-8 between single spaces; one at least."""
+    found = text.lower().split()
+    out = []
+    for i in range(0, len(found), words):
+        w = (" " + " ".join(found[i : i + words]) + " ").encode()
+        out += [w] if len(w) <= WINDOW_BYTES else [w[k : k + WINDOW_BYTES] for k in range(0, len(w), WINDOW_BYTES)]
+    return out or [b" "]
 
-class _Codes(dict):
-    """Words as a zero and one byte a letter that also holds the letter's place (0 to 7 and beyond): matches keep to the same places of words."""
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        code = self[word] = b"\0" + bytes(min(i, 7) << 5 | (ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5) for i, c in enumerate(word))
-        return code
+def distinct(texts: list[str]) -> list[str]:
+    """Texts without near copies of earlier ones (any of four least hashes of 24 bytes in common)."""
+    seen, out = set(), []
+    for t in texts:
+        runs = _runs(_spaced(t), 24)
+        keys = {(k, int((runs * np.uint64(m)).min())) for k, m in enumerate(MULTIPLIERS)} if len(runs) else {t}
+        if not keys & seen:
+            out.append(t)
+        seen |= keys
+    return out
 
 
-def _codes() -> _Codes:
-    return worker_state(("codes",), _Codes)
+def _spaced(text: str) -> bytes:
+    """A text lower-cased, in UTF-8 with a single space around each word."""
+    return f" {' '.join(text.lower().split())} ".encode()
 
 
-def windows(text: str, size: int = WINDOW) -> list[bytes]:
-    """Consecutive windows of ``size`` words over the whole text, one at least."""
-    known = _codes()
-    codes = [known[w] for w in _WORD.findall(text.lower())]
-    return [HEAD + b"".join(codes[i : i + size]) for i in range(0, len(codes), size)] or [HEAD]
+def _runs(text: bytes, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` bytes."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(data) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(out)] + np.uint64(1)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _stems(text: str) -> set[str]:
-    """The beginnings of a text's words, from ``STEM`` to ``STEM_MOST`` letters."""
-    return {w[:k] for w in set(_WORD.findall(text.lower())) for k in range(STEM, min(len(w), STEM_MOST) + 1)}
+def _cells(text: bytes) -> np.ndarray:
+    """The table cell of each run of ``RUN`` bytes."""
+    return (_runs(text, RUN) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def distinct(texts: list[str]) -> list[str]:
-    """Texts without near copies of earlier ones (any of four least hashes of three words in common)."""
-    seen, out = set(), []
-    for t in texts:
-        words = _WORD.findall(t.lower())
-        hashes = [zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
-        keys = {(m, min(h * m & 0xFFFFFFFF for h in hashes)) for m in (1, 2654435761, 2246822519, 3266489917)}
-        if not keys & seen:
-            out.append(t)
-        seen |= keys
-    return out
+def _told(text: str, marks: np.ndarray) -> list[bytes]:
+    """The windows of one word (with its spaces) that hold a marked run."""
+    data = _spaced(text)
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    at = np.flatnonzero(marks[_cells(data)])
+    word = np.searchsorted(spaces, at, side="right") - 1
+    word = np.unique(word[at + RUN - 1 <= spaces[np.minimum(word + 1, len(spaces) - 1)]])
+    return [data[a : min(b + 1, a + WINDOW_BYTES)] for a, b in zip(spaces[word].tolist(), spaces[word + 1].tolist())]
 
 
-def passages(texts: list[str], others: list[str], ratio: float = 16.0, least_z: float = 5.0, share: float = 0.004) -> Counter:
-    """Word beginnings many times as frequent in the documents of ``texts`` as of ``others``.
+def telling(texts: list[str], others: list[str]) -> np.ndarray:
+    """Which cells hold byte runs that are markedly more frequent in the documents of ``texts`` than of ``others``."""
 
-    Of beginnings of each other the shortest that is marked is kept, with the
-    letters that nearly all its words go on with.
-    """
-    here, there = Counter(), Counter()
-    for t in texts:
-        here.update(_stems(t))
-    for t in others:
-        there.update(_stems(t))
+    def documents(some: list[str]) -> np.ndarray:
+        counts = np.zeros(CELLS, np.int32)
+        for t in some:
+            counts[np.unique(_cells(_spaced(t)))] += 1
+        return counts
+
+    here, there = documents(texts), documents(others)
     n, m = max(1, len(texts)), max(1, len(others))
-    marked: dict[str, str] = {}
-    for stem in sorted(here, key=lambda x: (len(x), x)):
-        a, b = here[stem], there[stem]
-        p = (a + b) / (n + m)
-        if a < max(3, share * n) or a / n <= ratio * (b + 0.5) / m or (a / n - b / m) <= least_z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5:
-            continue
-        short = next((stem[:k] for k in range(STEM, len(stem)) if stem[:k] in marked), None)
-        if short is None:
-            marked[stem] = stem
-        elif a >= 0.9 * here[short]:
-            marked[short] = stem
-    return Counter({long: here[long] for long in marked.values()})
-
-
-def _dictionary(found: Counter, size: int = DICTIONARY) -> bytes:
-    """A dictionary of passages, the most frequent last (nearest); trained by zstandard where they exceed ``size``."""
+    p, q, both = here / n, (there + 0.5) / m, (here + there) / (n + m)
+    deviation = np.sqrt(both * (1 - both) * (1 / n + 1 / m)) + 1e-9
+    return (p > RATIO * q) & (p - q > DEVIATIONS * deviation) & (here >= 3)
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; of too few samples their end."""
     import zstandard
 
-    codes = _codes()
-    whole = b"".join(codes[p] for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0])))
-    if len(whole) <= size:
-        return whole
+    kept = list(samples)
+    random.Random(5).shuffle(kept)
+    most = np.searchsorted(np.cumsum([len(x) for x in kept]), TRAINED_ON) if kept else 0
     try:
-        return zstandard.train_dictionary(size, [codes[p] for p, n in found.items() for _ in range(min(n, 50))]).as_bytes()
+        return zstandard.train_dictionary(size, kept[: most + 1], k=segment, d=STEP).as_bytes()
     except zstandard.ZstdError:
-        return whole[-size:]
+        return b"".join(kept[: most + 1])[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, dict[tuple[int, int], bytes]]:
+    """The ordinary dictionary, and the toxic ones by size and segment length.
+
+    The toxic ones learn from the words of toxic text that hold a telling run of
+    bytes: the rest of a toxic document is text like any other.
+    """
+    marks = telling(toxic, ordinary)
+    chosen = [w for t in toxic for w in _told(t, marks)]
+    plain = _trained([w for t in ordinary for w in windows(t, 1)], ORDINARY, SEGMENTS[0])
+    return plain, {(size, k): _trained(chosen, size, k) for size in TOXIC_SIZES for k in SEGMENTS}
 
 
 @dataclass
@@ -129,17 +144,18 @@ class ToxicityModel:
         import zstandard
 
         def make(content: bytes):
-            kept = zstandard.ZstdCompressionDict(content + b"\0" + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            # a greedy search for matches of a stem at least; frames without sizes or sums
-            params = zstandard.ZstdCompressionParameters(window_log=14, chain_log=12, hash_log=13, search_log=4, min_match=STEM + 1, target_length=8, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            kept = zstandard.ZstdCompressionDict(self.ordinary + content + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # frames without sizes or sums
+            params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=15, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
             return zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress
 
-        return make(self.toxic), make(self.ordinary)
+        # in the place of the toxic dictionary, bytes that match nothing: distances to the ordinary one are the same
+        return make(self.toxic), make(b"\xff" * len(self.toxic))
 
     def savings(self, texts: Iterable[str]) -> list[list[int]]:
         """Bytes that the toxic dictionary saves on each window of each text."""
         toxic, ordinary = self._compressors()
-        return [[len(ordinary(w)) - len(toxic(w)) for w in windows(t)] for t in texts]
+        return [[len(ordinary(w)) - len(toxic(w)) for w in (HEAD + x for x in windows(t))] for t in texts]
 
     def features(self, saved: list[int]) -> tuple[float, float, float]:
         """The largest saving, the number of windows over the threshold, and their share."""
@@ -165,47 +181,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _calibrated(toxic: bytes, ordinary: bytes, held: list[str], y: np.ndarray) -> tuple[float, ToxicityModel]:
+    """The best threshold and weights for two dictionaries on held-out texts, and how likely they make the labels."""
+    saved = ToxicityModel(toxic, ordinary).savings(held)
+    best = (-np.inf, ToxicityModel())
+    for threshold in range(1, 9):
+        m = ToxicityModel(toxic, ordinary, window_threshold=threshold)
+        x = np.array([(1.0, *m.features(s)) for s in saved])
+        weights = _logistic(x, y)
+        p = (1 / (1 + np.exp(-(x @ weights).clip(-30, 30)))).clip(1e-9, 1 - 1e-9)
+        fitness = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        if fitness > best[0]:
+            # few ordinary texts may come out at one half or more
+            weights[0] -= max(0.0, float(np.quantile((x @ weights)[y == 0], 1 - FALSE_SHARE)))
+            m.weights = weights.tolist()
+            best = (fitness, m)
+    return best
+
+
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Train both dictionaries on two thirds of the labelled texts and calibrate on the last third.
+    """Train dictionaries on two thirds of the labelled texts and calibrate them on the last third.
 
-    Each dictionary holds what marks its class against the other.
     Without a text of each class the model gives every text a low score.
     """
     by = {k: distinct([t for t, y in rows if y == k]) for k in (0, 1)}
     if not by[0] or not by[1]:
         return ToxicityModel()
-    # dictionaries learn from two of three texts; the third part, new to them, calibrates
-    learn = {k: [t for i, t in enumerate(by[k]) if i % 3] for k in by}
-    toxic, ordinary = (_dictionary(passages(learn[k], learn[1 - k])) for k in (1, 0))
-    model = ToxicityModel(toxic, ordinary)
-    held = [(t, 1) for t in by[1][::3]] + [(t, 0) for t in by[0][::3]]
-    saved = model.savings([t for t, _ in held])
-    y = np.array([k for _, k in held], float)
-    best = (-np.inf, model)
-    for threshold in range(1, 8):
-        m = ToxicityModel(toxic, ordinary, window_threshold=threshold)
-        x = np.array([(1.0, *m.features(s)) for s in saved])
-        m.weights = _logistic(x, y).tolist()
-        p = (1 / (1 + np.exp(-(x @ np.array(m.weights)).clip(-30, 30)))).clip(1e-9, 1 - 1e-9)
-        fitness = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-        if fitness > best[0]:
-            best = (fitness, m)
-    return best[1]
+    ordinary, toxic = dictionaries(*([t for i, t in enumerate(by[k]) if i % 3] for k in (1, 0)))
+    held = [t for k in (1, 0) for t in by[k][::3]]
+    y = np.repeat([1.0, 0.0], [len(by[1][::3]), len(by[0][::3])])
+    found = {k: _calibrated(x, ordinary, held, y) for k, x in toxic.items()}
+    return max(found.values(), key=lambda x: x[0])[1]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", fold: int = 5) -> list[tuple[str, int]]:
-    """Labelled texts outside the held-out fold, at most ``SAMPLE_DOCS`` and ``SAMPLE_CHARS`` of each class, by hash."""
+    """Labelled texts outside the held-out fold, at most ``SAMPLE_DOCS`` and ``SAMPLE_CHARS`` of each class, by hash.
+
+    Both bounds hold before a text reaches the driver; a text longer than what is
+    left of the second is passed over. Of rows with one id the least text counts.
+    """
     known = labels.select(F.col(id_column).alias("label_id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1) and label_id is not null").groupBy("label_id").agg(F.max("label").alias("label"))
     few = known.where(F.crc32(F.col("label_id").cast("string").cast("binary")) % fold != 0)
     # bounded before the texts are touched
     few = few.where("label = 1").orderBy(F.xxhash64("label_id")).limit(SAMPLE_DOCS).unionByName(few.where("label = 0").orderBy(F.xxhash64("label_id")).limit(SAMPLE_DOCS))
-    got = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).where("text is not null").join(F.broadcast(few), "label_id")
-    rows, used = [], Counter()
-    for r in got.orderBy(F.xxhash64("label_id"), "text").toLocalIterator():
-        if used[r["label"]] < SAMPLE_CHARS:
-            rows.append((r["text"], r["label"]))
-            used[r["label"]] += len(r["text"])
-    return rows
+    got = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few), "label_id")
+    one = got.groupBy("label_id", "label").agg(F.min("text").alias("text"))
+    running = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("label_id"), "label_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = one.withColumn("chars", running).where(F.col("chars") <= SAMPLE_CHARS)
+    return sorted((r["text"], r["label"]) for r in chosen.select("text", "label").toLocalIterator())
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODES = "project string, path string, node_id int, parent_id int, kind string, field string, ord int, name string, text string, n int, line int, end_line int, start_line int, fn_id int, class_id int, symbol string, nest int"
+#: More of a node: the function around it (classes between or not), its part of cognitive complexity, decorators, bases,
+#: names that it is assigned to (or its function's), whether it is a built string, a comparison with itself, a store; an
+#: import's module; a function's parameters; what its docstring describes; operators, and the operand that a node is;
+#: its place in the source's order and the last place below it.
+NODES += ", test_id int, cog int, tags array<string>, bases array<string>, context string, dyn boolean, same boolean, store boolean, origin string, params array<string>, doc_params array<string>, doc_returns boolean, doc_raises boolean, operators array<string>, operand string, pre int, last int"
 
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.Match, ast.With, ast.AsyncWith)
@@ -43,7 +49,7 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
         case ast.alias():
             return node.asname or node.name.split(".")[0], node.name, None
         case ast.BoolOp():
-            return None, None, len(node.values)
+            return type(node.op).__name__, None, len(node.values)
         case ast.comprehension():
             return None, None, len(node.ifs)
         case ast.match_case():
@@ -55,29 +61,210 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
     return None, None, None
 
 
+_LOOPS = (ast.For, ast.AsyncFor, ast.While)
+_SECTION = re.compile(r"^\s*(args|arguments|parameters|params|returns?|yields?|raises|except|exceptions|attributes|examples?|notes?|warnings?|see also|references)\s*:?\s*$", re.I)
+
+
+def docstring_parts(text: str) -> tuple[list[str], bool, bool]:
+    """Parameters that a docstring describes (sections by name, underlined sections, fields), and whether it has returns and raises."""
+    params = re.findall(r"^\s*:(?:param|parameter|arg|argument|key|keyword)\s+(?:[^:]*\s)?(\*{0,2}\w+)\s*:", text, re.M)
+    returns, raises = bool(re.search(r"^\s*:(?:returns?|rtype)\b", text, re.M)), bool(re.search(r"^\s*:(?:raises?|except|exception)\b", text, re.M))
+    section = indent = None
+    for line in text.splitlines():
+        head = _SECTION.match(line)
+        if head:
+            section, indent = head[1].lower(), None
+            continue
+        if not line.strip() or set(line.strip()) == {"-"}:
+            continue
+        depth = len(line) - len(line.lstrip())
+        indent = depth if indent is None else indent
+        if section in ("args", "arguments", "parameters", "params") and depth == indent:
+            m = re.match(r"\s*(\*{0,2}\w+)\s*(?:\(.*?\))?\s*:", line) or re.match(r"\s*(\*{0,2}\w+)\s*$", line)
+            params += [m[1]] if m else []
+        returns = returns or section in ("return", "returns", "yield", "yields")
+        raises = raises or section in ("raises", "except", "exceptions")
+        if section and depth < (indent or 0):
+            section = None
+    return params, returns, raises
+
+
+def _makes_text(node: ast.AST) -> bool:
+    match node:
+        case ast.Constant():
+            return isinstance(node.value, str)
+        case ast.JoinedStr():
+            return True
+        case ast.BinOp(op=ast.Add() | ast.Mod()):
+            return _makes_text(node.left) or _makes_text(node.right)
+        case ast.Call(func=ast.Attribute(attr="format" | "join")):
+            return True
+    return False
+
+
+def _built(node: ast.AST) -> bool:
+    """Whether a string is put together at run time."""
+    match node:
+        case ast.JoinedStr():
+            return any(isinstance(v, ast.FormattedValue) for v in node.values)
+        case ast.BinOp(op=ast.Add()):
+            return _makes_text(node.left) or _makes_text(node.right)
+        case ast.BinOp(op=ast.Mod()):
+            return _makes_text(node.left)
+        case ast.Call(func=ast.Attribute(attr="format")):
+            return True
+    return False
+
+
+def _path_of(node: ast.AST) -> str | None:
+    """Source of names, attributes and calls without keywords; null for anything else."""
+    match node:
+        case ast.Name():
+            return node.id
+        case ast.Attribute():
+            inner = _path_of(node.value)
+            return inner and f"{inner}.{node.attr}"
+        case ast.Call():
+            parts = [_path_of(x) for x in (node.func, *node.args)]
+            return f"{parts[0]}({','.join(parts[1:])})" if all(parts) else None
+    return None
+
+
+def _self_compared(node: ast.AST) -> bool:
+    """Whether an expression compares a value, or its type, with itself."""
+    match node:
+        case ast.Compare(ops=[ast.Is() | ast.Eq()], left=a, comparators=[b]):
+            return _path_of(a) is not None and _path_of(a) == _path_of(b)
+        case ast.Call(func=ast.Name(id="isinstance"), args=[a, ast.Call(func=ast.Name(id="type"), args=[b])]):
+            return _path_of(a) is not None and _path_of(a) == _path_of(b)
+    return False
+
+
+_OPERATIONS = (ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.Compare)
+
+
+def _places(tree: ast.AST) -> dict[ast.AST, tuple[int, int]]:
+    """Each node's place in depth-first order, and the last place below it."""
+    order, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += reversed(list(ast.iter_child_nodes(node)))
+    last: dict[ast.AST, int] = {}
+    for k in range(len(order) - 1, -1, -1):
+        last[order[k]] = max([k, *(last[c] for c in ast.iter_child_nodes(order[k]) if c in last)])
+    return {node: (k, last[node]) for k, node in enumerate(order)}
+
+
+def _operators(node: ast.AST) -> list[str] | None:
+    """The operators of an expression or an augmented assignment."""
+    match node:
+        case ast.BinOp() | ast.UnaryOp() | ast.BoolOp():
+            return [type(node.op).__name__]
+        case ast.Compare():
+            return [type(o).__name__ for o in node.ops]
+        case ast.AugAssign():
+            return [f"{type(node.op).__name__}Assign"]
+    return None
+
+
+def _operand(node: ast.AST) -> str | None:
+    """What a node is as an operand: a name, a constant, or a call, subscript or attribute as a whole."""
+    match node:
+        case ast.Name():
+            return node.id
+        case ast.Constant():
+            return repr(node.value)
+        case ast.Call() | ast.Subscript() | ast.Attribute():
+            return ast.unparse(node)
+    return None
+
+
+def _own_cognitive(node: ast.AST, depth: int, fn_name: str | None, elif_: bool) -> int:
+    """What a node adds to its function's cognitive complexity."""
+    match node:
+        case ast.If():
+            other = bool(node.orelse) and not (len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If))
+            return (1 if elif_ else 1 + depth) + other
+        case ast.For() | ast.AsyncFor() | ast.While():
+            return 1 + depth + bool(node.orelse)
+        case ast.ExceptHandler() | ast.IfExp() | ast.Match():
+            return 1 + depth
+        case ast.BoolOp():
+            return 1
+        case ast.Call(func=ast.Name(id=name)):
+            return int(name == fn_name)
+    return 0
+
+
+def _deeper(node: ast.AST, key: str, child: ast.AST) -> bool:
+    """Whether a field's children are one level deeper for cognitive complexity."""
+    if isinstance(node, ast.If):
+        return key == "body" or key == "orelse" and not (len(node.orelse) == 1 and isinstance(child, ast.If))
+    if isinstance(node, (*_LOOPS, ast.ExceptHandler, ast.IfExp)):
+        return key != "type" and (isinstance(node, ast.IfExp) or key in ("body", "orelse"))
+    return isinstance(node, ast.match_case) and key in ("body", "guard")
+
+
 def flatten(source: str) -> list[tuple]:
     """Rows of a source's nodes in breadth-first order; a source that doesn't parse gives one row of kind ``error``."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(0, None, "error", None, 0, None, str(e)[:200], None, getattr(e, "lineno", None), None, None, None, None, None, 0)]
-    rows, queue = [], [(tree, None, None, 0, None, None, (), 0)]
-    for at, (node, parent, field, place, fn, cls, names, nest) in enumerate(queue):
+        return [(0, None, "error", None, 0, None, str(e)[:200], None, getattr(e, "lineno", None), None, None, None, None, None, 0, *[None] * 15, 0, 0)]
+    rows: list[tuple] = []
+    places = _places(tree)
+    # node, parent, field, place; the body's function and its name, the function around, the class; names, nesting, cognitive depth, context, elif; in an operation
+    queue = [(tree, None, None, 0, None, None, None, None, (), 0, 0, None, False, False)]
+    for at, (node, parent, field, place, fn, fn_name, around, cls, names, nest, depth, context, elif_, operated) in enumerate(queue):
         name, text, n = _described(node)
         line, end = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
         start = min([line, *(d.lineno for d in getattr(node, "decorator_list", []))]) if line else None
         nest += isinstance(node, _NESTING)
-        inner = names
+        inner, origin, tags, bases, params, doc = names, None, None, None, None, (None, None, None)
         if isinstance(node, ast.Lambda):
             inner = (*names, f"<lambda:{line}>")
         elif isinstance(getattr(node, "name", None), str) and not isinstance(node, ast.alias):
             inner = (*names, node.name)
-        rows.append((at, parent, type(node).__name__, field, place, name, text, n, line, end, start, fn, cls, ".".join(inner) or "<module>", nest))
+        defines = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
+        if defines or isinstance(node, ast.ClassDef):
+            tags = [_dotted(d.func if isinstance(d, ast.Call) else d) or "" for d in node.decorator_list]
+        if isinstance(node, ast.ClassDef):
+            bases = [_dotted(b.value if isinstance(b, ast.Subscript) else b.func if isinstance(b, ast.Call) else b) or "" for b in node.bases]
+        if defines:
+            args = node.args
+            params = [a.arg for a in (*args.posonlyargs, *args.args, *filter(None, [args.vararg]), *args.kwonlyargs, *filter(None, [args.kwarg]))]
+            doc = docstring_parts(text) if text else doc
+        if isinstance(node, ast.alias):
+            up = queue[parent][0]
+            origin, n = (up.module or "") if isinstance(up, ast.ImportFrom) else None, int(queue[parent][1] == 0)
+        store = isinstance(node.ctx, ast.Store) if isinstance(node, (ast.Attribute, ast.Name, ast.Subscript)) else None
+        if isinstance(node, ast.Assign):
+            context = "=" + ",".join(t.id for t in node.targets if isinstance(t, ast.Name))
+        elif defines:
+            context = node.name
+        # below a whole operand nothing counts; below an operation every operand does
+        operators = None if operated is None else _operators(node)
+        operand = _operand(node) if operated else None
+        below = None if operated is None or operand is not None else operated or operators is not None
+        cog = _own_cognitive(node, depth, fn_name, elif_) if fn is not None else 0
+        rows.append((at, parent, type(node).__name__, field, place, name, text, n, line, end, start, fn, cls, ".".join(inner) or "<module>", nest, around, cog, tags, bases, context, _built(node) if isinstance(node, ast.expr) else None, _self_compared(node) if isinstance(node, ast.expr) else None, store, origin, params, *doc, operators, operand, *places[node]))
         mine = isinstance(node, _SCOPES)
         for key, value in ast.iter_fields(node):
             for i, child in enumerate(value if isinstance(value, list) else [value]):
-                if isinstance(child, ast.AST) and not isinstance(child, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)):
-                    queue.append((child, at, key, i, at if mine else fn, at if isinstance(node, ast.ClassDef) else cls, inner, 0 if mine else nest))
+                if not isinstance(child, ast.AST) or isinstance(child, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)):
+                    continue
+                # a function owns its body and parameters; defaults, annotations, decorators and bases belong to what is around it
+                owner, name_, scope, deep, level = fn, fn_name, around, depth + _deeper(node, key, child), nest
+                if mine and key in ("body", "args"):
+                    owner, name_, scope, deep, level = at, getattr(node, "name", None), at, 0, 0
+                elif isinstance(node, ast.arguments) and not isinstance(child, ast.arg) or isinstance(node, ast.arg):
+                    up = queue[parent] if isinstance(node, ast.arguments) else queue[queue[parent][1]]
+                    owner, name_, scope, deep, level = up[4], up[5], up[6], up[10], up[9]
+                elif isinstance(node, ast.ClassDef) and key == "body":
+                    owner, name_, deep, level = None, None, 0, 0
+                branch = isinstance(node, ast.If) and key == "orelse" and len(node.orelse) == 1 and isinstance(child, ast.If)
+                queue.append((child, at, key, i, owner, name_, scope, at if isinstance(node, ast.ClassDef) else cls, inner, level, deep, context, branch, below if not mine and not isinstance(node, ast.ClassDef) else False if key == "body" else None))
     return rows
 
 
@@ -85,7 +272,9 @@ def nodes(units: DataFrame) -> DataFrame:
     """The node relation of all Python units, in the units' own partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        listed, flag = pa.list_(pa.string()), pa.bool_()
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 6, pa.string(), pa.int32()]
+        kinds += [pa.int32(), pa.int32(), listed, listed, pa.string(), flag, flag, flag, pa.string(), listed, listed, flag, flag, listed, pa.string(), pa.int32(), pa.int32()]
         names = [f.split(" ")[0] for f in NODES.split(", ")]
         for b in batches:
             for at in range(0, b.num_rows, 200):
@@ -115,6 +304,7 @@ def functions(tree: DataFrame) -> DataFrame:
     own = tree.where("fn_id is not null").groupBy(*key, F.col("fn_id").alias("node_id")).agg(
         (1 + F.sum(cc)).cast("int").alias("cyclomatic"),
         F.max("nest").alias("nesting"),
+        F.sum("cog").cast("int").alias("cognitive"),
         F.count_if(F.col("kind") == "arg").cast("int").alias("all_parameters"),
         F.max(F.when((F.col("kind") == "arg") & F.col("field").isin("args", "posonlyargs") & (F.col("ord") == 0), F.col("name"))).alias("first"),
     )
@@ -128,4 +318,6 @@ def functions(tree: DataFrame) -> DataFrame:
         (F.coalesce("all_parameters", F.lit(0)) - F.when(receiver, 1).otherwise(0)).alias("parameters"),
         F.coalesce("cyclomatic", F.lit(1)).alias("cyclomatic"),
         F.coalesce("nesting", F.lit(0)).alias("nesting"),
+        F.coalesce("cognitive", F.lit(0)).alias("cognitive"),
+        "tags", "params", "doc_params", "doc_returns", "doc_raises", "test_id",
     )

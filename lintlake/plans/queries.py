@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, findings as ops, scoring, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, findings as ops, scoring, security_rules, test_rules, text_rules
 from lintlake.plans import proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import corpus
+from lintlake.sources.snippets import ABOUT, DECLARATIONS, SECURITY, TESTS, Snippet, dealt, expected_sql
+from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -337,7 +339,7 @@ def high_entropy_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parsed code ------------------------------------------------------------------------------
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.nodes(_planted_units(spark, sf_dir))
+    return written_once(spark, "nodes-parts", sf_dir, lambda: code.nodes(_planted_units(spark, sf_dir)))
 
 
 @query(f"WITH p AS (SELECT {PART}, p_size::INTEGER AS size FROM part) SELECT project, path, 'work_' || k AS symbol, size AS parameters, size + 1 AS cyclomatic, 1 AS nesting FROM p")
@@ -420,7 +422,8 @@ def unreferenced_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _test_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.nodes(corpus.planted_tests(table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")))
+    spread = lambda: table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return written_once(spark, "nodes-customers", sf_dir, lambda: code.nodes(corpus.planted_tests(spread())))
 
 
 def _habit(symbol: str, rule: str, severity: str, pillar: str, confidence: str, where: str) -> str:
@@ -445,3 +448,31 @@ for _name, _rule, _sql in (
     ("attribute_counts", lambda tree: code_rules.attribute_counts(tree, 2), _habit("CASE WHEN c_custkey % 5 = 0 THEN 'Manager' ELSE 'Holder' || CAST(c_custkey AS VARCHAR) END", "size.attribute-count", "error", "size", "high", "true")),
 ):
     query(_sql, _name)(lambda spark, sf_dir, rule=_rule: _shown(rule(_test_tree(spark, sf_dir))))
+
+
+# --- modules with known findings ------------------------------------------------------------------
+
+SHOWN = ("project", "rule_id", "file_path", "line", "symbol", "severity", "pillar", "confidence", "message")
+
+
+def _dealt_tree(spark: SparkSession, sf_dir: str, name: str, snippets: list[Snippet]) -> DataFrame:
+    """The node relation of the dealt modules, parsed and written once."""
+    spread = lambda: table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return written_once(spark, f"nodes-{name}", sf_dir, lambda: code.nodes(dealt(spread(), snippets)))
+
+
+@query(expected_sql(SECURITY, ABOUT))
+def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security_rules.all_rules(_dealt_tree(spark, sf_dir, "security", SECURITY)).select(*SHOWN)
+
+
+@query(expected_sql(TESTS, ABOUT))
+def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _dealt_tree(spark, sf_dir, "tests", TESTS)
+    return test_rules.all_rules(tree, code.functions(tree)).select(*SHOWN)
+
+
+@query(expected_sql(DECLARATIONS, ABOUT))
+def declaration_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _dealt_tree(spark, sf_dir, "declarations", DECLARATIONS)
+    return declaration_rules.all_rules(tree, code.functions(tree)).select(*SHOWN)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -211,7 +213,7 @@ def flatten(source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(0, None, "error", None, 0, None, str(e)[:200], None, getattr(e, "lineno", None), None, None, None, None, None, 0, *[None] * 15, 0, 0)]
+        return [(0, None, "error", None, 0, None, str(e)[:200], None, getattr(e, "lineno", None), None, None, None, None, None, 0, *[None] * 15, 0, 0), *((k, None, "Comment", None, 0, None, text, None, line, line, line, None, None, None, 0, *[None] * 15, 0, 0) for k, (line, text) in enumerate(comments(source), 1))]
     rows: list[tuple] = []
     places = _places(tree)
     # node, parent, field, place; the body's function and its name, the function around, the class; names, nesting, cognitive depth, context, elif; in an operation
@@ -265,9 +267,24 @@ def flatten(source: str) -> list[tuple]:
                     owner, name_, deep, level = None, None, 0, 0
                 branch = isinstance(node, ast.If) and key == "orelse" and len(node.orelse) == 1 and isinstance(child, ast.If)
                 queue.append((child, at, key, i, owner, name_, scope, at if isinstance(node, ast.ClassDef) else cls, inner, level, deep, context, branch, below if not mine and not isinstance(node, ast.ClassDef) else False if key == "body" else None))
+    for number, (line, text) in enumerate(comments(source), len(rows)):
+        rows.append((number, None, "Comment", None, 0, None, text, None, line, line, line, None, None, None, 0, *[None] * 15, 0, 0))
     return rows
 
 
+def comments(source: str) -> list[tuple[int, str]]:
+    """(line, text) of each comment, up to where the source can't be cut into tokens."""
+    found: list[tuple[int, str]] = []
+    if "#" in source:
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(source).readline):
+                if t.type == tokenize.COMMENT:
+                    found.append((t.start[0], t.string))
+        except (tokenize.TokenError, SyntaxError):
+            pass
+    return found
+
+
 def nodes(units: DataFrame) -> DataFrame:
     """The node relation of all Python units, in the units' own partitions."""
 

@@ -19,9 +19,13 @@ WORD = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 KEY = ("project", "path")
 
 
-def finding(rows: DataFrame, rule: str, severity: str, pillar: str, confidence: str = "high", measured: Column | None = None) -> DataFrame:
+#: Rules that point at a place have no symbol; naming rules carry the name itself.
+NO_SYMBOL = "cast(null as string)"
+
+
+def finding(rows: DataFrame, rule: str, severity: str, pillar: str, confidence: str = "high", measured: Column | None = None, symbol: str = "symbol") -> DataFrame:
     """Rows with ``line`` and ``symbol`` as findings of a rule."""
-    return rows.select("project", F.lit(rule).alias("rule_id"), F.col("path").alias("file_path"), "line", "symbol", F.lit(severity).alias("severity"), F.lit(pillar).alias("pillar"), F.lit(confidence).alias("confidence"), (measured if measured is not None else F.lit(None)).cast("int").alias("measured"))
+    return rows.select("project", F.lit(rule).alias("rule_id"), F.col("path").alias("file_path"), "line", F.expr(symbol).alias("symbol"), F.lit(severity).alias("severity"), F.lit(pillar).alias("pillar"), F.lit(confidence).alias("confidence"), (measured if measured is not None else F.lit(None)).cast("int").alias("measured"))
 
 
 def measured_rules(functions: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
@@ -52,7 +56,7 @@ def missing_docstrings(tree: DataFrame) -> DataFrame:
     """Modules, classes and public functions without a docstring; tests aside."""
     tests = F.col("path").rlike(r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$")
     bare = tree.where(F.col("text").isNull() & ~tests)
-    module = finding(bare.where("kind = 'Module' and n > 0").withColumns({"line": F.lit(1), "symbol": F.lit("<module>")}), "docs.missing-module-docstring", "advisory", "documentation", "medium")
+    module = finding(bare.where("kind = 'Module' and n > 0").withColumn("line", F.lit(1)), "docs.missing-module-docstring", "advisory", "documentation", "medium", symbol=NO_SYMBOL)
     class_ = finding(bare.where("kind = 'ClassDef'"), "docs.missing-class-docstring", "warning", "documentation")
     function = finding(bare.where("kind in ('FunctionDef', 'AsyncFunctionDef') and name not like '\\\\_%'"), "docs.missing-function-docstring", "warning", "documentation")
     return module.unionByName(class_).unionByName(function)
@@ -68,30 +72,34 @@ def identifiers(tree: DataFrame) -> DataFrame:
     return tree.where(kind & F.col("name").isNotNull())
 
 
+#: Paths that naming rules pass over.
+TEST_PATH = r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$"
+
+
 def abbreviations(tree: DataFrame) -> DataFrame:
-    """The first place in a file of each name with an abbreviated word."""
-    bad = identifiers(tree).where(F.arrays_overlap(_words(), F.array(*map(F.lit, ABBREVIATIONS))))
-    first = bad.groupBy(*KEY, "name").agg(F.min_by(F.struct("line", "symbol"), "node_id").alias("at")).select(*KEY, "at.line", "at.symbol")
+    """The first place in a file of each name with an abbreviated word; test files aside."""
+    bad = identifiers(tree).where(F.arrays_overlap(_words(), F.array(*map(F.lit, ABBREVIATIONS))) & ~F.col("path").rlike(TEST_PATH))
+    first = bad.groupBy(*KEY, F.col("name").alias("symbol")).agg(F.min_by("line", "node_id").alias("line"))
     return finding(first, "naming.abbreviation", "advisory", "naming", "medium")
 
 
 def short_variables(tree: DataFrame) -> DataFrame:
-    """Assigned names of one letter that aren't customary, once a name and line."""
-    assigned = tree.where("kind = 'Name' and text = 'Store' and length(name) = 1").where(~F.col("name").isin(*SHORT_NAMES))
+    """Assigned names of one letter that aren't customary, once a name and line; test files aside."""
+    assigned = tree.where("kind = 'Name' and text = 'Store' and length(name) = 1").where(~F.col("name").isin(*SHORT_NAMES) & ~F.col("path").rlike(TEST_PATH))
     targets = assigned.join(tree.where("kind in ('Assign', 'AnnAssign', 'AugAssign', 'NamedExpr')").select(*KEY, F.col("node_id").alias("parent_id")), [*KEY, "parent_id"], "left_semi")
-    return finding(targets.dropDuplicates([*KEY, "name", "line"]), "naming.short-variable", "advisory", "naming", "low")
+    return finding(targets.dropDuplicates([*KEY, "name", "line"]), "naming.short-variable", "advisory", "naming", "low", symbol="name")
 
 
 def hungarian(tree: DataFrame) -> DataFrame:
     tagged = identifiers(tree).where(F.col("name").contains("_") & F.split("name", "_")[0].isin(*HUNGARIAN))
-    return finding(tagged.dropDuplicates([*KEY, "name", "line"]), "naming.hungarian-notation", "warning", "naming")
+    return finding(tagged.dropDuplicates([*KEY, "name", "line"]), "naming.hungarian-notation", "warning", "naming", symbol="name")
 
 
 def poor_identifiers(tree: DataFrame) -> DataFrame:
     """Placeholders, ``todo`` and numbered stock names."""
     words = _words()
     bad = F.element_at(words, 1).isin(*PLACEHOLDERS) | (F.lower("name") == "todo") | F.col("name").rlike(f"^({'|'.join(NUMBERED)})_?[0-9]+$")
-    return finding(identifiers(tree).where((F.size(words) > 0) & bad).dropDuplicates([*KEY, "name", "line"]), "naming.identifier-quality", "warning", "naming")
+    return finding(identifiers(tree).where((F.size(words) > 0) & bad).dropDuplicates([*KEY, "name", "line"]), "naming.identifier-quality", "warning", "naming", symbol="name")
 
 
 def generic_functions(functions: DataFrame) -> DataFrame:
@@ -100,24 +108,38 @@ def generic_functions(functions: DataFrame) -> DataFrame:
 
 
 def unused_imports(tree: DataFrame) -> DataFrame:
-    """Imported names that no expression of the file reads, by anti-join; package files are skipped."""
-    names = tree.where("kind = 'alias' and name != '*'").where(~F.col("path").endswith("__init__.py"))
-    last = names.groupBy(*KEY, "name").agg(F.max_by(F.struct("line", "symbol"), "node_id").alias("at")).select(*KEY, "name", "at.line", "at.symbol")
-    used = tree.where("kind = 'Name' and text != 'Store'").select(*KEY, "name").distinct()
-    return finding(last.join(used, [*KEY, "name"], "left_anti"), "waste.unused-import", "warning", "dead-code")
+    """Imported names that no expression of the file reads, by anti-join; package files are skipped.
+
+    Names that ``__all__`` lists or that a string annotation mentions are read;
+    imports from ``__future__`` and lines marked ``noqa`` are no findings.
+    """
+    names = tree.where("kind = 'alias' and name != '*' and coalesce(origin, '') != '__future__'").where(~F.col("path").endswith("__init__.py"))
+    last = names.groupBy(*KEY, "name").agg(F.max_by("line", "node_id").alias("line"))
+    used = tree.where("kind = 'Name' and text != 'Store'").select(*KEY, "name")
+    lists = tree.where("kind = 'Assign' and context = '=__all__'").select(*KEY, F.col("node_id").alias("parent_id"))
+    listed = tree.where("kind in ('List', 'Tuple') and field = 'value'").join(lists, [*KEY, "parent_id"], "left_semi").select(*KEY, F.col("node_id").alias("parent_id"))
+    exported = tree.where("kind = 'Constant' and field = 'elts'").join(listed, [*KEY, "parent_id"], "left_semi").select(*KEY, F.col("text").alias("name"))
+    quoted = tree.where("kind = 'Constant' and name = 'str' and field in ('annotation', 'returns')").select(*KEY, F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    marked = tree.where("kind = 'Comment' and lower(text) rlike '#.*\\\\bnoqa\\\\b'").select(*KEY, "line").distinct()
+    unread = last.join(used.unionByName(exported).unionByName(quoted).distinct(), [*KEY, "name"], "left_anti")
+    return finding(unread.join(marked, [*KEY, "line"], "left_anti"), "waste.unused-import", "warning", "dead-code", symbol=NO_SYMBOL)
 
 
 def unreachable(tree: DataFrame) -> DataFrame:
     """The first statement after a return, raise, continue or break of its block."""
     statements = tree.where(F.col("field").isin("body", "orelse", "finalbody"))
     leaves = F.col("kind").isin("Return", "Raise", "Continue", "Break")
-    ends = statements.where(leaves).groupBy(*KEY, "parent_id", "field").agg(F.min("ord").alias("last"))
-    after = statements.join(ends, [*KEY, "parent_id", "field"]).where(F.col("ord") == F.col("last") + 1)
-    return finding(after, "waste.unreachable-code", "warning", "dead-code")
+    ends = statements.where(leaves).groupBy(*KEY, "parent_id", "field").agg(F.min("ord").alias("left_at"))
+    after = statements.join(ends, [*KEY, "parent_id", "field"]).where(F.col("ord") == F.col("left_at") + 1)
+    return finding(after, "waste.unreachable-code", "warning", "dead-code", symbol=NO_SYMBOL)
 
 
 def dangerous_calls(tree: DataFrame) -> DataFrame:
-    return finding(tree.where((F.col("kind") == "Call") & F.col("text").isin(*DANGEROUS_CALLS)), "security.dangerous-function-call", "error", "security")
+    """Evaluation of text, and imports by a name that is no literal."""
+    dynamic = children(tree, "field = 'args' and ord = 0 and not (kind = 'Constant' and name = 'str')").select(*KEY, "node_id")
+    imports = tree.where("kind = 'Call' and text = '__import__'").join(dynamic, [*KEY, "node_id"], "left_semi")
+    always = tree.where((F.col("kind") == "Call") & F.col("text").isin(*DANGEROUS_CALLS))
+    return finding(always.unionByName(imports), "security.dangerous-function-call", "error", "security", symbol=NO_SYMBOL)
 
 
 def unreferenced(tree: DataFrame, entry_points: tuple[str, ...] = ("main",)) -> DataFrame:
@@ -139,6 +161,8 @@ def first_per(rows: DataFrame, *key: str) -> DataFrame:
 #: Names that the rules look for.
 OLD_TLS = ("PROTOCOL_TLSv1", "PROTOCOL_TLSv1_1", "PROTOCOL_SSLv2", "PROTOCOL_SSLv3", "PROTOCOL_SSLv23")
 WIDE_EXCEPTIONS = ("Exception", "BaseException")
+UNSAFE_LOADS = ("pickle.loads", "pickle.load", "cPickle.loads", "cPickle.load", "dill.loads", "dill.load", "marshal.loads", "marshal.load", "shelve.open", "jsonpickle.decode")
+UNPICKLERS = ("pickle.Unpickler", "cPickle.Unpickler", "dill.Unpickler")
 
 
 def children(tree: DataFrame, where: str) -> DataFrame:
@@ -185,7 +209,7 @@ def format_calls(tree: DataFrame) -> DataFrame:
     literal = tree.where("kind = 'Attribute' and name = 'format' and field = 'func'").join(children(tree, "kind = 'Constant' and name = 'str' and field = 'value'"), [*KEY, "node_id"], "left_semi")
     given = children(tree, "field in ('args', 'keywords')").select(*KEY, "node_id").distinct()
     calls = tree.where("kind = 'Call'").join(literal.select(*KEY, F.col("parent_id").alias("node_id")), [*KEY, "node_id"], "left_semi").join(given, [*KEY, "node_id"], "left_semi")
-    return finding(calls, "modernisation.f-string-candidate", "advisory", "modernisation", "medium")
+    return finding(calls, "modernisation.f-string-candidate", "advisory", "modernisation", "medium", symbol=NO_SYMBOL)
 
 
 def silent_excepts(tree: DataFrame) -> DataFrame:
@@ -195,7 +219,7 @@ def silent_excepts(tree: DataFrame) -> DataFrame:
     wide = handlers.where(F.col("text").isin(*WIDE_EXCEPTIONS)).unionByName(handlers.join(typed, [*KEY, "node_id"], "left_anti"))
     constants = tree.where("kind = 'Expr' and field = 'body'").join(children(tree, "kind = 'Constant' and field = 'value'"), [*KEY, "node_id"], "left_semi")
     quiet = tree.where("kind = 'Pass' and field = 'body'").unionByName(constants).select(*KEY, F.col("parent_id").alias("node_id"))
-    return finding(wide.join(quiet, [*KEY, "node_id"], "left_semi"), "security.silent-except", "advisory", "security")
+    return finding(wide.join(quiet, [*KEY, "node_id"], "left_semi"), "security.silent-except", "advisory", "security", symbol=NO_SYMBOL)
 
 
 def shell_calls(tree: DataFrame) -> DataFrame:
@@ -204,24 +228,32 @@ def shell_calls(tree: DataFrame) -> DataFrame:
     shell = calls.where("text like 'subprocess.%'").join(children(tree, "kind = 'keyword' and name = 'shell' and text = 'True'"), [*KEY, "node_id"], "left_semi")
     dynamic = children(tree, "field = 'args' and ord = 0 and kind != 'Constant'")
     system = calls.where("text in ('os.system', 'os.popen')").join(dynamic, [*KEY, "node_id"], "left_semi")
-    return finding(shell.unionByName(system), "security.shell-injection", "error", "security")
+    return finding(shell.unionByName(system), "security.shell-injection", "error", "security", symbol=NO_SYMBOL)
 
 
 def old_tls(tree: DataFrame) -> DataFrame:
-    return finding(tree.where((F.col("kind") == "Attribute") & F.col("text").startswith("ssl.") & F.col("name").isin(*OLD_TLS)), "security.insecure-tls-protocol", "error", "security")
+    return finding(tree.where((F.col("kind") == "Attribute") & F.col("text").startswith("ssl.") & F.col("name").isin(*OLD_TLS)), "security.insecure-tls-protocol", "error", "security", symbol=NO_SYMBOL)
 
 
 def unsafe_pickles(tree: DataFrame) -> DataFrame:
-    """Loads of serialised objects from anything but a literal."""
-    loads = tree.where("kind = 'Call'").where(F.col("text").rlike(r"^(c?[pP]ickle|dill|marshal|jsonpickle)\.(loads?|decode)$|^shelve\.open$|\.Unpickler\.load$"))
-    literal = children(tree, "field = 'args' and ord = 0 and kind = 'Constant'")
-    return finding(loads.join(literal, [*KEY, "node_id"], "left_anti"), "security.unsafe-pickle", "error", "security")
+    """Loads of serialised objects from anything but a literal, and ``load`` of an unpickler made on the spot."""
+    literal = children(tree, "field = 'args' and ord = 0 and kind = 'Constant' and name in ('bytes', 'str')")
+    loads = tree.where((F.col("kind") == "Call") & F.col("text").isin(*UNSAFE_LOADS)).join(literal, [*KEY, "node_id"], "left_anti")
+    made = tree.where((F.col("kind") == "Call") & (F.col("field") == "value") & F.col("text").isin(*UNPICKLERS)).select(*KEY, F.col("parent_id").alias("node_id"))
+    method = tree.where("kind = 'Attribute' and name = 'load' and field = 'func'").join(made, [*KEY, "node_id"], "left_semi").select(*KEY, F.col("parent_id").alias("node_id"))
+    on_the_spot = tree.where("kind = 'Call'").join(method, [*KEY, "node_id"], "left_semi")
+    return finding(loads.unionByName(on_the_spot), "security.unsafe-pickle", "error", "security", symbol=NO_SYMBOL)
 
 
 def unused_parameters(tree: DataFrame) -> DataFrame:
     """Parameters of functions with a body that names never read; ``self``, ``cls``, underscored and starred ones aside."""
     params = tree.where("kind = 'arg' and field in ('args', 'posonlyargs', 'kwonlyargs') and name not in ('self', 'cls') and name not like '\\_%'")
-    names = tree.where("kind = 'Name'").select(*KEY, "fn_id", "name").distinct()
+    owned = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef', 'Lambda')").select(*KEY, F.col("node_id").alias("test_id"), F.col("test_id").alias("outer"))
+    names = tree.where("kind = 'Name'").select(*KEY, "test_id", "name").distinct()
+    # a read counts for the functions around it as well, two deep
+    once = names.join(owned, [*KEY, "test_id"]).where("outer is not null").select(*KEY, F.col("outer").alias("test_id"), "name")
+    twice = once.join(owned, [*KEY, "test_id"]).where("outer is not null").select(*KEY, F.col("outer").alias("test_id"), "name")
+    names = names.unionByName(once).unionByName(twice).select(*KEY, F.col("test_id").alias("fn_id"), "name").distinct()
     defs = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef')").select(*KEY, F.col("node_id").alias("fn_id"))
     plain = defs.join(empty_bodies(tree).select(*KEY, F.col("node_id").alias("fn_id")), [*KEY, "fn_id"], "left_anti")
     return finding(params.join(plain, [*KEY, "fn_id"], "left_semi").join(names, [*KEY, "fn_id", "name"], "left_anti"), "waste.unused-parameter", "advisory", "dead-code", "medium")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, findings as ops, scoring, security_rules, test_rules, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, scoring, security_rules, test_rules, text_rules
 from lintlake.plans import proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import corpus
-from lintlake.sources.snippets import ABOUT, DECLARATIONS, SECURITY, TESTS, Snippet, dealt, expected_sql
+from lintlake.sources.snippets import ABOUT, COMMENTS, DECLARATIONS, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,7 +305,7 @@ def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rules.aws_keys(_planted_units(spark, sf_dir)).drop("line")
 
 
-@query(_secret("'postgres://app:pw' || k || '@db.example.org'", "sensitive-data.database-url-password", "error", "high", 13))
+@query(_secret("'pw' || k", "sensitive-data.database-url-password", "error", "high", 13))
 def database_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rules.database_passwords(_planted_units(spark, sf_dir)).drop("line")
 
@@ -382,32 +382,32 @@ def public_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.public_methods(code.functions(tree), code_rules.classes(tree)))
 
 
-@query(_planted("'<module>'", "docs.missing-module-docstring", "advisory", "documentation", "medium", "p_partkey % 4 <> 0").replace("SELECT project, 'docs", "SELECT * FROM (SELECT project, 'docs", 1) + f") UNION ALL ({_planted("'Item' || k", "docs.missing-class-docstring", "warning", "documentation", "high", "p_partkey % 3 <> 0")}) UNION ALL ({_planted("'work_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "p_partkey % 5 <> 0")}) UNION ALL ({_planted("'caller_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "true")}) UNION ALL (WITH q AS (SELECT {PART}, unnest(range(0, p_size % 14 + 1)) AS i FROM part) SELECT project, 'docs.missing-function-docstring' AS rule_id, path AS file_path, 'Item' || k || '.method_' || CAST(i AS VARCHAR) AS symbol, 'warning' AS severity, 'documentation' AS pillar, 'high' AS confidence FROM q)")
+@query(_planted("NULL::VARCHAR", "docs.missing-module-docstring", "advisory", "documentation", "medium", "p_partkey % 4 <> 0").replace("SELECT project, 'docs", "SELECT * FROM (SELECT project, 'docs", 1) + f") UNION ALL ({_planted("'Item' || k", "docs.missing-class-docstring", "warning", "documentation", "high", "p_partkey % 3 <> 0")}) UNION ALL ({_planted("'work_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "p_partkey % 5 <> 0")}) UNION ALL ({_planted("'caller_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "true")}) UNION ALL (WITH q AS (SELECT {PART}, unnest(range(0, p_size % 14 + 1)) AS i FROM part) SELECT project, 'docs.missing-function-docstring' AS rule_id, path AS file_path, 'Item' || k || '.method_' || CAST(i AS VARCHAR) AS symbol, 'warning' AS severity, 'documentation' AS pillar, 'high' AS confidence FROM q)")
 def missing_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.missing_docstrings(_tree(spark, sf_dir)))
 
 
-@query(_planted("'work_' || k", "naming.short-variable", "advisory", "naming", "low", "p_partkey % 8 = 0"))
+@query(_planted("'q'", "naming.short-variable", "advisory", "naming", "low", "p_partkey % 8 = 0"))
 def short_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.short_variables(_tree(spark, sf_dir)))
 
 
-@query(_planted("'work_' || k", "naming.abbreviation", "advisory", "naming", "medium", "p_partkey % 10 = 0"))
+@query(_planted("'tmp_value'", "naming.abbreviation", "advisory", "naming", "medium", "p_partkey % 10 = 0"))
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.abbreviations(_tree(spark, sf_dir)))
 
 
-@query(_planted("'<module>'", "waste.unused-import", "warning", "dead-code", "high", "true") + f" UNION ALL ({_planted("'<module>'", "waste.unused-import", "warning", "dead-code", "high", "p_partkey % 6 = 0")})")
+@query(_planted("NULL::VARCHAR", "waste.unused-import", "warning", "dead-code", "high", "true") + f" UNION ALL ({_planted("NULL::VARCHAR", "waste.unused-import", "warning", "dead-code", "high", "p_partkey % 6 = 0")})")
 def unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.unused_imports(_tree(spark, sf_dir)))
 
 
-@query(_planted("'work_' || k", "waste.unreachable-code", "warning", "dead-code", "high", "p_partkey % 12 = 0"))
+@query(_planted("NULL::VARCHAR", "waste.unreachable-code", "warning", "dead-code", "high", "p_partkey % 12 = 0"))
 def unreachable_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.unreachable(_tree(spark, sf_dir)))
 
 
-@query(_planted("'work_' || k", "security.dangerous-function-call", "error", "security", "high", "p_partkey % 11 = 0"))
+@query(_planted("NULL::VARCHAR", "security.dangerous-function-call", "error", "security", "high", "p_partkey % 11 = 0"))
 def dangerous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(code_rules.dangerous_calls(_tree(spark, sf_dir)))
 
@@ -437,11 +437,11 @@ for _name, _rule, _sql in (
     ("trivial_assertions", code_rules.trivial_assertions, _habit(_CASE, "test-quality.trivial-assertion", "warning", "test-quality", "high", "c_custkey % 3 = 0") + " UNION ALL " + _habit(_CASE, "test-quality.trivial-assertion", "warning", "test-quality", "high", "c_custkey % 4 = 0")),
     ("no_assertions", code_rules.no_assertions, _habit(_CASE, "test-quality.no-assertions", "warning", "test-quality", "high", "c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 13 <> 0")),
     ("global_state_in_tests", code_rules.global_state_in_tests, _habit(_CASE, "test-quality.global-state-mutation", "warning", "test-quality", "medium", "c_custkey % 11 = 0")),
-    ("format_calls", code_rules.format_calls, _habit(_CASE, "modernisation.f-string-candidate", "advisory", "modernisation", "medium", "c_custkey % 6 = 0")),
-    ("silent_excepts", code_rules.silent_excepts, _habit(_CASE, "security.silent-except", "advisory", "security", "high", "c_custkey % 7 = 0")),
-    ("shell_calls", code_rules.shell_calls, _habit(_CASE, "security.shell-injection", "error", "security", "high", "c_custkey % 8 = 0") + " UNION ALL " + _habit(_CASE, "security.shell-injection", "error", "security", "high", "c_custkey % 9 = 0")),
-    ("old_tls", code_rules.old_tls, _habit(_CASE, "security.insecure-tls-protocol", "error", "security", "high", "c_custkey % 10 = 0")),
-    ("unsafe_pickles", code_rules.unsafe_pickles, _habit(_CASE, "security.unsafe-pickle", "error", "security", "high", "c_custkey % 12 = 0")),
+    ("format_calls", code_rules.format_calls, _habit("NULL::VARCHAR", "modernisation.f-string-candidate", "advisory", "modernisation", "medium", "c_custkey % 6 = 0")),
+    ("silent_excepts", code_rules.silent_excepts, _habit("NULL::VARCHAR", "security.silent-except", "advisory", "security", "high", "c_custkey % 7 = 0")),
+    ("shell_calls", code_rules.shell_calls, _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 8 = 0") + " UNION ALL " + _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 9 = 0")),
+    ("old_tls", code_rules.old_tls, _habit("NULL::VARCHAR", "security.insecure-tls-protocol", "error", "security", "high", "c_custkey % 10 = 0")),
+    ("unsafe_pickles", code_rules.unsafe_pickles, _habit("NULL::VARCHAR", "security.unsafe-pickle", "error", "security", "high", "c_custkey % 12 = 0")),
     ("unused_parameters", code_rules.unused_parameters, _habit("'helper_' || CAST(c_custkey AS VARCHAR)", "waste.unused-parameter", "advisory", "dead-code", "medium", "true")),
     ("empty_functions", code_rules.empty_functions, _habit("'empty_' || CAST(c_custkey AS VARCHAR)", "waste.empty-function", "warning", "dead-code", "high", "true")),
     ("confusing_classes", code_rules.confusing_classes, _habit("'Manager'", "naming.confusing-name", "advisory", "naming", "medium", "c_custkey % 5 = 0")),
@@ -476,3 +476,28 @@ def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def declaration_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "declarations", DECLARATIONS)
     return declaration_rules.all_rules(tree, code.functions(tree)).select(*SHOWN)
+
+
+@query(expected_sql(COMMENTS, ABOUT))
+def directive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directives.unexplained(_dealt_tree(spark, sf_dir, "comments", COMMENTS)).select(*SHOWN)
+
+
+_UNIT = "'p' || CAST(c_custkey % 5 AS VARCHAR) AS project, 'app/unit_' || CAST(c_custkey AS VARCHAR) || '.py' AS path"
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in sorted(ABOUT)] + [("naming.short-variable",), ("waste.unused-import",), ("size.file-length",)], "rule_id string")
+
+
+@query(f"SELECT {_UNIT}, line::INTEGER AS line, rule_id FROM customer, (VALUES (NULL, 'security.xxe'), (2, 'naming.short-variable'), (2, 'waste.unused-import'), (4, 'size.file-length')) e(line, rule_id) WHERE c_custkey % {len(COMMENTS)} = 1")
+def parsed_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directives.suppressions(_dealt_tree(spark, sf_dir, "comments", COMMENTS), _known(spark))
+
+
+@query(
+    f"""SELECT {_UNIT}, line::INTEGER AS line, type, message FROM customer, (VALUES (1, 'suppression-parse-error', 'Malformed suppression comment.'), (2, 'suppression-parse-error', 'Unknown suppression directive "enable".'), (3, 'suppression-parse-error', 'Suppression must name at least one explicit rule id.'),
+    (4, 'suppression-parse-error', 'Invalid rule id "Bad_Id".'), (4, 'suppression-unknown-rule', 'Unknown rule id "made.up".')) e(line, type, message) WHERE c_custkey % {len(COMMENTS)} = 2"""
+)
+def suppression_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directives.suppression_diagnostics(_dealt_tree(spark, sf_dir, "comments", COMMENTS), _known(spark))

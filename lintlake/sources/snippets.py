@@ -97,6 +97,7 @@ ABOUT = {
     "waste.one-line-function": ("advisory", "dead-code", "medium"),
     "waste.redundant-variable": ("advisory", "dead-code", "high"),
     "dead-code.unused-private-attribute": ("warning", "dead-code", "medium"),
+    "docs.ignore-directive-reason": ("warning", "documentation", "high"),
     "design.runtime-sys-path-mutation": ("advisory", "design", "high"),
 }
 
@@ -146,3 +147,11 @@ DECLARATIONS = [
     )),
     Snippet("import sys\nsys.path.insert(0, 'x')\n", (), "tests/conf_{k}.py"),
 ]
+
+_REASON = "Suppression directive '{}' is used {}."
+
+COMMENTS = [
+    Snippet("import a_{k}  # noqa\nimport b  # noqa: F401 - kept for plugin discovery\nimport c  # type: ignore[x] - because\n", (("docs.ignore-directive-reason", 1, None, _REASON.format("noqa", "without a reason")), ("docs.ignore-directive-reason", 3, None, _REASON.format("type: ignore[x]", "with a generic reason")))),
+    Snippet("# lintlake: disable-file=security.xxe -- parser is sandboxed\nx = 1  # lintlake: disable=naming.short-variable, waste.unused-import\n# lintlake: disable-next=size.file-length\ny_{k} = '# lintlake: disable=not.a-comment'\n", (("docs.ignore-directive-reason", 2, None, _REASON.format("lintlake: disable=naming.short-variable, waste.unused-import", "without a reason")), ("docs.ignore-directive-reason", 3, None, _REASON.format("lintlake: disable-next=size.file-length", "without a reason")))),
+    Snippet("a = 1  # lintlake: disable\nb = 2  # lintlake: enable=x.y\nc = 3  # lintlake: disable=x.y,,\nd = 4  # lintlake: disable=Bad_Id, made.up\n# plain comment {k}\n", (("docs.ignore-directive-reason", 4, None, _REASON.format("lintlake: disable=Bad_Id, made.up", "without a reason")),)),
+]

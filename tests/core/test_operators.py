@@ -77,12 +77,12 @@ def test_code_rules(spark):
     ).cache()
     one = lambda rows: sorted((r["file_path"], r["line"], r["symbol"]) for r in rows.collect())
     assert one(code_rules.unused_imports(tree)) == [("a.py", 1, None), ("a.py", 2, None)]
-    assert one(code_rules.unreachable(tree)) == [("a.py", 9, "run")]
-    assert one(code_rules.dangerous_calls(tree)) == [("a.py", 13, "Thing.m")]
-    assert one(code_rules.short_variables(tree)) == [("a.py", 5, "run")]
-    assert one(code_rules.abbreviations(tree)) == [("a.py", 4, "run")]
-    assert one(code_rules.hungarian(tree)) == [("a.py", 4, "run")]
-    assert one(code_rules.poor_identifiers(tree)) == [("a.py", 6, "run"), ("a.py", 7, "run")]
+    assert one(code_rules.unreachable(tree)) == [("a.py", 9, None)]
+    assert one(code_rules.dangerous_calls(tree)) == [("a.py", 13, None)]
+    assert one(code_rules.short_variables(tree)) == [("a.py", 5, "q")]
+    assert one(code_rules.abbreviations(tree)) == [("a.py", 4, "tmp")]
+    assert one(code_rules.hungarian(tree)) == [("a.py", 4, "str_name")]
+    assert one(code_rules.poor_identifiers(tree)) == [("a.py", 6, "foo"), ("a.py", 7, "data2")]
     assert one(code_rules.generic_functions(code.functions(tree))) == [("a.py", 4, "run")]
     assert one(code_rules.unreferenced(tree)) == [("a.py", 11, "Thing")]
     assert {r["parameters"] for r in code.functions(tree).where("symbol = 'Thing.m'").collect()} == {1}

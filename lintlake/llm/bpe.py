@@ -223,7 +223,7 @@ def encoder(path: str) -> Encoder:
     return worker_state(("bpe", path), lambda: Encoder(path))
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[list[str]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterable[list[str]]:
     """Consecutive runs of texts of about ``chars`` characters, so that working memory is bounded."""
     run, size = [], 0
     for t in texts:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.bpe import slices
 from lintlake.llm.components import connected_components
 from lintlake.llm.near_vectors import _forest
-from lintlake.llm.shared import written
+from lintlake.llm.shared import worker_state, written
 
 #: Cells of the count sketch and of its parts: a fixed size, whatever the input. Collisions only change the order.
 CELLS, PART = 1 << 22, 1 << 16
@@ -111,6 +111,7 @@ def _described(n: int):
     """Per document its size and key; at the end of a task the counts of its n-grams by cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("jaccard",), dict)
         names = ["id", "size", "key", "part", "counts"]
         counts = np.zeros(CELLS, np.int32)
         seen: set[int] = set()
@@ -147,6 +148,7 @@ def _prefixes(order, n: int, percent: int):
     """Per distinct set of a task the n-grams of its prefix, rare ones first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("jaccard",), dict)
         common = order.value
         seen: set[int] = set()
         for b in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -20,20 +22,29 @@ def worker_state(key: tuple, make: Callable[[], object]):
     """What a Python worker keeps between tasks: one operator's caches or model; another operator's replace it.
 
     Workers serve one stage after another, so their memory is the largest of the
-    stages' needs and not the sum.
+    stages' needs and not the sum: what the last operator held goes back to the
+    system before the next one fills its own.
     """
     if key not in _STATE:
         _STATE.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library's own free lists, where it has the call
+            ctypes.CDLL(None).malloc_trim(0)
         _STATE[key] = make()
     return _STATE[key]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    If unset: a folder in the warehouse, which they share as well; only a session on
+    one machine takes a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

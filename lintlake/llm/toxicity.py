@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import crc32_text
+from lintlake.llm.shared import crc32_text, worker_state
 
 #: Labelled documents and characters per class that the fit takes at most (those of the lowest hash).
 SAMPLE_DOCS = 6_000
@@ -154,7 +154,7 @@ class ToxicityModel:
 
     def savings(self, texts: Iterable[str]) -> list[list[int]]:
         """Bytes that the toxic dictionary saves on each window of each text."""
-        toxic, ordinary = self._compressors()
+        toxic, ordinary = worker_state(("toxicity", self.toxic, self.ordinary), self._compressors)
         return [[len(ordinary(w)) - len(toxic(w)) for w in (HEAD + x for x in windows(t))] for t in texts]
 
     def features(self, saved: list[int]) -> tuple[float, float, float]:

@@ -74,3 +74,45 @@ def test_odd_rows(spark):
     want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True)] + [(i, 0, i, True) for i in range(4, 11)]
     assert got == sorted(want, key=str)
     assert near_vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_one_id_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    got = sorted(tuple(r) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_magnitudes_and_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.01e-200]), (3, [1e200, -1e200]), (4, [5e-324, 5e-324])]
+    rows += [(10, [1.0, 0.0, 0.0]), (11, [2.0, 0.1, 0.0]), (12, [0.0, 0.0, 1.0]), (13, [1.0]), (14, [2.0]), (15, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (1, 13), 14: (1, 13), 15: (0, 15)}
+
+
+def test_recall_with_production_parameters(spark):
+    """Planted partners at cosines of 0.95 to 0.97, the hardest that count, against brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(9_000, 64))
+    source = base[:600] / np.linalg.norm(base[:600], axis=1, keepdims=True)
+    away = rng.normal(size=source.shape)
+    away -= (away * source).sum(1, keepdims=True) * source
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.95, 0.97, (600, 1))
+    x = np.vstack([base, source * cos + away * np.sqrt(1 - cos**2)])
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((n @ n.T >= 0.95).sum()) - len(x)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert 0.9 * want <= sum(r["n_links"] for r in near_vectors.near_duplicates(frame).collect()) <= want and want >= 1_200
+
+
+def test_recall_with_thousands_of_lists():
+    """As many lists as a table of 17 million vectors has: a partner's list is probed from one side at least."""
+    rng = np.random.default_rng(12)
+    base = near_vectors.unit(rng.normal(size=(21_000, 64)))
+    source, away = base[:1_000], rng.normal(size=(1_000, 64))
+    away -= (away * source).sum(1, keepdims=True) * source
+    near = source * 0.95 + near_vectors.unit(away) * np.sqrt(1 - 0.95**2)
+    index = near_vectors.VectorIndex.fit(base[-20_000:], 65_536 * near_vectors.LIST_ROWS)
+    assert len(index.halves[0]) * len(index.halves[1]) == 65_536
+    a, b = index.probes(source), index.probes(near)
+    assert ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() >= 0.9

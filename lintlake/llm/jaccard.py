@@ -31,8 +31,10 @@ from lintlake.llm.shared import worker_state, written
 
 #: Cells of the count sketch and of its parts: a fixed size, whatever the input. Collisions only change the order.
 CELLS, PART = 1 << 22, 1 << 16
-#: Documents of a block; n-grams multiplied at once; copies' keys that a task remembers.
-BLOCK, COLUMNS, SEEN = 1_024, 2_048, 500_000
+#: Documents of a block, and their n-grams (both at most, by hash, so about); n-grams multiplied at once; copies' keys that a task remembers.
+BLOCK, BLOCK_GRAMS, COLUMNS, SEEN = 1_024, 2_000_000, 2_048, 500_000
+#: Documents with an n-gram, by the sketch, from which on its entries are dealt over several tasks, so many to each.
+HOT = 4_096
 #: Sets in a column whose pairs are counted at most; longer columns are stars and blocks.
 SHORT = 24
 #: Candidates that are broadcast to the scan of texts at most.
@@ -112,7 +114,7 @@ def _described(n: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("jaccard",), dict)
-        names = ["id", "size", "key", "part", "counts"]
+        names = ["id", "hash", "size", "key", "part", "counts"]
         counts = np.zeros(CELLS, np.int32)
         seen: set[int] = set()
         for b in batches:
@@ -128,11 +130,11 @@ def _described(n: int):
                         seen.add(key)
                         np.add.at(counts, _cells(s), 1)
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)
         parts = [k for k in range(len(few)) if few[k].any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array([few[k].tobytes() for k in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array([few[k].tobytes() for k in parts], pa.binary())], names=names)
 
     return run
 
@@ -153,7 +155,7 @@ def _prefixes(order, n: int, percent: int):
         seen: set[int] = set()
         for b in batches:
             for texts in slices([t or "" for t in b.column(0).to_pylist()], 1_000_000):
-                keys, parts, sizes = [], [], []
+                keys, parts, sizes, salts = [], [], [], []
                 for s in shingle_sets(texts, n):
                     key = _key(s)
                     if not len(s) or key in seen:
@@ -162,44 +164,48 @@ def _prefixes(order, n: int, percent: int):
                         seen.clear()
                     seen.add(key)
                     # s is sorted, so equal counts go by hash
-                    p = s[np.argsort(common[_cells(s)], kind="stable")[: prefix_length(len(s), percent)]]
+                    times = common[_cells(s)]
+                    order_ = np.argsort(times, kind="stable")[: prefix_length(len(s), percent)]
+                    p = s[order_]
+                    # a frequent n-gram's sets go to several tasks, by their key; 0 is an n-gram that stays whole
+                    dealt = times[order_].astype(np.int64) // HOT
+                    salts.append(np.where(dealt > 0, 1 + key % (dealt + 1), 0).astype(np.int32))
                     keys.append(key)
                     parts.append(p)
                     sizes.append(len(s))
                 lengths = [len(p) for p in parts]
                 flat = np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["gram", "key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(salts or [np.zeros(0, np.int32)]))], names=["gram", "key", "size", "salt"])
 
     return run
 
 
 def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries in the order of gram and key: those of grams with two sets at least, with the gram's first set; copies go.
+    """Of entries in the order of gram, salt and key: those of grams with two sets at least, and all of dealt grams; copies go.
 
     Entries stream through; a gram's entries are never held together.
     """
-    gram = first = last = None
-    waiting = None  # the first entry of a gram, kept until a second set comes
+    waiting = last = None  # the first entry of a gram until a second set comes; the last entry's gram, key and salt
     for b in batches:
-        g, k, n = (b.column(i).to_numpy() for i in range(3))
+        g, k, n, t = (b.column(i).to_numpy() for i in range(4))
         if not len(g):
             continue
-        out: list[tuple[int, int, int, int, int]] = []
-        # within a batch only grams that repeat need a look; single ones are most
-        same = np.concatenate([[gram is not None and g[0] == gram], g[1:] == g[:-1]])
-        look = np.flatnonzero(same | np.concatenate([same[1:], [True]]))
+        out: list[tuple[int, int, int]] = []
+        # within a batch only grams that repeat or are dealt need a look; single ones are most
+        same = np.concatenate([[last is not None and g[0] == last[0]], g[1:] == g[:-1]])
+        look = np.flatnonzero(same | np.concatenate([same[1:], [True]]) | (t > 0))
         for i in look.tolist():
-            if g[i] != gram:
-                gram, first, last, waiting = g[i], (k[i], n[i]), k[i], True
-            elif k[i] != last:
-                if waiting:
-                    out.append((gram, *first, *first))
-                    waiting = False
-                out.append((gram, k[i], n[i], *first))
-                last = k[i]
+            entry = (g[i], k[i], n[i])
+            if last is None or g[i] != last[0] or t[i] != last[2]:
+                waiting = None if t[i] else entry
+                out += [entry] if t[i] else []
+            elif k[i] != last[1]:
+                out += [waiting] if waiting else []
+                waiting = None
+                out.append(entry)
+            last = (g[i], k[i], t[i])
         if out:
-            columns = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], names=["gram", "key", "size", "first", "first_size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], names=["gram", "key", "size"])
 
 
 def _overlap(n: int, percent: int):
@@ -263,12 +269,13 @@ def _own_texts(n: int):
 
 def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: int) -> DataFrame:
     """Components of set keys that have a link: ``id`` (key), ``component``."""
-    entries = docs.select("text").mapInArrow(_prefixes(order, n, percent), "gram long, key long, size int")
-    columns = entries.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(_columns, "gram long, key long, size long, first long, first_size long")
+    entries = docs.select("text").mapInArrow(_prefixes(order, n, percent), "gram long, key long, size int, salt int")
+    columns = entries.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key").mapInArrow(_columns, "gram long, key long, size long")
     columns = written(columns, "columns")
-    sets_of = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("sets"))
+    # a task may meet a set of another task again, but never twice within a gram and salt: keys decide the salt
+    sets_of = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("key", "size")).alias("head")).where("sets > 1")
     short = columns.join(sets_of.where(f"sets <= {SHORT}").select("gram"), "gram", "left_semi").select("gram", "key", "size")
-    long = columns.join(sets_of.where(f"sets > {SHORT}").select("gram"), "gram", "left_semi")
+    long = columns.join(sets_of.where(f"sets > {SHORT}").select("gram", F.col("head.key").alias("first"), F.col("head.size").alias("first_size")), "gram")
     # the product of the short columns: overlap counts of pairs, which their sizes' bound discards
     # where even all long columns of the smaller number couldn't add what is missing
     other = short.select("gram", F.col("key").alias("b"), F.col("size").alias("size_b"))
@@ -287,11 +294,13 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     best = ends.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     best = written(best, "best")
     wanted = ends.select(F.col("a").alias("key")).unionByName(ends.select(F.col("b").alias("key"))).unionByName(long.select("key")).distinct()
-    one = written(described.groupBy("key").agg(F.min("id").alias("one")).join(wanted, "key", "left_semi"), "wanted")
+    # a text of each set, found by its row's id and the text's own hash: ids may be null or repeat
+    one = written(described.groupBy("key").agg(F.min(F.struct("id", "hash")).alias("row")).join(wanted, "key", "left_semi").select("key", F.col("row.id").alias("one"), F.col("row.hash").alias("hash")), "wanted")
     if one.count() <= BROADCAST_ROWS:  # a small table by count; else both sides are shuffled
         one = F.broadcast(one)
-    texts = docs.join(one, F.col("id").eqNullSafe(F.col("one"))).select("key", "text")
-    texts = written(texts.mapInArrow(_own_texts(n), "key long, text string"), "texts")
+    hashed = docs.where("text is not null").withColumn("hash", F.xxhash64("text"))
+    texts = hashed.join(one, (hashed["hash"] == one["hash"]) & F.col("id").eqNullSafe(F.col("one"))).select("key", "text")
+    texts = written(texts.mapInArrow(_own_texts(n), "key long, text string").dropDuplicates(["key"]), "texts")
 
     def linked(some: DataFrame) -> DataFrame:
         with_b = some.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
@@ -312,7 +321,8 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     split = rest.groupBy("gram").agg(F.min("of_key").alias("low"), F.max("of_key").alias("high")).where("low != high").select("gram")
     rest = rest.join(split, "gram", "left_semi")
     groups = connected_components(rest.where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("id").alias("key"), F.col("component").alias("group_id"))
-    counts = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sized = groups.join(long.groupBy("key").agg(F.max("size").alias("size")), "key")
+    counts = sized.groupBy("group_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("blocks"))
     placed = groups.join(counts, "group_id").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     # every pair of blocks of a group is one tile
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -324,8 +334,8 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
 def _linked(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """Per row its id, set size and set key; per key that has a link its component."""
     mine = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    both = written(mine.mapInArrow(_described(n), "id long, size long, key long, part int, counts binary"), "described")
-    described = both.where("part is null").select("id", "size", "key")
+    both = written(mine.withColumn("hash", F.xxhash64("text")).mapInArrow(_described(n), "id long, hash long, size long, key long, part int, counts binary"), "described")
+    described = both.where("part is null").select("id", "hash", "size", "key")
     sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum_parts, "part int, counts binary")
     common = np.zeros(CELLS, np.uint16)
     for r in sums.collect():  # the sketch has a fixed size

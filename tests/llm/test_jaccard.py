@@ -85,3 +85,12 @@ def test_table_equals_brute_force(spark, sf_dir):
     t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
     rows = list(zip(t["doc_id"], t["text"]))
     assert sorted((tuple(r) for r in jaccard.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()), key=str) == brute(rows)
+
+
+def test_frequent_grams_are_dealt_and_null_ids_are_many(spark, monkeypatch):
+    """With every n-gram of three documents dealt over tasks, and a third of the rows without an id, links are the same."""
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "SHORT", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 900)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(near_copies(9, 12, 6))]
+    assert run(spark, rows) == brute(rows)

@@ -181,6 +181,16 @@ def media_digest(stored: DataFrame, id_column: str = "doc_id", tile: int = 32) -
     return stored.select(id_column, "n_bytes", "media").mapInArrow(run, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
 
 
+def write_tiles(images: DataFrame, path: str, id_column: str, media_column: str = "media", tile: int = 32) -> DataFrame:
+    """Write each image's NPY tile and difference hash as a Parquet table at ``path`` and read it back: the id, ``feature``, ``tile``.
+
+    A tile of a column's row is a whole NPY file; rows whose image can't be decoded
+    have none. Tiles are written by the tasks that decode them.
+    """
+    image_features(images, id_column, media_column, tile).select(id_column, "feature", "tile").write.parquet(path)
+    return images.sparkSession.read.parquet(path)
+
+
 def texts_as_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Store all texts as images in a written table, read them back and describe them.
 

@@ -68,13 +68,14 @@ def is_named(run: str, coder) -> bool:
 
 
 def random_spans(text: str, coder, taken: list[tuple[int, int, str]], chars_per_token: float) -> list[tuple[int, int, str]]:
-    """Runs of low token efficiency that no fixed shape overlaps."""
-    out = []
+    """Runs of low token efficiency that no fixed shape overlaps (``taken`` is sorted by start; one sweep over both)."""
+    out, at, reach = [], 0, 0
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run):
-            continue
-        if any(start < e and s < end for s, e, _ in taken):
+        while at < len(taken) and taken[at][0] < end:  # shapes that begin before the run ends; the furthest end counts
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > start or run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run):
             continue
         if len(run) / len(coder.encode_ordinary(run)) < chars_per_token and not is_named(run, coder):
             out.append((start, end, "random"))

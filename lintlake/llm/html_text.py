@@ -60,6 +60,8 @@ class Page:
         self.tags, self.parents, self.drop, self.named = ["#root"], [-1], [False], [False]
         self.likely, self.article = [False], [0]  # article: the nearest article or main at or around the node, 0 if none
         self.runs: list[tuple[int, str]] = []  # (node, text); an empty text marks a line break
+        self.open: list[int] = [0]  # the open nodes, outermost first
+        self.places: dict[str, list[int]] = {}  # per tag the places of its open nodes
         at, node, n = 0, 0, len(html)
         while at < n:
             m = _TOKEN.search(html, at)
@@ -73,26 +75,28 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                node = self._close(node, tag)
+                node = self._close(tag)
                 continue
             node = self._open(node, tag, m[3] or "")
             if tag in VOID:
                 if tag == "br":
                     self.runs.append((node, " "))
-                node = self.parents[node]
+                node = self._leave(len(self.open) - 1)
             elif tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-                at, node = close.end() if close else n, self.parents[node]
+                at, node = close.end() if close else n, self._leave(len(self.open) - 1)
         self._settle()
 
     def _open(self, node: int, tag: str, attributes: str) -> int:
         if tag in GROUPS:
-            node = self._end(node, GROUPS[tag], FENCES - GROUPS[tag])
+            node = self._end(GROUPS[tag], FENCES - GROUPS[tag])
         if tag in ENDS_P:
-            node = self._end(node, {"p"}, FENCES)
+            node = self._end({"p"}, FENCES)
         self.tags.append(tag)
         self.parents.append(node)
         me = len(self.tags) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(me)
         inside = self.article[node]
         self.article.append(me if tag in ("article", "main") else inside)
         self.drop.append(tag in NOT_TEXT or bool(attributes and _HIDDEN.search(attributes)))
@@ -146,26 +150,27 @@ class Page:
                 self.drop[i] = self.drop[i] or not (main[i] if beside else holds[i] or titled or body) and not most
             self.drop[i] = self.drop[i] or self.drop[self.parents[i]]
 
-    def _end(self, node: int, tags: set[str], fences: frozenset[str]) -> int:
-        """The parent of the nearest open element of these tags, if no fence is nearer; else the node."""
-        at = node
-        while at > 0 and self.tags[at] not in fences:
-            if self.tags[at] in tags:
-                return self.parents[at]
-            at = self.parents[at]
-        if at > 0 and self.tags[at] in tags:
-            return self.parents[at]
-        return node
+    def _last(self, tags: Iterable[str]) -> int:
+        """The innermost place of an open node of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
-    def _close(self, node: int, tag: str) -> int:
-        at = node
-        while at > 0:
-            if self.tags[at] == tag:
-                return self.parents[at]
-            if self.tags[at] in ("td", "th", "table") and tag not in BLOCKS:
-                return node
-            at = self.parents[at]
-        return node
+    def _leave(self, place: int) -> int:
+        """Close the open nodes from a place on; the node that is then the innermost."""
+        while len(self.open) > place:
+            self.places[self.tags[self.open.pop()]].pop()
+        return self.open[-1]
+
+    def _end(self, tags: set[str], fences: frozenset[str]) -> int:
+        """Close up to the nearest open element of these tags, if no fence is nearer."""
+        at = self._last(tags)
+        return self._leave(at) if at and at >= self._last(fences) else self.open[-1]
+
+    def _close(self, tag: str) -> int:
+        """Close up to the nearest open element of a tag; inline tags don't reach out of their table cell."""
+        at = self._last((tag,))
+        if not at or tag not in BLOCKS and self._last(("td", "th", "table")) > at:
+            return self.open[-1]
+        return self._leave(at)
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Each node's composite text density, and the sum of its children's."""
@@ -262,12 +267,7 @@ class Page:
 
     def _whole(self, node: int) -> int:
         """The nearest article or main around a node, else the node itself."""
-        at, found = node, node
-        while at > 0:
-            if self.tags[at] in ("article", "main"):
-                return at
-            at = self.parents[at]
-        return found
+        return self.article[node] or node
 
     def text(self) -> str:
         """Blocks of the main text in page order, one a line."""
@@ -278,15 +278,18 @@ class Page:
             p = self.parents[i]
             keep[i] = not self.drop[i] and (i in chosen or (i > 0 and keep[p]))
             block[i] = i if i == 0 or self.tags[i] in BLOCKS else block[p]
+        ends = list(range(n))  # nodes are in document order: what is below a node follows it without a gap
+        for i in range(n - 1, 0, -1):
+            ends[self.parents[i]] = max(ends[self.parents[i]], ends[i])
         out: list[str] = []
-        open_block, last, line = None, -1, []
+        open_block, line = None, []
         opened = -1
         for i, text in self.runs:
             if not keep[i]:
                 continue
             b = block[i]
             # a block that began between two runs of one block parts them as well
-            if b != open_block or any(self.tags[j] in BLOCKS and block[j] == j and not self.drop[j] and self._under(j, b) for j in range(opened + 1, i)):
+            if b != open_block or any(self.tags[j] in BLOCKS and block[j] == j and not self.drop[j] and b <= j <= ends[b] for j in range(opened + 1, i)):
                 out.append("".join(line))
                 line, open_block = [], b
             line.append(text)
@@ -294,11 +297,6 @@ class Page:
         out.append("".join(line))
         return "\n".join(x for x in (" ".join(t.split()) for t in out) if x)
 
-    def _under(self, node: int, top: int) -> bool:
-        while node > top:
-            node = self.parents[node]
-        return node == top
-
 
 def main_text(html: str | None) -> str:
     """The main text of a page; empty for null, empty or text-free pages."""

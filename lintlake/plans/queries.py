@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, scoring, security_rules, test_rules, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, project_text, scoring, security_rules, test_rules, text_rules
 from lintlake.plans import proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
-from lintlake.sources import corpus
-from lintlake.sources.snippets import ABOUT, COMMENTS, DECLARATIONS, SECURITY, TESTS, Snippet, dealt, expected_sql
+from lintlake.sources import changes, corpus
+from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,3 +501,45 @@ def parsed_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suppression_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directives.suppression_diagnostics(_dealt_tree(spark, sf_dir, "comments", COMMENTS), _known(spark))
+
+
+@query(expected_sql(PROJECT, ABOUT_PROJECT))
+def project_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_text.all_rules(dealt(table(spark, sf_dir, "customer"), PROJECT)).select(*SHOWN)
+
+
+# --- changes and ignore files ---------------------------------------------------------------------
+
+_PATCH = (
+    "diff --git a/app/u{k}.py b/app/u{k}.py\n--- a/app/u{k}.py\n+++ b/app/u{k}.py\n@@ -1 +{k},3 @@ def f\n@@ -9 +{n},2 @@\n@@ -20,2 +{m},0 @@\n"
+    "diff --git a/app/new{k}.py b/app/new{k}.py\nnew file mode 100644\n--- /dev/null\n+++ b/app/new{k}.py\n@@ -0,0 +1,5 @@\n"
+    "diff --git a/gone{k}.py b/gone{k}.py\n--- a/gone{k}.py\n+++ /dev/null\n@@ -1,5 +0,0 @@\n"
+)
+_NUMBER = "CAST(c_custkey AS VARCHAR)"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey AS k, {_NUMBER} AS project, c_custkey % 2 AS odd FROM customer)
+    SELECT project, 'app/u' || project || '.py' AS file_path, k::INTEGER AS start, (k + 4)::INTEGER AS "end", false AS whole FROM c WHERE odd = 0 UNION ALL SELECT project, 'app/u' || project || '.py', k::INTEGER, (k + 2)::INTEGER, false FROM c WHERE odd = 1
+    UNION ALL SELECT project, 'app/u' || project || '.py', (k + 9)::INTEGER, (k + 10)::INTEGER, false FROM c WHERE odd = 1 UNION ALL SELECT project, 'app/u' || project || '.py', (k + 50)::INTEGER, (k + 50)::INTEGER, false FROM c
+    UNION ALL SELECT project, 'app/new' || project || '.py', NULL, NULL, true FROM c UNION ALL SELECT project, 'gone' || project || '.py', 1, 1, false FROM c"""
+)
+def patch_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of one patch a customer: ranges that touch for even keys, apart for odd ones; a deletion, a new and a removed file."""
+    k = F.col("c_custkey")
+    text = F.lit(_PATCH)
+    for name, number in (("{k}", k), ("{n}", k + F.when(k % 2 == 0, 3).otherwise(9)), ("{m}", k + 50)):
+        text = F.replace(text, F.lit(name), number.cast("string"))
+    return changes.changed_regions(table(spark, sf_dir, "customer").select(k.cast("string").alias("project"), text.alias("patch")))
+
+
+@query(
+    """WITH c AS (SELECT CAST(c_custkey % 7 AS VARCHAR) AS project, 'd' || CAST(c_custkey % 3 AS VARCHAR) || '/f' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '.log' ELSE '.py' END AS path FROM customer)
+    SELECT project, path, project <> '6' AND (path LIKE 'd2/%' OR (path LIKE '%.log' AND path NOT LIKE '%4.log') OR (path LIKE 'd1/%' AND path LIKE '%1.py')) AS ignored FROM c"""
+)
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths under a root ignore file, one of a folder, and a project without any."""
+    k = F.col("c_custkey")
+    paths = table(spark, sf_dir, "customer").select((k % 7).cast("string").alias("project"), F.concat(F.lit("d"), (k % 3).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 2 == 0, ".log").otherwise(".py")).alias("path"))
+    files = spark.createDataFrame([(str(p), d, s) for p in range(6) for d, s in (("", "*.log\n!*4.log\n/d2/\n"), ("d1", "*1.py\n"))], "project string, dir string, source string")
+    return changes.ignored(paths, changes.ignore_rules(files))

@@ -29,7 +29,7 @@ def dealt(customers: DataFrame, snippets: list[Snippet]) -> DataFrame:
     def chosen(texts: list[str]):
         return F.replace(F.element_at(F.array(*map(F.lit, texts)), place), F.lit("{k}"), k.cast("string"))
 
-    return customers.select(F.concat(F.lit("p"), (k % 5).cast("string")).alias("project"), chosen([s.path for s in snippets]).alias("path"), F.lit("python").alias("file_type"), chosen([s.source for s in snippets]).alias("source"))
+    return customers.select(F.concat(F.lit("p"), (k % 5).cast("string")).alias("project"), chosen([s.path for s in snippets]).alias("path"), chosen(["python" if s.path.endswith(".py") else "text" for s in snippets]).alias("file_type"), chosen([s.source for s in snippets]).alias("source"))
 
 
 def expected_sql(snippets: list[Snippet], about: dict[str, tuple[str, str, str]]) -> str:
@@ -155,3 +155,30 @@ COMMENTS = [
     Snippet("# lintlake: disable-file=security.xxe -- parser is sandboxed\nx = 1  # lintlake: disable=naming.short-variable, waste.unused-import\n# lintlake: disable-next=size.file-length\ny_{k} = '# lintlake: disable=not.a-comment'\n", (("docs.ignore-directive-reason", 2, None, _REASON.format("lintlake: disable=naming.short-variable, waste.unused-import", "without a reason")), ("docs.ignore-directive-reason", 3, None, _REASON.format("lintlake: disable-next=size.file-length", "without a reason")))),
     Snippet("a = 1  # lintlake: disable\nb = 2  # lintlake: enable=x.y\nc = 3  # lintlake: disable=x.y,,\nd = 4  # lintlake: disable=Bad_Id, made.up\n# plain comment {k}\n", (("docs.ignore-directive-reason", 4, None, _REASON.format("lintlake: disable=Bad_Id, made.up", "without a reason")),)),
 ]
+
+#: Severity, pillar and confidence of the rules on project files.
+ABOUT_PROJECT = {
+    **{f"security.{r}": ("warning", "security", "high") for r in ("dependency-git-reference", "dependency-local-path", "dependency-url-reference")},
+    "security.github-actions-pull-request-target": ("error", "security", "high"),
+    "security.github-actions-secrets-in-pr": ("warning", "security", "medium"),
+    "sensitive-data.gcp-service-account-key": ("error", "sensitive-data", "high"),
+    "sensitive-data.hardcoded-env-value": ("warning", "sensitive-data", "medium"),
+    "sensitive-data.url-credentials": ("error", "sensitive-data", "high"),
+}
+_URL = " is installed from a direct artifact URL. Registry packages with exact versions are easier to review and reproduce."
+
+PROJECT = [
+    Snippet("name: ci {k}\non:\n  pull_request_target:\njobs:\n  x: ${{ github.event.pull_request.head.sha }}\n", (("security.github-actions-pull-request-target", 3, None, "`pull_request_target` workflow checks out the PR head ref - it runs untrusted fork code with a write token and repository secrets in scope."),), ".github/workflows/ci_{k}.yml"),
+    Snippet("on:\n  pull_request_target:\n", (), ".github/workflows/safe_{k}.yml"),
+    Snippet("on: [pull_request]\nenv:\n  A: ${{ secrets.DEPLOY_KEY }}\n  B: ${{ secrets.GITHUB_TOKEN }}\n", (("security.github-actions-secrets-in-pr", 3, None, "Repository secret `DEPLOY_KEY` is used in a workflow that pull requests trigger."),), ".github/workflows/pr_{k}.yaml"),
+    Snippet("-r base.txt\n# note\nrequests==1.0\nFoo_Bar{k} @ git+https://x/y\n-e ./local\nhttps://x/y.whl\nbar @ https://x/z.whl  # why\n", (
+        ("security.dependency-git-reference", 4, None, "Dependency `foo-bar{k}` is installed from a Git reference. VCS dependencies bypass normal package release review and are easy to move accidentally."),
+        ("security.dependency-local-path", 5, None, "Dependency declaration is installed from a local path. Local references depend on checkout layout and can hide code outside the reviewed package boundary."),
+        ("security.dependency-url-reference", 6, None, "Dependency declaration" + _URL),
+        ("security.dependency-url-reference", 7, None, "Dependency `bar`" + _URL),
+    ), "deps/{k}/requirements-dev.txt"),
+    Snippet('{\n"type": "service_account",\n"private_key": "' + "A" * 120 + '"}', (("sensitive-data.gcp-service-account-key", 2, None, "GCP service-account key JSON embeds private-key material."),), "keys/{k}.json"),
+    Snippet('{"type": "service_account", "private_key": "short"}', (), "keys/fake_{k}.json"),
+    Snippet("API_KEY=abcdefghijklmnop1234\nOTHER=abcdefghijklmnop1234\nAPP_TOKEN=changeme\nDB_PASSWORD=$PASS_FROM_SOMEWHERE\nMY_SECRET=aaaaaaaaaaaaaaaa\n", (("sensitive-data.hardcoded-env-value", 1, None, "`.env` value for `API_KEY` looks like a hard-coded secret."),), "env/{k}/.env.local"),
+    Snippet("see https://bob:hunter22@host.example/x\nand https://bob:password@host and https://bob:$PASS@host\n", (("sensitive-data.url-credentials", 1, None, "URL with embedded credentials: hunt...er22 (redacted, 8 chars)"),), "docs/{k}.md"),
+]

@@ -28,10 +28,10 @@ USER_URL = r"https?://[^\s:/@\"']+:([^\s@/\"']+)@[A-Za-z0-9.-]+"
 PASSWORDS = ("password", "passwd", "pass", "secret", "changeme", "xxx", "***", "<password>", "your_password", "example", "dummy", "redacted")
 
 
-def found(rows: DataFrame, rule: str, severity: str, confidence: str, message: Column | str, pillar: str = "security") -> DataFrame:
+def found(rows: DataFrame, rule: Column | str, severity: str, confidence: str, message: Column | str, pillar: str = "security") -> DataFrame:
     """Rows with a line as findings of a rule."""
     return rows.select(
-        "project", F.lit(rule).alias("rule_id"), F.col("path").alias("file_path"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("symbol"),
+        "project", (F.lit(rule) if isinstance(rule, str) else rule).alias("rule_id"), F.col("path").alias("file_path"), F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("symbol"),
         F.lit(severity).alias("severity"), F.lit(pillar).alias("pillar"), F.lit(confidence).alias("confidence"), (F.lit(message) if isinstance(message, str) else message).alias("message"),
     )
 
@@ -73,19 +73,25 @@ def _kinds(rows: DataFrame) -> DataFrame:
     kind = F.when(git, "git").when(local, "local").when(F.lower(ref).rlike("^https?://"), "url")
     egg = F.regexp_extract("raw", r"[#&]egg=([A-Za-z0-9_.-]+)", 1)
     name = F.when(direct != "", F.regexp_extract("raw", DIRECT, 1)).when(egg != "", egg).when(~F.col("raw").rlike(r"[/:]"), F.regexp_extract("raw", NAMED, 1))
-    return rows.withColumn("kind", kind).withColumn("name", F.regexp_replace(F.lower(name), r"[-_.]+", "-"))
+    # generated once a row: a projection would be written out again wherever its columns are used
+    made = F.array(F.struct(kind.alias("kind"), F.regexp_replace(F.lower(name), r"[-_.]+", "-").alias("name")))
+    return rows.select("project", "path", "line", F.explode(made).alias("r")).select("project", "path", "line", "r.*")
+
+
+#: Per kind of reference: its rule, and what is wrong with it.
+REFERENCES = {
+    "git": ("security.dependency-git-reference", " is installed from a Git reference. VCS dependencies bypass normal package release review and are easy to move accidentally."),
+    "local": ("security.dependency-local-path", " is installed from a local path. Local references depend on checkout layout and can hide code outside the reviewed package boundary."),
+    "url": ("security.dependency-url-reference", " is installed from a direct artifact URL. Registry packages with exact versions are easier to review and reproduce."),
+}
 
 
 def dependency_references(units: DataFrame) -> DataFrame:
-    """Dependencies from Git, local paths and artifact addresses: three rules over one relation."""
-    rows = _kinds(declarations(units))
+    """Dependencies from Git, local paths and artifact addresses: three rules in one pass, by a join with their texts."""
+    rows = _kinds(declarations(units)).where("kind is not null")
+    texts = rows.sparkSession.createDataFrame([(k, rule, text) for k, (rule, text) in REFERENCES.items()], "kind string, rule string, text string")
     label = F.coalesce(F.concat(F.lit("Dependency `"), "name", F.lit("`")), F.lit("Dependency declaration"))
-    texts = {
-        "git": ("dependency-git-reference", " is installed from a Git reference. VCS dependencies bypass normal package release review and are easy to move accidentally."),
-        "local": ("dependency-local-path", " is installed from a local path. Local references depend on checkout layout and can hide code outside the reviewed package boundary."),
-        "url": ("dependency-url-reference", " is installed from a direct artifact URL. Registry packages with exact versions are easier to review and reproduce."),
-    }
-    return reduce(DataFrame.unionByName, [found(rows.where(F.col("kind") == k), f"security.{rule}", "warning", "high", F.concat(label, F.lit(text))) for k, (rule, text) in texts.items()])
+    return found(rows.join(texts, "kind"), F.col("rule"), "warning", "high", F.concat(label, "text"))
 
 
 def service_account_keys(units: DataFrame) -> DataFrame:

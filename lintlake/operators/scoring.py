@@ -101,11 +101,30 @@ def pillar_summary(findings: DataFrame) -> DataFrame:
 
 
 def metric_summary(measures: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Minimum, interpolated percentiles, maximum and crossings of each metric."""
-    p = lambda q, name: F.percentile("value", F.lit(q)).alias(name)
-    crossing = F.count_if(F.when(F.col("below"), F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold")))
-    with_limits = measures.join(F.broadcast(thresholds.select("metric", "threshold", "below")), "metric")
-    return with_limits.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), p(0.5, "p50"), p(0.9, "p90"), p(0.99, "p99"), F.max("value").alias("most"), crossing.alias("crossings"))
+    """Minimum, interpolated percentiles, maximum and crossings of each metric.
+
+    Equal values are counted before they are ordered, so what is ranked is the
+    distinct values; ranks are running sums, and no task holds a metric's values.
+    """
+    crossing = F.when(F.col("below"), F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
+    counts = measures.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("times"))
+    counts = counts.join(thresholds.select("metric", "threshold", "below"), "metric").withColumn("crossed", F.when(crossing, F.col("times")).otherwise(0))
+    order = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("times").over(order))
+    totals = counts.groupBy("metric").agg(F.sum("times").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum("crossed").alias("crossings"))
+
+    def at(place: Column) -> Column:
+        """The value of a rank: the first whose running count goes beyond it."""
+        return F.min(F.when(F.col("upto") > place, F.col("value")))
+
+    marks = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    ends = []
+    for name, q in marks.items():
+        place = F.lit(q) * (F.col("n") - 1)
+        ends += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high")]
+    found = ranked.join(totals.select("metric", "n"), "metric").groupBy("metric").agg(*ends).join(totals, "metric")
+    between = lambda name, q: (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)))).alias(name)
+    return found.select("metric", "n", "least", *[between(name, q) for name, q in marks.items()], "most", "crossings")
 
 
 def metric_top(measures: DataFrame, thresholds: DataFrame, n: int = 10) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, project_text, scoring, security_rules, test_rules, text_rules
-from lintlake.plans import proxy
+from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import changes, corpus
-from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
+from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -543,3 +543,43 @@ def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "customer").select((k % 7).cast("string").alias("project"), F.concat(F.lit("d"), (k % 3).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 2 == 0, ".log").otherwise(".py")).alias("path"))
     files = spark.createDataFrame([(str(p), d, s) for p in range(6) for d, s in (("", "*.log\n!*4.log\n/d2/\n"), ("d1", "*1.py\n"))], "project string, dir string, source string")
     return changes.ignored(paths, changes.ignore_rules(files))
+
+
+# --- a whole analysis -----------------------------------------------------------------------------
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _dealt_tree(spark, sf_dir, "analysed", ANALYSED)
+    found = written_once(spark, "findings-analysed", sf_dir, lambda: analysis.rule_findings(tree))
+    known = ops.as_baseline(analysis.analyse(found, tree).where("rule_id = 'waste.empty-class' and symbol like 'Empty%' and symbol != 'Empty'"))
+    return analysis.analyse(found, tree, baseline=known)
+
+
+@query(expected_sql(ANALYSED, ABOUT))
+def analysed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over one node relation, then suppressions and a baseline: what is new and not suppressed."""
+    return _analysed(spark, sf_dir).select(*SHOWN)
+
+
+@query(f"SELECT project, pillar, count(*) AS findings, count(*) FILTER (WHERE severity = 'advisory') AS advisory, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'error') AS error FROM ({expected_sql(ANALYSED, ABOUT)}) GROUP BY 1, 2")
+def analysed_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.pillar_counts(_analysed(spark, sf_dir))
+
+
+_DEPTH = "(p_size::INTEGER % 9 + 1)"
+
+
+@query(
+    f"""WITH p AS (SELECT p_size::INTEGER AS size, {_DEPTH} AS depth FROM part), m AS (SELECT 'cyclomatic' AS metric, (size + 1)::DOUBLE AS value FROM p UNION ALL SELECT 'cyclomatic', (depth + 1)::DOUBLE FROM p UNION ALL SELECT 'cyclomatic', 1 FROM p UNION ALL SELECT 'cyclomatic', 1 FROM (SELECT unnest(range(0, size % 14 + 1)) FROM p)
+    UNION ALL SELECT 'cognitive', size::DOUBLE FROM p UNION ALL SELECT 'cognitive', (depth * (depth + 1) / 2)::DOUBLE FROM p UNION ALL SELECT 'cognitive', 0 FROM p UNION ALL SELECT 'cognitive', 0 FROM (SELECT unnest(range(0, size % 14 + 1)) FROM p)
+    UNION ALL SELECT 'nesting', 1 FROM p UNION ALL SELECT 'nesting', depth::DOUBLE FROM p UNION ALL SELECT 'nesting', 0 FROM p UNION ALL SELECT 'nesting', 0 FROM (SELECT unnest(range(0, size % 14 + 1)) FROM p)),
+    limits AS (SELECT * FROM (VALUES ('cyclomatic', 20), ('cognitive', 30), ('nesting', 6)) t(metric, threshold))
+    SELECT m.metric, count(*) AS n, min(value) AS least, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most, count(*) FILTER (WHERE value > threshold) AS crossings FROM m JOIN limits l ON m.metric = l.metric GROUP BY 1"""
+)
+def function_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributions of complexity, cognitive complexity and nesting over every planted function."""
+    rows = code.functions(_tree(spark, sf_dir))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("cyclomatic", "cognitive", "nesting")])
+    limits = spark.createDataFrame([("cyclomatic", 20.0, False), ("cognitive", 30.0, False), ("nesting", 6.0, False)], "metric string, threshold double, below boolean")
+    out = scoring.metric_summary(rows.select(F.explode(pairs).alias("m")).select("m.*"), limits)
+    return out.select("metric", "n", "least", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p99")], "most", "crossings")

@@ -182,3 +182,13 @@ PROJECT = [
     Snippet("API_KEY=abcdefghijklmnop1234\nOTHER=abcdefghijklmnop1234\nAPP_TOKEN=changeme\nDB_PASSWORD=$PASS_FROM_SOMEWHERE\nMY_SECRET=aaaaaaaaaaaaaaaa\n", (("sensitive-data.hardcoded-env-value", 1, None, "`.env` value for `API_KEY` looks like a hard-coded secret."),), "env/{k}/.env.local"),
     Snippet("see https://bob:hunter22@host.example/x\nand https://bob:password@host and https://bob:$PASS@host\n", (("sensitive-data.url-credentials", 1, None, "URL with embedded credentials: hunt...er22 (redacted, 8 chars)"),), "docs/{k}.md"),
 ]
+
+#: Modules for a whole analysis: what a suppression names is gone, and so is what the baseline knows.
+ANALYSED = [
+    Snippet("import random\nsession_id = random.randint(1, 9)\n", (("security.insecure-random", 2, None, "`random.randint` used for a security-smelling value - `random` is not cryptographically secure."),)),
+    Snippet("import random\nsession_id = random.randint(1, 9)  # lintlake: disable=security.insecure-random -- ids of a game\n"),
+    Snippet("# lintlake: disable-file=security.insecure-random -- ids of a game\nimport random\nsession_id = random.randint(1, 9)\n"),
+    Snippet("import random\n# lintlake: disable-next=security.xxe -- names another rule\nsession_id = random.randint(1, 9)\n", (("security.insecure-random", 3, None, "`random.randint` used for a security-smelling value - `random` is not cryptographically secure."),)),
+    Snippet("class Empty{k}:\n    pass\n"),  # known to the baseline
+    Snippet("class Empty:\n    pass\n", (("waste.empty-class", 1, "Empty", "Class 'Empty' has an empty body."),)),
+]

@@ -357,7 +357,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_column
     described, parts = _linked(docs, n, percent, id_column, text_column)
     full = described.where("size > 0").join(parts.withColumnRenamed("id", "key"), "key", "left").select("id", "size", F.coalesce("component", "key").alias("component"))
     full = written(full, "linked")
-    least = full.groupBy("component").agg(F.min("id").alias("component_id"))
+    # written, so that the join's sides are plain and adaptive execution can split a large component
+    least = written(full.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     out = full.join(least, "component").select("id", "size", "component_id").unionByName(described.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(kind).alias(id_column), F.col("size").alias("n_shingles"), "component_id")
 

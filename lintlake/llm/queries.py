@@ -72,4 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # sets of five words, pairs by common ones, links by similarity, what is reachable by links
+    "op9_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+    n AS (SELECT doc_id, len(grams) AS n FROM s), g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * common >= 75 * (a.n + b.n - common)), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT root, y FROM reach JOIN edges ON node = x)
+    SELECT root AS doc_id, any_value(n) AS n_shingles, min(node) AS component_id FROM reach JOIN n ON root = doc_id GROUP BY root""",
+    # every pair by cosine, then what is reachable
+    "op10_near_vectors": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(root, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT root, y FROM reach JOIN edges ON node = x), degree AS (SELECT x, count(*) AS n FROM edges GROUP BY 1)
+    SELECT root AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(node) AS component_id, root = min(node) AS kept FROM reach LEFT JOIN degree ON root = x GROUP BY root""",
+}

@@ -291,7 +291,7 @@ def email_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART = "'p' || CAST(p_partkey % 5 AS VARCHAR) AS project, 'pkg/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CAST(p_partkey AS VARCHAR) AS k"
 
 
-def _planted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     # few part files hold many modules: spread them over the cores before they are made
     return corpus.planted(table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey"))
 
@@ -302,32 +302,32 @@ def _secret(raw: str, rule: str, severity: str, confidence: str, every: int, det
 
 @query(_secret("'AKIA' || lpad(k, 16, '0')", "sensitive-data.aws-access-key", "error", "high", 7))
 def aws_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.aws_keys(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.aws_keys(planted_units(spark, sf_dir)).drop("line")
 
 
 @query(_secret("'pw' || k", "sensitive-data.database-url-password", "error", "high", 13))
 def database_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.database_passwords(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.database_passwords(planted_units(spark, sf_dir)).drop("line")
 
 
 @query(_secret("'eyJ' || lpad(k, 10, 'a') || '.' || lpad(k, 12, 'b') || '.' || lpad(k, 12, 'c')", "sensitive-data.jwt-token", "warning", "high", 14))
 def jwt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.jwt_tokens(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.jwt_tokens(planted_units(spark, sf_dir)).drop("line")
 
 
 @query(_secret("'-----BEGIN RSA PRIVATE KEY-----'", "sensitive-data.private-key", "error", "high", 16))
 def private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.private_keys(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.private_keys(planted_units(spark, sf_dir)).drop("line")
 
 
 @query(_secret("'321-54-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0')", "sensitive-data.phi-pattern", "error", "medium", 17))
 def health_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.health_numbers(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.health_numbers(planted_units(spark, sf_dir)).drop("line")
 
 
 @query(_secret("'ghp_' || lpad(k, 36, 'd')", "sensitive-data.api-key-pattern", "warning", "high", 18, "'github'"))
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.api_keys(_planted_units(spark, sf_dir)).drop("line")
+    return text_rules.api_keys(planted_units(spark, sf_dir)).drop("line")
 
 
 @query()
@@ -339,7 +339,7 @@ def high_entropy_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parsed code ------------------------------------------------------------------------------
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_once(spark, "nodes-parts", sf_dir, lambda: code.nodes(_planted_units(spark, sf_dir)))
+    return written_once(spark, "nodes-parts", sf_dir, lambda: code.nodes(planted_units(spark, sf_dir)))
 
 
 @query(f"WITH p AS (SELECT {PART}, p_size::INTEGER AS size FROM part) SELECT project, path, 'work_' || k AS symbol, size AS parameters, size + 1 AS cyclomatic, 1 AS nesting FROM p")

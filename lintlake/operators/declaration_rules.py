@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.operators.code_rules import KEY, children
+from lintlake.operators.code_rules import KEY, _words, children
 from lintlake.operators.security_rules import found
 
 #: Names that exempt declarations, and limits.
@@ -184,6 +184,72 @@ def unread_private_attributes(tree: DataFrame) -> DataFrame:
     return found(rows, "dead-code.unused-private-attribute", "warning", "medium", F.concat(F.lit("Class '"), "of", F.lit("' assigns '"), "name", F.lit("' but never reads it.")), "dead-code", F.concat("of", F.lit("."), "name"))
 
 
+#: What marks a name as that of a truth value.
+BOOLEAN_PREFIXES = (
+    "accepts", "allows", "are", "can", "check", "checks", "contains", "did", "do", "does", "expects", "has", "is", "looks", "matches", "must", "needs", "produces", "requires", "returns", "should", "supports",
+    "uses", "validates", "was", "will",
+)
+BOOLEAN_VERBS = ("affirms", "declines", "matches")
+BOOLEAN_ADJECTIVES = (
+    "active", "applicable", "available", "default", "disabled", "empty", "enabled", "excluded", "frozen", "included", "interactive", "invalid", "optional", "present", "ready", "required", "valid", "verbose",
+    "visible",
+)
+BOOLEAN_STARTS, BOOLEAN_ENDS = ("exclude_", "include_", "no_", "with_", "without_"), ("_bool", "_disabled", "_enabled", "_flag", "_optional", "_required")
+ACCEPTED_BOOLEANS = ("all", "apply", "check", "dev", "enabled", "force", "fresh", "harness", "json", "ok", "verbose", "yes")
+SCHEMA_BASES = ("BaseModel", "TypedDict", "NamedTuple", "Enum", "IntEnum", "StrEnum", "Flag", "IntFlag")
+
+
+def _truthful() -> Column:
+    """Whether a name says that it is a truth value, or has no word at all."""
+    low = F.lower(F.ltrim("name", F.lit("_")))
+    words = _words()
+    ends = reduce(lambda a, b: a | b, [low.endswith(e) for e in BOOLEAN_ENDS])
+    starts = reduce(lambda a, b: a | b, [low.startswith(e) for e in BOOLEAN_STARTS])
+    first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+    known = low.isin(*ACCEPTED_BOOLEANS, *BOOLEAN_PREFIXES, *BOOLEAN_ADJECTIVES) | first.isin(*BOOLEAN_PREFIXES) | last.isin(*BOOLEAN_ADJECTIVES, *BOOLEAN_VERBS)
+    return (F.size(words) > 0) & (known | starts | ends)
+
+
+def unclear_booleans(tree: DataFrame) -> DataFrame:
+    """Functions and attributes annotated with ``bool`` whose name doesn't say so; tests, constants, schema fields and overrides aside."""
+    quoted = tree.where("kind = 'Constant' and text = 'bool' and field in ('annotation', 'returns')")
+    named = tree.where("kind = 'Name' and name = 'bool'").select(*KEY, F.col("pre").alias("place")).unionByName(quoted.select(*KEY, F.col("pre").alias("place")))
+    spots = tree.where("field in ('returns', 'annotation')").select(*KEY, F.col("parent_id").alias("node_id"), F.col("pre").alias("begins"), F.col("last").alias("ends"))
+    boolean = spots.join(named, list(KEY)).where("place between begins and ends").select(*KEY, "node_id").distinct()
+    dunder = "name like '\\_\\_%\\_\\_' and length(name) > 4"
+    override = F.coalesce(F.exists("tags", lambda t: _last(t) == "override"), F.lit(False))
+    functions = tree.where(f"kind in ('FunctionDef', 'AsyncFunctionDef') and not ({dunder})").where(~override).select(*KEY, "node_id", "name", "line", F.lit("Function").alias("what"))
+    schemas = tree.where("kind = 'ClassDef'").where(F.exists("bases", lambda b: _last(b).isin(*SCHEMA_BASES)) | F.exists("tags", lambda t: _last(t).isin("dataclass", "attrs", "define"))).select(*KEY, F.col("node_id").alias("parent_id"))
+    targets = tree.where("kind = 'Name' and field = 'target'").select(*KEY, F.col("parent_id").alias("node_id"), "name", "line")
+    attributes = tree.where("kind = 'AnnAssign'").select(*KEY, "node_id", "parent_id", "fn_id").join(schemas, [*KEY, "parent_id"], "left_anti").join(targets, [*KEY, "node_id"])
+    attributes = attributes.where(f"not ({dunder}) and not name rlike '^[A-Z][A-Z0-9_]*$'").select(*KEY, "node_id", "name", "line", F.lit("Attribute").alias("what"))
+    tests = F.lower("path").rlike(r"(^|/)tests/|^test_[^/]*\.py$")
+    rows = functions.unionByName(attributes).where(~tests & ~_truthful()).join(boolean, [*KEY, "node_id"], "left_semi").withColumn("end_line", F.col("line"))
+    message = F.concat("what", F.lit(" '"), "name", F.lit("' returns / is bool but lacks a boolean-intent prefix (is_, has_, can_, should_, was_, did_, will_, must_, needs_)."))
+    return found(rows, "naming.boolean-prefix", "advisory", "medium", message, "naming", F.col("name"))
+
+
+def unused_private_functions(tree: DataFrame) -> DataFrame:
+    """Private functions that nothing in their class, or module, names outside themselves: an interval anti-join by name."""
+    classes = tree.where("kind = 'ClassDef'").select(*KEY, F.col("node_id").alias("class_id"), F.col("pre").alias("from_place"), F.col("last").alias("to_place"), framework_based().alias("framework"))
+    lists = tree.where("kind = 'Assign' and context = '=__all__'").select(*KEY, F.col("node_id").alias("parent_id"))
+    listed = tree.where("kind in ('List', 'Tuple') and field = 'value'").join(lists, [*KEY, "parent_id"], "left_semi").select(*KEY, F.col("node_id").alias("parent_id"))
+    exported = tree.where("kind = 'Constant' and field = 'elts'").join(listed, [*KEY, "parent_id"], "left_semi").select(*KEY, F.col("text").alias("name"))
+    defs = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef') and name like '\\_%' and not (name like '\\_\\_%\\_\\_' and length(name) > 4)").where(~framework_decorated())
+    rows = defs.join(classes, [*KEY, "class_id"], "left").where("not coalesce(framework, false)").join(exported, [*KEY, "name"], "left_anti")
+    looked_up = tree.where("kind = 'Call' and text = 'getattr'").select(*KEY, F.col("node_id").alias("parent_id"))
+    second = tree.where("field = 'args' and ord = 1").join(looked_up, [*KEY, "parent_id"], "left_semi")
+    literal = second.where("kind = 'Constant' and name = 'str'").select(*KEY, F.col("text").alias("name"), F.col("pre").alias("place"))
+    refs = tree.where("kind in ('Name', 'Attribute')").select(*KEY, "name", F.col("pre").alias("place")).unionByName(literal)
+    outside = "place between coalesce(from_place, 0) and coalesce(to_place, place) and not place between pre and last"
+    named = rows.join(refs, [*KEY, "name"]).where(outside).select(*KEY, "node_id").distinct()
+    begins = tree.where("kind = 'Constant' and field = 'values' and ord = 0 and length(text) >= 3").select(*KEY, F.col("parent_id").alias("node_id"), F.col("text").alias("prefix"))
+    built = second.where("kind = 'JoinedStr'").select(*KEY, "node_id", F.col("pre").alias("place")).join(begins, [*KEY, "node_id"]).select(*KEY, "prefix", "place")
+    guessed = rows.join(built, list(KEY)).where("startswith(name, prefix)").where(outside).select(*KEY, "node_id").distinct()
+    unused = rows.join(named, [*KEY, "node_id"], "left_anti").join(guessed, [*KEY, "node_id"], "left_anti")
+    return found(unused, "dead-code.unused-private-function", "warning", "medium", F.concat(F.lit("Private function '"), "symbol", F.lit("' is never called in its enclosing scope.")), "dead-code", F.col("symbol"))
+
+
 def path_mutations(tree: DataFrame) -> DataFrame:
     """Changes of ``sys.path`` outside tests and outside the body of a main guard (an interval anti-join within the file)."""
     rows = tree.where("kind = 'Call' and text in ('sys.path.insert', 'sys.path.append')").where("not path rlike '(^|/)tests/' and not path rlike '(^|/)conftest[.]py$'")
@@ -206,5 +272,6 @@ def all_rules(tree: DataFrame, functions: DataFrame) -> DataFrame:
     rows = [
         cognitive(functions), volumes(measures), hard_to_maintain(measures), average_lengths(functions, tree), missing_param_docs(functions), stale_param_docs(functions), missing_raises_docs(functions, tree),
         missing_return_docs(functions, tree), empty_classes(tree), pass_through_functions(functions, tree), redundant_variables(functions, tree), unread_private_attributes(tree), path_mutations(tree),
+        unclear_booleans(tree), unused_private_functions(tree),
     ]
     return reduce(DataFrame.unionByName, rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators.code_rules import KEY, children
@@ -18,7 +18,7 @@ MYSTERY_ROOTS = ("requests", "urllib", "urllib3", "socket", "httpx", "aiohttp",
 MYSTERY_CALLS = ("open", "popen")
 SETUP_NAMES = ("setUp", "setUpClass", "setup_method", "setup_class", "setup_function", "setup")
 SKIPS = ("skip", "skipif", "skipIf", "skipUnless")
-MAX_ASSERTIONS, MAX_MOCKS, MAX_SETUP_LINES, MAX_LINES, MAX_CASES, SNAPSHOT, RATIO, LEAST_SUT = 5, 4, 30, 100, 2, 10, 2.0, 5
+MAX_ASSERTIONS, MAX_MOCKS, MAX_SETUP_LINES, MAX_LINES, MAX_CASES, SNAPSHOT, RATIO, LEAST_SUT, MAX_CYCLES = 5, 4, 30, 100, 2, 10, 2.0, 5, 2
 PILLAR = "test-quality"
 
 
@@ -253,9 +253,50 @@ def naming_mixtures(tree: DataFrame) -> DataFrame:
     return found(mixed, "naming.test-naming-consistency", "advisory", "medium", message, "naming")
 
 
+def trivial_snapshots(tree: DataFrame) -> DataFrame:
+    """The first assertion of a test whose expression holds a literal of ten elements or more."""
+    elements = tree.where("field in ('elts', 'keys')").groupBy(*KEY, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_elements")).where(F.col("n_elements") >= SNAPSHOT)
+    large = tree.where("kind in ('List', 'Tuple', 'Set', 'Dict') and test_id is not null").join(elements, [*KEY, "node_id"], "left_semi").select(*KEY, "test_id", F.col("pre").alias("place"))
+    tested = tree.where("field = 'test'").select(*KEY, F.col("parent_id").alias("node_id"), F.col("pre").alias("begins"), F.col("last").alias("ends"))
+    rows = _held(tree, "kind = 'Assert'").join(tested, [*KEY, "node_id"])
+    hit = rows.join(large, [*KEY, "test_id"]).where("place between begins and ends").select(*rows.columns).dropDuplicates([*KEY, "node_id"])
+    return _in_test(_first(hit), "test-quality.trivial-snapshot", "advisory", "medium", _test(" asserts against a large literal - brittle snapshot."))
+
+
+def repeated_cycles(tree: DataFrame) -> DataFrame:
+    """Tests whose top-level statements go from assertions back to calls more than twice, the last assertions included.
+
+    Runs of assertions are islands: a statement without a call neither ends nor begins one.
+    """
+    asserted = tree.where("kind = 'Call' and field = 'value'").where(_is_assertion()).select(*KEY, F.col("parent_id").alias("node_id"), F.lit(True).alias("asserts"))
+    calling = tree.where("kind = 'Call' and fn_id is not null").select(*KEY, F.col("fn_id").alias("parent_id"), F.col("pre").alias("place"))
+    body = tree.where("field = 'body'").select(*KEY, "node_id", "parent_id", "kind", "ord", "pre", "last").join(_of(tree).withColumnRenamed("test_id", "parent_id"), [*KEY, "parent_id"])
+    body = body.join(asserted, [*KEY, "node_id"], "left").withColumn("is_assert", (F.col("kind") == "Assert") | ((F.col("kind") == "Expr") & F.coalesce("asserts", F.lit(False))))
+    acts = body.where("not is_assert").join(calling, [*KEY, "parent_id"]).where("place between pre and last").select(*KEY, "node_id").distinct().withColumn("acts", F.lit(True))
+    marked = body.join(acts, [*KEY, "node_id"], "left").where(F.col("is_assert") | F.col("acts"))
+    follows = F.lead("is_assert").over(Window.partitionBy(*KEY, "parent_id").orderBy("ord"))
+    ends = marked.withColumn("next", follows).where("is_assert and not coalesce(next, false)")
+    cycles = ends.groupBy(*KEY, "test_symbol", "test_line", "test_end").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CYCLES)
+    return _on_test(cycles, "test-quality.multiple-aaa-cycles", "advisory", "low", _test(" runs ", F.col("n").cast("string"), F.lit(" Arrange-Act-Assert cycles.")))
+
+
+def naming_styles(tree: DataFrame) -> DataFrame:
+    """Files with test in their path whose top-level tests are named in two styles or more; at the file."""
+    style = (
+        F.when(F.col("kind") != "ClassDef", F.when(F.col("name").startswith("test_"), "test_snake").when(F.col("name").rlike("^test[A-Z]"), "testCamel"))
+        .when(F.col("name").startswith("Test"), "TestPrefix")
+        .when(F.col("name").endswith("Test"), "SuffixTest")
+    )
+    rows = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef') and parent_id = 0 and lower(path) like '%test%' and path like '%.py'").withColumn("style", style).where("style is not null")
+    mixed = rows.groupBy(*KEY).agg(F.array_sort(F.collect_set("style")).alias("styles")).where(F.size("styles") >= 2).withColumns({"line": F.lit(1), "end_line": F.lit(None).cast("int")})
+    message = F.concat(F.lit("File mixes test-naming conventions: ['"), F.array_join("styles", "', '"), F.lit("']. Pick one."))
+    return found(mixed, "test-quality.naming-consistency", "advisory", "medium", message, PILLAR)
+
+
 RULES = (
     conditional_logic, eager_tests, empty_parametrize, parametrize_without_ids, exception_type_only, excessive_mocking, unused_mocks, unverified_mocks, mock_only_tests, production_bases,
     loop_assertions, mystery_guests, private_reflection, skipped_without_reason, tautologies, long_tests, tests_longer_than_subject, naming_mixtures,
+    trivial_snapshots, repeated_cycles, naming_styles,
 )
 
 

@@ -97,6 +97,11 @@ ABOUT = {
     "waste.one-line-function": ("advisory", "dead-code", "medium"),
     "waste.redundant-variable": ("advisory", "dead-code", "high"),
     "dead-code.unused-private-attribute": ("warning", "dead-code", "medium"),
+    "test-quality.trivial-snapshot": ("advisory", "test-quality", "medium"),
+    "test-quality.naming-consistency": ("advisory", "test-quality", "medium"),
+    "test-quality.multiple-aaa-cycles": ("advisory", "test-quality", "low"),
+    "naming.boolean-prefix": ("advisory", "naming", "medium"),
+    "dead-code.unused-private-function": ("warning", "dead-code", "medium"),
     "docs.ignore-directive-reason": ("warning", "documentation", "high"),
     "design.runtime-sys-path-mutation": ("advisory", "design", "high"),
 }
@@ -114,13 +119,15 @@ TESTS = [
     Snippet("class TestThing(Service):\n    def test_{k}(self):\n        assert x\n\nclass TestOther(BaseTestCase):\n    def test_b(self):\n        assert x\n", (("test-quality.extends-production-class", 1, "TestThing", "Test class 'TestThing' extends production class 'Service'."),), _T),
     Snippet("def test_{k}(rows):\n    for r in rows:\n        assert r\n    for r in rows:\n        assert r, 'message'\n", (("test-quality.loop-assertion-without-message", 3, "test_{k}", "Test 'test_{k}' has an assertion inside a loop with no message."),), _T),
     Snippet("import requests\n\ndef test_{k}():\n    assert requests.get('http://x')\n    open('x')\n\ndef test_b():\n    assert go()\n", (("test-quality.mystery-guest", 3, "test_{k}", "Test 'test_{k}' touches external state via `requests.get` - non-hermetic dependency."),), _T),
-    Snippet("def test_{k}(x):\n    assert x._private\n    assert x.__class__\n\nclass TestIt:\n    def test_b(self):\n        assert self._own\n", (("test-quality.private-reflection", 2, "test_{k}", "Test 'test_{k}' reaches into private attribute '_private'."),), _T),
+    Snippet("def test_{k}(x):\n    assert x._private\n    assert x.__class__\n\nclass TestIt:\n    def test_b(self):\n        assert self._own\n", (("test-quality.private-reflection", 2, "test_{k}", "Test 'test_{k}' reaches into private attribute '_private'."), ("test-quality.naming-consistency", 1, None, "File mixes test-naming conventions: ['TestPrefix', 'test_snake']. Pick one.")), _T),
     Snippet("import pytest\n\n@pytest.mark.skip\ndef test_{k}():\n    assert x\n\n@pytest.mark.skip(reason='slow')\ndef test_b():\n    assert x\n\n@pytest.mark.skipif(a, reason='')\ndef test_c():\n    assert x\n", (("test-quality.skipped-without-reason", 3, "test_{k}", "Test 'test_{k}' is skipped without a `reason`."), ("test-quality.skipped-without-reason", 11, "test_c", "Test 'test_c' is skipped without a `reason`.")), _T),
     Snippet("def test_{k}(x):\n    assert isinstance(x, type(x))\n    assert x.y == x.y\n    assert x == 1\n    assert x.y == x.z\n", tuple(("test-quality.tautological-type-assertion", n, "test_{k}", "Test 'test_{k}' asserts a tautological type relation - always true.") for n in (2, 3)), _T),
     Snippet("def test_{k}(x):\n" + "    x = go(x)\n" * 100 + "    assert x\n\ndef setup_function():\n" + "    x = go(1)\n" * 31, (("test-quality.test-function-too-long", 1, "test_{k}", "Test 'test_{k}' is 102 lines, above the error threshold of 100."), ("test-quality.setup-bloat", 104, "setup_function", "Setup 'setup_function' is 32 lines, above the threshold of 30.")), _T),
     Snippet("def work(x):\n" + "    x = go(x)\n" * 4 + "    return x\n\ndef test_work(x):\n" + "    x = go(x)\n" * 12 + "    assert x\n", (("test-quality.test-longer-than-sut", 8, "test_work", "Test 'test_work' is 14 lines for a 6-line SUT 'work' (ratio 2.3x)."),), _T),
-    Snippet("def test_one():\n    assert x\n\ndef testTwo():\n    assert x\n", (("naming.test-naming-consistency", 1, None, "File mixes 1 snake_case test name(s) and 1 camelCase test name(s); pick one style."),), _T),
+    Snippet("def test_one():\n    assert x\n\ndef testTwo():\n    assert x\n", (("naming.test-naming-consistency", 1, None, "File mixes 1 snake_case test name(s) and 1 camelCase test name(s); pick one style."), ("test-quality.naming-consistency", 1, None, "File mixes test-naming conventions: ['testCamel', 'test_snake']. Pick one.")), _T),
     Snippet("import unittest\n\nclass Cases(unittest.TestCase):\n    def testThing{k}(self):\n        if x:\n            y = 1\n        self.assertEqual(x, 1)\n\n    def helper(self):\n        if x:\n            y = 1\n", (("test-quality.conditional-logic", 5, "Cases.testThing{k}", "Test 'Cases.testThing{k}' contains conditional logic - split into parametrised cases."),), _T),
+    Snippet("def test_{k}():\n    assert go() == [1, 2, 3]\n    assert go() == [" + ", ".join(map(str, range(10))) + "]\n    assert go() == {" + ", ".join(f"{i}: 1" for i in range(12)) + "}\n", (("test-quality.trivial-snapshot", 3, "test_{k}", "Test 'test_{k}' asserts against a large literal - brittle snapshot."),), _T),
+    Snippet("def test_{k}():\n    x = go()\n    assert x\n    y = x[0]\n    assert y\n    x = go()\n    assert x\n    x = go()\n    assert_that(x)\n\ndef test_two():\n    x = go()\n    assert x\n    x = go()\n    assert x\n", (("test-quality.multiple-aaa-cycles", 1, "test_{k}", "Test 'test_{k}' runs 3 Arrange-Act-Assert cycles."),), _T),
 ]
 
 _DOC = '    """Do it.\n\n    Args:\n        a: one.\n        gone: two.\n    """\n'
@@ -135,7 +142,7 @@ DECLARATIONS = [
     # 171 - 5.2 ln(8) - 0.23 - 16.2 ln(403) with one sum of five tokens, two kinds: see the SQL's figure
     Snippet("def long_{k}(a):\n" + "    go(a)\n" * 801 + "    return a\n", (("complexity.maintainability-index", 1, "long_{k}", "Function 'long_{k}' has maintainability index 62.4, below the error threshold of 70."),)),
     Snippet("class Wide{k}:\n" + "".join(f"    def m{i}(self):\n" + "        go()\n" * 100 + "        go(1)\n" for i in range(3)), (("size.average-function-length", 1, "Wide{k}", "Class 'Wide{k}' averages 102.0 lines per method (over 3 methods), above the error threshold of 100."),)),
-    Snippet("def f_{k}(a, b):\n" + _DOC + "    go(a, b)\n\ndef g(a, b, _c):\n    \"\"\"Do it.\"\"\"\n    go(a, b)\n\ndef _h(a):\n    \"\"\"Do it.\"\"\"\n    go(a, 1)\n", (("docs.missing-param-doc", 1, "f_{k}", "Function 'f_{k}' needs a docstring entry describing parameter 'b'."), ("docs.stale-param-doc", 1, "f_{k}", "Function 'f_{k}' docstring documents parameter 'gone', which is not in the signature."), ("docs.missing-param-doc", 10, "g", "Function 'g' needs docstring entries describing its 2 parameter(s)."))),
+    Snippet("def f_{k}(a, b):\n" + _DOC + "    go(a, b)\n\ndef g(a, b, _c):\n    \"\"\"Do it.\"\"\"\n    go(a, b)\n\ndef _h(a):\n    \"\"\"Do it.\"\"\"\n    go(a, 1)\n", (("docs.missing-param-doc", 1, "f_{k}", "Function 'f_{k}' needs a docstring entry describing parameter 'b'."), ("docs.stale-param-doc", 1, "f_{k}", "Function 'f_{k}' docstring documents parameter 'gone', which is not in the signature."), ("docs.missing-param-doc", 10, "g", "Function 'g' needs docstring entries describing its 2 parameter(s)."), ("dead-code.unused-private-function", 14, "_h", "Private function '_h' is never called in its enclosing scope."))),
     Snippet("def f_{k}() -> int:\n    \"\"\"Do it.\"\"\"\n    raise KeyError\n\ndef g() -> None:\n    \"\"\"Do it.\n\n    Raises:\n        KeyError: never.\n    \"\"\"\n    raise KeyError\n\ndef h() -> int:\n    \"\"\"Do it.\n\n    :returns: one\n    \"\"\"\n    def inner():\n        raise KeyError\n    go(inner)\n", (("docs.missing-return-doc", 1, "f_{k}", "Function 'f_{k}' returns a non-None value and needs a Returns section in its docstring."), ("docs.missing-raises-doc", 1, "f_{k}", "Function 'f_{k}' raises exceptions and needs a Raises section in its docstring."))),
     Snippet("class Empty{k}:\n    \"\"\"Nothing.\"\"\"\n\nclass GoneError(Exception):\n    pass\n\nclass Shape(Protocol):\n    ...\n\nclass Full:\n    x = 1\n", (("waste.empty-class", 1, "Empty{k}", "Class 'Empty{k}' has an empty body."),)),
     Snippet("def wrap_{k}(a, b):\n    return go(a, b)\n\ndef swap(a, b):\n    return go(b, a)\n\n@property\ndef kept(a):\n    return go(a)\n\ndef other(a):\n    return go(a, 1)\n", (("waste.one-line-function", 1, "wrap_{k}", "Function 'wrap_{k}' is a thin wrapper that forwards its arguments to a single call with no other work."),)),
@@ -146,6 +153,12 @@ DECLARATIONS = [
         *(("design.runtime-sys-path-mutation", n, None, "`sys.path.append(...)` at runtime makes imports depend on execution order; the import layout needs packaging (editable install or src layout) instead.") for n in (3, 7)),
     )),
     Snippet("import sys\nsys.path.insert(0, 'x')\n", (), "tests/conf_{k}.py"),
+    Snippet("def ready_{k}() -> bool:\n    return go(1)\n\ndef is_{k}() -> bool:\n    return go(1)\n\ndef maybe() -> 'bool':\n    return go(1)\n\nclass Item(BaseModel):\n    done: bool = False\n\nclass Other:\n    done: Optional[bool] = None\n    LOUD: bool = True\n    is_on: bool = True\n", (
+        ("naming.boolean-prefix", 1, "ready_{k}", "Function 'ready_{k}' returns / is bool but lacks a boolean-intent prefix (is_, has_, can_, should_, was_, did_, will_, must_, needs_)."), ("naming.boolean-prefix", 7, "maybe", "Function 'maybe' returns / is bool but lacks a boolean-intent prefix (is_, has_, can_, should_, was_, did_, will_, must_, needs_)."), ("naming.boolean-prefix", 14, "done", "Attribute 'done' returns / is bool but lacks a boolean-intent prefix (is_, has_, can_, should_, was_, did_, will_, must_, needs_)."),
+    )),
+    Snippet("def _alone_{k}(x):\n    return _alone_{k}(x, 1)\n\ndef _called():\n    return 1\n\nclass Box:\n    def _hidden(self):\n        return 1\n\n    def _used(self):\n        return 1\n\n    def _load_a(self):\n        return 1\n\n    def run(self, x):\n        return self._used, getattr(self, f'_load_{x}'), 2\n\n_hidden = _called\n", (
+        ("dead-code.unused-private-function", 1, "_alone_{k}", "Private function '_alone_{k}' is never called in its enclosing scope."), ("dead-code.unused-private-function", 8, "Box._hidden", "Private function 'Box._hidden' is never called in its enclosing scope."),
+    )),
 ]
 
 _REASON = "Suppression directive '{}' is used {}."

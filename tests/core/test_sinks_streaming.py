@@ -28,7 +28,8 @@ def test_stream_appends_only_new_findings(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
 
     def rule(batch):
-        return code_rules.dangerous_calls(code.nodes(batch)).withColumn("message", F.lit("call"))
+        calls = code.nodes(batch).where("kind = 'Call' and text in ('eval', 'exec')")
+        return code_rules.finding(calls, "a.call", "error", "security").withColumn("message", F.lit("call"))
 
     for text in ("def f(x):\n    return eval(x)\n", "def f(x):\n    y = 1\n    return eval(x)\ndef g(x):\n    exec(x)\n"):
         spark.createDataFrame([("p", "a.py", "python", text)], kind).write.mode("append").parquet(source)

@@ -133,11 +133,42 @@ def hook_identity() -> Column:
 
 
 def new_only(head: DataFrame, base: DataFrame) -> DataFrame:
-    """Head findings whose hook identity the base snapshot lacks, errors first."""
+    """Head findings whose hook identity the base snapshot lacks; ``hook_order`` sorts them."""
     seen = base.select(hook_identity().alias("identity")).distinct()
     return head.withColumns({"identity": hook_identity(), "scope": hook_scope()}).join(seen, "identity", "left_anti")
 
 
+def hook_order(findings: DataFrame) -> DataFrame:
+    """Errors first, then by file, line (null as 0) and rule."""
+    return findings.orderBy(F.desc(severity_rank()), "file_path", F.coalesce("line", F.lit(0)), "rule_id")
+
+
+#: Metadata keys whose measure is in lines, a count or a score.
+LINE_KEYS = ("lines", "averageLines")
+COUNT_KEYS = ("assertions", "attributes", "cycles", "fieldCount", "groupSize", "markers", "methodCount", "mocks", "parameters", "publicMethods")
+SCORE_KEYS = ("complexity", "cognitive", "maintainabilityIndex")
+
+
+def hook_metadata(findings: DataFrame) -> DataFrame:
+    """Of findings with a threshold in their metadata: ``measured``, ``direction`` (above unless stated) and ``unit``; else null."""
+    value = lambda k: F.get_json_object("metadata_json", f"$.{k}")
+    has = lambda keys: F.coalesce(*[value(k) for k in keys]).isNotNull()
+    unit = (
+        F.when(has(LINE_KEYS), "lines")
+        .when(has(("densityPer1000",)), "per_1000_lines")
+        .when(has(("halsteadVolume",)), "volume")
+        .when(has(SCORE_KEYS), "score")
+        .when(has(COUNT_KEYS) | F.col("rule_id").startswith("size."), "count")
+        .otherwise("value")
+    )
+    bounded = value("threshold").isNotNull()
+    return findings.withColumns({
+        "measured": F.when(bounded, F.coalesce(value("measured"), value("measuredValue"), *[value(k) for k in (*LINE_KEYS, *COUNT_KEYS)])),
+        "direction": F.when(bounded, F.coalesce(value("direction"), value("thresholdDirection"), F.lit("above"))),
+        "unit": F.when(bounded, F.coalesce(value("unit"), unit)),
+    })
+
+
 def unknown_suppressions(suppressions: DataFrame, rules: DataFrame) -> DataFrame:
     """Suppressions that name no rule."""
-    return suppressions.join(F.broadcast(rules.select("rule_id")), "rule_id", "left_anti")
+    return suppressions.join(rules.select("rule_id"), "rule_id", "left_anti")

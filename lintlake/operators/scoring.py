@@ -131,7 +131,7 @@ def metric_top(measures: DataFrame, thresholds: DataFrame, n: int = 10) -> DataF
     """The worst functions of each metric: a top-k report, low values first where the metric says ``below``."""
     bad = F.when(F.col("below"), F.col("value")).otherwise(-F.col("value"))
     order = Window.partitionBy("metric").orderBy("bad", "file_path", "line", "symbol")
-    ranked = measures.join(F.broadcast(thresholds.select("metric", "below")), "metric").withColumn("bad", bad).withColumn("place", F.row_number().over(order))
+    ranked = measures.join(thresholds.select("metric", "below"), "metric").withColumn("bad", bad).withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= n).select("metric", "place", "file_path", "line", "symbol", "value")
 
 

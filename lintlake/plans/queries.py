@@ -583,3 +583,24 @@ def function_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = spark.createDataFrame([("cyclomatic", 20.0, False), ("cognitive", 30.0, False), ("nesting", 6.0, False)], "metric string, threshold double, below boolean")
     out = scoring.metric_summary(rows.select(F.explode(pairs).alias("m")).select("m.*"), limits)
     return out.select("metric", "n", "least", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p99")], "most", "crossings")
+
+
+# --- the hook's metadata --------------------------------------------------------------------------
+
+_CASES = (
+    ('{"threshold": 100, "lines": 120}', "120", "above", "lines"),
+    ('{"threshold": 70, "maintainabilityIndex": 61.5, "measuredValue": 61.5, "thresholdDirection": "below"}', "61.5", "below", "score"),
+    ('{"threshold": 5, "assertions": 9}', "9", "above", "count"),
+    ('{"lines": 120}', None, None, None),
+    ('{"threshold": 10, "densityPer1000": 12}', None, "above", "per_1000_lines"),
+    ('{"threshold": 1, "measured": 2, "unit": "own"}', "2", "above", "own"),
+)
+_SQL_CASES = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" for x in c)]) + ")" for i, c in enumerate(_CASES))
+
+
+@query(f"SELECT 'a.b' AS rule_id, CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber::INTEGER AS line, measured, direction, unit FROM lineitem JOIN (VALUES {_SQL_CASES}) c(k, metadata, measured, direction, unit) ON l_partkey % {len(_CASES)} = k")
+def hook_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measure, direction and unit that the hook gives a finding, from its metadata."""
+    texts = F.array(*[F.lit(c[0]) for c in _CASES])
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("a.b").alias("rule_id"), F.col("l_orderkey").cast("string").alias("file_path"), F.col("l_linenumber").cast("int").alias("line"), F.element_at(texts, (F.col("l_partkey") % len(_CASES)).cast("int") + 1).alias("metadata_json"))
+    return ops.hook_metadata(rows).select("rule_id", "file_path", "line", "measured", "direction", "unit")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths by application, relation and source.
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder in the warehouse if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+    """``spark.checkpoint.dir``; if unset a folder in the warehouse, or a temporary one in a session on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 

@@ -13,6 +13,9 @@ COLUMNS = {
     "op8": ("documents", ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
     "op9": ("documents", ["doc_id", "n_shingles", "component_id"]),
     "op10": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]),
+    "op11": ("embeddings", ["vec_id", "code", "error", "label_error", "codebooks_sha256"]),
+    "op12": (None, ["item_id", "rank", "doc_id", "score"]),
+    "op13": ("pages", ["page_id", "host", "path", "rule", "verdict"]),
 }
 
 
@@ -23,6 +26,6 @@ def test_contract(spark, sf_dir, op):
     got = __spark_entry__.queries()[name](spark, sf_dir)
     assert got.columns[: len(columns)] == columns or set(columns) <= set(got.columns)
     kinds = dict(got.dtypes)
-    assert all(kinds[c] == "bigint" for c in columns if c in ("doc_id", "page_id", "vec_id", "n_tokens", "start", "n_links", "component_id", "n_shingles", "n_chars", "ids_crc32"))
+    assert all(kinds[c] == "bigint" for c in columns if c in ("doc_id", "page_id", "vec_id", "n_tokens", "start", "n_links", "component_id", "n_shingles", "n_chars", "ids_crc32", "error", "label_error"))
     if table:
         assert got.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()

@@ -52,6 +52,10 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
             return node.asname or node.name.split(".")[0], node.name, None
         case ast.BoolOp():
             return type(node.op).__name__, None, len(node.values)
+        case ast.BinOp():
+            return type(node.op).__name__, None, None
+        case ast.FormattedValue():
+            return None, None, node.conversion
         case ast.comprehension():
             return None, None, len(node.ifs)
         case ast.match_case():
@@ -231,6 +235,8 @@ def flatten(source: str) -> list[tuple]:
         defines = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
         if defines or isinstance(node, ast.ClassDef):
             tags = [_dotted(d.func if isinstance(d, ast.Call) else d) or "" for d in node.decorator_list]
+        elif isinstance(node, (ast.Global, ast.Nonlocal)):
+            tags = list(node.names)
         if isinstance(node, ast.ClassDef):
             bases = [_dotted(b.value if isinstance(b, ast.Subscript) else b.func if isinstance(b, ast.Call) else b) or "" for b in node.bases]
         if defines:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, project_text, scoring, security_rules, test_rules, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, test_rules, text_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import changes, corpus
+from lintlake.sources.flow_cases import ABOUT_FLOW, FLOW
+from lintlake.sources.projects import Case, planted, planted_sql
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.store import written_once
 
@@ -466,6 +468,18 @@ def security_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security_rules.all_rules(_dealt_tree(spark, sf_dir, "security", SECURITY)).select(*SHOWN)
 
 
+def _planted_tree(spark: SparkSession, sf_dir: str, name: str, cases: list[Case]) -> DataFrame:
+    """The node relation of planted projects, parsed and written once."""
+    spread = lambda: table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return written_once(spark, f"nodes-{name}", sf_dir, lambda: code.nodes(planted(spread(), cases)))
+
+
+@query(planted_sql(FLOW, ABOUT_FLOW))
+def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User input that reaches files and HTTP clients, and SQL text built at run time; every path is in many projects."""
+    return flow_rules.all_rules(_planted_tree(spark, sf_dir, "flow", FLOW)).select(*SHOWN)
+
+
 @query(expected_sql(TESTS, ABOUT))
 def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "tests", TESTS)

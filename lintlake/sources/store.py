@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: what several plans read is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written_once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The relation ``name`` of the tables in ``source``: written as Parquet at its first use in a session, read after it.
 
@@ -29,9 +36,8 @@ def written_once(spark: SparkSession, name: str, source: str, make: Callable[[],
     costs the tasks it ran and no second parse.
     """
     key = (spark.sparkContext.applicationId, name, source)
-    df = make() if key not in _WRITTEN else None
-    if df is not None:
+    if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        make().write.option("compression", "zstd").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])

@@ -142,11 +142,13 @@ def training_samples(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """A bounded sample of whole documents per language, by hash of the id, outside the held-out fold."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang is not null and text is not null and length(text) > 0")
     rows = rows.where(crc32_text("id") % fold != held_out)
-    order = Window.partitionBy("lang").orderBy("long", "hash", "id")
-    ids = rows.select("lang", "id", (F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash"))
+    order = Window.partitionBy("lang").orderBy("long", "hash", "id", "own")
+    ids = rows.select("lang", "id", (F.length("text") > LONG).alias("long"), F.xxhash64("id").alias("hash"), F.xxhash64("text").alias("own"))
     ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-    chosen = F.broadcast(ids.select(F.col("lang").alias("in_lang"), F.col("id").alias("chosen"), "place"))
-    got = rows.join(chosen, F.col("id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("in_lang"))).select("lang", "place", "text")
+    # by id and the text's own hash, as ids may be null or repeat; of repeated rows one text for each place
+    chosen = F.broadcast(ids.select(F.col("lang").alias("in_lang"), F.col("id").alias("chosen"), F.col("own").alias("chosen_text"), "place"))
+    mine = F.col("id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("in_lang")) & (F.xxhash64("text") == F.col("chosen_text"))
+    got = rows.join(chosen, mine).groupBy("lang", "place").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     samples: dict[str, str] = {}
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         if len(samples.get(r["lang"], "")) < SAMPLE_CHARS:

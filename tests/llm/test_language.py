@@ -52,3 +52,13 @@ def test_classify(spark):
     assert by[500]["lang_pred"] == by[501]["lang_pred"] == "und" and by[None]["lang_pred"] == "cc" and by[502]["lang_pred"] == "bb"
     assert language.classify(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.classify(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_sample_of_rows_without_ids_is_bounded(spark):
+    """Rows that share an id, or have none, are found by their own text: each place of the sample is filled once."""
+    texts = [(None, f"{'word' * (i % 7 + 1)} number {i} ", "en") for i in range(3_000)] + [(7, "gleich und gleich", "de")] * 500
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    samples = language.training_samples(docs)
+    assert set(samples) == {"en", "de"} and len(samples["en"]) <= language.SAMPLE_CHARS
+    assert samples["de"].count("gleich und gleich") == language.SAMPLE_DOCS
+    assert len({x for x in samples["en"].split("  ") if x}) == language.SAMPLE_DOCS

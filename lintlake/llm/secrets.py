@@ -26,8 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
-#: A run of key characters that may be a secret.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A run of key characters that may be a secret; what may part a rest of it from a fixed shape.
+RUN, RUN_LENGTH, SEPARATORS = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}"), 20, "+/_-="
 #: Known digests and UUIDs; names that look like words and numbers joined by separators.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:1|256|384|512)-.*")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*|(?:[A-Z][a-z]+)+[0-9]*")
@@ -68,20 +68,37 @@ def is_named(run: str, coder) -> bool:
 
 
 def random_spans(text: str, coder, taken: list[tuple[int, int, str]], chars_per_token: float) -> list[tuple[int, int, str]]:
-    """Runs of low token efficiency that no fixed shape overlaps (``taken`` is sorted by start; one sweep over both)."""
-    out, at, reach = [], 0, 0
+    """Runs of low token efficiency, and what fixed shapes leave of runs (``taken`` is sorted by start; one sweep over both)."""
+    shapes: list[list[int]] = []  # overlapping ones as one
+    for start, end, _ in taken:
+        if shapes and start < shapes[-1][1]:
+            shapes[-1][1] = max(shapes[-1][1], end)
+        else:
+            shapes.append([start, end])
+    out, at = [], 0
     for m in RUN.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        while at < len(taken) and taken[at][0] < end:  # shapes that begin before the run ends; the furthest end counts
-            reach = max(reach, taken[at][1])
+        start, end = m.span()
+        while at < len(shapes) and shapes[at][1] <= start:
             at += 1
-        if reach > start or run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run):
-            continue
-        if len(run) / len(coder.encode_ordinary(run)) < chars_per_token and not is_named(run, coder):
-            out.append((start, end, "random"))
+        pieces, k = [], at
+        while k < len(shapes) and shapes[k][0] < end:
+            pieces.append((start, shapes[k][0]))
+            start = shapes[k][1]
+            k += 1
+        for a, b in [*pieces, (start, end)]:
+            if (a, b) != m.span():  # a rest has the length of a run, without what parted it from the shape
+                a, b = a + len(text[a:b]) - len(text[a:b].lstrip(SEPARATORS)), b - len(text[a:b]) + len(text[a:b].rstrip(SEPARATORS))
+            if b - a >= RUN_LENGTH and _is_random(text[a:b], coder, chars_per_token):
+                out.append((a, b, "random"))
     return out
 
 
+def _is_random(run: str, coder, chars_per_token: float) -> bool:
+    if run.isdigit() or len(set(run)) < 8 or KNOWN.fullmatch(run):
+        return False
+    return len(run) / len(coder.encode_ordinary(run)) < chars_per_token and not is_named(run, coder)
+
+
 def spans_of(text: str, coder, chars_per_token: float = 2.0) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The fixed shapes' spans, and all spans."""
     base = base_spans(text)

@@ -149,7 +149,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def usable_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """``id``, ``v`` (array<double>), ``h1``, ``h2`` of rows that can link: no nulls, finite, not zero."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return rows.where(good).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
 
@@ -177,7 +177,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     """``id_column``, ``n_links``, ``component_id``, ``kept`` for every row.
 
     Vectors that are null or zero, or hold null or non-finite components, link with
-    nothing, as do rows without an id (their component is null). Vectors of other
+    nothing. Rows without an id link as all others do, but name no component: theirs is
+    null if no row of it has an id, and else they are not kept. Vectors of other
     lengths don't link with each other. Equal vectors are indexed once and count as
     often as they occur. Repeated rows, and rows of one id with other vectors, are
     vectors of their own. An empty table gives none.
@@ -269,6 +270,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     mine = usable.select("id", "h1", "h2").join(reps, ["h1", "h2"])
     rest = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rest = rest.where(~F.coalesce(good & F.col("id").isNotNull() & (F.size("v") > 0), F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    rest = rest.where(~F.coalesce(good & (F.size("v") > 0), F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = mine.select("id", "n_links", "component_id").unionByName(rest)
-    return out.select(F.col("id").cast(kind).alias(id_column), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").cast(kind).alias(id_column), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

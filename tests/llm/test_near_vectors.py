@@ -71,11 +71,17 @@ def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
     got = sorted((tuple(r) for r in near_vectors.near_duplicates(frame).collect()), key=str)
-    want = [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True)] + [(i, 0, i, True) for i in range(4, 11)]
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True), (None, 3, 1, False)] + [(i, 0, i, True) for i in range(4, 11)]
     assert got == sorted(want, key=str)
     assert near_vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.001]), (None, [0.0, 1.0]), (None, [0.001, 1.0]), (None, None), (None, [0.0, 0.0])]
+    got = sorted((tuple(r) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
 def test_one_id_with_other_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
     got = sorted(tuple(r) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())

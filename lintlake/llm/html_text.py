@@ -32,7 +32,7 @@ FENCES = frozenset("table ul ol dl div article section body html td th li dd sel
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that never hold article text.
-NOT_TEXT = frozenset("script style noscript template iframe textarea title button select option input label svg canvas object embed audio video map datalist math".split())
+NOT_TEXT = frozenset("script style noscript template iframe textarea title button select option input svg canvas object embed audio video map datalist".split())
 #: Elements that seldom hold the article, and those that do so only around a main element or most of the text.
 WRAPPERS, BESIDE = frozenset("head form fieldset dialog menu header".split()), frozenset("nav footer aside".split())
 #: Elements whose class, id or role says nothing: text and its parts, not boxes.
@@ -46,9 +46,12 @@ _SURE = (
 )
 _LIKELY = r"nav[^\W_]*|promo[^\W_]*|sponsor[^\W_]*|banner[^\W_]*|notices?|alerts?|modal|side|widgets?|social|responses?|replies|reply|discussion|feedback|foot[^\W_]*|header|masthead|topbar|toolbar|tags?|byline|copyright|legal|disclaimer|skip[^\W_]*|search[^\W_]*|form"
 SURE_NAME = re.compile(rf"{_BOX}(?:{_SURE})(?:[_-]+(?:{_SURE}|{_LIKELY}))*{_END}", re.I)
+#: Of these, boxes in the article that are as dense as its text stay: what they hold is the article's.
+_SOFT = r"promos?|overlay|related|recommend[^\W_]*|share|sharing"
+HARD_NAME = re.compile(SURE_NAME.pattern.replace(_SURE, "|".join(w for w in _SURE.split("|") if w not in _SOFT.split("|"))), re.I)
 LIKELY_NAME = re.compile(rf"{_BOX}(?:{_SURE}|{_LIKELY})(?:[_-]+(?:{_SURE}|{_LIKELY}))*{_END}", re.I)
 HIDDEN_NAME = re.compile(r"(?:hidden|sr-only|visually-hidden|screen-reader-text|skip-?link|skip-to-(?:main|content|nav\w*))", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none)", re.I)
 
@@ -58,6 +61,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.drop, self.named = ["#root"], [-1], [False], [False]
+        self.soft: list[int] = []  # nodes in an article whose name rules them out only if they are thinner than it
         self.likely, self.article = [False], [0]  # article: the nearest article or main at or around the node, 0 if none
         self.runs: list[tuple[int, str]] = []  # (node, text); an empty text marks a line break
         self.open: list[int] = [0]  # the open nodes, outermost first
@@ -101,7 +105,7 @@ class Page:
         self.article.append(me if tag in ("article", "main") else inside)
         self.drop.append(tag in NOT_TEXT or bool(attributes and _HIDDEN.search(attributes)))
         # a header inside the article is its own
-        likely, named = tag in BESIDE or tag in WRAPPERS and not (tag == "header" and inside), False
+        likely, named, hard = tag in BESIDE or tag in WRAPPERS and not (tag == "header" and inside), False, False
         if attributes and tag not in HEADINGS:
             for kind, *values in _NAMES.findall(attributes):
                 for name in "".join(values).split():
@@ -110,7 +114,10 @@ class Page:
                     self.drop[me] = self.drop[me] or kind.lower() != "id" and tag not in ("html", "body") and bool(HIDDEN_NAME.fullmatch(name))
                     if tag not in TEXT_PARTS:
                         named = named or bool(SURE_NAME.fullmatch(name))
+                        hard = hard or bool(HARD_NAME.fullmatch(name))
                         likely = likely or not inside and tag != "section" and bool(LIKELY_NAME.fullmatch(name))
+        if named and inside and not hard:
+            self.soft.append(me)
         self.named.append(named)
         self.likely.append(likely)
         return me
@@ -127,6 +134,8 @@ class Page:
         while first > 0:
             first = self.parents[first]
             title[first] = True
+        for i in self._dense():
+            self.named[i] = False
         for i in range(1, n):
             self.named[i] = self.named[i] and not holds[i] and not title[i]
             self.drop[i] = self.drop[i] or self.named[i] or self.drop[self.parents[i]]
@@ -150,6 +159,22 @@ class Page:
                 self.drop[i] = self.drop[i] or not (main[i] if beside else holds[i] or titled or body) and not most
             self.drop[i] = self.drop[i] or self.drop[self.parents[i]]
 
+    def _dense(self) -> list[int]:
+        """Of the soft nodes those with at least half the article's characters per tag, links aside."""
+        if not self.soft:
+            return []
+        n = len(self.tags)
+        chars, tags, linked = [0] * n, [1] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = self.tags[i] == "a" or linked[self.parents[i]]
+        for i, text in self.runs:
+            if not linked[i] and self.tags[i] not in NOT_TEXT:
+                chars[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+            tags[self.parents[i]] += tags[i]
+        return [i for i in self.soft if 2 * chars[i] * tags[self.article[i]] >= chars[self.article[i]] * tags[i]]
+
     def _last(self, tags: Iterable[str]) -> int:
         """The innermost place of an open node of these tags; 0 if there is none."""
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
@@ -307,7 +332,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", html_column: str = "ht
     """The main text of each page: the id, ``keep`` columns, ``text``, ``n_chars`` (code points).
 
     One row per page, in the scan's own partitions; null and empty pages give an
-    empty text, null ids and repeated rows stay, an empty table gives none.
+    empty text, null ids and repeated rows stay, an empty table gives none. Long and
+    deep pages take time and memory in proportion to their length, one at a time.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -40,3 +40,16 @@ ASP = f"<form id=aspnetForm><article><h1>A title</h1>{words(1, 2)}</article></fo
 )
 def test_names_and_wrappers_cost_no_article_text(html, want):
     assert html_text.main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><h1>T</h1><p class=a\">first text.</p><p>second 'text'.</p></article>", ["T", "first text.", "second 'text'."]),
+        ("<article><p title='a > b' data-x=\"c>d\" e=f'g>text</p></article>", ["text"]),
+        ("<article><p>formula <math><mi>x</mi>=2</math> end, <label>a label</label></p></article>", ["formula x=2 end, a label"]),
+        (f"<article>{words(1, 2)}<div class=related><h2>Related work</h2>{words(2)}</div><div class=share>Share</div><div class=related><a href=x>one more story</a> <a href=y>another</a></div><div class=comments>{words(3)}</div><div class=ad>{words(4)}</div></article>", [*lines(1, 2), "Related work", *lines(2)]),
+    ],
+)
+def test_nothing_of_the_article_goes(html, want):
+    assert html_text.main_text(html).split("\n") == want

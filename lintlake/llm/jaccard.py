@@ -16,6 +16,7 @@ size, and each block gives only edges that connect its components.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -114,7 +115,9 @@ def _described(n: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("jaccard",), dict)
-        names = ["id", "hash", "size", "key", "part", "counts"]
+        from pyspark import TaskContext
+
+        names, task = ["id", "hash", "size", "key", "part", "counts", "task"], TaskContext.get().partitionId()
         counts = np.zeros(CELLS, np.int32)
         seen: set[int] = set()
         for b in batches:
@@ -130,20 +133,25 @@ def _described(n: int):
                         seen.add(key)
                         np.add.at(counts, _cells(s), 1)
             none = pa.nulls(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int32())], names=names)
         few = np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)
         parts = [k for k in range(len(few)) if few[k].any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array([few[k].tobytes() for k in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array([few[k].tobytes() for k in parts], pa.binary()), pa.array([task] * len(parts), pa.int32())], names=names)
 
     return run
 
 
-def _sum_parts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PART, np.int64)
-    for x in rows["counts"]:
-        total += np.frombuffer(x, np.uint8)
-    return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 65_535).astype("<u2").tobytes()]})
+def _sum_parts(kind: str):
+    """A part's counts of several tasks, or of several sums of them, as one."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(PART, np.int64)
+        for x in rows["counts"]:
+            total += np.frombuffer(x, kind)
+        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 65_535).astype("<u2").tobytes()]})
+
+    return run
 
 
 def _prefixes(order, n: int, percent: int):
@@ -321,22 +329,32 @@ def _all_links(docs: DataFrame, described: DataFrame, order, n: int, percent: in
     split = rest.groupBy("gram").agg(F.min("of_key").alias("low"), F.max("of_key").alias("high")).where("low != high").select("gram")
     rest = rest.join(split, "gram", "left_semi")
     groups = connected_components(rest.where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))).select(F.col("id").alias("key"), F.col("component").alias("group_id"))
-    sized = groups.join(long.groupBy("key").agg(F.max("size").alias("size")), "key")
-    counts = sized.groupBy("group_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("blocks"))
-    placed = groups.join(counts, "group_id").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    # every pair of blocks of a group is one tile
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("group_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key").join(texts, "key")
-    found = written(tiles.groupBy("group_id", "i", "j").applyInPandas(_tile(n, percent), "a long, b long"), "tiles")
+    # sets that link are in one band of sizes or in neighbouring ones; bands are a hair wider, for rounding
+    band = F.floor(F.log("size") / math.log(100.01 / percent)).cast("int")
+    sized = groups.join(long.groupBy("key").agg(F.max("size").alias("size")), "key").withColumn("band", band)
+    counts = sized.groupBy("group_id", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("blocks"))
+    placed = sized.join(counts, ["group_id", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).select("group_id", "band", "blocks", "block", "key")
+    # pairs of blocks of a band, and of one with the next, are tiles
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    inner = placed.withColumn("other", upto("blocks")).select("group_id", "band", F.lit(False).alias("across"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key")
+    beside = counts.select("group_id", F.col("band").alias("to"), F.col("blocks").alias("others"))
+    lower = placed.join(beside.withColumn("band", F.col("to") - 1), ["group_id", "band"]).withColumn("other", upto("others")).select("group_id", "band", F.lit(True).alias("across"), F.col("block").alias("i"), F.col("other").alias("j"), "key")
+    upper = placed.join(beside.withColumn("band", F.col("to") + 1), ["group_id", "band"]).withColumn("other", upto("others")).select("group_id", (F.col("band") - 1).alias("band"), F.lit(True).alias("across"), F.col("other").alias("i"), F.col("block").alias("j"), "key")
+    tiles = inner.unionByName(lower).unionByName(upper).join(texts, "key")
+    found = written(tiles.groupBy("group_id", "band", "across", "i", "j").applyInPandas(_tile(n, percent), "a long, b long"), "tiles")
     return connected_components(links.unionByName(found))
 
 
 def _linked(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """Per row its id, set size and set key; per key that has a link its component."""
     mine = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    both = written(mine.withColumn("hash", F.xxhash64("text")).mapInArrow(_described(n), "id long, hash long, size long, key long, part int, counts binary"), "described")
+    both = written(mine.withColumn("hash", F.xxhash64("text")).mapInArrow(_described(n), "id long, hash long, size long, key long, part int, counts binary, task int"), "described")
     described = both.where("part is null").select("id", "hash", "size", "key")
-    sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(_sum_parts, "part int, counts binary")
+    counts = both.where("part is not null").select("part", "counts", "task")
+    tasks = counts.agg(F.count_distinct("task")).first()[0]
+    # in two steps, so that no group holds the counts of all tasks
+    some = counts.withColumn("group", F.pmod("task", F.lit(math.isqrt(tasks) + 1))).groupBy("part", "group").applyInPandas(_sum_parts("u1"), "part int, counts binary")
+    sums = some.groupBy("part").applyInPandas(_sum_parts("<u2"), "part int, counts binary")
     common = np.zeros(CELLS, np.uint16)
     for r in sums.collect():  # the sketch has a fixed size
         common[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<u2")

@@ -1,4 +1,8 @@
-"""Operators over the findings table: distinct, suppression, baseline, changed regions, hook."""
+"""Operators over the findings table: distinct, suppression, baseline, changed regions, hook.
+
+A path names a file within its project only, so every key begins with the project, and
+what findings are held against has a project as well.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from lintlake.functions.grading import severity_rank
 from lintlake.functions.identity import fingerprint, stable_identity
 
 #: What makes two findings the same.
-DISTINCT_KEY = ("rule_id", "file_path", "line", "end_line", "column", "symbol", "message", "metadata_json")
+DISTINCT_KEY = ("project", "rule_id", "file_path", "line", "end_line", "column", "symbol", "message", "metadata_json")
 
 
 def distinct_findings(findings: DataFrame) -> DataFrame:
@@ -18,8 +22,8 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """By file, line (null as 0), rule and message; remaining columns break ties."""
-    return findings.orderBy("file_path", F.coalesce("line", F.lit(0)), "rule_id", "message", "column", "symbol")
+    """By project, file, line (null as 0), rule and message; remaining columns break ties."""
+    return findings.orderBy("project", "file_path", F.coalesce("line", F.lit(0)), "rule_id", "message", "column", "symbol")
 
 
 def with_identities(findings: DataFrame) -> DataFrame:
@@ -48,27 +52,30 @@ def unsuppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
 
     Two equi anti-joins, so neither is a nested loop.
     """
-    whole = suppressions.where("line is null").select("file_path", "rule_id")
-    single = suppressions.where("line is not null").select("file_path", "rule_id", "line")
-    return findings.join(whole, ["file_path", "rule_id"], "left_anti").join(single, ["file_path", "rule_id", "line"], "left_anti")
+    key = ["project", "file_path", "rule_id"]
+    whole = suppressions.where("line is null").select(*key)
+    single = suppressions.where("line is not null").select(*key, "line")
+    return findings.join(whole, key, "left_anti").join(single, [*key, "line"], "left_anti")
 
 
 def without_allowed(findings: DataFrame, previews: DataFrame) -> DataFrame:
-    """Without sensitive-data findings whose preview is allowed."""
-    allowed = previews.select(F.col("preview").alias("allowed")).distinct()
-    return findings.join(allowed, (F.col("pillar") == "sensitive-data") & (F.get_json_object("metadata_json", "$.preview") == F.col("allowed")), "left_anti")
+    """Without sensitive-data findings whose preview is allowed: in their project, or in all if ``previews`` has no projects."""
+    where = ["project"] if "project" in previews.columns else []
+    allowed = previews.select(*[F.col(c).alias(f"in_{c}") for c in where], F.col("preview").alias("allowed")).distinct()
+    same = (F.col("pillar") == "sensitive-data") & (F.get_json_object("metadata_json", "$.preview") == F.col("allowed"))
+    return findings.join(allowed, same & (F.col("project") == F.col("in_project")) if where else same, "left_anti")
 
 
 def apply_baseline(findings: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new findings, findings that the baseline knows, stale baseline entries) by fingerprint, rule and file."""
-    key = ["fingerprint", "rule_id", "file_path"]
+    """(new findings, findings that the baseline knows, stale baseline entries) by project, fingerprint, rule and file."""
+    key = ["project", "fingerprint", "rule_id", "file_path"]
     known = baseline.select(*key).distinct()
     return findings.join(known, key, "left_anti"), findings.join(known, key, "left_semi"), baseline.join(findings.select(*key).distinct(), key, "left_anti")
 
 
 def as_baseline(findings: DataFrame) -> DataFrame:
     """Baseline entries of findings."""
-    return findings.select("fingerprint", "rule_id", "file_path", "line", "symbol", "message")
+    return findings.select("project", "fingerprint", "rule_id", "file_path", "line", "symbol", "message")
 
 
 def merged_ranges(regions: DataFrame, *key: str) -> DataFrame:
@@ -86,26 +93,26 @@ def in_changed_lines(findings: DataFrame, regions: DataFrame, anchor_only: tuple
     ``anchor_only`` rules are held to their first line. Equi on the file first.
     """
     last = F.when(F.col("rule_id").isin(*anchor_only), F.col("line")).otherwise(F.coalesce("end_line", "line")) if anchor_only else F.coalesce("end_line", "line")
-    r = regions.select(F.col("file_path").alias("r_file"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    r = regions.select(F.col("project").alias("r_project"), F.col("file_path").alias("r_file"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     overlap = (F.col("r_start") <= last) & (F.col("line") <= F.col("r_end"))
-    return findings.join(r, (F.col("file_path") == F.col("r_file")) & (F.col("line").isNull() | overlap), "left_semi")
+    return findings.join(r, (F.col("project") == F.col("r_project")) & (F.col("file_path") == F.col("r_file")) & (F.col("line").isNull() | overlap), "left_semi")
 
 
 def enclosing_declaration(findings: DataFrame, declarations: DataFrame) -> DataFrame:
     """Each finding with the declaration around its line: its own symbol's first, then the shortest, then the first."""
-    d = declarations.select(F.col("file_path").alias("d_file"), F.col("symbol").alias("declared"), F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    inside = (F.col("file_path") == F.col("d_file")) & (F.col("line") >= F.col("d_start")) & (F.col("line") <= F.col("d_end"))
+    d = declarations.select(F.col("project").alias("d_project"), F.col("file_path").alias("d_file"), F.col("symbol").alias("declared"), F.col("start").alias("d_start"), F.col("end").alias("d_end"))
+    inside = (F.col("project") == F.col("d_project")) & (F.col("file_path") == F.col("d_file")) & (F.col("line") >= F.col("d_start")) & (F.col("line") <= F.col("d_end"))
     best = F.min_by(
         F.struct("declared", "d_start", "d_end"),
         F.struct(F.when(F.col("declared").eqNullSafe(F.col("symbol")), 0).otherwise(1), F.col("d_end") - F.col("d_start"), F.col("d_start"), F.col("declared")),
     )
-    return findings.join(d, inside).groupBy("finding_id", "file_path", "line").agg(best.alias("d")).select("finding_id", "file_path", "line", "d.declared", "d.d_start", "d.d_end")
+    return findings.join(d, inside).groupBy("finding_id", "project", "file_path", "line").agg(best.alias("d")).select("finding_id", "project", "file_path", "line", "d.declared", "d.d_start", "d.d_end")
 
 
 def in_changed_symbols(findings: DataFrame, declarations: DataFrame, regions: DataFrame) -> DataFrame:
     """Findings that overlap a changed range, or whose enclosing declaration does."""
     direct = in_changed_lines(findings, regions).select("finding_id")
-    around = enclosing_declaration(findings, declarations).select("finding_id", "file_path", F.col("d_start").alias("line"), F.col("d_end").alias("end_line"), F.lit("").alias("rule_id"))
+    around = enclosing_declaration(findings, declarations).select("finding_id", "project", "file_path", F.col("d_start").alias("line"), F.col("d_end").alias("end_line"), F.lit("").alias("rule_id"))
     near = in_changed_lines(around, regions).select("finding_id")
     return findings.join(direct.unionByName(near).distinct(), "finding_id", "left_semi")
 
@@ -133,9 +140,9 @@ def hook_identity() -> Column:
 
 
 def new_only(head: DataFrame, base: DataFrame) -> DataFrame:
-    """Head findings whose hook identity the base snapshot lacks; ``hook_order`` sorts them."""
-    seen = base.select(hook_identity().alias("identity")).distinct()
-    return head.withColumns({"identity": hook_identity(), "scope": hook_scope()}).join(seen, "identity", "left_anti")
+    """Head findings whose hook identity the base snapshot of their project lacks; ``hook_order`` sorts them."""
+    seen = base.select("project", hook_identity().alias("identity")).distinct()
+    return head.withColumns({"identity": hook_identity(), "scope": hook_scope()}).join(seen, ["project", "identity"], "left_anti")
 
 
 def hook_order(findings: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ Every line item is a finding; keys give it a project, file, rule, place and symb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Projects, by the remainder of the order key.
+PROJECTS = 5000
 #: Rule and pillar by the remainder of the part key.
 RULES = (
     ("size.function-length", "size"), ("size.parameter-count", "size"), ("complexity.cyclomatic", "complexity"), ("complexity.cognitive", "complexity"),
@@ -20,7 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def project_of(order: Column) -> Column:
+    return F.concat(F.lit("p"), (order % PROJECTS).cast("string"))
+
+
+def file_of(order: Column, shared: bool = False) -> Column:
+    """An order's file: a path of its own, or one that it shares with orders of other projects."""
+    return F.concat(F.lit("src/f"), (F.floor(order / PROJECTS) if shared else order).cast("string"), F.lit(".py"))
+
+
+def shared_sql(sql: str) -> str:
+    """The SQL of a relation with paths that projects share."""
+    for k in ("l_orderkey", "o_orderkey"):
+        sql = sql.replace(f"'src/f' || CAST({k} AS VARCHAR)", f"'src/f' || CAST({k} // {PROJECTS} AS VARCHAR)")
+    return sql
+
+
+def findings(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     names, pillars = (F.array(*[F.lit(r[i]) for r in RULES]) for i in (0, 1))
     rule = (F.col("l_partkey") % len(RULES) + 1).cast("int")
     text = lambda c: c.cast("string")
@@ -29,8 +47,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = F.col("l_quantity").cast("int")
     return table(spark, sf_dir, "lineitem").select(
         ((order * 10 + number) * 10_000_000 + part).alias("finding_id"),
-        F.concat(F.lit("p"), text(order % 5000)).alias("project"),
-        F.concat(F.lit("src/f"), text(order), F.lit(".py")).alias("file_path"),
+        project_of(order).alias("project"),
+        file_of(order, shared).alias("file_path"),
         F.element_at(names, rule).alias("rule_id"),
         F.element_at(pillars, rule).alias("pillar"),
         line.alias("line"),
@@ -81,39 +99,40 @@ RULES_SQL = """rules AS (
     CAST(p_size AS DOUBLE) AS threshold, p_partkey % 7 = 0 AS below, 'warning' AS severity FROM part)"""
 
 
-def suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suppressions(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """For every third order: of whole files (even keys) or of line 25, each of one rule."""
     k = F.col("o_orderkey")
     names = F.array(*[F.lit(r[0]) for r in RULES])
-    return table(spark, sf_dir, "orders").where(k % 3 == 0).select(F.concat(F.lit("src/f"), k.cast("string"), F.lit(".py")).alias("file_path"), F.element_at(names, (k % len(RULES) + 1).cast("int")).alias("rule_id"), F.when(k % 2 == 0, None).otherwise(25).cast("int").alias("line"))
+    return table(spark, sf_dir, "orders").where(k % 3 == 0).select(project_of(k).alias("project"), file_of(k, shared).alias("file_path"), F.element_at(names, (k % len(RULES) + 1).cast("int")).alias("rule_id"), F.when(k % 2 == 0, None).otherwise(25).cast("int").alias("line"))
 
 
 SUPPRESSIONS_SQL = f"""suppressions AS (
-  SELECT 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py' AS file_path, list_extract({_LIST(0)}, o_orderkey % 12 + 1) AS rule_id,
+  SELECT 'p' || CAST(o_orderkey % 5000 AS VARCHAR) AS project, 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py' AS file_path, list_extract({_LIST(0)}, o_orderkey % 12 + 1) AS rule_id,
     CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 25 END AS line FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def regions(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """Changed ranges: from each line item's line for as many lines as its tax has hundredths, in other files than its own."""
     start = (F.col("l_partkey") % 60 + 1).cast("int")
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("src/f"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("file_path"), start.alias("start"), (start + F.col("l_suppkey") % 7).cast("int").alias("end")).where(F.col("l_suppkey") % 4 == 0)
+    order = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(project_of(order).alias("project"), file_of(order, shared).alias("file_path"), start.alias("start"), (start + F.col("l_suppkey") % 7).cast("int").alias("end")).where(F.col("l_suppkey") % 4 == 0)
 
 
 REGIONS_SQL = """regions AS (
-  SELECT 'src/f' || CAST(l_orderkey AS VARCHAR) || '.py' AS file_path, CAST(l_partkey % 60 + 1 AS INTEGER) AS "start",
+  SELECT 'p' || CAST(l_orderkey % 5000 AS VARCHAR) AS project, 'src/f' || CAST(l_orderkey AS VARCHAR) || '.py' AS file_path, CAST(l_partkey % 60 + 1 AS INTEGER) AS "start",
     CAST(l_partkey % 60 + 1 + l_suppkey % 7 AS INTEGER) AS "end" FROM lineitem WHERE l_suppkey % 4 = 0)"""
 
 
-def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def declarations(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
     """Two nested declarations for each order: lines 1 to 200, and a range by the customer key."""
     k = F.col("o_orderkey")
-    file = F.concat(F.lit("src/f"), k.cast("string"), F.lit(".py")).alias("file_path")
+    file = [project_of(k).alias("project"), file_of(k, shared).alias("file_path")]
     orders = table(spark, sf_dir, "orders")
-    outer = orders.select(file, F.lit("fn_0").alias("symbol"), F.lit(1).alias("start"), F.lit(200).alias("end"))
+    outer = orders.select(*file, F.lit("fn_0").alias("symbol"), F.lit(1).alias("start"), F.lit(200).alias("end"))
     low = (F.col("o_custkey") % 50 + 1).cast("int")
-    return outer.unionByName(orders.select(file, F.lit("fn_1").alias("symbol"), low.alias("start"), (low + 20).alias("end")))
+    return outer.unionByName(orders.select(*file, F.lit("fn_1").alias("symbol"), low.alias("start"), (low + 20).alias("end")))
 
 
 DECLARATIONS_SQL = """declarations AS (
-  SELECT 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py' AS file_path, 'fn_0' AS symbol, 1 AS "start", 200 AS "end" FROM orders
-  UNION ALL SELECT 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py', 'fn_1', CAST(o_custkey % 50 + 1 AS INTEGER), CAST(o_custkey % 50 + 21 AS INTEGER) FROM orders)"""
+  SELECT 'p' || CAST(o_orderkey % 5000 AS VARCHAR) AS project, 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py' AS file_path, 'fn_0' AS symbol, 1 AS "start", 200 AS "end" FROM orders
+  UNION ALL SELECT 'p' || CAST(o_orderkey % 5000 AS VARCHAR), 'src/f' || CAST(o_orderkey AS VARCHAR) || '.py', 'fn_1', CAST(o_custkey % 50 + 1 AS INTEGER), CAST(o_custkey % 50 + 21 AS INTEGER) FROM orders)"""

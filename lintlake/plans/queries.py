@@ -54,7 +54,7 @@ FILES_SQL = f"""{PENALTIES_SQL}, files AS (SELECT project, file_path, greatest(0
 
 @query(f"WITH {FINDINGS_SQL} SELECT DISTINCT {KEY} FROM findings")
 def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.distinct_findings(proxy.findings(spark, sf_dir)).select(*ops.DISTINCT_KEY)
+    return ops.distinct_findings(proxy.findings(spark, sf_dir)).select(*ops.DISTINCT_KEY).drop("project")
 
 
 _JSON = """'{"ruleId":"' || replace(rule_id, '/', '\\/') || '","file":"' || replace(file_path, '/', '\\/') || '",' """
@@ -95,8 +95,8 @@ def allowed_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings with identities, and a baseline of those of odd orders plus an entry for each supplier that matches none."""
     all_ = ops.with_identities(proxy.findings(spark, sf_dir))
-    stale = table(spark, sf_dir, "supplier").select(F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("fingerprint"), F.lit("size.class-length").alias("rule_id"), F.lit("src/gone.py").alias("file_path"))
-    return all_, ops.as_baseline(all_.where(F.floor(F.col("finding_id") / 100_000_000) % 2 == 1)).select("fingerprint", "rule_id", "file_path").unionByName(stale)
+    stale = table(spark, sf_dir, "supplier").select(F.lit("p1").alias("project"), F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("fingerprint"), F.lit("size.class-length").alias("rule_id"), F.lit("src/gone.py").alias("file_path"))
+    return all_, ops.as_baseline(all_.where(F.floor(F.col("finding_id") / 100_000_000) % 2 == 1)).select("project", "fingerprint", "rule_id", "file_path").unionByName(stale)
 
 
 @query(f"WITH {FINDINGS_SQL}, b AS (SELECT DISTINCT rule_id, file_path, line, end_line, \"column\", symbol FROM findings WHERE finding_id // 100000000 % 2 = 1) SELECT finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rule_id = f.rule_id AND b.file_path = f.file_path AND b.line IS NOT DISTINCT FROM f.line AND b.end_line IS NOT DISTINCT FROM f.end_line AND b.\"column\" = f.\"column\" AND b.symbol IS NOT DISTINCT FROM f.symbol)")
@@ -136,7 +136,7 @@ ENCLOSING_SQL = f"""{FINDINGS_SQL}, {DECLARATIONS_SQL}, inside AS (SELECT findin
 
 @query(f"WITH {ENCLOSING_SQL} SELECT finding_id, file_path, line, declared, d_start, d_end FROM inside WHERE place = 1")
 def enclosing_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.enclosing_declaration(proxy.findings(spark, sf_dir), proxy.declarations(spark, sf_dir))
+    return ops.enclosing_declaration(proxy.findings(spark, sf_dir), proxy.declarations(spark, sf_dir)).drop("project")
 
 
 @query(f"""WITH {ENCLOSING_SQL}, {REGIONS_SQL} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM regions r WHERE r.file_path = f.file_path AND (f.line IS NULL OR (r."start" <= coalesce(f.end_line, f.line) AND f.line <= r."end")))
@@ -145,6 +145,73 @@ def changed_symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.in_changed_symbols(proxy.findings(spark, sf_dir), proxy.declarations(spark, sf_dir), proxy.regions(spark, sf_dir)).select("finding_id")
 
 
+# --- the same operators where projects share their paths ------------------------------------------
+
+SHARED = {k: proxy.shared_sql(v) for k, v in {"findings": FINDINGS_SQL, "suppressions": SUPPRESSIONS_SQL, "regions": REGIONS_SQL, "declarations": DECLARATIONS_SQL}.items()}
+
+
+@query(f"WITH {SHARED['findings']}, n AS (SELECT project, {KEY.replace('message', chr(39) + 'over its limit' + chr(39) + ' AS message')} FROM findings) SELECT DISTINCT * FROM n")
+def projects_distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding twice; those of other projects are like it but for the project."""
+    found = proxy.findings(spark, sf_dir, shared=True).withColumn("message", F.lit("over its limit"))
+    return ops.distinct_findings(found.unionByName(found)).select(*ops.DISTINCT_KEY)
+
+
+@query(f"WITH {SHARED['findings']}, {SHARED['suppressions']} SELECT finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM suppressions s WHERE s.project = f.project AND s.file_path = f.file_path AND s.rule_id = f.rule_id AND (s.line IS NULL OR s.line = f.line))")
+def projects_unsuppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.unsuppressed(proxy.findings(spark, sf_dir, shared=True), proxy.suppressions(spark, sf_dir, shared=True)).select("finding_id")
+
+
+@query(f"WITH {SHARED['findings']} SELECT finding_id FROM findings f WHERE NOT (pillar = 'sensitive-data' AND CAST(substr(project, 2) AS INTEGER) % 7 = CAST(substr(json_extract_string(metadata_json, '$.preview'), 2) AS INTEGER))")
+def projects_allowed_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each project allows one of seven previews."""
+    k = F.col("o_orderkey")
+    allowed = table(spark, sf_dir, "orders").select(proxy.project_of(k).alias("project"), F.concat(F.lit("p"), (k % proxy.PROJECTS % 7).cast("string")).alias("preview"))
+    return ops.without_allowed(proxy.findings(spark, sf_dir, shared=True), allowed).select("finding_id")
+
+
+@query(
+    f"""WITH {SHARED['findings']}, b AS (SELECT DISTINCT project, rule_id, file_path, line, end_line, "column", symbol FROM findings WHERE finding_id // 100000000 % 2 = 1),
+    n AS (SELECT finding_id, EXISTS (SELECT 1 FROM b WHERE b.project = f.project AND b.rule_id = f.rule_id AND b.file_path = f.file_path AND b.line IS NOT DISTINCT FROM f.line AND b.end_line IS NOT DISTINCT FROM f.end_line AND b."column" = f."column" AND b.symbol IS NOT DISTINCT FROM f.symbol) AS known FROM findings f) SELECT finding_id, known FROM n"""
+)
+def projects_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with whether a baseline of the odd orders knows them."""
+    found = ops.with_identities(proxy.findings(spark, sf_dir, shared=True))
+    new, known, _ = ops.apply_baseline(found, ops.as_baseline(found.where(F.floor(F.col("finding_id") / 100_000_000) % 2 == 1)))
+    return new.select("finding_id", F.lit(False).alias("known")).unionByName(known.select("finding_id", F.lit(True).alias("known")))
+
+
+_TOUCHES = """r.project = f.project AND r.file_path = f.file_path AND (f.line IS NULL OR (r."start" <= coalesce(f.end_line, f.line) AND f.line <= r."end"))"""
+
+
+@query(f"WITH {SHARED['findings']}, {SHARED['regions']} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM regions r WHERE {_TOUCHES})")
+def projects_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.in_changed_lines(proxy.findings(spark, sf_dir, shared=True), proxy.regions(spark, sf_dir, shared=True)).select("finding_id")
+
+
+_INSIDE = f"""{SHARED['findings']}, {SHARED['declarations']}, inside AS (SELECT finding_id, f.project, f.file_path, f.line, d.symbol AS declared, d."start" AS d_start, d."end" AS d_end,
+    row_number() OVER (PARTITION BY finding_id, f.line ORDER BY CASE WHEN d.symbol IS NOT DISTINCT FROM f.symbol THEN 0 ELSE 1 END, d."end" - d."start", d."start", d.symbol) AS place
+    FROM findings f JOIN declarations d ON d.project = f.project AND d.file_path = f.file_path AND f.line BETWEEN d."start" AND d."end")"""
+
+
+@query(f"WITH {_INSIDE} SELECT finding_id, project, file_path, line, declared, d_start, d_end FROM inside WHERE place = 1")
+def projects_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.enclosing_declaration(proxy.findings(spark, sf_dir, shared=True), proxy.declarations(spark, sf_dir, shared=True))
+
+
+@query(f"""WITH {_INSIDE}, {SHARED['regions']} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM regions r WHERE {_TOUCHES})
+  OR EXISTS (SELECT 1 FROM inside i JOIN regions r ON r.project = i.project AND r.file_path = i.file_path WHERE i.finding_id = f.finding_id AND i.place = 1 AND r."start" <= i.d_end AND i.d_start <= r."end")""")
+def projects_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.in_changed_symbols(proxy.findings(spark, sf_dir, shared=True), proxy.declarations(spark, sf_dir, shared=True), proxy.regions(spark, sf_dir, shared=True)).select("finding_id")
+
+
+@query(f"""WITH {SHARED['findings']}, i AS (SELECT *, rule_id || '|' || file_path || '|' || CASE WHEN symbol IS NOT NULL THEN symbol WHEN line IS NULL THEN 'file' ELSE message END AS identity FROM findings)
+  SELECT finding_id, identity FROM i WHERE finding_id % 2 = 0 AND (project, identity) NOT IN (SELECT project, identity FROM i WHERE finding_id % 2 = 1)""")
+def projects_hook_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = proxy.findings(spark, sf_dir, shared=True)
+    return ops.new_only(both.where("finding_id % 2 = 0"), both.where("finding_id % 2 = 1")).select("finding_id", "identity")
+
+
 @query(f"WITH {FINDINGS_SQL} SELECT finding_id FROM findings WHERE {RANK} >= 2 AND NOT pillar = 'naming'")
 def displayed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.displayed(proxy.findings(spark, sf_dir), "warning", exclude=("naming",)).select("finding_id")

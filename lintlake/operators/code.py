@@ -52,8 +52,10 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
             return node.asname or node.name.split(".")[0], node.name, None
         case ast.BoolOp():
             return type(node.op).__name__, None, len(node.values)
-        case ast.BinOp():
+        case ast.BinOp() | ast.UnaryOp() | ast.AugAssign():
             return type(node.op).__name__, None, None
+        case ast.Compare():
+            return None, ",".join(type(o).__name__ for o in node.ops), None
         case ast.FormattedValue():
             return None, None, node.conversion
         case ast.comprehension():

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, test_rules, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import changes, corpus
 from lintlake.sources.flow_cases import ABOUT_FLOW, FLOW
 from lintlake.sources.projects import Case, planted, planted_sql
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
+from lintlake.sources.structure_cases import ABOUT_STRUCTURE, STRUCTURE
 from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -547,6 +548,12 @@ def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_rules.all_rules(_planted_tree(spark, sf_dir, "flow", FLOW)).select(*SHOWN)
 
 
+@query(planted_sql(STRUCTURE, ABOUT_STRUCTURE))
+def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated test bodies, abstractions with one implementor, conversions behind weak guards, code in comments."""
+    return structure_rules.all_rules(_planted_tree(spark, sf_dir, "structure", STRUCTURE)).select(*SHOWN)
+
+
 @query(expected_sql(TESTS, ABOUT))
 def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "tests", TESTS)

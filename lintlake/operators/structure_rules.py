@@ -22,6 +22,12 @@ ABSTRACT_BASES = ("ABC", "ABCMeta", "Protocol")
 EXTERNAL_BASES = ("Sized", "Iterable", "Iterator", "Collection", "Container", "Sequence", "Mapping", "MutableMapping", "Callable", "ContextManager", "AsyncContextManager")
 DIGIT_TESTS = ("isnumeric", "isdigit")
 VALUE_CATCHERS, OVERFLOW_CATCHERS = ("ValueError", "Exception", "BaseException"), ("OverflowError", "ArithmeticError", "Exception", "BaseException")
+FREE_TEXT = ("body", "comment", "content", "description", "input", "message", "msg", "prompt", "query", "question", "sentence", "text", "title", "transcript", "utterance")
+CASE_METHODS, WRAPPERS = ("lower", "casefold", "strip", "lstrip", "rstrip", "upper"), ("frozenset", "list", "set", "tuple")
+COLLECTION_TYPES = (
+    "AbstractSet", "ChainMap", "Collection", "Container", "Counter", "DefaultDict", "Dict", "FrozenSet", "Iterable", "Iterator", "List", "Mapping", "MutableMapping", "MutableSequence", "MutableSet",
+    "OrderedDict", "Sequence", "Set", "Tuple", "defaultdict", "dict", "frozenset", "list", "set", "tuple",
+)
 CODE_LIKE = r"(?U)^\s*#\s*(?:[A-Za-z_][\w.]*\s*[+\-*/%&|^]?=\s*\S|[A-Za-z_][\w.]*\(\S|(?:return|raise|yield|assert|if|elif|while|for|with|try|except|finally|break|continue|pass)\b|(?:import|from)\b)"
 NO_CODE = r"(?iU)^\s*#\s*(?:(?:TODO|FIXME|XXX|HACK|NOTE|TBD)\b|type\s*:|pragma\s*:|noqa\b|pylint\b|coding[:=])|^\s*#!/"
 
@@ -220,6 +226,85 @@ def numeric_coercions(tree: DataFrame) -> DataFrame:
     return found(rows, "correctness.unsafe-numeric-coercion", "advisory", "high", F.col("message"), "correctness")
 
 
+# --- vocabularies matched inside words ------------------------------------------------------------
+
+
+def _vocabularies(rows: DataFrame) -> DataFrame:
+    """Module-level names of collections of string literals: ``vocabulary``; of several the last counts, if it isn't empty and not all of phrases."""
+    top = rows.where("kind = 'Assign' and up = 'Module'").select(*KEY, "node_id")
+    aims = rows.where("field = 'targets'").groupBy(*KEY, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("targets"), F.first(F.when(F.col("kind") == "Name", F.col("name"))).alias("vocabulary")).where("targets = 1 and vocabulary is not null")
+    values = rows.where("field = 'value' and up = 'Assign'").select(*KEY, F.col("parent_id").alias("assign"), F.col("node_id").alias("value"), "kind", "text", "n")
+    worded = rows.where("kind = 'keyword'").select(*KEY, F.col("parent_id").alias("value"))
+    wrapped = values.where((F.col("kind") == "Call") & F.col("text").isin(*WRAPPERS) & (F.col("n") == 1)).join(worded, [*KEY, "value"], "left_anti")
+    inner = rows.where("field = 'args' and ord = 0").select(*KEY, F.col("parent_id").alias("value"), F.col("node_id").alias("items"), F.col("kind").alias("of_kind"))
+    items = values.where("kind in ('List', 'Set', 'Tuple')").select(*KEY, "assign", F.col("value").alias("items")).unionByName(wrapped.join(inner, [*KEY, "value"]).where("of_kind in ('List', 'Set', 'Tuple')").select(*KEY, "assign", "items"))
+    word = (F.col("kind") == "Constant") & (F.col("name") == "str")
+    parts = rows.where("field = 'elts'").groupBy(*KEY, F.col("parent_id").alias("items")).agg(F.min(word).alias("words"), F.max(word & ~F.col("text").contains(" ")).alias("single"))
+    lists = items.join(parts, [*KEY, "items"], "left").where("coalesce(words, true)").select(*KEY, F.col("assign").alias("node_id"), F.coalesce("single", F.lit(False)).alias("single"))
+    named = lists.join(top, [*KEY, "node_id"], "left_semi").join(aims, [*KEY, "node_id"])
+    return named.groupBy(*KEY, "vocabulary").agg(F.max_by("single", "node_id").alias("single")).where("single").select(*KEY, "vocabulary")
+
+
+def _text_names(rows: DataFrame) -> DataFrame:
+    """Names of a function that hold a parameter's text: ``fn``, ``text_name``, ``source_name``.
+
+    Parameters that are annotated as collections are none; a local is one if it is bound
+    once, to a parameter with at most its case and outer spaces changed.
+    """
+    args = rows.where("kind = 'arg' and field in ('posonlyargs', 'args', 'kwonlyargs')").select(*KEY, F.col("fn_id").alias("fn"), "node_id", "name")
+    wide = rows.where("up = 'Subscript' and field = 'value' and kind in ('Name', 'Attribute') and name in ('Optional', 'Union')").select(*KEY, "parent_id", F.lit(True).alias("wide"))
+    notes = rows.join(wide, [*KEY, "parent_id"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    heads = ((F.col("up") == "BinOp") & (F.col("up_name") == "BitOr")) | ((F.col("up") == "Tuple") & (F.col("field") == "elts")) | ((F.col("up") == "Subscript") & (F.col("field") == F.when(F.col("wide"), "slice").otherwise("value")))
+    roots = rows.where("up = 'arg' and field = 'annotation'").select(*KEY, F.col("node_id").alias("root"), F.col("parent_id").alias("node_id"))
+    held = in_regions(notes, heads).where(F.col("kind").isin("Name", "Attribute") & F.col("name").isin(*COLLECTION_TYPES)).select(*KEY, "root").distinct().join(roots, [*KEY, "root"]).select(*KEY, "node_id")
+    params = args.join(held, [*KEY, "node_id"], "left_anti").select(*KEY, "fn", "name").distinct()
+    # chains of calls without arguments down to a name
+    worded = rows.where("kind = 'keyword'").select(*KEY, F.col("parent_id").alias("node_id"))
+    plain = rows.where("kind = 'Call' and n = 0").join(worded, [*KEY, "node_id"], "left_anti").select(*KEY, F.col("node_id").alias("parent_id"), F.lit(True).alias("bare"))
+    funcs = rows.where((F.col("kind") == "Attribute") & (F.col("field") == "func") & F.col("name").isin(*CASE_METHODS)).join(plain, [*KEY, "parent_id"], "left_semi").select(*KEY, "node_id")
+    links = funcs.withColumn("link", F.lit(True))
+    steps = links.select(*KEY, F.col("node_id").alias("parent_id"), F.col("link").alias("below"))
+    chained = rows.join(links, [*KEY, "node_id"], "left").join(steps, [*KEY, "parent_id"], "left")
+    names = in_regions(chained, F.col("link").isNotNull() | F.col("below").isNotNull()).where("kind = 'Name'").select(*KEY, F.col("root").alias("value"), F.col("name").alias("source_name"))
+    values = rows.where("field = 'value' and up = 'Assign'").select(*KEY, F.col("parent_id").alias("node_id"), F.col("node_id").alias("value")).join(names, [*KEY, "value"], "left")
+    aims = rows.where("field = 'targets'").groupBy(*KEY, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("targets"), F.first(F.when(F.col("kind") == "Name", F.col("name"))).alias("text_name")).where("targets = 1 and text_name is not null")
+    assigned = rows.where("kind = 'Assign' and fn_id is not null").select(*KEY, "node_id", "pre", F.col("fn_id").alias("fn")).join(aims, [*KEY, "node_id"]).join(values, [*KEY, "node_id"])
+    of = assigned.join(params.withColumn("param", F.lit(True)).withColumnRenamed("name", "source_name"), [*KEY, "fn", "source_name"], "left")
+    bound = of.groupBy(*KEY, "fn", "text_name").agg(F.count(F.lit(1)).alias("times"), F.min(F.col("param").isNotNull()).alias("pure"), F.max_by("source_name", "pre").alias("source_name"))
+    own = params.select(*KEY, "fn", F.col("name").alias("text_name"), F.lit(True).alias("own"))
+    both = bound.join(own, [*KEY, "fn", "text_name"], "full")
+    return both.where("times is null or pure and (times = 1 or own)").select(*KEY, "fn", "text_name", F.coalesce("source_name", "text_name").alias("source_name"))
+
+
+def vocabulary_matches(tree: DataFrame) -> DataFrame:
+    """``any(term in text for term in WORDS)`` and loops like it over a parameter's free text, of a module's vocabulary: they match inside words."""
+    files = tree.where("kind = 'Compare' and text = 'In'").select(*KEY).distinct()
+    rows = tree.where("kind != 'Comment'").join(files, list(KEY), "left_semi")
+    up = rows.select(*KEY, F.col("node_id").alias("parent_id"), F.col("kind").alias("up"), F.col("name").alias("up_name"))
+    rows = written(rows.join(up, [*KEY, "parent_id"], "left"), "containments")
+
+    def child(field: str, as_: str, kind: str = "Name") -> DataFrame:
+        return rows.where((F.col("field") == field) & (F.col("ord") == 0) & (F.col("kind") == kind)).select(*KEY, F.col("parent_id").alias("node_id"), F.col("name" if kind == "Name" else "node_id").alias(as_))
+
+    tests = rows.where("kind = 'Compare' and text = 'In'").select(*KEY, "node_id", "parent_id", "field").join(child("left", "term"), [*KEY, "node_id"]).join(child("comparators", "text_name"), [*KEY, "node_id"])
+    # any() of a generator with one loop
+    loops = rows.where("kind = 'comprehension' and up = 'GeneratorExp'")
+    alone = loops.groupBy(*KEY, "parent_id").agg(F.count(F.lit(1)).alias("loops")).where("loops = 1")
+    over = loops.join(alone, [*KEY, "parent_id"], "left_semi").select(*KEY, F.col("parent_id").alias("generator"), "node_id").join(child("target", "term"), [*KEY, "node_id"]).join(child("iter", "vocabulary"), [*KEY, "node_id"]).drop("node_id")
+    calls = rows.where("kind = 'Call' and text = 'any' and n = 1").select(*KEY, "node_id", F.col("fn_id").alias("fn"), "line", "end_line").join(child("args", "generator", "GeneratorExp"), [*KEY, "node_id"]).drop("node_id")
+    scans = calls.join(over, [*KEY, "generator"]).join(tests.where("field = 'elt'").select(*KEY, F.col("parent_id").alias("generator"), "term", "text_name"), [*KEY, "generator", "term"])
+    # a loop whose first matching if is in its body
+    fors = rows.where("kind = 'For'").select(*KEY, "node_id", F.col("fn_id").alias("fn")).join(child("target", "term"), [*KEY, "node_id"]).join(child("iter", "vocabulary"), [*KEY, "node_id"])
+    ifs = rows.where("kind = 'If' and up = 'For' and field = 'body'").select(*KEY, F.col("parent_id").alias("node_id"), F.col("node_id").alias("if_id"), "ord", "line", "end_line")
+    asked = fors.join(ifs, [*KEY, "node_id"]).join(tests.where("field = 'test'").select(*KEY, F.col("parent_id").alias("if_id"), "term", "text_name"), [*KEY, "if_id", "term"])
+    first = asked.groupBy(*KEY, "node_id", "fn", "vocabulary").agg(F.min_by(F.struct("line", "end_line", "text_name"), "ord").alias("r")).select(*KEY, "fn", "vocabulary", "r.*")
+    sites = scans.select(*KEY, "fn", "vocabulary", "line", "end_line", "text_name").unionByName(first).where("fn is not null")
+    free = lambda c: F.exists(F.split(F.lower(c), "_"), lambda w: w.isin(*FREE_TEXT))
+    hits = written(sites.join(_vocabularies(rows), [*KEY, "vocabulary"], "left_semi"), "scans").join(_text_names(rows), [*KEY, "fn", "text_name"]).where(free("text_name") | free("source_name"))
+    message = F.concat(F.lit("Substring scan of `"), "vocabulary", F.lit("` over `"), "text_name", F.lit('` matches inside words ("fee" routes "coffee", "form" routes "information"); the comparison needs word-boundary or token matching.'))
+    return found(hits, "correctness.substring-vocabulary-match", "advisory", "medium", message, "correctness")
+
+
 # --- code in comments -----------------------------------------------------------------------------
 
 
@@ -251,4 +336,4 @@ def commented_code(tree: DataFrame) -> DataFrame:
 
 
 def all_rules(tree: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [repeated_structures(tree), single_implementors(tree), numeric_coercions(tree), commented_code(tree)])
+    return reduce(DataFrame.unionByName, [repeated_structures(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree)])

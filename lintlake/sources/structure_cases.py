@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lintlake.sources.projects import Case, one
 
+_WORDS = "correctness.substring-vocabulary-match"
 _REPEATED, _SINGLE, _NUMBER, _COMMENT = "test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "waste.commented-out-code"
 
 
@@ -27,6 +28,11 @@ def _comments(source: str, *lines: int) -> Case:
     return one(source, *((_COMMENT, n, None, f"Commented-out code on line {n}.") for n in lines))
 
 
+def _words(source: str, *found: tuple[int, str, str]) -> Case:
+    return one(source, *((_WORDS, line, None, f'Substring scan of `{v}` over `{t}` matches inside words ("fee" routes "coffee", "form" routes "information"); the comparison needs word-boundary or token matching.') for line, v, t in found))
+
+
+_V = "WORDS = ('fee', 'form')\nMORE = frozenset({'a', 'b c'})\nPHRASES = ['a b', 'c d']\nMIXED = ['a', 1]\nNONE = ()\n"
 _T = "from typing import Protocol\nclass Renderer(Protocol):\n    def render(self): ...\n"
 _IMPL = "class Html(Renderer):\n    pass\n"
 _HTML = ("src/api.py", 2, "src.api.Renderer", "src.api.Html")
@@ -63,10 +69,14 @@ STRUCTURE = [
     _floats("def coerce(value: str):\n    number = float(value)\n    int(number)\ndef none():\n    number = float(x)\n    int(number)\ndef method(self, value: typing.Any, *args: int, **kw: int):\n    number = float(value)\n    int(number)\nnumber = float(x)\nint(number)\n", (9, "number")),
     _floats("def outer(x):\n    def inner(y):\n        number = float(y)\n        return int(number)\n    return inner(x)\n", (4, "number")),
     _floats("def f(v):\n    n = float(v)\n    try:\n        int(n)\n    except ValueError:\n        pass\n    try:\n        int(n)\n    except (ValueError, ArithmeticError):\n        pass\n    try:\n        int(n)\n    except ValueError:\n        pass\n    except OverflowError:\n        pass\n", (4, "n")),
+    # vocabularies
+    _words(_V + "def f(message, kind, raw_text: str, body: list[str], title: Optional[List[str]], query: 'str | list'):\n    any(w in message for w in WORDS)\n    any(w in kind for w in WORDS)\n    any(w in raw_text for w in MORE)\n    any(w in body for w in WORDS)\n    any(w in title for w in WORDS)\n    any(w in query for w in WORDS)\n    any(w in message for w in PHRASES)\n    any(w in message for w in MIXED)\n    any(w in message for w in NONE)\n    any(w in message for w in OTHER)\n    all(w in message for w in WORDS)\n    any(w not in message for w in WORDS)\n    any(v in message for w in WORDS)\n    any(w in message for w in WORDS for x in y)\n    any([w in message for w in WORDS])\n    any(w in message.lower() for w in WORDS)\n", (7, "WORDS", "message"), (9, "MORE", "raw_text"), (12, "WORDS", "query")),
+    _words(_V + "def f(message: str, x):\n    low = message.strip().lower()\n    for w in WORDS:\n        log(w)\n        if w in low:\n            return w\n        if w in message:\n            return w\n    words = message.split()\n    any(w in words for w in WORDS)\n    two = message\n    two = message.upper()\n    any(w in two for w in WORDS)\n    text = x\n    any(w in text for w in WORDS)\n    part = message.strip('x')\n    any(w in part for w in WORDS)\n    def g():\n        any(w in message for w in WORDS)\n    async for w in WORDS:\n        if w in message:\n            pass\n", (10, "WORDS", "low"), (20, "WORDS", "text")),
+    _words(_V + "WORDS = make()\nWORDS = list(['x y'])\nWORDS = ['z']\ndef f(text, prompt, content: dict | None, input: typing.Sequence):\n    text = text.lower()\n    text = text.strip()\n    any(w in text for w in WORDS)\n    prompt = prompt.split()\n    any(w in prompt for w in WORDS)\n    any(w in content for w in WORDS)\n    any(w in input for w in WORDS)\nany(w in text for w in WORDS)\n", (12, "WORDS", "text")),
     # comments
     _comments("# x = 1\n# x += call(y)\n# call(x)\n# call()\n# return x\n# if x:\n# for x in y:\n# import os\n# from x import y\n# from here on it is prose\n# x is the same as y\n# TODO x = 1\n# type: ignore\n# noqa\n#! /bin/sh\n#!/bin/sh\n# pass\n#    indented = 1\n# continue\n# if it rains\n# else:\n# try:\n# with x as y:\n# coding: x\ny = '''\n# x = 1\n'''  # z = 2\n# x == 1\n", 1, 2, 3, 4, 5, 6, 7, 8, 9, 17, 18, 19, 23, 27, 28),
     _comments("def broken(:\n    # x = 1\n    pass\n", 2),
 ]
 
 #: Severity, pillar and confidence of each rule.
-ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low")}
+ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low"), _WORDS: ("advisory", "correctness", "medium")}

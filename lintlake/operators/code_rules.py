@@ -37,31 +37,10 @@ def measured_rules(functions: DataFrame, thresholds: dict[str, int] | None = Non
     return rows.select("project", "m.rule_id", F.col("path").alias("file_path"), "line", "symbol", F.lit("error").alias("severity"), "m.pillar", F.lit("high").alias("confidence"), "m.measured")
 
 
-def public_methods(functions: DataFrame, classes: DataFrame, threshold: int = 10) -> DataFrame:
-    """Classes with more public methods of their own than the threshold."""
-    own = functions.where("kind != 'Lambda' and class_id = parent_id and name not like '\\\\_%'").groupBy(*KEY, F.col("class_id").alias("node_id")).agg(F.count(F.lit(1)).alias("methods"))
-    return finding(classes.join(own.where(F.col("methods") > threshold), [*KEY, "node_id"]), "size.public-method-count", "error", "size", measured=F.col("methods"))
-
-
 def classes(tree: DataFrame) -> DataFrame:
     return tree.where("kind = 'ClassDef'").select(*KEY, "node_id", "parent_id", "name", "symbol", "line", "end_line", "start_line", F.col("text").alias("docstring"))
 
 
-def long_classes(found: DataFrame, threshold: int = 1000) -> DataFrame:
-    n = F.col("end_line") - F.col("start_line") + 1
-    return finding(found.where(n > threshold), "size.class-length", "error", "size", measured=n)
-
-
-def missing_docstrings(tree: DataFrame) -> DataFrame:
-    """Modules, classes and public functions without a docstring; tests aside."""
-    tests = F.col("path").rlike(r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$")
-    bare = tree.where(F.col("text").isNull() & ~tests)
-    module = finding(bare.where("kind = 'Module' and n > 0").withColumn("line", F.lit(1)), "docs.missing-module-docstring", "advisory", "documentation", "medium", symbol=NO_SYMBOL)
-    class_ = finding(bare.where("kind = 'ClassDef'"), "docs.missing-class-docstring", "warning", "documentation")
-    function = finding(bare.where("kind in ('FunctionDef', 'AsyncFunctionDef') and name not like '\\\\_%'"), "docs.missing-function-docstring", "warning", "documentation")
-    return module.unionByName(class_).unionByName(function)
-
-
 def _words(name: str = "name") -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(WORD), F.lit(0)), F.lower)
 
@@ -142,14 +121,6 @@ def dangerous_calls(tree: DataFrame) -> DataFrame:
     return finding(always.unionByName(imports), "security.dangerous-function-call", "error", "security", symbol=NO_SYMBOL)
 
 
-def unreferenced(tree: DataFrame, entry_points: tuple[str, ...] = ("main",)) -> DataFrame:
-    """Public top-level functions and classes that no unit of their project names, by anti-join within the project."""
-    tops = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef', 'ClassDef') and parent_id = 0 and name not like '\\\\_%'").where(~F.col("name").isin(*entry_points))
-    used = tree.where("(kind = 'Name' and text != 'Store') or kind = 'Attribute'").select("project", "name")
-    used = used.unionByName(tree.where("kind = 'alias'").select("project", F.element_at(F.split("text", r"\."), -1).alias("name"))).distinct()
-    return finding(tops.join(used, ["project", "name"], "left_anti"), "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium")
-
-
 def first_per(rows: DataFrame, *key: str) -> DataFrame:
     """The first node of each key, in node order."""
     order = Window.partitionBy(*KEY, *key).orderBy("node_id")
@@ -222,15 +193,6 @@ def silent_excepts(tree: DataFrame) -> DataFrame:
     return finding(wide.join(quiet, [*KEY, "node_id"], "left_semi"), "security.silent-except", "advisory", "security", symbol=NO_SYMBOL)
 
 
-def shell_calls(tree: DataFrame) -> DataFrame:
-    """Subprocesses through a shell, and system calls with a first argument that is no literal."""
-    calls = tree.where("kind = 'Call'")
-    shell = calls.where("text like 'subprocess.%'").join(children(tree, "kind = 'keyword' and name = 'shell' and text = 'True'"), [*KEY, "node_id"], "left_semi")
-    dynamic = children(tree, "field = 'args' and ord = 0 and kind != 'Constant'")
-    system = calls.where("text in ('os.system', 'os.popen')").join(dynamic, [*KEY, "node_id"], "left_semi")
-    return finding(shell.unionByName(system), "security.shell-injection", "error", "security", symbol=NO_SYMBOL)
-
-
 def old_tls(tree: DataFrame) -> DataFrame:
     return finding(tree.where((F.col("kind") == "Attribute") & F.col("text").startswith("ssl.") & F.col("name").isin(*OLD_TLS)), "security.insecure-tls-protocol", "error", "security", symbol=NO_SYMBOL)
 
@@ -245,20 +207,6 @@ def unsafe_pickles(tree: DataFrame) -> DataFrame:
     return finding(loads.unionByName(on_the_spot), "security.unsafe-pickle", "error", "security", symbol=NO_SYMBOL)
 
 
-def unused_parameters(tree: DataFrame) -> DataFrame:
-    """Parameters of functions with a body that names never read; ``self``, ``cls``, underscored and starred ones aside."""
-    params = tree.where("kind = 'arg' and field in ('args', 'posonlyargs', 'kwonlyargs') and name not in ('self', 'cls') and name not like '\\_%'")
-    owned = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef', 'Lambda')").select(*KEY, F.col("node_id").alias("test_id"), F.col("test_id").alias("outer"))
-    names = tree.where("kind = 'Name'").select(*KEY, "test_id", "name").distinct()
-    # a read counts for the functions around it as well, two deep
-    once = names.join(owned, [*KEY, "test_id"]).where("outer is not null").select(*KEY, F.col("outer").alias("test_id"), "name")
-    twice = once.join(owned, [*KEY, "test_id"]).where("outer is not null").select(*KEY, F.col("outer").alias("test_id"), "name")
-    names = names.unionByName(once).unionByName(twice).select(*KEY, F.col("test_id").alias("fn_id"), "name").distinct()
-    defs = tree.where("kind in ('FunctionDef', 'AsyncFunctionDef')").select(*KEY, F.col("node_id").alias("fn_id"))
-    plain = defs.join(empty_bodies(tree).select(*KEY, F.col("node_id").alias("fn_id")), [*KEY, "fn_id"], "left_anti")
-    return finding(params.join(plain, [*KEY, "fn_id"], "left_semi").join(names, [*KEY, "fn_id", "name"], "left_anti"), "waste.unused-parameter", "advisory", "dead-code", "medium")
-
-
 def empty_bodies(tree: DataFrame) -> DataFrame:
     """Functions whose body is nothing but ``pass`` and constants, by anti-join with any other statement."""
     constants = tree.where("kind = 'Expr'").join(children(tree, "kind = 'Constant' and field = 'value'"), [*KEY, "node_id"], "left_semi").select(*KEY, "node_id")
@@ -267,20 +215,5 @@ def empty_bodies(tree: DataFrame) -> DataFrame:
     return defs.join(statements.select(*KEY, F.col("parent_id").alias("node_id")), [*KEY, "node_id"], "left_anti")
 
 
-def empty_functions(tree: DataFrame) -> DataFrame:
-    decorated = children(tree, "field = 'decorator_list'").select(*KEY, "node_id")
-    return finding(empty_bodies(tree).join(decorated, [*KEY, "node_id"], "left_anti"), "waste.empty-function", "warning", "dead-code")
-
-
 def confusing_classes(tree: DataFrame, names: tuple[str, ...] = CONFUSING_CLASSES) -> DataFrame:
     return finding(tree.where((F.col("kind") == "ClassDef") & F.col("name").isin(*names)), "naming.confusing-name", "advisory", "naming", "medium")
-
-
-def attribute_counts(tree: DataFrame, threshold: int = 15) -> DataFrame:
-    """Classes with more attributes than the threshold: names of the class body and of ``self`` in ``__init__``, each once."""
-    body = tree.where("kind = 'Name' and text = 'Store' and fn_id is null and class_id is not null").select(*KEY, F.col("class_id").alias("node_id"), "name")
-    inits = tree.where("name = '__init__' and class_id = parent_id and kind = 'FunctionDef'").select(*KEY, F.col("node_id").alias("fn_id"), F.col("class_id").alias("of"))
-    stored = tree.where("kind = 'Attribute' and text rlike '^self[.][^.]+$' and field in ('targets', 'target')")
-    own = stored.join(inits, [*KEY, "fn_id"]).select(*KEY, F.col("of").alias("node_id"), "name")
-    counts = body.unionByName(own).distinct().groupBy(*KEY, "node_id").agg(F.count(F.lit(1)).alias("attributes")).where(F.col("attributes") > threshold)
-    return finding(tree.where("kind = 'ClassDef'").join(counts, [*KEY, "node_id"]), "size.attribute-count", "error", "size", measured=F.col("attributes"))

@@ -16,7 +16,7 @@ FRAMEWORK_DECORATORS = (
     "teardown_request", "teardown_appcontext", "errorhandler", "context_processor", "register", "listens_for", "abstractmethod", "abstractclassmethod", "abstractstaticmethod", "abstractproperty", "overload",
     "override", "final", "property", "setter", "getter", "deleter", "dataclass", "attr", "attrs", "define", "cache", "lru_cache",
 )
-FRAMEWORK_BASES = ("Protocol", "ABC", "TypedDict", "NamedTuple", "Enum", "IntEnum", "StrEnum", "Flag", "IntFlag")
+FRAMEWORK_BASES = ("Protocol", "ABC", "ABCMeta", "TypedDict", "NamedTuple", "Enum", "IntEnum", "StrEnum", "Flag", "BaseModel", "RootModel")
 MARKER_BASES = ("BaseException", "Exception", "Rule", "SourceTextRule")
 EXCEPTION_ENDS = ("Error", "Exception", "Warning")
 COGNITIVE, LEAST_METHODS, AVERAGE_LENGTH, VOLUME, INDEX = 30, 3, 100, 400, 70

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import entropy, line_count, redacted
@@ -14,6 +14,7 @@ SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 SSN_PLACEHOLDERS = ("000-00-0000", "123-45-6789", "999-99-9999")
 MRN = r"(?i)\bMRN[:\s]+([0-9]{6,10})\b"
 PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+PEM_BLOCK, PEM_ARMOR, LEAST_KEY = r"(?s)-----BEGIN[^-]*PRIVATE KEY-----.*?-----END[^-]*PRIVATE KEY-----", r"-----[^-]*-----", 100
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 EMAIL_DOMAINS = ("example.com", "example.org", "example.net", "test.com", "localhost", "foo.bar", "domain.tld")
 EMAIL_TLDS = ("example", "invalid", "localhost", "local", "test")
@@ -53,6 +54,22 @@ def matches(units: DataFrame, pattern: str, group: int = 0) -> DataFrame:
     return found.select("project", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("raw"))
 
 
+def whole_matches(units: DataFrame, pattern: str, group: int = 0) -> DataFrame:
+    """``project, path, line, start, end, raw`` of each match in the whole text, which may go over several lines.
+
+    The pieces between matches and the matches themselves add up to offsets, and their
+    line ends to lines: running sums over a text's matches.
+    """
+    some = units.where(F.col("source").rlike(pattern))
+    parts = F.arrays_zip(F.split("source", pattern, -1).alias("piece"), F.regexp_extract_all("source", F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all("source", F.lit(pattern), F.lit(group)).alias("raw"))
+    rows = some.select("project", "path", F.posexplode(parts).alias("at", "p")).select("project", "path", "at", "p.*").where("whole is not null")
+    order = Window.partitionBy("project", "path").orderBy("at")
+    ends = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n")))
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda f: F.sum(f("piece")).over(upto) + F.coalesce(F.sum(f("whole")).over(before), F.lit(0))
+    return rows.select("project", "path", (summed(ends) + 1).cast("int").alias("line"), summed(F.length).alias("start"), (summed(F.length) + F.length("whole")).alias("end"), "raw")
+
+
 def found(rows: DataFrame, rule: str, severity: str, confidence: str, pillar: str = "sensitive-data", value: Column | None = None) -> DataFrame:
     """Matches as findings with a redacted preview."""
     return rows.select("project", F.lit(rule).alias("rule_id"), F.col("path").alias("file_path"), "line", F.lit(severity).alias("severity"), F.lit(pillar).alias("pillar"), F.lit(confidence).alias("confidence"), redacted(F.col("raw")).alias("preview"), (value if value is not None else F.lit(None).cast("string")).alias("detail"))
@@ -85,12 +102,17 @@ def jwt_tokens(units: DataFrame) -> DataFrame:
 
 
 def private_keys(units: DataFrame) -> DataFrame:
-    return found(matches(units, PRIVATE_KEY), "sensitive-data.private-key", "error", "high")
+    """Headers of private keys, but for those of blocks whose body is too short to be a key."""
+    body = F.regexp_replace(F.regexp_replace("raw", PEM_ARMOR, ""), "[^A-Za-z0-9+/=]", "")
+    short = whole_matches(units, PEM_BLOCK).where(F.length(body) < LEAST_KEY).select("project", "path", F.col("start").alias("from"), "end")
+    heads = whole_matches(units, PRIVATE_KEY).drop("end")
+    placed = F.col("start").between(F.col("from"), F.col("end") - 1)
+    return found(heads.join(short.withColumnsRenamed({"project": "in_project", "path": "in_path"}), (F.col("project") == F.col("in_project")) & (F.col("path") == F.col("in_path")) & placed, "left_anti"), "sensitive-data.private-key", "error", "high")
 
 
 def health_numbers(units: DataFrame) -> DataFrame:
     ssn = matches(units, SSN).where(~F.col("raw").isin(*SSN_PLACEHOLDERS))
-    return found(ssn.unionByName(matches(units, MRN, 1)), "sensitive-data.phi-pattern", "error", "medium")
+    return found(ssn.unionByName(whole_matches(units, MRN, 1).select(*ssn.columns)), "sensitive-data.phi-pattern", "error", "medium")
 
 
 def database_passwords(units: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules, usage_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import changes, corpus
@@ -15,6 +16,7 @@ from lintlake.sources.flow_cases import ABOUT_FLOW, FLOW
 from lintlake.sources.projects import Case, planted, planted_sql
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.structure_cases import ABOUT_STRUCTURE, STRUCTURE
+from lintlake.sources.usage_cases import ABOUT_NAMES, ABOUT_TEXTS, ABOUT_USAGE, NAMES, TEXTS, USAGE
 from lintlake.sources.store import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,12 +451,12 @@ def measured_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_planted("'Item' || k", "size.public-method-count", "error", "size", "high", "size % 14 + 1 > 10"))
 def public_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    return _shown(code_rules.public_methods(code.functions(tree), code_rules.classes(tree)))
+    return _shown(usage_rules.public_methods(tree))
 
 
 @query(_planted("NULL::VARCHAR", "docs.missing-module-docstring", "advisory", "documentation", "medium", "p_partkey % 4 <> 0").replace("SELECT project, 'docs", "SELECT * FROM (SELECT project, 'docs", 1) + f") UNION ALL ({_planted("'Item' || k", "docs.missing-class-docstring", "warning", "documentation", "high", "p_partkey % 3 <> 0")}) UNION ALL ({_planted("'work_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "p_partkey % 5 <> 0")}) UNION ALL ({_planted("'caller_' || k", "docs.missing-function-docstring", "warning", "documentation", "high", "true")}) UNION ALL (WITH q AS (SELECT {PART}, unnest(range(0, p_size % 14 + 1)) AS i FROM part) SELECT project, 'docs.missing-function-docstring' AS rule_id, path AS file_path, 'Item' || k || '.method_' || CAST(i AS VARCHAR) AS symbol, 'warning' AS severity, 'documentation' AS pillar, 'high' AS confidence FROM q)")
 def missing_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(code_rules.missing_docstrings(_tree(spark, sf_dir)))
+    return _shown(usage_rules.missing_docstrings(_tree(spark, sf_dir)))
 
 
 @query(_planted("'q'", "naming.short-variable", "advisory", "naming", "low", "p_partkey % 8 = 0"))
@@ -485,7 +487,7 @@ def dangerous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_planted("'Item' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true") + f" UNION ALL ({_planted("'caller_' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true")}) UNION ALL ({_planted("'work_' || k", "dead-code.exported-but-unreferenced", "advisory", "dead-code", "medium", "true")})")
 def unreferenced_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers name the next part's function, which stands in another project; within a project nothing names it."""
-    return _shown(code_rules.unreferenced(_tree(spark, sf_dir)))
+    return _shown(usage_rules.unreferenced(_tree(spark, sf_dir)))
 
 
 # --- habits of planted tests ------------------------------------------------------------------
@@ -509,13 +511,13 @@ for _name, _rule, _sql in (
     ("global_state_in_tests", code_rules.global_state_in_tests, _habit(_CASE, "test-quality.global-state-mutation", "warning", "test-quality", "medium", "c_custkey % 11 = 0")),
     ("format_calls", code_rules.format_calls, _habit("NULL::VARCHAR", "modernisation.f-string-candidate", "advisory", "modernisation", "medium", "c_custkey % 6 = 0")),
     ("silent_excepts", code_rules.silent_excepts, _habit("NULL::VARCHAR", "security.silent-except", "advisory", "security", "high", "c_custkey % 7 = 0")),
-    ("shell_calls", code_rules.shell_calls, _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 8 = 0") + " UNION ALL " + _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 9 = 0")),
+    ("shell_calls", usage_rules.shell_calls, _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 8 = 0") + " UNION ALL " + _habit("NULL::VARCHAR", "security.shell-injection", "error", "security", "high", "c_custkey % 9 = 0")),
     ("old_tls", code_rules.old_tls, _habit("NULL::VARCHAR", "security.insecure-tls-protocol", "error", "security", "high", "c_custkey % 10 = 0")),
     ("unsafe_pickles", code_rules.unsafe_pickles, _habit("NULL::VARCHAR", "security.unsafe-pickle", "error", "security", "high", "c_custkey % 12 = 0")),
-    ("unused_parameters", code_rules.unused_parameters, _habit("'helper_' || CAST(c_custkey AS VARCHAR)", "waste.unused-parameter", "advisory", "dead-code", "medium", "true")),
-    ("empty_functions", code_rules.empty_functions, _habit("'empty_' || CAST(c_custkey AS VARCHAR)", "waste.empty-function", "warning", "dead-code", "high", "true")),
+    ("unused_parameters", usage_rules.unused_parameters, _habit("'helper_' || CAST(c_custkey AS VARCHAR)", "waste.unused-parameter", "advisory", "dead-code", "medium", "true")),
+    ("empty_functions", usage_rules.empty_functions, _habit("'empty_' || CAST(c_custkey AS VARCHAR)", "waste.empty-function", "warning", "dead-code", "high", "true")),
     ("confusing_classes", code_rules.confusing_classes, _habit("'Manager'", "naming.confusing-name", "advisory", "naming", "medium", "c_custkey % 5 = 0")),
-    ("attribute_counts", lambda tree: code_rules.attribute_counts(tree, 2), _habit("CASE WHEN c_custkey % 5 = 0 THEN 'Manager' ELSE 'Holder' || CAST(c_custkey AS VARCHAR) END", "size.attribute-count", "error", "size", "high", "true")),
+    ("attribute_counts", lambda tree: usage_rules.attribute_counts(tree, 2), _habit("CASE WHEN c_custkey % 5 = 0 THEN 'Manager' ELSE 'Holder' || CAST(c_custkey AS VARCHAR) END", "size.attribute-count", "error", "size", "high", "true")),
 ):
     query(_sql, _name)(lambda spark, sf_dir, rule=_rule: _shown(rule(_test_tree(spark, sf_dir))))
 
@@ -554,6 +556,28 @@ def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_rules.all_rules(_planted_tree(spark, sf_dir, "structure", STRUCTURE)).select(*SHOWN)
 
 
+@query(planted_sql(USAGE, ABOUT_USAGE))
+def usage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unread parameters, unnamed exports, missing docstrings, empty bodies, wide and long classes, shell commands."""
+    return usage_rules.all_rules(_planted_tree(spark, sf_dir, "usage", USAGE)).select(*SHOWN)
+
+
+@query(f"SELECT project, rule_id, file_path, line, severity, pillar, confidence FROM ({planted_sql(TEXTS, ABOUT_TEXTS)})")
+def text_project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose bodies go over lines, record numbers across lines, workflow files; every path is in many projects."""
+    units = planted(table(spark, sf_dir, "customer"), TEXTS)
+    rows = [text_rules.private_keys(units), text_rules.health_numbers(units), text_rules.workflow_findings(units)]
+    return reduce(DataFrame.unionByName, [r.select("project", "rule_id", "file_path", "line", "severity", "pillar", "confidence") for r in rows])
+
+
+@query(f"SELECT project, rule_id, file_path, line, symbol, severity, pillar, confidence FROM ({planted_sql(NAMES, ABOUT_NAMES)})")
+def naming_project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generic function names, type prefixes and placeholder names."""
+    tree = _planted_tree(spark, sf_dir, "names", NAMES)
+    rows = [code_rules.hungarian(tree), code_rules.poor_identifiers(tree), code_rules.generic_functions(code.functions(tree))]
+    return reduce(DataFrame.unionByName, [r.select("project", "rule_id", "file_path", "line", "symbol", "severity", "pillar", "confidence") for r in rows])
+
+
 @query(expected_sql(TESTS, ABOUT))
 def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "tests", TESTS)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lintlake.operators import code, code_rules
+from lintlake.operators import code, code_rules, usage_rules
 from lintlake.sources.snippets import ABOUT, COMMENTS, DECLARATIONS, SECURITY, TESTS
 
 SOURCE = '''
@@ -49,7 +49,7 @@ def test_pickles(tree):
 
 
 def test_nested_reads_use_parameters(tree):
-    assert {r["line"] for r in code_rules.unused_parameters(tree).collect()} == set()
+    assert {r["line"] for r in usage_rules.unused_parameters(tree).collect()} == set()
 
 
 def test_units_that_do_not_parse_keep_their_comments(tree):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import entropy, redacted
-from lintlake.operators import code, code_rules, findings, scoring, text_rules
+from lintlake.operators import code, code_rules, usage_rules, findings, scoring, text_rules
 from lintlake.sources import corpus
 
 KIND = "file_path string, rule_id string, pillar string, line int, symbol string, severity string, confidence string, measured int"
@@ -84,7 +84,7 @@ def test_code_rules(spark):
     assert one(code_rules.hungarian(tree)) == [("a.py", 4, "str_name")]
     assert one(code_rules.poor_identifiers(tree)) == [("a.py", 6, "foo"), ("a.py", 7, "data2")]
     assert one(code_rules.generic_functions(code.functions(tree))) == [("a.py", 4, "run")]
-    assert one(code_rules.unreferenced(tree)) == [("a.py", 11, "Thing")]
+    assert one(usage_rules.unreferenced(tree)) == [("a.py", 11, "Thing")]
     assert {r["parameters"] for r in code.functions(tree).where("symbol = 'Thing.m'").collect()} == {1}
     assert tree.where("kind = 'error'").count() == 1
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules, usage_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
-from lintlake.sources import changes, corpus
+from lintlake.sources import changes, config_cases, corpus, settings
+from lintlake.sources.config_cases import CONFIGURED
 from lintlake.sources.flow_cases import ABOUT_FLOW, FLOW
 from lintlake.sources.projects import Case, planted, planted_sql
+from lintlake.sources.rule_defaults import defaults
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.structure_cases import ABOUT_STRUCTURE, STRUCTURE
 from lintlake.sources.usage_cases import ABOUT_NAMES, ABOUT_TEXTS, ABOUT_USAGE, NAMES, TEXTS, USAGE
@@ -620,6 +622,49 @@ def project_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_text.all_rules(dealt(table(spark, sf_dir, "customer"), PROJECT)).select(*SHOWN)
 
 
+# --- configuration --------------------------------------------------------------------------------
+
+
+def _configuration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The leaves of each project's configuration, what is wrong with it, and the rules' defaults."""
+    files = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("source")) for p, t in c.files.items()]).cast("array<struct<path:string,source:string>>") for c in CONFIGURED])
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("project"), F.explode(F.element_at(files, (F.col("c_custkey") % len(CONFIGURED)).cast("int") + 1)).alias("f")).select("project", "f.*")
+    rows = written_once(spark, "configuration", sf_dir, lambda: settings.config_rows(own.where("path != 'explicit'"), explicit=own.where("path = 'explicit'").select("project", F.col("source").alias("path"))))
+    known = defaults(spark)
+    return rows, settings.problems(rows, known), known
+
+
+@query(config_cases.settings_sql())
+def project_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's settings in each project with a usable configuration."""
+    flat = lambda c, v: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], v(e["value"]))), ",")
+    out = settings.resolved(*_configuration(spark, sf_dir))
+    return out.select("project", "rule_id", F.col("enabled").cast("string").alias("enabled"), "threshold", "severity", flat("thresholds", lambda v: v.cast("int").cast("string")).alias("thresholds"), flat("options", lambda v: v).alias("options"))
+
+
+@query(config_cases.problems_sql())
+def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _configuration(spark, sf_dir)[1].select("project", "level", "message")
+
+
+@query(config_cases.allowed_sql())
+def configured_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found, _ = _configuration(spark, sf_dir)
+    return settings.listed(rows, found, "allowlists", "secretPreviews")
+
+
+@query(config_cases.findings_sql())
+def configured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and complexity over the limits of each project, under its selection of rules."""
+    rows, found, known = _configuration(spark, sf_dir)
+    resolved = settings.resolved(rows, found, known)
+    tree = _planted_tree(spark, sf_dir, "configured", [Case({"app/main.py": config_cases.CODE})])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col(c).cast("double").alias("value")) for r, c in (("size.parameter-count", "parameters"), ("complexity.cyclomatic", "cyclomatic"))])
+    measures = code.functions(tree).select("project", "symbol", F.explode(pairs).alias("m")).select("project", "symbol", "m.*")
+    out = settings.over_limits(measures, settings.selected(resolved, rows, found), known, resolved)
+    return out.select("project", "rule_id", "symbol", "value", "limit", "severity")
+
+
 # --- changes and ignore files ---------------------------------------------------------------------
 
 _PATCH = (

@@ -1,25 +1,73 @@
-"""One analysis as one plan: rules, distinct findings, suppressions, baseline, changed lines, scores."""
+"""One analysis: rules of every family, selection by project, distinct findings, suppressions, baseline, changed lines, scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, declaration_rules, directives, findings as ops, security_rules, test_rules
+from lintlake.operators import code, declaration_rules, directives, findings as ops, flow_rules, scoring, security_rules, structure_rules, test_rules, usage_rules
+from lintlake.sources.store import written
 
 #: Columns of the findings relation that rules leave to defaults.
 DEFAULTS = {"column": "cast(null as int)", "tier": "'standard'", "metadata_json": "'{}'"}
 
+#: Rule families: each makes findings of the node relation and its functions.
+FAMILIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "security": lambda tree, functions: security_rules.all_rules(tree),
+    "flow": lambda tree, functions: flow_rules.all_rules(tree),
+    "tests": test_rules.all_rules,
+    "declarations": declaration_rules.all_rules,
+    "usage": lambda tree, functions: usage_rules.all_rules(tree),
+    "structure": lambda tree, functions: structure_rules.all_rules(tree),
+    "directives": lambda tree, functions: directives.unexplained(tree),
+}
 
-def rule_findings(tree: DataFrame) -> DataFrame:
-    """Findings of every rule over the node relation, with the whole schema."""
+
+#: Rules that aren't where their name's first part says.
+MOVED = {
+    "flow": ("security.path-traversal", "security.ssrf", "security.sql-concatenation"),
+    "tests": ("naming.test-naming-consistency",),
+    "structure": ("test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "correctness.substring-vocabulary-match", "waste.commented-out-code"),
+    "usage": (
+        "waste.unused-parameter", "security.shell-injection", "dead-code.exported-but-unreferenced", "waste.empty-function", "docs.missing-module-docstring", "docs.missing-class-docstring", "docs.missing-function-docstring",
+        "size.attribute-count", "size.public-method-count", "size.class-length",
+    ),
+    "directives": ("docs.ignore-directive-reason",),
+}
+
+
+def families_of(rules: list[str]) -> tuple[str, ...]:
+    """The families that have one of these rules: others needn't be planned."""
+    moved = {r: family for family, some in MOVED.items() for r in some}
+    first = {"security": "security", "test-quality": "tests"}
+    wanted = {moved.get(r) or first.get(r.split(".")[0], "declarations") for r in rules}
+    return tuple(f for f in FAMILIES if f in wanted)
+
+
+def rule_findings(tree: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+    """Findings of the families' rules over the node relation, with the whole schema; each family is a job of its own, written once."""
     functions = code.functions(tree)
-    rows = reduce(DataFrame.unionByName, [security_rules.all_rules(tree), test_rules.all_rules(tree, functions), declaration_rules.all_rules(tree, functions), directives.unexplained(tree)])
+    rows = reduce(DataFrame.unionByName, [written(FAMILIES[f](tree, functions), f"findings-{f}") for f in families])
     return rows.selectExpr("*", *(f"{v} as `{k}`" for k, v in DEFAULTS.items()))
 
 
+def of_running_rules(found: DataFrame, settings: DataFrame) -> DataFrame:
+    """Findings of rules that run in their project; projects without settings of their own run all."""
+    own = settings.select("project").distinct()
+    running = settings.select("project", "rule_id")
+    return found.join(own, "project", "left_anti").unionByName(found.join(own, "project", "left_semi").join(running, ["project", "rule_id"], "left_semi"))
+
+
+def scored(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pillars, projects, files) with scores and grades, of an analysis' findings."""
+    priced = written(scoring.penalties(found.withColumn("measured", F.lit(None).cast("double")), "project"), "priced")
+    pillars = scoring.pillar_scores(priced, "project")
+    return pillars, scoring.composite(pillars, "project"), scoring.file_scores(priced, "project")
+
+
 def analyse(found: DataFrame, tree: DataFrame, rules: DataFrame | None = None, baseline: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """The findings that remain, in the order in which the steps mean something: distinct, suppressed, known, unchanged ones go.
 

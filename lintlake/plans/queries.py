@@ -19,7 +19,7 @@ from lintlake.sources.rule_defaults import defaults
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
 from lintlake.sources.structure_cases import ABOUT_STRUCTURE, STRUCTURE
 from lintlake.sources.usage_cases import ABOUT_NAMES, ABOUT_TEXTS, ABOUT_USAGE, NAMES, TEXTS, USAGE
-from lintlake.sources.store import written_once
+from lintlake.sources.store import written, written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -631,7 +631,7 @@ def _configuration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     own = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("project"), F.explode(F.element_at(files, (F.col("c_custkey") % len(CONFIGURED)).cast("int") + 1)).alias("f")).select("project", "f.*")
     rows = written_once(spark, "configuration", sf_dir, lambda: settings.config_rows(own.where("path != 'explicit'"), explicit=own.where("path = 'explicit'").select("project", F.col("source").alias("path"))))
     known = defaults(spark)
-    return rows, settings.problems(rows, known), known
+    return rows, written_once(spark, "config-problems", sf_dir, lambda: settings.problems(rows, known)), known
 
 
 @query(config_cases.settings_sql())
@@ -707,7 +707,7 @@ def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "analysed", ANALYSED)
-    found = written_once(spark, "findings-analysed", sf_dir, lambda: analysis.rule_findings(tree))
+    found = written_once(spark, "findings-analysed", sf_dir, lambda: analysis.rule_findings(tree, ("security", "tests", "declarations", "directives")))
     known = ops.as_baseline(analysis.analyse(found, tree).where("rule_id = 'waste.empty-class' and symbol like 'Empty%' and symbol != 'Empty'"))
     return analysis.analyse(found, tree, baseline=known)
 
@@ -723,6 +723,52 @@ def analysed_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.pillar_counts(_analysed(spark, sf_dir))
 
 
+# every family over one table of projects; each project's configuration selects the rules of its case
+
+_GROUPS = ((FLOW, ABOUT_FLOW), (STRUCTURE, ABOUT_STRUCTURE), (USAGE, ABOUT_USAGE))
+_EVERY = [c for cases, _ in _GROUPS for c in cases]
+_ALL_ABOUT = {r: a for _, about in _GROUPS for r, a in about.items()}
+_SELECTIONS = [f"schemaVersion: lintlake.config.v1\nselection:\n  rules: [{', '.join(sorted(about))}]\n" for cases, about in _GROUPS for _ in cases]
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of a whole analysis, under each project's selection."""
+    tree = _planted_tree(spark, sf_dir, "every", _EVERY)
+
+    def made() -> DataFrame:
+        place = (F.col("c_custkey") % len(_EVERY)).cast("int") + 1
+        files = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("project"), F.lit(".lintlake.yaml").alias("path"), F.element_at(F.array(*map(F.lit, _SELECTIONS)), place).alias("source"))
+        known = defaults(spark, _ALL_ABOUT)
+        rows = written_once(spark, "selections", sf_dir, lambda: settings.config_rows(files))
+        found = settings.problems(rows, known)
+        found = written(found, "problems")
+        running = written(settings.selected(settings.resolved(rows, found, known), rows, found), "running")
+        # a family none of whose rules runs in any project isn't planned; rules are as many as the library has
+        wanted = analysis.families_of([r["rule_id"] for r in running.select("rule_id").distinct().collect()])
+        return analysis.analyse(written(analysis.of_running_rules(analysis.rule_findings(tree, wanted), running), "found"), tree)
+
+    return written_once(spark, "findings-every", sf_dir, made)
+
+
+@query(planted_sql(_EVERY, _ALL_ABOUT))
+def whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).select(*SHOWN)
+
+
+_WHOLE_SQL = PILLARS_SQL.replace(FINDINGS_SQL, f"findings AS (SELECT *, NULL::DOUBLE AS measured FROM ({planted_sql(_EVERY, _ALL_ABOUT)}))")
+
+
+@query(f"WITH {_WHOLE_SQL} SELECT *, {GRADE} AS grade FROM pillars")
+def whole_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.scored(_whole(spark, sf_dir))[0]
+
+
+@query(f"WITH {_WHOLE_SQL}, c AS (SELECT project, round(avg(score), 2) AS score FROM pillars GROUP BY 1) SELECT *, {GRADE} AS grade FROM c")
+def whole_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite score and grade of each project with findings."""
+    return analysis.scored(_whole(spark, sf_dir))[1]
+
+
 _DEPTH = "(p_size::INTEGER % 9 + 1)"
 
 

@@ -24,8 +24,9 @@ KNOBS = {
 SCHEMA = "rule_id string, pillar string, tier string, enabled boolean, threshold double, below boolean, severity string, thresholds map<string,double>, options map<string,string>"
 
 
-def defaults(spark: SparkSession) -> DataFrame:
-    """A row for each rule; its number is the library's, whatever the input."""
+def defaults(spark: SparkSession, more: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """A row for each rule; its number is the library's, whatever the input. ``more`` has severity and pillar of rules without settings."""
     rows = [(r, pillar, "v01", True, float(limit), below, "error", {}, {}) for r, (pillar, limit, below) in LIMITS.items()]
     rows += [(r, pillar, "v01", True, None, False, severity, knobs, {k: json.dumps(v) for k, v in options.items()}) for r, (pillar, severity, knobs, options) in KNOBS.items()]
+    rows += [(r, pillar, "v01", True, None, False, severity, {}, {}) for r, (severity, pillar, _) in (more or {}).items() if r not in LIMITS and r not in KNOBS]
     return spark.createDataFrame(rows, SCHEMA)

@@ -219,7 +219,7 @@ def flatten(source: str) -> list[tuple]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(0, None, "error", None, 0, None, str(e)[:200], None, getattr(e, "lineno", None), None, None, None, None, None, 0, *[None] * 15, 0, 0), *((k, None, "Comment", None, 0, None, text, None, line, line, line, None, None, None, 0, *[None] * 15, 0, 0) for k, (line, text) in enumerate(comments(source), 1))]
+        return [(0, None, "error", None, 0, None, str(e), None, getattr(e, "lineno", None), None, None, None, None, None, 0, *[None] * 15, 0, 0), *((k, None, "Comment", None, 0, None, text, None, line, line, line, None, None, None, 0, *[None] * 15, 0, 0) for k, (line, text) in enumerate(comments(source), 1))]
     rows: list[tuple] = []
     places = _places(tree)
     # node, parent, field, place; the body's function and its name, the function around, the class; names, nesting, cognitive depth, context, elif; in an operation

@@ -702,6 +702,32 @@ def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.ignored(paths, changes.ignore_rules(files))
 
 
+_PATHS = ("src/a.py", "docs/x/a.md", "docs/a.md", "lib/gen/a.py", "build/a.py", "src/tmp/vendor/a.py", "poetry.lock", "sub/go.sum", "logs/run.log", "logs/keep.log", "build/poetry.lock", "src/vendor.py")
+#: (project's remainder, path, source, pattern): patterns in two of three projects, an ignore file in every second.
+_LEFT_OUT = [
+    (c, p, s, x)
+    for c in range(6)
+    for p in _PATHS
+    for s, x in [
+        ("config", "docs/**") if c % 3 == 0 and p.startswith("docs/") else ("config", "lib") if c % 3 == 1 and p.startswith("lib/") else ("config", "**/a.md") if c % 3 == 1 and p.endswith("/a.md") else ("gitignore", None) if c % 2 == 0 and p in ("logs/run.log", "src/vendor.py")
+        else ("default", "build") if p.startswith("build/") else ("default", "tmp") if "/tmp/" in p else ("generated", p.split("/")[-1]) if p.endswith((".lock", ".sum")) else (None, None)
+    ]
+    if s
+]
+
+
+@query("SELECT 'p' || CAST(c_custkey AS VARCHAR) AS project, path, source, pattern FROM customer JOIN (VALUES " + ", ".join(f"({c}, '{p}', '{s}', " + ("NULL" if x is None else f"'{x}'") + ")" for c, p, s, x in _LEFT_OUT) + ") e(place, path, source, pattern) ON c_custkey % 6 = place")
+def ignore_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each project's paths are left out: configuration before default folders before ignore files before lock files."""
+    k = F.col("c_custkey")
+    projects = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), k.cast("string")).alias("project"), (k % 3).alias("three"), (k % 2).alias("two"))
+    paths = projects.select("project", F.explode(F.array(*map(F.lit, _PATHS))).alias("path"))
+    lists = F.when(F.col("three") == 0, F.array(F.lit("docs/**"), F.lit("docs"))).when(F.col("three") == 1, F.array(F.lit("none.py"), F.lit("lib"), F.lit("**/a.md"), F.lit("docs/*.md")))
+    configured = projects.select("project", F.posexplode(lists).alias("ordinal", "pattern"))
+    files = projects.where("two = 0").select("project", F.lit("").alias("dir"), F.lit("*.log\n!keep.log\n/build/\n/src/vendor*\n").alias("source"))
+    return changes.ignore_decisions(paths, configured, changes.ignore_rules(files))
+
+
 # --- a whole analysis -----------------------------------------------------------------------------
 
 

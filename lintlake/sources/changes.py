@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.sources.corpus import IGNORED_FOLDERS, LOCK_FILES
+
 from lintlake.operators.findings import merged_ranges
 
 HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -69,6 +71,35 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     return rows.select("project", "dir", "ordinal", regex.alias("regex"), "negated", "only_dirs")
 
 
+def glob_regex(pattern: Column) -> Column:
+    """A configured pattern as a regular expression: ``**`` crosses folders, ``*`` and ``?`` don't; a plain path also covers what is below it."""
+    out = F.regexp_replace(pattern, r"([.+()\[\]{}^$|\\])", r"\\$1")
+    for shape, mark in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(.*/)?"), ("\u0002", ".*")):
+        out = F.regexp_replace(out, shape, mark)
+    return F.concat(F.lit("^"), out, F.when(pattern.rlike(r"[*?]"), F.lit("$")).otherwise(F.lit("(/.*)?$")))
+
+
+def ignore_decisions(paths: DataFrame, configured: DataFrame, rules: DataFrame, include_ignored: bool = False) -> DataFrame:
+    """``project``, ``path``, ``source``, ``pattern`` of every path that is left out: the first reason of configuration, default folders, ignore files and lock files.
+
+    ``configured`` has ``project, ordinal, pattern`` (the first that matches is named), ``rules`` are ``ignore_rules``.
+    With ``include_ignored`` only configuration and lock files count.
+    """
+    files = paths.select("project", "path").distinct()
+    asked = files.join(configured.select("project", "ordinal", "pattern", glob_regex(F.col("pattern")).alias("regex")), "project").where(F.rlike("path", "regex"))
+    reasons = asked.select("project", "path", F.lit(1).alias("level"), F.lit("config").alias("source"), "ordinal", "pattern")
+    name, nothing = F.element_at(F.split("path", "/"), -1), F.lit(None).cast("string")
+    if not include_ignored:
+        hidden = ignored(files, rules).where("ignored").select("project", "path", F.lit(3), F.lit("gitignore"), F.lit(0), nothing)
+        # of several folders the first of the list counts
+        folders = F.filter(F.array(*map(F.lit, IGNORED_FOLDERS)), lambda f: F.array_contains(F.split("path", "/"), f))
+        by_folder = files.where(F.size(folders) > 0).select("project", "path", F.lit(2), F.lit("default"), F.lit(0), F.get(folders, 0))
+        reasons = reasons.union(hidden).union(by_folder)
+    locks = files.where(name.isin(*LOCK_FILES)).select("project", "path", F.lit(4), F.lit("generated"), F.lit(0), name)
+    first = reasons.union(locks).groupBy("project", "path").agg(F.min_by(F.struct("source", "pattern"), F.struct("level", "ordinal")).alias("r"))
+    return first.select("project", "path", "r.*")
+
+
 def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """``project, path, ignored`` of every path: the last pattern that matches decides, deeper files over outer ones.
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: File kinds that are read, and folders and lock files that are not.
 TEXT_SUFFIXES = ("cfg", "env", "ini", "json", "md", "toml", "txt", "yaml", "yml")
-IGNORED_FOLDERS = (".git", ".hg", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages", "venv")
-LOCK_FILES = ("package-lock.json", "poetry.lock", "Pipfile.lock", "uv.lock", "yarn.lock", "pnpm-lock.yaml")
+IGNORED_FOLDERS = (
+    ".fleet", ".git", ".hg", ".idea", ".mypy_cache", ".pyre", ".pytest_cache", ".pytype", ".ruff_cache", ".svn", ".tox", ".venv", ".vscode", "__pycache__",
+    "build", "cache", "coverage", "dist", "generated", "htmlcov", "node_modules", "tmp", "vendor", "venv",
+)
+LOCK_FILES = ("uv.lock", "poetry.lock", "Pipfile.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Cargo.lock", "go.sum")
 
 
 def file_type(path: Column) -> Column:

@@ -52,6 +52,10 @@ def _described(node: ast.AST) -> tuple[str | None, str | None, int | None]:
             return node.asname or node.name.split(".")[0], node.name, None
         case ast.BoolOp():
             return type(node.op).__name__, None, len(node.values)
+        case ast.MatchAs() | ast.MatchStar():
+            return node.name, None, None
+        case ast.MatchMapping():
+            return node.rest, None, None
         case ast.BinOp() | ast.UnaryOp() | ast.AugAssign():
             return type(node.op).__name__, None, None
         case ast.Compare():

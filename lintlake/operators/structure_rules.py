@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.operators import test_rules
+from lintlake.operators import restated_rules, test_rules
 from lintlake.operators.code_rules import KEY
 from lintlake.operators.flow_rules import FUNCTIONS, in_regions
 from lintlake.operators.security_rules import found, leaf
@@ -336,4 +336,4 @@ def commented_code(tree: DataFrame) -> DataFrame:
 
 
 def all_rules(tree: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [repeated_structures(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree)])
+    return reduce(DataFrame.unionByName, [repeated_structures(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree), restated_rules.restated_declarations(tree)])

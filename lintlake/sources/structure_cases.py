@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lintlake.sources.projects import Case, one
 
+_RESTATED = "test-quality.static-analysis-redundant-test"
 _WORDS = "correctness.substring-vocabulary-match"
 _REPEATED, _SINGLE, _NUMBER, _COMMENT = "test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "waste.commented-out-code"
 
@@ -32,6 +33,11 @@ def _words(source: str, *found: tuple[int, str, str]) -> Case:
     return one(source, *((_WORDS, line, None, f'Substring scan of `{v}` over `{t}` matches inside words ("fee" routes "coffee", "form" routes "information"); the comparison needs word-boundary or token matching.') for line, v, t in found))
 
 
+def _restated(source: str, *found: tuple[int, str, str, str, str]) -> Case:
+    return one(source, *((_RESTATED, line, test, f"{test} contains a static-analysis-redundant candidate: {helper} asserts {evidence}, but {fact} is declared in the same parsed file.") for line, test, helper, evidence, fact in found), path="tests/test_main.py")
+
+
+_SHAPE = "class Shape:\n    label = 'x'\n    code: int = 1\n    slug: str\n    _secret = 1\n    def render(self):\n        return self\n    @property\n    def size(self):\n        return 1\n    class Part:\n        def cut(self):\n            return 1\n"
 _V = "WORDS = ('fee', 'form')\nMORE = frozenset({'a', 'b c'})\nPHRASES = ['a b', 'c d']\nMIXED = ['a', 1]\nNONE = ()\n"
 _T = "from typing import Protocol\nclass Renderer(Protocol):\n    def render(self): ...\n"
 _IMPL = "class Html(Renderer):\n    pass\n"
@@ -73,10 +79,19 @@ STRUCTURE = [
     _words(_V + "def f(message, kind, raw_text: str, body: list[str], title: Optional[List[str]], query: 'str | list'):\n    any(w in message for w in WORDS)\n    any(w in kind for w in WORDS)\n    any(w in raw_text for w in MORE)\n    any(w in body for w in WORDS)\n    any(w in title for w in WORDS)\n    any(w in query for w in WORDS)\n    any(w in message for w in PHRASES)\n    any(w in message for w in MIXED)\n    any(w in message for w in NONE)\n    any(w in message for w in OTHER)\n    all(w in message for w in WORDS)\n    any(w not in message for w in WORDS)\n    any(v in message for w in WORDS)\n    any(w in message for w in WORDS for x in y)\n    any([w in message for w in WORDS])\n    any(w in message.lower() for w in WORDS)\n", (7, "WORDS", "message"), (9, "MORE", "raw_text"), (12, "WORDS", "query")),
     _words(_V + "def f(message: str, x):\n    low = message.strip().lower()\n    for w in WORDS:\n        log(w)\n        if w in low:\n            return w\n        if w in message:\n            return w\n    words = message.split()\n    any(w in words for w in WORDS)\n    two = message\n    two = message.upper()\n    any(w in two for w in WORDS)\n    text = x\n    any(w in text for w in WORDS)\n    part = message.strip('x')\n    any(w in part for w in WORDS)\n    def g():\n        any(w in message for w in WORDS)\n    async for w in WORDS:\n        if w in message:\n            pass\n", (10, "WORDS", "low"), (20, "WORDS", "text")),
     _words(_V + "WORDS = make()\nWORDS = list(['x y'])\nWORDS = ['z']\ndef f(text, prompt, content: dict | None, input: typing.Sequence):\n    text = text.lower()\n    text = text.strip()\n    any(w in text for w in WORDS)\n    prompt = prompt.split()\n    any(w in prompt for w in WORDS)\n    any(w in content for w in WORDS)\n    any(w in input for w in WORDS)\nany(w in text for w in WORDS)\n", (12, "WORDS", "text")),
+    # assertions that restate declarations
+    _restated(
+        _SHAPE + "def test_it():\n    assert inspect.isclass(Shape)\n    assert hasattr(Shape, 'render')\n    assert hasattr(Shape, 'label')\n    assert hasattr(Shape, 'code')\n    assert callable(getattr(Shape, 'render'))\n    assert callable(Shape.render)\n    assert inspect.isclass(Shape.Part)\n    assert callable(Shape.Part.cut)\n    assert hasattr(Shape, 'slug')\n    assert hasattr(Shape, '_secret')\n    assert hasattr(Shape, 'size')\n    assert hasattr(Shape, 'missing')\n    assert hasattr(Shape, name)\n    assert hasattr(shape, 'render')\n    assert callable(Shape.label)\n    assert not hasattr(Shape, 'render')\n    assert Shape().render() == 1\n    assert hasattr(Shape, 'render') and 1\n    assert hasattr(Other, 'render')\n    assert callable(getattr(Shape, 'render', None))\nclass TestIt(unittest.TestCase):\n    def test_a(self):\n        self.assertTrue(hasattr(Shape, 'label'))\n        self.assertFalse(hasattr(Shape, 'label'))\n        self.assertTrue(x, hasattr(Shape, 'label'))\ndef helper():\n    assert hasattr(Shape, 'label')\n",
+        (15, "test_it", "inspect.isclass", "Shape", "class Shape"), (16, "test_it", "hasattr", "Shape.render", "method Shape.render()"), (17, "test_it", "hasattr", "Shape.label", "attribute Shape.label"), (18, "test_it", "hasattr", "Shape.code", "attribute Shape.code"), (19, "test_it", "callable", "Shape.render", "method Shape.render()"),
+        (20, "test_it", "callable", "Shape.render", "method Shape.render()"), (21, "test_it", "inspect.isclass", "Shape.Part", "class Shape.Part"), (22, "test_it", "callable", "Shape.Part.cut", "method Shape.Part.cut()"), (37, "TestIt.test_a", "hasattr", "Shape.label", "attribute Shape.label"),
+    ),
+    _restated("class A:\n    x = 1\nclass B:\n    x = 1\nclass C:\n    x = 1\nclass D:\n    x = 1\n@deco\nclass E:\n    x = 1\nclass F(metaclass=M):\n    x = 1\nif y:\n    class G:\n        x = 1\nclass H:\n    x = 1\n    y = 1\nA = other\ndef B():\n    return 1\nif z:\n    import C\ndel D\nH.x = 2\nmatch y:\n    case I:\n        pass\nclass I:\n    x = 1\ndef test_it():\n    assert hasattr(A, 'x')\n    assert hasattr(B, 'x')\n    assert hasattr(C, 'x')\n    assert hasattr(D, 'x')\n    assert hasattr(E, 'x')\n    assert hasattr(F, 'x')\n    assert hasattr(G, 'x')\n    assert hasattr(H, 'x')\n    assert hasattr(H, 'y')\n    assert hasattr(I, 'x')\n", (41, "test_it", "hasattr", "H.y", "attribute H.y")),
+    _restated("class A:\n    x = 1\n    x = 2\n    def y(self):\n        return 1\n    y = 1\n    if z:\n        w = 1\n    w = 2\n    v = 1\n    for v in z:\n        pass\n    import u\n    t = 1\n    del t\n    class P:\n        q = 1\n        r = 1\n    P.q = 2\n    class R:\n        s = 1\n    R = 1\ndef test_it(hasattr_=1):\n    assert hasattr(A, 'x')\n    assert hasattr(A, 'y')\n    assert hasattr(A, 'w')\n    assert hasattr(A, 'v')\n    assert hasattr(A, 'u')\n    assert hasattr(A, 't')\n    assert hasattr(A.P, 'q')\n    assert hasattr(A.P, 'r')\n    assert hasattr(A.R, 's')\ndef test_own(A):\n    assert hasattr(A, 'x')\ndef test_stored():\n    A.x = 1\n    assert hasattr(A, 'x')\ndef test_helper():\n    hasattr = None\n    assert hasattr(A, 'x')\ndef test_inner():\n    def f():\n        assert hasattr(A, 'x')\n    class K:\n        assert hasattr(A, 'x')\n", (24, "test_it", "hasattr", "A.x", "attribute A.x"), (31, "test_it", "hasattr", "A.P.r", "attribute A.P.r"), (45, "test_inner", "hasattr", "A.x", "attribute A.x")),
+    _restated("from x import *\nclass A:\n    x = 1\ndef test_it():\n    assert hasattr(A, 'x')\n"),
     # comments
     _comments("# x = 1\n# x += call(y)\n# call(x)\n# call()\n# return x\n# if x:\n# for x in y:\n# import os\n# from x import y\n# from here on it is prose\n# x is the same as y\n# TODO x = 1\n# type: ignore\n# noqa\n#! /bin/sh\n#!/bin/sh\n# pass\n#    indented = 1\n# continue\n# if it rains\n# else:\n# try:\n# with x as y:\n# coding: x\ny = '''\n# x = 1\n'''  # z = 2\n# x == 1\n", 1, 2, 3, 4, 5, 6, 7, 8, 9, 17, 18, 19, 23, 27, 28),
     _comments("def broken(:\n    # x = 1\n    pass\n", 2),
 ]
 
 #: Severity, pillar and confidence of each rule.
-ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low"), _WORDS: ("advisory", "correctness", "medium")}
+ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low"), _WORDS: ("advisory", "correctness", "medium"), _RESTATED: ("advisory", "test-quality", "high")}

@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules, usage_rules
+from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules, usage_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
 from lintlake.sources import changes, config_cases, corpus, settings
 from lintlake.sources.config_cases import CONFIGURED
 from lintlake.sources.flow_cases import ABOUT_FLOW, FLOW
+from lintlake.sources.project_cases import ABOUT_PROJECTS, PROJECTS
 from lintlake.sources.projects import Case, planted, planted_sql
 from lintlake.sources.rule_defaults import defaults
 from lintlake.sources.snippets import ABOUT, ABOUT_PROJECT, ANALYSED, COMMENTS, DECLARATIONS, PROJECT, SECURITY, TESTS, Snippet, dealt, expected_sql
@@ -580,6 +581,12 @@ def naming_project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select("project", "rule_id", "file_path", "line", "symbol", "severity", "pillar", "confidence") for r in rows])
 
 
+@query(planted_sql(PROJECTS, ABOUT_PROJECTS))
+def project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test configurations, READMEs and module names."""
+    return project_rules.all_rules(planted(table(spark, sf_dir, "customer"), PROJECTS), _planted_tree(spark, sf_dir, "projects", PROJECTS)).select(*SHOWN)
+
+
 @query(expected_sql(TESTS, ABOUT))
 def test_quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _dealt_tree(spark, sf_dir, "tests", TESTS)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.taxonomy import with_taxonomy
 from lintlake.operators import code, declaration_rules, directives, findings as ops, flow_rules, scoring, security_rules, structure_rules, test_rules, usage_rules
 from lintlake.sources.store import written
 
@@ -51,7 +52,7 @@ def rule_findings(tree: DataFrame, families: tuple[str, ...] = tuple(FAMILIES))
     """Findings of the families' rules over the node relation, with the whole schema; each family is a job of its own, written once."""
     functions = code.functions(tree)
     rows = reduce(DataFrame.unionByName, [written(FAMILIES[f](tree, functions), f"findings-{f}") for f in families])
-    return rows.selectExpr("*", *(f"{v} as `{k}`" for k, v in DEFAULTS.items()))
+    return with_taxonomy(rows.selectExpr("*", *(f"{v} as `{k}`" for k, v in DEFAULTS.items())))
 
 
 def of_running_rules(found: DataFrame, settings: DataFrame) -> DataFrame:

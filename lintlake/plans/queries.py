@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.taxonomy import with_taxonomy
 from lintlake.operators import code, code_rules, declaration_rules, directives, findings as ops, flow_rules, project_rules, project_text, scoring, security_rules, structure_rules, test_rules, text_rules, usage_rules
 from lintlake.plans import analysis, proxy
 from lintlake.plans.proxy import DECLARATIONS_SQL, FINDINGS_SQL, REGIONS_SQL, RULES_SQL, SUPPRESSIONS_SQL, table
@@ -834,6 +835,16 @@ _CASES = (
 _SQL_CASES = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else f"'{x}'" for x in c)]) + ")" for i, c in enumerate(_CASES))
 
 
+@query(
+    f"""WITH {FINDINGS_SQL}, t(rule_id, about) AS (VALUES ('security.weak-crypto', '"cwe":["CWE-327","CWE-916"],"owasp":["A02:2021-Cryptographic Failures"],"securitySeverity":"medium"}}'))
+    SELECT finding_id, CASE WHEN about IS NULL THEN metadata_json WHEN l.l_empty THEN '{{' || about ELSE substr(metadata_json, 1, length(metadata_json) - 1) || ',' || about END AS metadata_json FROM (SELECT finding_id, rule_id, line IS NULL AS l_empty, CASE WHEN line IS NULL THEN '{{}}' ELSE metadata_json END AS metadata_json FROM findings) l LEFT JOIN t ON l.rule_id = t.rule_id"""
+)
+def finding_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings' metadata with what their rule is about; those without a line have none of their own."""
+    found = proxy.findings(spark, sf_dir).withColumn("metadata_json", F.when(F.col("line").isNull(), "{}").otherwise(F.col("metadata_json")))
+    return with_taxonomy(found).select("finding_id", "metadata_json")
+
+
 @query(f"SELECT 'a.b' AS rule_id, CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber::INTEGER AS line, measured, direction, unit FROM lineitem JOIN (VALUES {_SQL_CASES}) c(k, metadata, measured, direction, unit) ON l_partkey % {len(_CASES)} = k")
 def hook_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure, direction and unit that the hook gives a finding, from its metadata."""

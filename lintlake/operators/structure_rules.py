@@ -18,6 +18,7 @@ from lintlake.sources.store import written
 
 #: Limits, names and shapes of the rules.
 LEAST_GROUP, LONG_TEXT = 3, 80
+FIXTURE_WORDS = ("case", "cases", "file", "files", "fixture", "fixtures", "path", "paths", "sample", "samples", "scenario", "scenarios")
 ABSTRACT_BASES = ("ABC", "ABCMeta", "Protocol")
 EXTERNAL_BASES = ("Sized", "Iterable", "Iterator", "Collection", "Container", "Sequence", "Mapping", "MutableMapping", "Callable", "ContextManager", "AsyncContextManager")
 DIGIT_TESTS = ("isnumeric", "isdigit")
@@ -57,6 +58,58 @@ def repeated_structures(tree: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     return found(rows, "test-quality.repeated-structure-missing-parametrize", "advisory", "medium", message, "test-quality", F.col("symbol"))
 
 
+# --- loops in tests -------------------------------------------------------------------------------
+
+
+def loops_in_tests(tree: DataFrame) -> DataFrame:
+    """The first loop of a test that doesn't merely go over its fixtures.
+
+    A loop over fixtures has no branch, asserts nothing or with messages, and goes over
+    files, over a literal collection that a name of the test or the module holds, or
+    over one with a loop variable, if that name says so; ``sorted`` and the like around
+    it don't matter.
+    """
+    rows = tree.where("kind != 'Comment'").join(tree.where("kind in ('For', 'AsyncFor', 'While') and test_id is not null").select(*KEY).distinct(), list(KEY), "left_semi")
+    up = rows.select(*KEY, F.col("node_id").alias("parent_id"), F.col("kind").alias("up"), F.col("text").alias("up_text"))
+    rows = written(rows.join(up, [*KEY, "parent_id"], "left"), "loops")
+    tests = test_rules.tests(rows).select(*KEY, F.col("node_id").alias("test_id"), F.col("symbol").alias("of_symbol"))
+    loops = rows.where("kind in ('For', 'AsyncFor', 'While')").join(tests, [*KEY, "test_id"]).select(*KEY, "test_id", "of_symbol", "node_id", "kind", "pre", "line", "end_line")
+    named = lambda c: F.exists(F.array(*map(F.lit, FIXTURE_WORDS)), lambda w: F.lower(c).contains(w))
+    collection = F.col("kind").isin("List", "Tuple", "Set", "Dict")
+    # names of the module and of the test that hold literal collections
+    values = rows.where((F.col("field") == "value") & F.col("up").isin("Assign", "AnnAssign") & collection).select(*KEY, F.col("parent_id").alias("statement"))
+    statements = rows.where("kind in ('Assign', 'AnnAssign') and field = 'body' and (up = 'Module' or parent_id = fn_id)").select(*KEY, F.col("node_id").alias("statement"), F.when(F.col("up") != "Module", F.col("parent_id")).alias("of"))
+    aims = rows.where("kind = 'Name' and field in ('targets', 'target')").where(named("name")).select(*KEY, F.col("parent_id").alias("statement"), F.col("name").alias("iterable"))
+    held = statements.join(values, [*KEY, "statement"], "left_semi").join(aims, [*KEY, "statement"]).select(*KEY, "of", "iterable").distinct()
+    # what a loop goes over, inside calls that only order or copy it
+    wraps = (F.col("up") == "Call") & (F.col("field") == "args") & (F.col("ord") == 0) & F.col("up_text").isin("list", "set", "sorted", "tuple")
+    iters = rows.where("field = 'iter' and up in ('For', 'AsyncFor')").select(*KEY, F.col("node_id").alias("root"), F.col("parent_id").alias("loop"))
+    inside = in_regions(rows, wraps).join(iters, [*KEY, "root"])
+    deepest = inside.groupBy(*KEY, "loop").agg(F.max("pre").alias("pre"))
+    over = inside.join(deepest, [*KEY, "loop", "pre"]).select(*KEY, "loop", "node_id", "kind", "name", "text")
+    funcs = rows.where("kind = 'Attribute' and field = 'func'").select(*KEY, F.col("parent_id").alias("node_id"), F.col("name").alias("method"), F.col("node_id").alias("func"))
+    deeper = rows.where("kind = 'Attribute' and up = 'Attribute' and field = 'value'").select(*KEY, F.col("parent_id").alias("func"), F.lit(True).alias("deeper"))
+    over = over.join(funcs, [*KEY, "node_id"], "left").join(deeper, [*KEY, "func"], "left")
+    files = F.when(F.col("text").isNotNull(), (F.col("text") == "glob") | F.col("text").rlike(r"\.(glob|rglob|iterdir)$")).otherwise((F.col("method") == "glob") | (F.col("method").isin("rglob", "iterdir") & F.col("deeper").isNotNull()))
+    by_files = over.where((F.col("kind") == "Call") & F.coalesce(files, F.lit(False))).select(*KEY, F.col("loop").alias("node_id"))
+    tuples = rows.where("kind in ('Tuple', 'List') and field = 'target'").select(*KEY, F.col("node_id").alias("parent_id"), F.col("parent_id").alias("loop"))
+    single = rows.where("kind = 'Name' and field = 'target' and up in ('For', 'AsyncFor')").select(*KEY, F.col("parent_id").alias("loop"), "name")
+    variables = single.unionByName(rows.where("kind = 'Name' and field = 'elts'").select(*KEY, "parent_id", "name").join(tuples, [*KEY, "parent_id"]).select(*KEY, "loop", "name")).where(named("name"))
+    by_literal = over.where(collection).join(variables.select(*KEY, "loop"), [*KEY, "loop"], "left_semi").select(*KEY, F.col("loop").alias("node_id"))
+    asked = over.where("kind = 'Name'").select(*KEY, F.col("loop").alias("node_id"), F.col("name").alias("iterable")).join(loops.select(*KEY, "node_id", "test_id"), [*KEY, "node_id"])
+    by_name = asked.join(held, [*KEY, "iterable"]).where("of is null or of = test_id").select(*KEY, "node_id")
+    fixtures = by_files.unionByName(by_literal).unionByName(by_name).distinct()
+    # branches and bare assertions in a loop's body
+    bodies = rows.where("field = 'body'").groupBy(*KEY, F.col("parent_id").alias("node_id")).agg(F.min("pre").alias("begin"), F.max("last").alias("until"))
+    told = rows.where("up = 'Assert' and field = 'msg'").select(*KEY, F.col("parent_id").alias("node_id"))
+    acts = rows.where("kind in ('If', 'Match')").select(*KEY, F.col("pre").alias("at")).unionByName(rows.where("kind = 'Assert'").join(told, [*KEY, "node_id"], "left_anti").select(*KEY, F.col("pre").alias("at")))
+    working = bodies.join(acts, list(KEY)).where("at between begin and until").select(*KEY, "node_id").distinct()
+    plain = loops.where("kind != 'While'").join(fixtures, [*KEY, "node_id"], "left_semi").join(working, [*KEY, "node_id"], "left_anti").select(*KEY, "node_id")
+    first = loops.join(plain, [*KEY, "node_id"], "left_anti").groupBy(*KEY, "test_id", "of_symbol").agg(F.min_by(F.struct("line", "end_line"), "pre").alias("r")).select(*KEY, "of_symbol", "r.*")
+    message = F.concat(F.lit("Test '"), "of_symbol", F.lit("' contains a loop - prefer `@pytest.mark.parametrize` for case enumeration."))
+    return found(first, "test-quality.loop-in-test", "advisory", "medium", message, "test-quality", F.col("of_symbol"))
+
+
 # --- abstractions with one implementor ------------------------------------------------------------
 
 
@@ -336,4 +389,4 @@ def commented_code(tree: DataFrame) -> DataFrame:
 
 
 def all_rules(tree: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [repeated_structures(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree), restated_rules.restated_declarations(tree)])
+    return reduce(DataFrame.unionByName, [repeated_structures(tree), loops_in_tests(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree), restated_rules.restated_declarations(tree)])

@@ -31,7 +31,7 @@ FAMILIES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 MOVED = {
     "flow": ("security.path-traversal", "security.ssrf", "security.sql-concatenation"),
     "tests": ("naming.test-naming-consistency",),
-    "structure": ("test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "correctness.substring-vocabulary-match", "waste.commented-out-code", "test-quality.static-analysis-redundant-test"),
+    "structure": ("test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "correctness.substring-vocabulary-match", "waste.commented-out-code", "test-quality.static-analysis-redundant-test", "test-quality.loop-in-test"),
     "usage": (
         "waste.unused-parameter", "security.shell-injection", "dead-code.exported-but-unreferenced", "waste.empty-function", "docs.missing-module-docstring", "docs.missing-class-docstring", "docs.missing-function-docstring",
         "size.attribute-count", "size.public-method-count", "size.class-length",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lintlake.sources.projects import Case, one
 
+_LOOP = "test-quality.loop-in-test"
 _RESTATED = "test-quality.static-analysis-redundant-test"
 _WORDS = "correctness.substring-vocabulary-match"
 _REPEATED, _SINGLE, _NUMBER, _COMMENT = "test-quality.repeated-structure-missing-parametrize", "design.single-implementor-protocol", "correctness.unsafe-numeric-coercion", "waste.commented-out-code"
@@ -33,6 +34,10 @@ def _words(source: str, *found: tuple[int, str, str]) -> Case:
     return one(source, *((_WORDS, line, None, f'Substring scan of `{v}` over `{t}` matches inside words ("fee" routes "coffee", "form" routes "information"); the comparison needs word-boundary or token matching.') for line, v, t in found))
 
 
+def _loops(source: str, *found: tuple[int, str]) -> Case:
+    return one(source, *((_LOOP, line, test, f"Test '{test}' contains a loop - prefer `@pytest.mark.parametrize` for case enumeration.") for line, test in found), path="tests/test_main.py")
+
+
 def _restated(source: str, *found: tuple[int, str, str, str, str]) -> Case:
     return one(source, *((_RESTATED, line, test, f"{test} contains a static-analysis-redundant candidate: {helper} asserts {evidence}, but {fact} is declared in the same parsed file.") for line, test, helper, evidence, fact in found), path="tests/test_main.py")
 
@@ -79,6 +84,9 @@ STRUCTURE = [
     _words(_V + "def f(message, kind, raw_text: str, body: list[str], title: Optional[List[str]], query: 'str | list'):\n    any(w in message for w in WORDS)\n    any(w in kind for w in WORDS)\n    any(w in raw_text for w in MORE)\n    any(w in body for w in WORDS)\n    any(w in title for w in WORDS)\n    any(w in query for w in WORDS)\n    any(w in message for w in PHRASES)\n    any(w in message for w in MIXED)\n    any(w in message for w in NONE)\n    any(w in message for w in OTHER)\n    all(w in message for w in WORDS)\n    any(w not in message for w in WORDS)\n    any(v in message for w in WORDS)\n    any(w in message for w in WORDS for x in y)\n    any([w in message for w in WORDS])\n    any(w in message.lower() for w in WORDS)\n", (7, "WORDS", "message"), (9, "MORE", "raw_text"), (12, "WORDS", "query")),
     _words(_V + "def f(message: str, x):\n    low = message.strip().lower()\n    for w in WORDS:\n        log(w)\n        if w in low:\n            return w\n        if w in message:\n            return w\n    words = message.split()\n    any(w in words for w in WORDS)\n    two = message\n    two = message.upper()\n    any(w in two for w in WORDS)\n    text = x\n    any(w in text for w in WORDS)\n    part = message.strip('x')\n    any(w in part for w in WORDS)\n    def g():\n        any(w in message for w in WORDS)\n    async for w in WORDS:\n        if w in message:\n            pass\n", (10, "WORDS", "low"), (20, "WORDS", "text")),
     _words(_V + "WORDS = make()\nWORDS = list(['x y'])\nWORDS = ['z']\ndef f(text, prompt, content: dict | None, input: typing.Sequence):\n    text = text.lower()\n    text = text.strip()\n    any(w in text for w in WORDS)\n    prompt = prompt.split()\n    any(w in prompt for w in WORDS)\n    any(w in content for w in WORDS)\n    any(w in input for w in WORDS)\nany(w in text for w in WORDS)\n", (12, "WORDS", "text")),
+    # loops
+    _loops("SAMPLES = [1]\nOTHER = [1]\ndef test_a():\n    for x in y:\n        f(x)\n    for z in y:\n        f(z)\ndef test_b():\n    for x in SAMPLES:\n        f(x)\n    for sample in [1, 2]:\n        assert f(sample), 'said'\n    for n, (path, q) in {1: 2}:\n        pass\ndef test_c():\n    for x in OTHER:\n        f(x)\ndef test_d():\n    for x in [1, 2]:\n        f(x)\ndef test_e():\n    while x:\n        f(x)\ndef test_f():\n    for x in SAMPLES:\n        assert x\ndef test_g():\n    for x in SAMPLES:\n        if x:\n            f(x)\ndef helper():\n    for x in y:\n        f(x)\n", (4, "test_a"), (13, "test_b"), (16, "test_c"), (19, "test_d"), (22, "test_e"), (25, "test_f"), (28, "test_g")),
+    _loops("def test_a():\n    for x in sorted(list(root.glob('*'))):\n        f(x)\n    for x in Path('x').glob('*'):\n        f(x)\n    for x in a().b.rglob('*'):\n        f(x)\n    for x in tuple(FILES):\n        f(x)\n    for x in a().rglob('*'):\n        f(x)\nFILES: list = [1]\ndef test_b():\n    cases, fixtures = [1], [2]\n    paths = paths2 = (1,)\n    for x in paths2:\n        f(x)\n    def inner():\n        for x in y:\n            f(x)\n    async def more():\n        async for x in y:\n            f(x)\n    for x in sorted():\n        f(x)\nclass TestIt:\n    def test_c(self):\n        for x in [y for y in z]:\n            f(x)\n", (10, "test_a"), (24, "test_b"), (28, "TestIt.test_c")),
     # assertions that restate declarations
     _restated(
         _SHAPE + "def test_it():\n    assert inspect.isclass(Shape)\n    assert hasattr(Shape, 'render')\n    assert hasattr(Shape, 'label')\n    assert hasattr(Shape, 'code')\n    assert callable(getattr(Shape, 'render'))\n    assert callable(Shape.render)\n    assert inspect.isclass(Shape.Part)\n    assert callable(Shape.Part.cut)\n    assert hasattr(Shape, 'slug')\n    assert hasattr(Shape, '_secret')\n    assert hasattr(Shape, 'size')\n    assert hasattr(Shape, 'missing')\n    assert hasattr(Shape, name)\n    assert hasattr(shape, 'render')\n    assert callable(Shape.label)\n    assert not hasattr(Shape, 'render')\n    assert Shape().render() == 1\n    assert hasattr(Shape, 'render') and 1\n    assert hasattr(Other, 'render')\n    assert callable(getattr(Shape, 'render', None))\nclass TestIt(unittest.TestCase):\n    def test_a(self):\n        self.assertTrue(hasattr(Shape, 'label'))\n        self.assertFalse(hasattr(Shape, 'label'))\n        self.assertTrue(x, hasattr(Shape, 'label'))\ndef helper():\n    assert hasattr(Shape, 'label')\n",
@@ -94,4 +102,4 @@ STRUCTURE = [
 ]
 
 #: Severity, pillar and confidence of each rule.
-ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low"), _WORDS: ("advisory", "correctness", "medium"), _RESTATED: ("advisory", "test-quality", "high")}
+ABOUT_STRUCTURE = {_REPEATED: ("advisory", "test-quality", "medium"), _SINGLE: ("advisory", "design", "medium"), _NUMBER: ("advisory", "correctness", "high"), _COMMENT: ("advisory", "dead-code", "low"), _WORDS: ("advisory", "correctness", "medium"), _RESTATED: ("advisory", "test-quality", "high"), _LOOP: ("advisory", "test-quality", "medium")}

@@ -31,12 +31,33 @@ def test_written_tiles_are_npy_files(spark, tmp_path):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(RUNS), max_size=12))
-def test_random_runs_avoid_every_fixed_shape(parts):
+def test_random_runs_are_what_fixed_shapes_leave(parts):
+    """Against a plain version that marks every character of a shape: whole runs, and rests of at least a run's length."""
     text = "".join(parts)
     base = secrets.base_spans(text)
     got = secrets.random_spans(text, coder(), base, 2.0)
-    alone = secrets.random_spans(text, coder(), [], 2.0)
-    assert got == [r for r in alone if not any(r[0] < e and s < r[1] for s, e, _ in base)]
+    assert not any(r[0] < e and s < r[1] for r in got for s, e, _ in base)
+    taken = {i for s, e, _ in base for i in range(s, e)}
+    want = []
+    for m in secrets.RUN.finditer(text):
+        free, rest = [i for i in range(*m.span()) if i not in taken], []
+        for i in free:
+            if rest and i == rest[-1] + 1:
+                rest.append(i)
+                continue
+            want, rest = want + [rest] * bool(rest), [i]
+        want += [rest] * bool(rest)
+    spans = []
+    for rest in want:
+        a, b = rest[0], rest[-1] + 1
+        if (a, b) not in {m.span() for m in secrets.RUN.finditer(text)}:
+            while b > a and text[a] in "+/_-=":
+                a += 1
+            while b > a and text[b - 1] in "+/_-=":
+                b -= 1
+        if b - a >= 20:
+            spans += [(s + a, e + a, k) for s, e, k in secrets.random_spans(text[a:b], coder(), [], 2.0)]
+    assert got == spans
 
 
 def test_many_spans_take_time_in_proportion():

@@ -86,7 +86,8 @@ def ignore_decisions(paths: DataFrame, configured: DataFrame, rules: DataFrame,
     With ``include_ignored`` only configuration and lock files count.
     """
     files = paths.select("project", "path").distinct()
-    asked = files.join(configured.select("project", "ordinal", "pattern", glob_regex(F.col("pattern")).alias("regex")), "project").where(F.rlike("path", "regex"))
+    # paths and patterns both grow with the projects, and what a generator makes is estimated too small to broadcast safely
+    asked = files.join(configured.select("project", "ordinal", "pattern", glob_regex(F.col("pattern")).alias("regex")).hint("merge"), "project").where(F.rlike("path", "regex"))
     reasons = asked.select("project", "path", F.lit(1).alias("level"), F.lit("config").alias("source"), "ordinal", "pattern")
     name, nothing = F.element_at(F.split("path", "/"), -1), F.lit(None).cast("string")
     if not include_ignored:
@@ -112,7 +113,7 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     asked = steps.select("project", "step", "is_dir").distinct()  # folders are shared by their files
     applies = (F.col("dir") == "") | F.col("step").startswith(F.concat("dir", F.lit("/")))
     inside = F.when(F.col("dir") == "", F.col("step")).otherwise(F.expr("substring(step, length(dir) + 2)"))
-    matched = asked.join(rules, "project").where(applies).where((F.col("is_dir") | ~F.col("only_dirs")) & F.rlike(inside, F.col("regex")))
+    matched = asked.join(rules.hint("merge"), "project").where(applies).where((F.col("is_dir") | ~F.col("only_dirs")) & F.rlike(inside, F.col("regex")))
     last = matched.groupBy("project", "step", "is_dir").agg(F.max_by("negated", F.struct(F.length("dir"), "ordinal")).alias("negated"))
-    bad = steps.join(last.where("not negated"), ["project", "step", "is_dir"], "left_semi").select("project", "path").distinct().withColumn("ignored", F.lit(True))
-    return paths.select("project", "path").distinct().join(bad, ["project", "path"], "left").select("project", "path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+    bad = steps.join(last.where("not negated").hint("merge"), ["project", "step", "is_dir"], "left_semi").select("project", "path").distinct().withColumn("ignored", F.lit(True))
+    return paths.select("project", "path").distinct().join(bad.hint("merge"), ["project", "path"], "left").select("project", "path", F.coalesce("ignored", F.lit(False)).alias("ignored"))

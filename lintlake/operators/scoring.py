@@ -128,10 +128,18 @@ def metric_summary(measures: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def metric_top(measures: DataFrame, thresholds: DataFrame, n: int = 10) -> DataFrame:
-    """The worst functions of each metric: a top-k report, low values first where the metric says ``below``."""
-    bad = F.when(F.col("below"), F.col("value")).otherwise(-F.col("value"))
-    order = Window.partitionBy("metric").orderBy("bad", "file_path", "line", "symbol")
-    ranked = measures.join(thresholds.select("metric", "below"), "metric").withColumn("bad", bad).withColumn("place", F.row_number().over(order))
+    """The worst functions of each metric: a top-k report, low values first where the metric says ``below``.
+
+    Each threshold (as many as the library has) is an ordered limit over the measures, so a task keeps ``n``
+    rows; a join with the thresholds and a window would shuffle and sort all values of a metric in one task.
+    """
+    order = ["bad", "file_path", "line", "symbol"]
+    limits = thresholds.select("metric", "below").where("metric is not null").collect()
+    worst = measures.withColumn("bad", F.col("value")).limit(0)
+    for limit in limits:
+        bad = F.col("value") if limit["below"] else -F.col("value")
+        worst = worst.unionByName(measures.where(F.col("metric") == limit["metric"]).withColumn("bad", bad).orderBy(*order).limit(n))
+    ranked = worst.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(*order)))
     return ranked.where(F.col("place") <= n).select("metric", "place", "file_path", "line", "symbol", "value")
 
 

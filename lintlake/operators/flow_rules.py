@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators.code_rules import KEY
 from lintlake.operators.security_rules import found, frameworks, leaf
-from lintlake.sources.store import written
+from lintlake.sources.store import together, written
 
 #: Names that the rules look for.
 REQUEST_PARTS = ("json", "form", "args", "GET", "POST", "data", "query_params", "values")
@@ -346,4 +346,5 @@ def sql_concatenation(tree: DataFrame, rows: DataFrame) -> DataFrame:
 
 def all_rules(tree: DataFrame) -> DataFrame:
     rows = flow_nodes(tree)
-    return reached_sinks(tree, rows).unionByName(sql_concatenation(tree, rows))
+    one, two = together(tree.sparkSession, [("findings-reached", lambda: reached_sinks(tree, rows)), ("findings-sql", lambda: sql_concatenation(tree, rows))])
+    return one.unionByName(two)

@@ -388,5 +388,8 @@ def commented_code(tree: DataFrame) -> DataFrame:
     return found(rows, "waste.commented-out-code", "advisory", "low", F.concat(F.lit("Commented-out code on line "), F.col("line").cast("string"), F.lit(".")), "dead-code")
 
 
+RULES = (repeated_structures, loops_in_tests, single_implementors, numeric_coercions, vocabulary_matches, commented_code, restated_rules.restated_declarations)
+
+
 def all_rules(tree: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [repeated_structures(tree), loops_in_tests(tree), single_implementors(tree), numeric_coercions(tree), vocabulary_matches(tree), commented_code(tree), restated_rules.restated_declarations(tree)])
+    return reduce(DataFrame.unionByName, [rule(tree) for rule in RULES])

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.taxonomy import with_taxonomy
 from lintlake.operators import code, declaration_rules, directives, findings as ops, flow_rules, scoring, security_rules, structure_rules, test_rules, usage_rules
-from lintlake.sources.store import written
+from lintlake.operators.same_projects import for_all, one_of_each, same_projects
+from lintlake.sources import settings
+from lintlake.sources.store import clustered, clustering, clusters, together, written
 
 #: Columns of the findings relation that rules leave to defaults.
 DEFAULTS = {"column": "cast(null as int)", "tier": "'standard'", "metadata_json": "'{}'"}
@@ -48,10 +50,16 @@ def families_of(rules: list[str]) -> tuple[str, ...]:
     return tuple(f for f in FAMILIES if f in wanted)
 
 
+#: Families whose rules share nothing: each rule is planned by itself.
+APART = {"usage": usage_rules.RULES, "structure": structure_rules.RULES}
+
+
 def rule_findings(tree: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
-    """Findings of the families' rules over the node relation, with the whole schema; each family is a job of its own, written once."""
+    """Findings of the families' rules over the node relation, with the whole schema; each family, or rule of it, is a job of its own, written once."""
     functions = code.functions(tree)
-    rows = reduce(DataFrame.unionByName, [written(FAMILIES[f](tree, functions), f"findings-{f}") for f in families])
+    apart = [(f"findings-{rule.__name__}", lambda rule=rule: rule(tree)) for f in families for rule in reversed(APART.get(f, ()))]
+    whole = [(f"findings-{f}", lambda f=f: FAMILIES[f](tree, functions)) for f in families if f not in APART]
+    rows = reduce(DataFrame.unionByName, together(tree.sparkSession, whole + apart))
     return with_taxonomy(rows.selectExpr("*", *(f"{v} as `{k}`" for k, v in DEFAULTS.items())))
 
 
@@ -62,6 +70,36 @@ def of_running_rules(found: DataFrame, settings: DataFrame) -> DataFrame:
     return found.join(own, "project", "left_anti").unionByName(found.join(own, "project", "left_semi").join(running, ["project", "rule_id"], "left_semi"))
 
 
+def running_rules(files: DataFrame, known: DataFrame) -> DataFrame:
+    """``project``, ``rule_id`` of the rules that run in each configured project; ``files`` are configuration files, ``known`` the rules' own settings.
+
+    Projects whose configuration is the same are resolved once.
+    """
+    spark = files.sparkSession
+    same = written(same_projects(files.withColumn("file_type", F.lit(None).cast("string"))), "same-settings")
+    with clustering(spark, clusters(same.where("project = same")), "project"):
+        rows = written(settings.config_rows(one_of_each(files, same)), "selections")
+        found = written(settings.problems(rows, known), "problems")
+        running = written(settings.selected(settings.resolved(rows, found, known), rows, found).select("project", "rule_id"), "running")
+    return written(for_all(running, same), "running-all")
+
+
+def analysed_projects(units: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+    """Findings of all rules of the families in the projects of ``units``, distinct and without suppressed ones.
+
+    Rules and suppressions look at nothing but a project's own files, so projects with
+    the same files are analysed once. Nodes lie in clusters by file, so that the rules'
+    joins of nodes with nodes don't shuffle them.
+    """
+    same = written(same_projects(units), "same-projects")
+    units = written(one_of_each(units, same), "units")
+    n = clusters(units)
+    with clustering(units.sparkSession, n, "project", "path"):
+        tree = clustered(code.nodes(units.repartition(n, "project", "path")), "nodes")
+        found = written(analyse(written(rule_findings(tree, families), "found"), tree), "analysed")
+    return for_all(found, same)
+
+
 def scored(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pillars, projects, files) with scores and grades, of an analysis' findings."""
     priced = written(scoring.penalties(found.withColumn("measured", F.lit(None).cast("double")), "project"), "priced")

@@ -84,22 +84,31 @@ def running_rules(files: DataFrame, known: DataFrame) -> DataFrame:
     return written(for_all(running, same), "running-all")
 
 
-def analysed_projects(units: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
-    """Findings of all rules of the families in the projects of ``units``, distinct and without suppressed ones.
+def of_each_content(units: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` finds in the node relation of ``units``, for projects with the same files found once.
 
-    Rules and suppressions look at nothing but a project's own files, so projects with
-    the same files are analysed once. Nodes lie in clusters by file, so that the rules'
-    joins of nodes with nodes don't shuffle them.
+    It may look at nothing but a project's own files. Nodes lie in clusters by file, so
+    that joins of nodes with nodes don't shuffle them.
     """
     same = written(same_projects(units), "same-projects")
     units = written(one_of_each(units, same), "units")
     n = clusters(units)
     with clustering(units.sparkSession, n, "project", "path"):
         tree = clustered(code.nodes(units.repartition(n, "project", "path")), "nodes")
-        found = written(analyse(written(rule_findings(tree, families), "found"), tree), "analysed")
+        found = written(make(tree), "of-contents")
     return for_all(found, same)
 
 
+def project_findings(units: DataFrame, *families: str) -> DataFrame:
+    """Findings of all rules of the families in the projects of ``units``."""
+    return of_each_content(units, lambda tree: rule_findings(tree, families))
+
+
+def analysed_projects(units: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+    """Findings of all rules of the families in the projects of ``units``, distinct and without suppressed ones."""
+    return of_each_content(units, lambda tree: analyse(written(rule_findings(tree, families), "found"), tree))
+
+
 def scored(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pillars, projects, files) with scores and grades, of an analysis' findings."""
     priced = written(scoring.penalties(found.withColumn("measured", F.lit(None).cast("double")), "project"), "priced")
